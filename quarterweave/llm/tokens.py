@@ -7,16 +7,18 @@ everything when it is full, so memory is bounded whatever the corpus.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 from array import array
 from functools import cache
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
 import regex
 
 WORD_BPE, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-REMEMBERED = 250_000
+REMEMBERED, WORDS_REMEMBERED = 250_000, 700_000
 #: Unicode white space; libraries differ on U+001C..1F, which are none.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]")
@@ -45,29 +47,29 @@ class WordBpe(dict):
         self.before: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > REMEMBERED:  # what was asked for since the last time stays
-            self.before = dict(self)
-            self.clear()
         value = self.before.get(piece)
         if value is None:
             # Below U+0250 nothing composes or changes length, so plain lower-casing is the vocabulary's normal form.
-            if piece.isascii() and piece.isprintable() or piece.isprintable() and max(piece) < "\u0250" and "\u0130" not in piece:
-                if piece.isalpha():
-                    if (low := piece.lower()) != piece:
-                        value = self[piece] = self[low]
-                        return value
-                    ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin1").translate(self.table))]
-                elif len(piece) > 1 and piece[-1] in ".,!?;:" and piece[:-1].isalpha():
-                    value = self[piece] = self[piece[:-1]] + self[piece[-1]]
-                    return value
-                else:
-                    ids = [t.id for word in self.split(piece.lower()) for t in self.model.tokenize(word.encode().decode("latin1").translate(self.table))]
+            plain = piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece
+            if plain and piece.isalpha():
+                low = piece.lower()
+                value = self[low] if low != piece else self._merged(piece)
+            elif plain and len(piece) > 1 and piece[-1] in ".,!?;:" and piece[:-1].isalpha():
+                value = self[piece[:-1]] + self[piece[-1]]
+            elif plain and piece.isprintable():
+                value = b"".join(map(self._merged, self.split(piece.lower())))
             else:
-                ids = self.whole.encode(piece, add_special_tokens=False).ids
-            value = array("I", ids).tobytes()
+                value = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) > WORDS_REMEMBERED:  # what was asked for since the last time stays at hand
+            self.before = self.copy()
+            self.clear()
         self[piece] = value
         return value
 
+    def _merged(self, word: str, id_of=attrgetter("id")) -> bytes:
+        form = word if word.isascii() else word.encode().decode("latin1").translate(self.table)
+        return array("I", map(id_of, self.model.tokenize(form))).tobytes()
+
     def ids(self, text: str) -> bytes:
         """Blanks separate tokens and make none, so what lies between them is encoded by itself."""
         return b"".join([self[p] for p in text.replace("\n", " ").split(" ") if p])
@@ -75,7 +77,8 @@ class WordBpe(dict):
 
 @cache
 def word_bpe(path: str = WORD_BPE) -> WordBpe:
-    """One for each Python worker and vocabulary."""
+    """One for each Python worker and vocabulary. Its tables hold no cycles, so the collector need not walk them often."""
+    gc.set_threshold(200_000, 20, 100)
     return WordBpe(path)
 
 
