@@ -11,11 +11,13 @@ id neither lose words nor make others lose them; repeated rows of one id are one
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from functools import cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,28 +25,20 @@ from pyspark.sql import functions as F
 from .common import partitions_for, stage
 
 WINDOW, TRIPLE = 13, 3
-#: Words of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
-BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 6_000_000, 400_000, 8, 48_000_000
+#: Bytes of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
+BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 3_000_000, 400_000, 2, 80_000_000
 #: A triple in over this share of a block's documents, and of all documents, counts as common.
 COMMON = 0.005
 
-_KEY = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-class _Hashes(dict):
-    """Word to 64-bit hash; forgets all when large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ones((2, size), np.uint64)
+    both[0, 1:], both[1, 1:] = _BASE, _BACK
+    return tuple(np.cumprod(both, axis=1))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -53,24 +47,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _triples(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    """A hash of the word triple that starts at each word."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return _mixed(h[:-2] * _KEY[0] + ((h[1:-1] << np.uint64(21)) | (h[1:-1] >> np.uint64(43))) * _KEY[1] + h[2:] * _KEY[2])
+class _Text:
+    """Words of a text in which blanks and line feeds separate words, one between two; hashes of its stretches."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        gaps = np.flatnonzero((raw == 32) | (raw == 10))
+        self.start = np.concatenate(([0], gaps + 1))
+        self.end = np.append(gaps, len(raw))
+        size = 1 << max(20, len(raw).bit_length())
+        up, self._down = _powers(size)
+        self._sum = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(raw * up[: len(raw)], out=self._sum[1:])
 
+    def hashes(self, first: np.ndarray, words: int) -> np.ndarray:
+        """Of the stretches of so many words that start at these words: alike wherever a stretch stands."""
+        s, e = self.start[first], self.end[first + words - 1]
+        return _mixed((self._sum[e] - self._sum[s]) * self._down[s])
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[list[bytes]]]]:
-    """Ids, text hashes and words of documents, by block, in order of id."""
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
+    """Ids, text hashes, joined texts and words of each text, by block, in order of id; texts without words are left out."""
     rows, held = [], 0
 
     def done():
-        rows.sort(key=lambda r: (r[0], r[1]))
-        return [r[0] for r in rows], [r[1] for r in rows], [r[2].split() for r in rows]
+        rows.sort(key=lambda r: r[:2])
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), b"\n".join([r[2] for r in rows]), np.array([r[2].count(b" ") + 1 for r in rows])
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            rows.append(row)
-            held += len(row[2])
+        for doc, print_, text in zip(*(batch.column(k) for k in range(3)), strict=True):
+            joined = b" ".join(text.as_py().split())
+            if joined:
+                rows.append((doc.as_py(), print_.as_py(), joined))
+                held += len(joined)
             if held > BLOCK_BYTES:
                 yield done()
                 rows, held = [], 0
@@ -82,17 +91,18 @@ def _common(window: int):
     """(triple, documents) for triples common in a block, and one row with triple null and the block's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for ids, _, docs in _blocks(batches):
-            owns = []
-            for words in docs:
-                if len(words) >= window:
-                    t = _triples(words, hashes)
-                    owns.append(np.unique(t[t < np.uint64(1 << 61)]))  # the lowest eighth: what most minimisers are from
-            values, counts = np.unique(np.concatenate(owns), return_counts=True) if owns else (np.zeros(0, np.uint64), np.zeros(0, int))
+        for ids, _, text, sizes in _blocks(batches):
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            first = np.flatnonzero(doc[: 1 - TRIPLE or None] == doc[TRIPLE - 1 :]) if len(doc) >= TRIPLE else np.zeros(0, int)
+            triples = _Text(text).hashes(first, TRIPLE)
+            some = triples < np.uint64(1 << 61)  # the lowest eighth: what most minimisers are from
+            order = np.lexsort((doc[first[some]], triples[some]))
+            t, d = triples[some][order], doc[first[some]][order]
+            fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (d[1:] != d[:-1]))) if len(t) else np.zeros(0, bool)
+            values, counts = np.unique(t[fresh], return_counts=True)
             often = counts > max(1, COMMON * len(ids))
             triple = [None, *values[often].view(np.int64).tolist()]
-            yield pa.record_batch([pa.array(triple, pa.int64()), pa.array([sum(map(len, docs)), *counts[often].tolist()], pa.int64())], ["triple", "n"])
+            yield pa.record_batch([pa.array(triple, pa.int64()), pa.array([len(doc), *counts[often].tolist()], pa.int64())], ["triple", "n"])
 
     return run
 
@@ -108,56 +118,64 @@ def _pack(window: int, buckets: int, common: np.ndarray):
     span = window - TRIPLE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, squeeze = _Hashes(), zstandard.ZstdCompressor(level=1)
-        held: dict[int, list] = {}
+        squeeze = zstandard.ZstdCompressor(level=5)
+        held: dict[int, tuple[array, array, array, list[bytes]]] = {}
         held_bytes = 0
 
         def sent() -> pa.RecordBatch:
             keys, blobs = [], []
-            for bucket, items in held.items():
-                head = np.array([(d, t, s) for d, t, s, _ in items], np.int64)
+            for bucket, (docs, prints, starts, pieces) in held.items():
+                head = np.int64(len(docs)).tobytes() + np.diff(np.array(docs), prepend=0).tobytes() + prints.tobytes() + starts.tobytes()
                 keys.append(bucket)
-                blobs.append(squeeze.compress(np.int64(len(items)).tobytes() + head.tobytes() + b"\n".join([x[3] for x in items])))
+                blobs.append(squeeze.compress(head + b"\n".join(pieces)))
             held.clear()
             return pa.record_batch([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
-        for ids, prints, docs in _blocks(batches):
+        for ids, prints, joined, sizes in _blocks(batches):
+            if not (sizes >= window).any():
+                continue
+            text = _Text(joined)
+            begins = np.cumsum(sizes) - sizes
+            triples = text.hashes(np.arange(int(sizes.sum()) - TRIPLE + 1), TRIPLE)  # those across texts lie in no window
+            order = triples >> np.uint64(1)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, triples), len(common) - 1)
+                order[common[at] == triples] |= np.uint64(1 << 63)
+            low, width = order, 1  # the lowest of the next `width`, doubled until a window is spanned
+            while width < span:
+                step = min(width, span - width)
+                low = np.minimum(low[:-step], low[step:])
+                width += step
+            n_windows = np.maximum(sizes - window + 1, 0)
+            windows = _runs(begins, n_windows)
+            doc = np.repeat(np.arange(len(sizes)), n_windows)
+            low = low[windows]
+            first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
+            count = np.diff(np.append(first, len(low)))
+            at = windows[first]
+            owner = doc[first]
             seen: dict[bytes, int] = {}
-            known: list[tuple[int, int, int, int]] = []
-            for doc, print_, words in zip(ids, prints, docs, strict=True):
-                n = len(words) - window + 1
-                if n < 1:
-                    continue
-                triples = _triples(words, hashes)
-                order = triples >> np.uint64(1)
-                if len(common):
-                    at = np.searchsorted(common, triples)
-                    order[common[np.minimum(at, len(common) - 1)] == triples] |= np.uint64(1 << 63)
-                low, width = order, 1  # the lowest of the next `width`, doubled until a window is spanned
-                while width < span:
-                    step = min(width, span - width)
-                    low = np.minimum(low[:-step], low[step:])
-                    width += step
-                first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-                sizes = np.diff(np.append(first, n))
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                begin = np.concatenate(([0], ends))[first].tolist()
-                stop = (ends[first + sizes + window - 2] - 1).tolist()
-                for s, size, b, e, key in zip(first.tolist(), sizes.tolist(), begin, stop, (low[first] % np.uint64(buckets)).tolist(), strict=True):
-                    piece = joined[b:e]
-                    owner = seen.setdefault(piece, doc)
-                    if owner != doc:
-                        if known and known[-1][0] == doc and known[-1][1] == print_ and known[-1][2] + known[-1][3] == s:
-                            known[-1] = (doc, print_, known[-1][2], known[-1][3] + size)
-                        else:
-                            known.append((doc, print_, s, size))
+            known: list[tuple[int, int, int]] = []
+            rows = zip(
+                owner.tolist(), ids[owner].tolist(), (prints[owner] & 0xFFFFFFFF).tolist(), (at - begins[owner]).tolist(), count.tolist(),
+                text.start[at].tolist(), text.end[at + count + window - 2].tolist(), (low[first] % np.uint64(buckets)).tolist(), strict=True,
+            )
+            for k, doc_id, print_, start, n, b, e, key in rows:
+                piece = joined[b:e]
+                if seen.setdefault(piece, doc_id) != doc_id:
+                    if known and known[-1][0] == k and known[-1][1] + known[-1][2] == start:
+                        known[-1] = (k, known[-1][1], known[-1][2] + n)
                     else:
-                        held.setdefault(key, []).append((doc, print_, s, piece))
-                        held_bytes += len(piece) + 200
+                        known.append((k, start, n))
+                    continue
+                if (into := held.get(key)) is None:
+                    into = held[key] = (array("q"), array("I"), array("I"), [])
+                into[0].append(doc_id), into[1].append(print_), into[2].append(start), into[3].append(piece)
+                held_bytes += e - b + 60
             if known:
-                rows = np.array(known, np.int64)
-                yield pa.record_batch([pa.array([1], pa.int32()), pa.array([known[0][0] % buckets], pa.int64()), pa.array([squeeze.compress(rows.tobytes())], pa.binary())], ["kind", "bucket", "blob"])
+                k, start, n = np.array(known, np.int64).T
+                out = np.column_stack([ids[k], prints[k] & 0xFFFFFFFF, start, n])
+                yield pa.record_batch([pa.array([1], pa.int32()), pa.array([int(out[0, 0]) % buckets], pa.int64()), pa.array([squeeze.compress(out.tobytes())], pa.binary())], ["kind", "bucket", "blob"])
             if held_bytes > SEND_BYTES:
                 yield sent()
                 held_bytes = 0
@@ -169,49 +187,51 @@ def _pack(window: int, buckets: int, common: np.ndarray):
 
 def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
     """Rows (doc, print, first window, windows) of all windows in a bucket that a smaller document holds too."""
-    heads, lines = [], []
+    docs, prints, starts, texts = [], [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
-        heads.append(np.frombuffer(blob, np.int64, 3 * n, 8).reshape(n, 3))
-        lines += blob[8 + 24 * n :].split(b"\n")
-    head = np.concatenate(heads)
-    sizes = np.array([x.count(b" ") + 1 for x in lines])
-    codes_of = _Codes()
-    codes = np.fromiter(map(codes_of.__getitem__, b" ".join(lines).split(b" ")), np.int64, int(sizes.sum()))
-    del lines
-    mixed = _mixed(codes.astype(np.uint64) + _KEY[0])
+        docs.append(np.cumsum(np.frombuffer(blob, np.int64, n, 8)))
+        prints.append(np.frombuffer(blob, np.uint32, n, 8 + 8 * n).astype(np.int64))
+        starts.append(np.frombuffer(blob, np.uint32, n, 8 + 12 * n).astype(np.int64))
+        texts.append(blob[8 + 16 * n :])
+    ids, print_, start = (np.concatenate(x) for x in (docs, prints, starts))
+    joined = b"\n".join(texts)
+    text = _Text(joined)
+    last = np.flatnonzero(np.frombuffer(joined, np.uint8)[text.end[:-1]] == 10)  # the last word of each super-k-mer but one
+    sizes = np.diff(np.concatenate(([-1], last, [len(text.start) - 1])))
+    begins = np.cumsum(sizes) - sizes
     n_windows = sizes - window + 1
-    at = _runs(np.cumsum(sizes) - sizes, n_windows)  # where each window starts
+    at = _runs(begins, n_windows)  # where each window starts
     owner = np.repeat(np.arange(len(sizes)), n_windows)
-    value = np.zeros(len(at), np.uint64)
-    for k in range(window):
-        value = value * _KEY[1] + mixed[at + k]
-    docs = head[owner, 0]
+    value = text.hashes(at, window)
     order = np.argsort(value, kind="stable")
     sorted_, place = value[order], at[order]
     new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
     same = np.flatnonzero(~new)
-    equal = np.ones(len(same), bool)
-    for k in range(window):
-        equal &= codes[place[same] + k] == codes[place[same - 1] + k]
-    if not equal.all():  # two different windows of one hash: number all of them by their words
+    b, e = text.start[place], text.end[place + window - 1]
+    words = [joined[x:y] for x, y in zip(b[same].tolist(), e[same].tolist(), strict=True)]
+    equal = [joined[x:y] == w for x, y, w in zip(b[same - 1].tolist(), e[same - 1].tolist(), words, strict=True)]
+    if not all(equal):  # different windows of one hash: number all of them by their words
         exact: dict[bytes, int] = {}
-        for i in np.flatnonzero(np.isin(sorted_, sorted_[same[~equal]])):
-            sorted_[i] = exact.setdefault(codes[place[i] : place[i] + window].tobytes(), len(exact))
-        order = order[(again := np.lexsort((sorted_, value[order])))]
-        sorted_, first = sorted_[again], value[order]
-        new = np.concatenate(([True], (sorted_[1:] != sorted_[:-1]) | (first[1:] != first[:-1])))
-    least = np.minimum.reduceat(docs[order], np.flatnonzero(new))
+        clash = np.isin(value, sorted_[same[~np.array(equal)]])
+        number = np.zeros(len(value), np.int64)
+        for i in np.flatnonzero(clash).tolist():
+            number[i] = exact.setdefault(joined[text.start[at[i]] : text.end[at[i] + window - 1]], len(exact))
+        order = np.lexsort((number, value))
+        v, m = value[order], number[order]
+        new = np.concatenate(([True], (v[1:] != v[:-1]) | (m[1:] != m[:-1])))
+    own_doc = ids[owner]
+    least = np.minimum.reduceat(own_doc[order], np.flatnonzero(new))
     hit = np.zeros(len(at), bool)
-    hit[order] = least[np.cumsum(new) - 1] < docs[order]
+    hit[order] = least[np.cumsum(new) - 1] < own_doc[order]
     hits = np.flatnonzero(hit)
     if not len(hits):
         return np.zeros((0, 4), np.int64)
-    begins = np.concatenate(([True], (np.diff(hits) > 1) | (np.diff(owner[hits]) > 0)))
-    begin = hits[begins]
-    count = np.diff(np.append(np.flatnonzero(begins), len(hits)))
+    opens = np.concatenate(([True], (np.diff(hits) > 1) | (np.diff(owner[hits]) > 0)))
+    begin = hits[opens]
+    count = np.diff(np.append(np.flatnonzero(opens), len(hits)))
     own = owner[begin]
-    return np.column_stack([head[own, 0], head[own, 1], head[own, 2] + at[begin] - (np.cumsum(sizes) - sizes)[own], count])
+    return np.column_stack([ids[own], print_[own], start[own] + at[begin] - begins[own], count])
 
 
 def _unpack(window: int):
@@ -256,47 +276,60 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_unpack(window), "doc long, print long, at long, n long")
 
 
-def _cut(window: int, names: list[str]):
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as they are about to be shuffled."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            few = batch.slice(at, 1000)
+            yield pa.record_batch([*few.columns[:2], pa.array([squeeze.compress(t.as_py()) for t in few.column(2)], pa.binary()), *few.columns[3:]], batch.schema.names)
+
+
+def _cut(window: int, as_is: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loosen = zstandard.ZstdDecompressor()
         for batch in batches:
-            words_, removed, kept = [], [], []
-            for text, at, n in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                words = (text or b"").split()
-                words_.append(len(words))
-                if at:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, np.array(at), 1)
-                    np.add.at(edge, np.array(at) + np.array(n) + window - 1, -1)
-                    stays = (np.cumsum(edge[:-1]) == 0).tolist()
-                    words = [w for w, s in zip(words, stays, strict=True) if s]
-                removed.append(words_[-1] - len(words))
-                kept.append(b" ".join(words).decode())
-            yield pa.record_batch([batch.column(0), pa.array(words_, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]], names)
+            for start in range(0, batch.num_rows, 1000):
+                few = batch.slice(start, 1000)
+                words_, removed, kept = [], [], []
+                for blob, at, n in zip(*(few.column(k) for k in (1, 2, 3)), strict=True):
+                    text, at, n = loosen.decompress(blob.as_py()), at.as_py(), n.as_py()
+                    words = text.split()
+                    words_.append(len(words))
+                    if at:
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edge, np.array(at), 1)
+                        np.add.at(edge, np.array(at) + np.array(n) + window - 1, -1)
+                        words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+                    removed.append(words_[-1] - len(words))
+                    kept.append((text if as_is and not at else b" ".join(words)).decode())
+                yield pa.record_batch([few.column(0), pa.array(words_, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *few.columns[4:]], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """(id, n_words, n_removed, kept_text, the columns of `carry`) for every row.
 
     Each word that lies in a window of `window` words which also starts in a document with a smaller id is removed;
-    windows are those of the input, not of what is left. Kept words are joined by one space.
+    windows are those of the input, not of what is left. Kept words are joined by one space; with `as_is`, texts
+    that lose nothing stay as they are, white space included.
     """
     own = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(own).alias("print"), own.cast("binary").alias("t"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    more = [f"c{k}" for k in range(len(carry))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF)).alias("print"), own.cast("binary").alias("t"), *[F.col(c).alias(m) for c, m in zip(carry, more, strict=True)])
     found = (
         repeated_windows(rows.where("doc is not null").select("doc", "print", "t"), window)
         .groupBy("doc", "print")
         .agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
         .withColumnsRenamed({"doc": "doc_", "print": "print_"})
     )
-    joined = rows.join(found, (F.col("doc") == F.col("doc_")) & (F.col("print") == F.col("print_")), "left")
-    more = [f"c{k}" for k in range(len(carry))]
-    types = [f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carry)]
-
+    types = [f"{m} {docs.schema[c].dataType.simpleString()}" for c, m in zip(carry, more, strict=True)]
+    small = rows.mapInArrow(_squeeze, ", ".join(["doc long, print long, t binary", *types]))
+    joined = small.join(found, (F.col("doc") == F.col("doc_")) & (F.col("print") == F.col("print_")), "left")
     names = ["doc", "n_words", "n_removed", "kept_text", *more]
-    cut = joined.select("doc", "t", "at", "n", *more).mapInArrow(_cut(window, names), ", ".join(["doc long, n_words long, n_removed long, kept_text string", *types]))
-    return cut.withColumnsRenamed({"doc": id_col} | {f"c{k}": c for k, c in enumerate(carry)})
+    cut = joined.select("doc", "t", "at", "n", *more).mapInArrow(_cut(window, as_is, names), ", ".join(["doc long, n_words long, n_removed long, kept_text string", *types]))
+    return cut.withColumnsRenamed({"doc": id_col} | dict(zip(more, carry, strict=True)))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
