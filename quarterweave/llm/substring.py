@@ -26,7 +26,7 @@ from .common import partitions_for, stage
 
 WINDOW, TRIPLE = 13, 3
 #: Bytes of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
-BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 3_000_000, 400_000, 2, 80_000_000
+BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 3_000_000, 400_000, 2, 40_000_000
 #: A triple in over this share of a block's documents, and of all documents, counts as common.
 COMMON = 0.005
 
@@ -34,11 +34,15 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 
 
+_SLAB = 1 << 16
+
+
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.ones((2, size), np.uint64)
-    both[0, 1:], both[1, 1:] = _BASE, _BACK
-    return tuple(np.cumprod(both, axis=1))
+def _powers(base: int) -> np.ndarray:
+    """base to the 0, 1, ... power, one slab; what lies beyond is made of these and powers of a slab's width."""
+    out = np.full(_SLAB, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,15 +59,17 @@ class _Text:
         gaps = np.flatnonzero((raw == 32) | (raw == 10))
         self.start = np.concatenate(([0], gaps + 1))
         self.end = np.append(gaps, len(raw))
-        size = 1 << max(20, len(raw).bit_length())
-        up, self._down = _powers(size)
         self._sum = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(raw * up[: len(raw)], out=self._sum[1:])
+        for k in range(0, len(raw), _SLAB):
+            part = raw[k : k + _SLAB]
+            self._sum[k + 1 : k + 1 + len(part)] = part * _powers(_BASE)[: len(part)] * np.uint64(pow(_BASE, k, 1 << 64))
+        np.cumsum(self._sum, out=self._sum)
+        self._wide = np.array([pow(_BACK, k, 1 << 64) for k in range(0, len(raw) + 1, _SLAB)], np.uint64)
 
     def hashes(self, first: np.ndarray, words: int) -> np.ndarray:
         """Of the stretches of so many words that start at these words: alike wherever a stretch stands."""
         s, e = self.start[first], self.end[first + words - 1]
-        return _mixed((self._sum[e] - self._sum[s]) * self._down[s])
+        return _mixed((self._sum[e] - self._sum[s]) * _powers(_BACK)[s % _SLAB] * self._wide[s // _SLAB])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
