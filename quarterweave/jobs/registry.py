@@ -2,5 +2,171 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import filings, periods, releases, transcripts
+from ..sources.shapes import shaped
+from .oracles import ORACLES  # noqa: F401
+
+#: The driver's orders end in 2001.
+FIRST_YEAR = 1999
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.transcript_text(shaped(spark, d, "transcript_items"))
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.qa_candidates(_calls(spark, d))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.qa_split(_candidates(spark, d))
+
+
+def transcript_text(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(spark, d)
+
+
+def qa_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d).select(*transcripts.CALL, F.inline("candidates"))
+
+
+def qa_split(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).drop("raw", "text").withColumn("warnings", F.array_join("warnings", ","))
+
+
+def transcript_quality(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.transcript_quality(_split(spark, d))
+
+
+def transcript_sections(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.transcript_sections(_split(spark, d))
+
+
+def transcript_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.transcript_chunks(_calls(spark, d), 1000)
+
+
+def speaker_positions(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.speaker_positions(_calls(spark, d))
+
+
+def _periods(spark: SparkSession, d: str) -> DataFrame:
+    return periods.latest_periods(shaped(spark, d, "transcript_dates"), 2, FIRST_YEAR)
+
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    return periods.statement_tables(shaped(spark, d, "statements"), 4, 3)
+
+
+def valid_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return periods.valid_symbols(shaped(spark, d, "transcript_dates"))
+
+
+def latest_periods(spark: SparkSession, d: str) -> DataFrame:
+    return _periods(spark, d)
+
+
+def latest_fiscal_year(spark: SparkSession, d: str) -> DataFrame:
+    return periods.latest_fiscal_year(_periods(spark, d))
+
+
+def statement_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _tables(spark, d)
+
+
+def period_match(spark: SparkSession, d: str) -> DataFrame:
+    return periods.period_match(_tables(spark, d), _periods(spark, d))
+
+
+def annual_match(spark: SparkSession, d: str) -> DataFrame:
+    return periods.annual_match(_tables(spark, d), periods.latest_fiscal_year(_periods(spark, d)))
+
+
+def followup_actions(spark: SparkSession, d: str) -> DataFrame:
+    return periods.followup_actions(_periods(spark, d))
+
+
+def company_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _periods(spark, d).select("symbol").distinct().join(shaped(spark, d, "profiles"), "symbol", "left")
+
+
+def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+    chosen, tables = _periods(spark, d), _tables(spark, d)
+    pack = periods.evidence_pack(
+        shaped(spark, d, "profiles"), chosen, periods.period_match(tables, chosen), periods.annual_match(tables, periods.latest_fiscal_year(chosen)), periods.followup_actions(chosen)
+    )
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["table_name"], x["match_status"], x["matched_rows"].cast("string"))), ",")
+    return pack.select(
+        "symbol",
+        F.array_join("selected_periods", ",").alias("selected_periods"),
+        "fiscal_year",
+        joined(F.col("financial_tables")).alias("financial_tables"),
+        joined(F.col("annual_tables")).alias("annual_tables"),
+        F.when(F.col("actions").isNull(), 0).otherwise(F.size("actions")).cast("long").alias("n_actions"),
+        F.array_join("notes", ",").alias("notes"),
+    )
+
+
+def _fields(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_fields(shaped(spark, d, "releases"))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_scores(_fields(spark, d), shaped(spark, d, "release_requests"))
+
+
+def release_fields(spark: SparkSession, d: str) -> DataFrame:
+    return _fields(spark, d).select("ticker", "row_ord", "title", "release_date", "url", "publisher", "domain", "is_sec", "detected_period", F.col("fixed_score").cast("long").alias("fixed_score"), "release_id")
+
+
+def release_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).select("ticker", "fiscal_year", "quarter", "row_ord", "score")
+
+
+def release_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_candidates(_scores(spark, d)).select("ticker", "fiscal_year", "quarter", "rank", "row_ord", "score", "release_date")
+
+
+def release_best(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_best(releases.release_candidates(_scores(spark, d), 1)).select("ticker", "fiscal_year", "quarter", "row_ord", "score", "release_id")
+
+
+def release_failures(spark: SparkSession, d: str) -> DataFrame:
+    return releases.release_failures(shaped(spark, d, "release_requests"), releases.release_candidates(_scores(spark, d), 1))
+
+
+def filing_search(spark: SparkSession, d: str) -> DataFrame:
+    return filings.filing_search(shaped(spark, d, "filings"), "1996-01-01", "2000-12-31")
+
+
+def filing_rank(spark: SparkSession, d: str) -> DataFrame:
+    requests = _periods(spark, d).select("symbol", F.col("year").alias("fiscal_year"), "quarter", F.col("call_date").alias("anchor_date"))
+    return filings.filing_rank(shaped(spark, d, "filings"), requests)
+
+
+def cik_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return filings.cik_lookup(shaped(spark, d, "profiles").select("symbol"), shaped(spark, d, "ticker_map"))
+
+
+def submissions_rows(spark: SparkSession, d: str) -> DataFrame:
+    return filings.submissions_rows(shaped(spark, d, "filings"))
+
+
+def filing_documents(spark: SparkSession, d: str) -> DataFrame:
+    return filings.filing_documents(shaped(spark, d, "filing_documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        transcript_text, qa_candidates, qa_split, transcript_quality, transcript_sections, transcript_chunks, speaker_positions,
+        valid_symbols, latest_periods, latest_fiscal_year, statement_tables, period_match, annual_match, followup_actions, company_profile, evidence_pack,
+        release_fields, release_scores, release_candidates, release_best, release_failures,
+        filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents,
+    )
+}
