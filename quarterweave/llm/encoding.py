@@ -26,8 +26,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 10_000):
+                part = batch.slice(at, 10_000)
                 bpe.learn([t.as_py() or "" for t in part.column(1)])
                 for k in range(0, part.num_rows, 500):
                     few = part.slice(k, 500)

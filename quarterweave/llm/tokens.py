@@ -18,7 +18,7 @@ import public_tokenizers
 import regex
 
 WORD_BPE, BYTE_RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-REMEMBERED, WORDS_REMEMBERED = 250_000, 700_000
+WORDS_REMEMBERED = 700_000
 #: Unicode white space; libraries differ on U+001C..1F, which are none.
 SPACE = r"\t-\r \x85\xa0  -     　"
 PATTERN = public_tokenizers.PATTERN.replace(r"[^\s", rf"[^{SPACE}").replace(r"\S", rf"[^{SPACE}]").replace(r"\s", rf"[{SPACE}]")
@@ -110,6 +110,7 @@ class MergeReplay:
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     pairs[a << 32 | b] = rank
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
@@ -144,27 +145,52 @@ class MergeReplay:
         before[ends - sizes] = -1
         alive = np.ones(n, bool)
         odd = np.zeros(len(todo), bool)
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, tuple[list[np.ndarray], list[int]]] = {}  # places of a rank, by the array and one by one
         heap: list[int] = []
+        pairs = self.pairs
+
+        def of(rank: int) -> tuple[list[np.ndarray], list[int]]:
+            if (at := index.get(rank)) is None:
+                at = index[rank] = ([], [])
+                heapq.heappush(heap, rank)
+            return at
 
         def enter(places: np.ndarray, current: int) -> None:
             rank = self.rank_of(token[places], token[after[places]])
             odd[word[places[(rank >= 0) & (rank < current)]]] = True
             places, rank = places[rank >= 0], rank[rank >= 0]
-            order = np.argsort(rank, kind="stable")
-            places, rank = places[order], rank[order]
-            first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(rank) else []
-            for r, group in zip(rank[first].tolist() if len(rank) else [], np.split(places, first[1:]) if len(rank) else [], strict=True):
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(heap, r)
-                index[r].append(group)
+            if len(rank):
+                order = np.argsort(rank, kind="stable")
+                places, rank = places[order], rank[order]
+                first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+                for r, group in zip(rank[first].tolist(), np.split(places, first[1:]), strict=True):
+                    of(r)[0].append(group)
+
+        def enter_one(p: int, q: int, current: int) -> None:
+            rank = pairs.get(int(token[p]) << 32 | int(token[q]))
+            if rank is not None:
+                if rank < current:
+                    odd[word[p]] = True
+                of(rank)[1].append(p)
 
         enter(np.flatnonzero(after < n), -1)
         while heap:
             rank = heapq.heappop(heap)
-            groups = index.pop(rank)
-            at = np.unique(np.concatenate(groups)) if len(groups) > 1 else np.sort(groups[0])
+            groups, single = index.pop(rank)
+            if len(single) + sum(map(len, groups)) <= 24:  # few places: arrays cost more than they save
+                for p in sorted({*single, *(p for g in groups for p in g.tolist())}):
+                    q = int(after[p])
+                    if not alive[p] or q >= n or pairs.get(int(token[p]) << 32 | int(token[q])) != rank:
+                        continue
+                    r, left = int(after[q]), int(before[p])
+                    token[p], alive[q], after[p] = rank, False, r
+                    if r < n:
+                        before[r] = p
+                        enter_one(p, r, rank)
+                    if left >= 0:
+                        enter_one(left, p, rank)
+                continue
+            at = np.unique(np.concatenate([*groups, np.array(single, np.int64)]))
             at = at[alive[at] & (after[at] < n)]
             at = at[self.rank_of(token[at], token[after[at]]) == rank]
             if not len(at):
@@ -180,10 +206,10 @@ class MergeReplay:
             token[at] = rank
             alive[gone] = False
             after[at] = after[gone]
-            inner = after[at][after[at] < n]
-            before[inner] = at[after[at] < n]
+            open_ = at[after[at] < n]
+            before[after[open_]] = open_
             left = before[at]
-            enter(np.unique(np.concatenate([left[left >= 0], at[after[at] < n]])), rank)
+            enter(np.unique(np.concatenate([left[left >= 0], open_])), rank)
         kept = np.flatnonzero(alive)
         cuts = np.searchsorted(word[kept], np.arange(1, len(todo)))
         for k, ids, strange in zip(todo, np.split(token[kept].astype(np.uint32), cuts), odd.tolist(), strict=True):
@@ -197,6 +223,7 @@ class ByteBpe:
     def __init__(self, path: str = BYTE_RANKS):
         self.replay = MergeReplay(read_ranks(path))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @staticmethod
     def keys(text: str) -> list[str]:
@@ -214,19 +241,22 @@ class ByteBpe:
         return key[1:] if key.startswith("\0") else key if key.startswith("\n") else " " + key
 
     def learn(self, texts: list[str]) -> None:
-        """Encodes all parts of these texts that are not known yet, together."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """Encodes all parts of these texts that are not known yet, together. When the table is full, parts that these texts
+        and those before them did not ask for are forgotten."""
+        if len(self.known) > WORDS_REMEMBERED:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         new: set[str] = set()
         for text in texts:
-            new |= set(self.keys(text)) - self.known.keys()
-        todo = list(new)
-        for at in range(0, len(todo), 150_000):
-            keys = todo[at : at + 150_000]
+            new.update([k for k in self.keys(text) if k not in known])
+        known.update([(k, before[k]) for k in new if k in before])
+        todo = [k for k in new if k not in before]
+        for at in range(0, len(todo), 300_000):
+            keys = todo[at : at + 300_000]
             split = [[p.encode() for p in pieces_of(self.literal(k))] for k in keys]
             words = list(dict.fromkeys(p for parts in split for p in parts))
             ids = {w: x.astype("<u4").tobytes() for w, x in zip(words, self.replay.encode(words), strict=True)}
-            self.known.update((k, b"".join([ids[p] for p in parts])) for k, parts in zip(keys, split, strict=True))
+            known.update((k, b"".join([ids[p] for p in parts])) for k, parts in zip(keys, split, strict=True))
 
     def ids(self, text: str) -> bytes:
         """Ids of a text that has been learnt, as little-endian unsigned 32-bit integers."""
@@ -238,4 +268,5 @@ class ByteBpe:
 
 @cache
 def byte_bpe(path: str = BYTE_RANKS) -> ByteBpe:
+    gc.set_threshold(200_000, 20, 100)
     return ByteBpe(path)
