@@ -1,0 +1,183 @@
+"""Each operator over nulls, empty, very long and repeated texts, clashing columns and empty tables, against brute force."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import tiktoken
+import xxhash
+from public_tokenizers import PATTERN
+
+from quarterweave.llm import embeddings, encoding, id_files, licenses, packing, quality, simhash, substring, surrogates, token_counts, tokens
+
+SHARED = " ".join(f"w{k}é" for k in range(60))
+TEXTS = {
+    1: None, 2: "", 3: "  \n\n\n  a  b\t", 4: SHARED + " tail one", 5: "head " + SHARED, 6: SHARED, 7: SHARED, 8: "the same line\n" * 40,
+    9: " ".join(f"x{k * k % 997}" for k in range(30_000)), 10: "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nmit license mit license",
+    11: "mail Ann.B@ex.org, +1 (555) 123-4567, 4111 1111 1111 1111, 10.0.0.1. Mr. John Smith; password=abc123def", 12: "ann.b@ex.org and +1-555-123-4567 of Dr Smith", 13: "日本語 ß İ <|endoftext|> it's",
+}
+DDL = "doc_id long, text string, lang string, source string, n_chars long, words string, print long, kept string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, None if k == 4 else "en", "s", 0, "clash", 1, "x") for k, t in TEXTS.items()]
+    rows += [(6, SHARED, "en", None, 0, "", 2, ""), (None, SHARED, "en", "s", 0, "", 3, "")]
+    return spark.createDataFrame(rows, DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def raw(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+def test_token_counts_add_up(spark, docs, none):
+    enc = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=tokens.read_ranks(), special_tokens={})
+    for rule in ("start", "most"):
+        total = Counter()
+        for r in token_counts.token_counts(docs.where("doc_id <> 6"), rule=rule).collect():
+            total[r.doc_id] += r.n_tokens
+        assert all(total[k] == len(enc.encode_ordinary(t or "")) for k, t in TEXTS.items() if k != 6)
+    assert token_counts.token_counts(none).count() == 0
+    start, stop = token_counts.token_spans("é日 a")
+    assert start[0] == 0 and stop[-1] == 4
+    own = token_counts.allocate(np.array([0, 3, 9]), np.array([3, 9, 10]), np.array([0, 4]), np.array([4, 9]), "most")
+    assert own.tolist() == [0, 1, -1]
+
+
+def test_quality_counts(docs, none):
+    got = by_id(quality.quality(quality.measures(docs)))
+    for k, t in TEXTS.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(tri)
+        covered = {j for i, x in enumerate(tri) if n[x] > 1 for j in range(i, i + 3)}
+        assert (got[k].n_words, got[k].n_repeat_words, got[k].word_chars) == (len(w), len(covered), sum(map(len, w)))
+    assert got[8].n_dup_lines == 39 and not got[8].kept and got[4].kept
+    assert quality.quality(quality.measures(none)).count() == 0
+
+
+def test_cover_tree_links_exactly_the_pairs_in_reach(spark):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 16))
+    rows = np.concatenate([base[rng.integers(0, 40, 300)] + 0.2 * rng.normal(size=(300, 16)), np.repeat(base[:1], 30, axis=0)])
+    table = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(rows)]
+    odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] + [1.0] * 15), (None, table[0][1]), (1004, [])]
+    df = spark.createDataFrame(table + odd, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_pairs(df, pivots=4, block=50).collect()}
+    x = np.array([v for _, v in table])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while not np.array_equal(new := np.minimum(label, np.where(near, label[None, :], 1 << 40).min(axis=1)), label):
+        label = new
+    assert [(got[k].n_links, got[k].component_id) for k in range(len(x))] == list(zip(near.sum(axis=1).tolist(), label.tolist()))
+    assert all((got[k].n_links, got[k].component_id) == (0, k) for k in range(1000, 1005))
+    assert embeddings.near_pairs(df.limit(0)).count() == 0
+
+
+def test_encoding_is_that_of_the_library_and_decodes(docs, none):
+    enc = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=tokens.read_ranks(), special_tokens={})
+    for k, r in by_id(encoding.encode_documents(docs)).items():
+        t = TEXTS.get(k, SHARED) or ""
+        assert r.ids == raw(enc.encode_ordinary(t)) and r.decoded == t.encode()
+    assert encoding.encode_documents(none).count() == 0
+
+
+def test_id_files_round_trip(spark, docs, none, tmp_path):
+    whole = tokens.word_bpe().whole
+    id_files.write_ids(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), f"file://{tmp_path}/ids")
+    got, start = by_id(id_files.read_ids(spark, f"file://{tmp_path}/ids")), 0
+    for k in sorted(TEXTS):
+        ids = [*whole.encode(TEXTS[k] or "", add_special_tokens=False).ids, 2]
+        assert (got[k].start, got[k].n_tokens, got[k].ids) == (start, len(ids), raw(ids))
+        start += len(ids)
+    ids = np.random.default_rng(2).integers(0, 1 << 31, 5000).astype(np.uint32) >> np.random.default_rng(3).integers(0, 31, 5000).astype(np.uint32)
+    segment = id_files.Segment(id_files.write_segment([1, None], [2000, 5000], ids))
+    assert (segment.document(1) == ids[2000:]).all() and all(segment.ids(k, k + 1)[0] == ids[k] for k in range(0, 5000, 97))
+    id_files.write_ids(none, f"file://{tmp_path}/none")
+    assert id_files.read_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_surrogates_hide_and_corefer(docs, none):
+    got = by_id(surrogates.replace_entities(docs))
+    for secret in ("Ann.B@ex.org", "123-4567", "4111", "10.0.0.1", "John", "Smith", "abc123def"):
+        assert secret not in got[11].text
+    a, b = got[11].text, got[12].text
+    digits = lambda t: re.sub(r"\D", "", re.search(r"\+[\d() -]+\d", t)[0])
+    assert digits(a) == digits(b) and re.search(r"Mr\. \w+ (\w+)", a)[1] == re.search(r"Dr (\w+)", b)[1]
+    assert got[1].text is None and got[9].text == TEXTS[9] and surrogates.replace_entities(none).count() == 0
+
+
+def test_substring_removes_what_an_earlier_document_holds(docs, none):
+    got = by_id(substring.remove_repeats(docs))
+    first = {}
+    words = {k: (t or "").encode().split() for k, t in TEXTS.items()}
+    for k in sorted(words):
+        for i in range(len(words[k]) - 12):
+            first.setdefault(tuple(words[k][i : i + 13]), k)
+    for k, w in words.items():
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+        assert got[k].n_removed == len(gone) and got[k].kept_text.encode() == b" ".join(x for j, x in enumerate(w) if j not in gone)
+    assert got[None].n_removed == 0 and substring.remove_repeats(none).count() == 0
+
+
+def test_simhash_groups(docs, none):
+    got = by_id(simhash.near_duplicates(simhash.fingerprints(docs), tile=2))
+    ids = sorted(TEXTS)
+    for k in ids:
+        w = (TEXTS[k] or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else [0]
+        assert got[k].fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    group = {k: k for k in ids}
+    for _ in ids:
+        for a in ids:
+            for b in ids:
+                if ((got[a].fp ^ got[b].fp) & (2**64 - 1)).bit_count() <= 4:
+                    group[a] = min(group[a], group[b])
+    assert all(got[k].component_id == group[k] for k in ids) and got[None].component_id is None
+    assert simhash.near_duplicates(simhash.fingerprints(none)).count() == 0
+
+
+def test_packing_places_every_piece(docs, none):
+    rows = packing.pack_documents(docs, with_ids=True).collect()
+    whole = tokens.word_bpe().whole
+    texts = [*TEXTS.values(), SHARED, SHARED]
+    assert sum(r.length for r in rows) == sum(len(whole.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in rows)
+    place = {}
+    for r in rows:
+        place.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in map(sorted, place.values()):
+        assert all(o == sum(n for _, n in own[:k]) for k, (o, _) in enumerate(own)) and sum(n for _, n in own) <= 2048
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_license_join_finds_every_template_in_reach(docs, none):
+    got = by_id(licenses.license_scan(docs))
+    assert (got[10].n_base, got[10].first_word, got[10].labels) == (4, 3, "cc-by,cc-by-nc,mit,mit-notice")
+    assert got[1].n_words == 0 and got[1].score == 0 and licenses.license_scan(none).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(k, f"{SHARED} {k} mail a{k}@ex.org " + " ".join(f"u{k}v{j}" for j in range(80)), "en", "s", 0) for k in range(5)] + [(9, "short", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r.doc_id for r in out} == {0, 1, 2, 3, 4}
+    lengths = {r.doc_id: r.length for r in out}
+    assert lengths[0] > lengths[1]  # later documents lose the shared passage
+    assert hashlib.sha256(b"").hexdigest()  # digests are made by Spark
