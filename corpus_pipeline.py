@@ -47,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded pieces and where each lies."""
-    return pack_documents(docs)
+    return pack_documents(docs, remember=60_000)
 
 
 STAGES = [

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import stage
-from .tokens import WORD_BPE, word_bpe
+from .tokens import WORD_BPE, WORDS_REMEMBERED, word_bpe
 
 CAPACITY = 2048
 
@@ -126,13 +126,15 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFr
     return flat.mapInArrow(_place(plan(total, capacity)), f"sequence_id long, offset long, {types}").drop("task")
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:
     """Encoded pieces (task, id, piece, start, length, ids_crc32 and, if asked for, ids binary); only documents longer
-    than a sequence make several."""
+    than a sequence make several. A worker remembers up to twice `remember` words, and with fewer than usual only within
+    a task, so that idle workers hold little."""
     names = ["task", id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last, task = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        bpe.limit = remember
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 few = batch.slice(at, 1000)
@@ -144,14 +146,16 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id:
                         rows.append((task, doc, piece, lo // 4, len(own) // 4, zlib.crc32(own), *[own] * with_ids))
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        if remember < WORDS_REMEMBERED:
+            bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInArrow(run, f"task int, `{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for every piece of every document."""
-    pieces = stage(cut(docs, id_col, text_col, end_id, capacity, with_ids, vocabulary), "pieces")
+    pieces = stage(cut(docs, id_col, text_col, end_id, capacity, with_ids, vocabulary, remember), "pieces")
     placed = pack(pieces, [id_col, "piece", "ids_crc32"], capacity)
     return placed.select(id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 

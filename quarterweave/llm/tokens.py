@@ -45,6 +45,11 @@ class WordBpe(dict):
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.table = byte_alphabet()
         self.before: dict[str, bytes] = {}
+        self.limit = WORDS_REMEMBERED
+
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
 
     def __missing__(self, piece: str) -> bytes:
         value = self.before.get(piece)
@@ -60,7 +65,7 @@ class WordBpe(dict):
                 value = b"".join(map(self._merged, self.split(piece.lower())))
             else:
                 value = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) > WORDS_REMEMBERED:  # what was asked for since the last time stays at hand
+        if len(self) > self.limit:  # what was asked for since the last time stays at hand
             self.before = self.copy()
             self.clear()
         self[piece] = value
