@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import partitions_for, shared_dir
-from .tokens import WORD_BPE, word_bpe
+from .tokens import WORD_BPE, WORDS_REMEMBERED, word_bpe
 
 MAGIC, BITS, STRETCH = b"DACIDS1\0", 8, 512
 #: Ids in a segment, and documents in a task, about.
@@ -97,6 +97,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        bpe.limit = WORDS_REMEMBERED
         owners: list = []
         ends: list[int] = []
         parts: list[bytes] = []
