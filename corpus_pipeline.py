@@ -19,6 +19,12 @@ from quarterweave.llm.surrogates import replace_entities
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
+#: Rows of whole texts that pass to a Python worker at once; Spark's own 10,000 hold tens of megabytes, several times over.
+ROWS_AT_ONCE = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +34,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group."""
+    _small_batches(spark)
     return keep_one(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document holds go. A text that loses none stays as it is, line ends included;
     in the others kept words are joined by blanks. Documents of which nothing is left go."""
+    _small_batches(spark)
     cut = remove_repeats(docs, carry=("lang", "source"), as_is=True)
     kept = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
@@ -47,6 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encoded pieces and where each lies."""
+    _small_batches(spark)
     return pack_documents(docs, remember=60_000)
 
 

@@ -26,7 +26,7 @@ from .common import partitions_for, stage
 
 WINDOW, TRIPLE = 13, 3
 #: Bytes of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
-BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 3_000_000, 400_000, 2, 40_000_000
+BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 1_500_000, 400_000, 2, 40_000_000
 #: A triple in over this share of a block's documents, and of all documents, counts as common.
 COMMON = 0.005
 
@@ -130,16 +130,17 @@ def _pack(window: int, buckets: int, common: np.ndarray):
 
         def sent() -> pa.RecordBatch:
             keys, blobs = [], []
-            for bucket, (docs, prints, starts, pieces) in held.items():
+            while held:  # what is compressed is let go at once
+                bucket, (docs, prints, starts, pieces) = held.popitem()
                 head = np.int64(len(docs)).tobytes() + np.diff(np.array(docs), prepend=0).tobytes() + prints.tobytes() + starts.tobytes()
                 keys.append(bucket)
                 blobs.append(squeeze.compress(head + b"\n".join(pieces)))
-            held.clear()
             return pa.record_batch([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
 
-        for ids, prints, joined, sizes in _blocks(batches):
-            if not (sizes >= window).any():
-                continue
+        def take(ids: np.ndarray, prints: np.ndarray, joined: bytes, sizes: np.ndarray) -> tuple[list[tuple[int, int, int]], int]:
+            """Holds a block's super-k-mers; what it returns is the windows known as repeated and the bytes now held more.
+            The block's arrays end with the call, before the next block is read."""
+            added = 0
             text = _Text(joined)
             begins = np.cumsum(sizes) - sizes
             triples = text.hashes(np.arange(int(sizes.sum()) - TRIPLE + 1), TRIPLE)  # those across texts lie in no window
@@ -177,7 +178,14 @@ def _pack(window: int, buckets: int, common: np.ndarray):
                 if (into := held.get(key)) is None:
                     into = held[key] = (array("q"), array("I"), array("I"), [])
                 into[0].append(doc_id), into[1].append(print_), into[2].append(start), into[3].append(piece)
-                held_bytes += e - b + 60
+                added += e - b + 60
+            return known, added
+
+        for ids, prints, joined, sizes in _blocks(batches):
+            if not (sizes >= window).any():
+                continue
+            known, added = take(ids, prints, joined, sizes)
+            held_bytes += added
             if known:
                 k, start, n = np.array(known, np.int64).T
                 out = np.column_stack([ids[k], prints[k] & 0xFFFFFFFF, start, n])
