@@ -69,3 +69,24 @@ LEGAL_EXHIBIT = (
     r"article\s+i\.?\s+definitions|borrower|guarantor|indenture|lease agreement|employment agreement|separation agreement|purchase agreement|"
     r"merger agreement|bylaws|certificate of amendment|execution version"
 )
+
+# What tables of releases are told apart by.
+CURRENCY = ["$", "€", "£", "¥"]
+PERIOD_LABELS = [
+    "three months ended", "six months ended", "nine months ended", "twelve months ended", "year ended", "years ended", "quarter ended", "months ended",
+    "march 31", "june 30", "september 30", "december 31", "january 31", "april 30", "july 31", "october 31",
+]
+LONG_DATE = r"(?i)(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}"
+SECTION_LABELS = [
+    "assets", "current assets:", "current assets", "liabilities and stockholders' equity", "liabilities and shareholders' equity", "current liabilities:", "current liabilities",
+    "stockholders' equity:", "shareholders' equity:", "cash flows from operating activities:", "cash flows from investing activities:", "cash flows from financing activities:",
+    "net income per share:", "weighted average shares outstanding:",
+]
+STATEMENTS = [
+    "statement of operations", "statements of operations", "statement of income", "statements of income", "statement of earnings", "balance sheet", "balance sheets",
+    "statement of cash flows", "statements of cash flows", "consolidated statement", "consolidated statements", "condensed consolidated",
+]
+NON_GAAP = [
+    "non-gaap", "reconciliation", "adjusted ebitda", "adjusted net income", "adjusted diluted earnings per share", "adjusted eps", "free cash flow", "affo", "ffo", "ebitda",
+]
+CONTACTS = ["investors", "media", "investor relations", "corporate communications"]

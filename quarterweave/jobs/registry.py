@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filings, periods, releases, transcripts
+from ..operators import filings, html, periods, releases, tables, transcripts
 from ..sources.shapes import shaped
 from .oracles import ORACLES  # noqa: F401
 
@@ -161,6 +161,42 @@ def filing_documents(spark: SparkSession, d: str) -> DataFrame:
     return filings.filing_documents(shaped(spark, d, "filing_documents"))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return html.parse_pages(shaped(spark, d, "table_pages"))
+
+
+def _page_tables(spark: SparkSession, d: str) -> DataFrame:
+    return tables.page_tables(_pages(spark, d))
+
+
+def html_sections(spark: SparkSession, d: str) -> DataFrame:
+    return html.html_sections(_pages(spark, d)).withColumn("rows", F.to_json("rows"))
+
+
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    return _page_tables(spark, d).select("page_id", "table_no", "row_count", "column_count")
+
+
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table_rows(_page_tables(spark, d)).withColumn("cells", F.array_join("cells", ";"))
+
+
+def table_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _page_tables(spark, d).select("page_id", "table_no", "class")
+
+
+def table_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _page_tables(spark, d).select("page_id", "table_no", "title")
+
+
+def table_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table_markdown(_page_tables(spark, d))
+
+
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tables.table_counts(_pages(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -168,5 +204,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         valid_symbols, latest_periods, latest_fiscal_year, statement_tables, period_match, annual_match, followup_actions, company_profile, evidence_pack,
         release_fields, release_scores, release_candidates, release_best, release_failures,
         filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents,
+        html_sections, html_tables, table_rows, table_classes, table_titles, table_markdown, table_counts,
     )
 }
