@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import stage, tidy
 from .tokens import WORD_BPE, WORDS_REMEMBERED, word_bpe
 
 CAPACITY = 2048
@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFr
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:
     """Encoded pieces (task, id, piece, start, length, ids_crc32 and, if asked for, ids binary); only documents longer
     than a sequence make several. A worker remembers up to twice `remember` words, and with fewer than usual only within
-    a task, so that idle workers hold little."""
+    a task, at whose end it lets the vocabulary go as well, so that idle workers hold little."""
     names = ["task", id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +148,11 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id:
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         if remember < WORDS_REMEMBERED:
             bpe.forget()
+            del bpe
+            word_bpe.cache_clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"task int, `{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), f"task int, `{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:

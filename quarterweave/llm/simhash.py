@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, stage, tile_pairs
+from .common import components, forest, stage, tidy, tile_pairs
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 8192
 
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], [id_col, "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` long, fp long")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, fp long")
 
 
 def _partners(spark: SparkSession, radius: int) -> DataFrame:
@@ -117,7 +117,7 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
         .agg(F.collect_list(F.struct("fp", "rep")).alias("body"))
     )
     pairs = tile_pairs(stage(tiles, "tiles"), _partners(spark, radius), cells, ["body"])
-    links = pairs.mapInArrow(_compare(radius), "u long, v long")
+    links = pairs.mapInArrow(tidy(_compare(radius)), "u long, v long")
     found = components(links)
     labels = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     out = prints.join(labels, prints["fp"] == labels["fp_"], "left").drop("fp_")

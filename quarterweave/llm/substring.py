@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stage
+from .common import partitions_for, stage, tidy
 
 WINDOW, TRIPLE = 13, 3
 #: Bytes of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
@@ -279,15 +279,15 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     `rows`: doc long, print long, t binary, without nulls.
     """
     spark = rows.sparkSession
-    spread = stage(rows.mapInArrow(_common(window), "triple long, n long"), "common")
+    spread = stage(rows.mapInArrow(tidy(_common(window)), "triple long, n long"), "common")
     n_words = spread.where("triple is null").agg(F.sum("n")).first()[0] or 0
     n_docs = rows.count()
     heavy = spread.where("triple is not null").groupBy("triple").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * n_docs)
     # A document of w words has w triples, so at most (words / documents) / COMMON triples can be this common.
     common = np.sort(np.array([r[0] for r in heavy.select("triple").collect()], np.int64).view(np.uint64))
     parts = partitions_for(spark, n_words // PART_WORDS)
-    packed = rows.mapInArrow(_pack(window, parts * FINE, common), "kind int, bucket long, blob binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_unpack(window), "doc long, print long, at long, n long")
+    packed = rows.mapInArrow(tidy(_pack(window, parts * FINE, common)), "kind int, bucket long, blob binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(tidy(_unpack(window)), "doc long, print long, at long, n long")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,10 +339,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumnsRenamed({"doc": "doc_", "print": "print_"})
     )
     types = [f"{m} {docs.schema[c].dataType.simpleString()}" for c, m in zip(carry, more, strict=True)]
-    small = rows.mapInArrow(_squeeze, ", ".join(["doc long, print long, t binary", *types]))
+    small = rows.mapInArrow(tidy(_squeeze), ", ".join(["doc long, print long, t binary", *types]))
     joined = small.join(found, (F.col("doc") == F.col("doc_")) & (F.col("print") == F.col("print_")), "left")
     names = ["doc", "n_words", "n_removed", "kept_text", *more]
-    cut = joined.select("doc", "t", "at", "n", *more).mapInArrow(_cut(window, as_is, names), ", ".join(["doc long, n_words long, n_removed long, kept_text string", *types]))
+    cut = joined.select("doc", "t", "at", "n", *more).mapInArrow(tidy(_cut(window, as_is, names)), ", ".join(["doc long, n_words long, n_removed long, kept_text string", *types]))
     return cut.withColumnsRenamed({"doc": id_col} | dict(zip(more, carry, strict=True)))
 
 
