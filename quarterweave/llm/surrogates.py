@@ -5,7 +5,9 @@ their case, separators stay; addresses of hosts come from a range that is never
 card numbers pass their check digit, given names keep gender and script. An entity is one whatever the format of its
 mentions (digits of a phone number, lower-cased mail address), so all its mentions get one stand-in. The distinct
 entities of the corpus are checked: where two would share a stand-in, or one is an entity that really occurs, all but the
-smallest draw again until none is left.
+smallest draw again until none is left. Where a shape has too few stand-ins, further draws are longer with each round.
+
+A secret of separators alone gets letters; one separator over and over (`Password: ______`) is the blank of a form and none.
 
 Contract of `replace_entities`: a null text stays null; every row gives a row, repeats and null ids too; equal texts
 get equal replacements for one key; all columns of the input are kept, whatever their names.
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import stage
 
 KEY = "replace-me"
+#: From this attempt on a stand-in is `WIDER` characters longer with each attempt, so that no shape runs out of them.
+WIDE_FROM, WIDER = 4, 8
 #: Types in the order in which they are tried at a position, each with its pattern.
 _TITLE_M, _TITLE_F, _TITLE_N = "Mr|Herr|Monsieur|Señor|господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|госпожа", "Dr|Prof"
 PATTERNS = {
@@ -28,7 +32,7 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
-    "secret": r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}["']?)[A-Za-z0-9_/+.-]{6,}""",
+    "secret": r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}["']?)(?!(?<same>[_/+.-])\k<same>*+(?![A-Za-z0-9_/+.-]))[A-Za-z0-9_/+.-]{6,}""",
     "name": rf"(?=[DFHMPSг])(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -110,14 +114,26 @@ def _pick(words: list[str], stream: Column, at: int) -> Column:
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
     """The stand-in of an entity; another one for each attempt."""
     stream = _stream(kind, canon, attempt, key)
-    shaped = _shaped(canon, stream)
-    octet = lambda at, low: (F.conv(F.substring(stream, at, 2), 16, 10).cast("int") % (256 - low) + low).cast("string")
+    bare = (kind == "secret") & ~canon.rlike("[A-Za-z0-9]")  # nothing in it would change
+    shaped = _shaped(F.when(bare, F.regexp_replace(canon, "(?s).", "x")).otherwise(canon), stream)
+    # Digits where the format asks for them, else letters; a stream of its own, as that of the shape may be used up.
+    longer = F.greatest(attempt - (WIDE_FROM - 1), F.lit(0)) * WIDER
+    spare = _stream(F.lit("longer"), F.concat_ws("\x1f", kind, canon), attempt, key)
+    form = F.when(kind.isin("card", "ssn", "phone"), F.lit("0")).when(kind == "cloud_key", F.lit("Z")).otherwise(F.lit("z"))
+    suffix = F.when(longer > 0, _shaped(F.repeat(form, longer), spare)).otherwise("")
+    suffix = F.when(kind.endswith("_cyrillic"), F.translate(suffix, "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")).otherwise(suffix)
+
+    def octet(at: int, low: int) -> Column:
+        of_host = F.conv(F.substring(stream, at, 2), 16, 10).cast("int") % (256 - low) + low
+        of_none = F.conv(F.substring(spare, 2 * at, 4), 16, 10).cast("int") % (744 if low else 1000) + (256 if low else 0)  # numbers no host has
+        return F.when(longer > 0, of_none).otherwise(of_host).cast("string")
+
     domain = _shaped(F.element_at(F.split(canon, "@"), -1), _stream(F.lit("domain"), F.element_at(F.split(canon, "@"), -1), F.lit(0), key))
     body = F.substring(shaped, 1, 15)
     digits = F.transform(F.split(body, ""), lambda c, k: F.when(k % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
     check = (10 - F.aggregate(digits, F.lit(0), lambda x, y: x + y) % 10) % 10
     out = (
-        F.when(kind == "email", F.concat(F.substring_index(shaped, "@", 1), F.lit("@"), F.substring_index(domain, ".", 1), F.lit(".example")))
+        F.when(kind == "email", F.concat(F.substring_index(shaped, "@", 1), suffix, F.lit("@"), F.substring_index(domain, ".", 1), F.lit(".example")))
         .when(kind == "cloud_key", F.concat(F.lit("AKIA"), F.substring(shaped, 5, 100)))
         .when(kind == "ip", F.concat_ws(".", octet(1, 240), octet(3, 0), octet(5, 0), octet(7, 0)))
         .when(kind == "card", F.concat(body, check.cast("string")))
@@ -131,11 +147,11 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
             # A list of names runs out soon; then a syllable tells bearers apart.
             extra = F.when(attempt > 1, F.concat(F.lit("-"), F.initcap(F.concat(*[_pick(syllables, stream, 5 * k + 1) for k in range(5)])))).otherwise("")
             out = out.when(kind == f"given_{gender}_{script}", F.concat(_pick(_GIVEN[f"{gender}_{script}"].split(), stream, 33), extra))
-    return out.otherwise(shaped)
+    return F.concat(out.otherwise(shaped), F.when(kind.isin("email", "ip", "title"), "").otherwise(suffix))
 
 
 def _formatted(kind: Column, raw: Column, stand_in: Column) -> Column:
-    """The stand-in in the format of one mention: digits go where the mention's digits are."""
+    """The stand-in in the format of one mention: digits go where the mention's digits are, those left over to its end."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
     filled = F.aggregate(
         F.split(raw, ""),
@@ -144,7 +160,8 @@ def _formatted(kind: Column, raw: Column, stand_in: Column) -> Column:
             F.concat(s["text"], F.when(c.between("0", "9"), F.substring(stand_in, s["used"] + 1, F.lit(1))).otherwise(c)).alias("text"),
             (s["used"] + F.when(c.between("0", "9"), 1).otherwise(0)).alias("used"),
         ),
-    )["text"]
+    )
+    filled = F.concat(filled["text"], F.substring(stand_in, filled["used"] + 1, F.length(stand_in)))
     return F.when(kind.isin("card", "ssn", "phone"), filled).otherwise(stand_in)
 
 

@@ -181,3 +181,26 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     lengths = {r.doc_id: r.length for r in out}
     assert lengths[0] > lengths[1]  # later documents lose the shared passage
     assert hashlib.sha256(b"").hexdigest()  # digests are made by Spark
+
+
+def test_surrogates_end_where_a_shape_has_too_few_stand_ins(spark):
+    ab = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"a@b.{x}{y}" for x in ab for y in ab] + [f"a@b.{x}{y}z" for x in ab[:5] for y in ab]  # more than 26 * 26
+    phones = [f"+1{k:04}" for k in range(0, 10_000, 4)]
+    rows = [("email", m) for m in mails] + [("phone", p[1:]) for p in phones] + [("secret", "-._-._"), ("secret", "_._._.")]
+    got = surrogates.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    assert len({(r.kind, r.stand_in) for r in got}) == len(rows) and not {(r.kind, r.stand_in) for r in got} & set(rows)
+    assert all(r.stand_in.endswith(".example") for r in got if r.kind == "email") and all(r.stand_in.isdigit() for r in got if r.kind == "phone")
+    few = spark.range(1).select(surrogates._formatted(*map(surrogates.F.lit, ("phone", "+1 (23) 45", "6789012"))).alias("x"))
+    assert few.first().x == "+6 (78) 9012"
+    wide = [(k, f"10.0.0.{k}", a) for k in range(40) for a in (4, 9)] + [(k, f"Иванов{k}", 5) for k in range(40)]
+    kinds = surrogates.F.when(surrogates.F.col("canon").startswith("10"), "ip").otherwise("surname_cyrillic")
+    out = spark.createDataFrame(wide, "k int, canon string, attempt int").select("k", surrogates.surrogate(kinds, surrogates.F.col("canon"), surrogates.F.col("attempt")).alias("x")).collect()
+    assert len({r.x for r in out}) == len(wide) and all(re.fullmatch(r"\d{3}(\.\d{1,3}){3}|[А-Яа-яё]+", r.x) for r in out)
+
+
+def test_surrogates_of_forms_and_secrets_of_separators(spark):
+    texts = ["Password: __________", "password: ........ and token = ------", "password=-._-._-._", "secret: ____x9____"]
+    got = by_id(surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert (got[0].text, got[1].text) == (texts[0], texts[1]) and got[0].n_entities == got[1].n_entities == 0
+    assert re.fullmatch("password=[a-z]{9}", got[2].text) and re.fullmatch(r"secret: ____[a-z]\d____", got[3].text)
