@@ -29,9 +29,9 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "cloud_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])(?:[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}|3[47][0-9]{13})(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9+])(?<![0-9][.-])(?:[0-9]{1,3}[.-]|1 )?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![0-9]|[.-][0-9])",
     "secret": r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}["']?)(?!(?<same>[_/+.-])\k<same>*+(?![A-Za-z0-9_/+.-]))[A-Za-z0-9_/+.-]{6,}""",
     "name": rf"(?=[DFHMPSг])(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
@@ -49,7 +49,7 @@ _SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra
 
 def _holds_any(text: Column) -> Column:
     """Whether a text holds an entity; what every type needs is looked for first, as most texts have none of it."""
-    maybe = text.contains("@") | text.rlike("[0-9]{2}") | text.contains("AKIA") | text.rlike("[=:]") | text.rlike(PATTERNS["name"])
+    maybe = text.contains("@") | text.rlike(r"[0-9]{2}|[0-9]\.[0-9]") | text.contains("AKIA") | text.rlike("[=:]") | text.rlike(PATTERNS["name"])
     return F.coalesce(maybe & text.rlike(ANY), F.lit(False))
 
 
@@ -129,8 +129,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         return F.when(longer > 0, of_none).otherwise(of_host).cast("string")
 
     domain = _shaped(F.element_at(F.split(canon, "@"), -1), _stream(F.lit("domain"), F.element_at(F.split(canon, "@"), -1), F.lit(0), key))
-    body = F.substring(shaped, 1, 15)
-    digits = F.transform(F.split(body, ""), lambda c, k: F.when(k % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
+    body = F.substring(shaped, F.lit(1), F.length(canon) - 1)  # every other digit from its end doubles
+    digits = F.transform(F.split(body, ""), lambda c, k: F.when((F.length(canon) - k) % 2 == 0, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int")))
     check = (10 - F.aggregate(digits, F.lit(0), lambda x, y: x + y) % 10) % 10
     out = (
         F.when(kind == "email", F.concat(F.substring_index(shaped, "@", 1), suffix, F.lit("@"), F.substring_index(domain, ".", 1), F.lit(".example")))

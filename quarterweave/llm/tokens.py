@@ -235,7 +235,7 @@ class ByteBpe:
         """A text as parts that encode alone. A cut before a blank that follows a word is safe, as no match of the
         pattern goes from a word into a blank. A part that starts with a line feed, or with NUL, stands for itself without
         that NUL; every other part for itself after a blank."""
-        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "\0" in text or _ODD_SPACE.search(text):
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or "\0" in text or _ODD_SPACE.search(text):
             return ["\0" + p for p in pieces_of(text)]
         parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\0" + parts[0]
