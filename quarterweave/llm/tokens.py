@@ -40,7 +40,6 @@ class WordBpe(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.table = byte_alphabet()
@@ -55,7 +54,8 @@ class WordBpe(dict):
         value = self.before.get(piece)
         if value is None:
             # Below U+0250 nothing composes or changes length, so plain lower-casing is the vocabulary's normal form.
-            plain = piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece
+            # What may hold `<|endoftext|>` or its like goes to the library, which has ids of their own for them.
+            plain = "<|" not in piece and (piece.isascii() or max(piece) < "\u0250" and "\u0130" not in piece)
             if plain and piece.isalpha():
                 low = piece.lower()
                 value = self[low] if low != piece else self._merged(piece)

@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 import xxhash
 from public_tokenizers import PATTERN
+from tokenizers import Tokenizer
 
 from quarterweave.llm import embeddings, encoding, id_files, licenses, packing, quality, simhash, substring, surrogates, token_counts, tokens
 
@@ -232,3 +233,15 @@ def test_encoding_of_white_space_is_that_of_the_library():
     texts = ["foo\n\n", "\n\n", "a\n\nb\n\n", "foo\n", "\n"] + [mix() + "foo" + mix() + "bar's" + mix() for _ in range(3000)]
     bpe.learn(texts)
     assert [bpe.ids(t) for t in texts] == [raw(enc.encode_ordinary(t)) for t in texts]
+
+
+def test_ids_of_special_strings_are_those_of_the_library(spark, tmp_path):
+    fresh = Tokenizer.from_file(tokens.WORD_BPE)
+    texts = ["end <|endoftext|> and <|startoftext|>", "a<|endoftext|>b", "É<|startoftext|>Ж<|endoftext|>.", "<|ENDOFTEXT|> <| |> <|endoftext |>", "x\n<|endoftext|>\ty"]
+    want = [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 49407 in want[0] and 49406 in want[0] and [tokens.word_bpe().ids(t) for t in texts] == list(map(raw, want))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    id_files.write_ids(df, f"file://{tmp_path}/special")
+    got = by_id(id_files.read_ids(spark, f"file://{tmp_path}/special"))
+    assert [got[k].ids for k in range(len(texts))] == [raw([*ids, 2]) for ids in want]
+    assert sorted(r.length for r in packing.pack_documents(df).collect()) == sorted(len(ids) + 1 for ids in want)
