@@ -1,6 +1,7 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line; its set is that of its words. A template matches a block that contains at least `THRESHOLD` of the
+A block is a line, or a paragraph: the lines up to one without words, as notices are wrapped in most files. A block's set
+is that of its words. A template matches a block that contains at least `THRESHOLD` of the
 template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. Then a template of size s
 that needs o words in common can match only blocks that hold one of its first s - o + 1 words (prefix filter), have o
 words at least (length filter), and have enough words after the shared one in that order (positional filter). What
@@ -38,6 +39,7 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 ]
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
+_PARAGRAPH = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"  # a line without words, in comments too
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,8 +86,10 @@ def template_join(docs: DataFrame, keys: list[str], text_col: str, templates: li
     sets = [word_set(text) for _, text in templates]
     needed = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
     vocabulary = sorted({w for s in sets for w in s})
-    line = docs.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
-    blocks = line.select(*keys, words(F.col("line")).alias("w")).select(
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    wrapped = F.filter(F.split(text, _PARAGRAPH), lambda p: p.contains("\n"))  # others are lines
+    block = docs.select(*keys, F.explode(F.concat(F.split(text, "\n"), wrapped)).alias("block"))
+    blocks = block.select(*keys, words(F.col("block")).alias("w")).select(
         *keys, F.size(F.array_distinct("w")).alias("size"), F.array_intersect("w", F.array(*map(F.lit, vocabulary))).alias("known")
     )
     blocks = stage(blocks.where(F.size("known") > 0), "blocks")

@@ -245,3 +245,13 @@ def test_ids_of_special_strings_are_those_of_the_library(spark, tmp_path):
     got = by_id(id_files.read_ids(spark, f"file://{tmp_path}/special"))
     assert [got[k].ids for k in range(len(texts))] == [raw([*ids, 2]) for ids in want]
     assert sorted(r.length for r in packing.pack_documents(df).collect()) == sorted(len(ids) + 1 for ids in want)
+
+
+def test_license_join_finds_wrapped_notices(spark):
+    mit = "Copyright 2020\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n#\n# 1."
+    gpl = " * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License\r\n"
+    apart = "Permission is hereby granted, free of charge, to any person obtaining a copy\n *\nof this software and associated documentation files"
+    texts = [mit, bsd, gpl, apart, "Released under the\n\nMIT License", "Released under the\nMIT License"]
+    got = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(got[k].labels, got[k].score) for k in range(6)] == [("mit-notice", 1.0), ("bsd", 1.0), ("gpl,gpl-notice", 1.0), ("", 0.0), ("mit", 0.0), ("mit,mit-notice", 1.0)]
