@@ -2,7 +2,8 @@
 
 `STAGES` lists (name, function); each function takes (spark, docs, sf_dir) and returns what it kept, with the columns
 of documents (the last: packed pieces). Every stage's result is written as Parquet in the shared folder and reread.
-SQL can express neither fingerprints nor tokenizers, so `ORACLE_SQL` is None; a brute-force version tests the whole.
+SQL can express neither fingerprints nor tokenizers, so `ORACLE_SQL` is None. A small test checks
+which documents survive; no brute-force version of the whole exists yet.
 """
 
 from __future__ import annotations
