@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: A key that holds over one in so many rows is hot; so many keys at most are.
+HOT = 1000
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as `spark.checkpoint.dir` names it.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is made and remembered.
+    Only where that setting is absent and all runs in this process (tests) a folder of our own is made and remembered;
+    on a cluster its absence is an error, as executors do not share local folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -32,17 +40,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for scope in _scopes[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+@contextmanager
+def staged() -> Iterator[list[str]]:
+    """The folders of the tables staged meanwhile, for `drop_staged`."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def unstage(df: DataFrame) -> None:
+    drop_staged(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
+def join_weighted(rows: DataFrame, labels: DataFrame, on: dict[str, str], weight: str, total: int) -> DataFrame:
+    """`rows` left-joined with `labels` on columns of both, by name in `rows`: name in `labels`. `weight` of a label counts
+    its rows, of `total`. Labels of hot keys, `HOT` at most by that count, are broadcast; the others meet in a shuffle."""
+    match = [F.col(a) == F.col(b) for a, b in on.items()]
+    heavy = F.broadcast(labels.where(F.col(weight) * HOT > total))
+    some = rows.join(heavy, match)
+    rest = rows.join(heavy.select(*on.values()), match, "left_anti")
+    return some.unionByName(rest.join(labels.where(F.col(weight) * HOT <= total), match, "left")).drop(*on.values())
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`run`, after which a worker gives freed memory back: it outlives its task and waits beside those of other stages."""
 

@@ -4,6 +4,8 @@ Method: super-k-mer partitioning. Consecutive windows that share their minimiser
 the window) travel as one packed string to the minimiser's bucket, where sorting groups equal windows exactly.
 Triples that very many documents hold come last in the order, so that windows beside a common passage go by their
 rarer words; a super-k-mer that a block of documents holds several times travels once, for its smallest document.
+Super-k-mers of common triples are hot: their bucket is split by a salt of the sending task, each part keeps of equal
+windows those of its smallest document, and only these meet in the whole bucket, in a second, small step.
 
 Contract of `remove_repeats`: a null text counts as empty; texts shorter than a window lose nothing; rows with a null
 id neither lose words nor make others lose them; repeated rows of one id are one document; other columns are ignored.
@@ -15,18 +17,22 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import compress
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions_for, stage, tidy
 
 WINDOW, TRIPLE = 13, 3
-#: Bytes of text a task works on at once, words a bucket partition gets on average, buckets per partition, and raw bytes held before a task sends.
-BLOCK_BYTES, PART_WORDS, FINE, SEND_BYTES = 1_500_000, 400_000, 2, 40_000_000
+#: Bytes of text a task works on at once, words a bucket gets on average, and raw bytes held before a task sends.
+BLOCK_BYTES, BUCKET_WORDS, SEND_BYTES = 1_500_000, 200_000, 16_000_000
+#: Buckets per partition at first; beyond so many partitions only buckets become more. A partition holds one at a time.
+FINE, MOST_PARTS = 2, 50_000
 #: A triple in over this share of a block's documents, and of all documents, counts as common.
 COMMON = 0.005
 
@@ -94,7 +100,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _common(window: int):
-    """(triple, documents) for triples common in a block, and one row with triple null and the block's words."""
+    """(triple, documents, null) for triples common in a block, and one row (null, the block's words, its documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, text, sizes in _blocks(batches):
@@ -108,7 +114,8 @@ def _common(window: int):
             values, counts = np.unique(t[fresh], return_counts=True)
             often = counts > max(1, COMMON * len(ids))
             triple = [None, *values[often].view(np.int64).tolist()]
-            yield pa.record_batch([pa.array(triple, pa.int64()), pa.array([len(doc), *counts[often].tolist()], pa.int64())], ["triple", "n"])
+            docs = [len(ids), *[None] * (len(triple) - 1)]
+            yield pa.record_batch([pa.array(triple, pa.int64()), pa.array([len(doc), *counts[often].tolist()], pa.int64()), pa.array(docs, pa.int64())], ["triple", "n", "docs"])
 
     return run
 
@@ -119,23 +126,32 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(starts, sizes)
 
 
-def _pack(window: int, buckets: int, common: np.ndarray):
-    """Super-k-mers of each task, packed by bucket; and the windows found repeated within a block (kind 1)."""
+SENT = "kind int, bucket long, salt int, blob binary"
+
+
+def _blob(docs: np.ndarray, prints: np.ndarray, starts: np.ndarray, pieces: list[bytes]) -> bytes:
+    return np.int64(len(docs)).tobytes() + np.diff(docs, prepend=0).tobytes() + prints.astype(np.uint32).tobytes() + starts.astype(np.uint32).tobytes() + b"\n".join(pieces)
+
+
+def _sent(rows: Iterator[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """Rows (kind, bucket, salt, blob) to send: super-k-mers are kind 0, windows known as repeated kind 1."""
+    squeeze = zstandard.ZstdCompressor(level=5)
+    columns = list(zip(*((kind, bucket, salt, squeeze.compress(raw)) for kind, bucket, salt, raw in rows), strict=True))
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int32(), pa.int64(), pa.int32(), pa.binary()], strict=True)], ["kind", "bucket", "salt", "blob"])
+
+
+def _pack(window: int, buckets: int, common: np.ndarray, salts: int):
+    """Super-k-mers of each task, packed by bucket; and the windows found repeated within a block."""
     span = window - TRIPLE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=5)
-        held: dict[int, tuple[array, array, array, list[bytes]]] = {}
-        held_bytes = 0
+        held: dict[tuple[int, int], tuple[array, array, array, list[bytes]]] = {}
+        held_bytes, own_salt = 0, 1 + TaskContext.get().partitionId() % salts
 
-        def sent() -> pa.RecordBatch:
-            keys, blobs = [], []
+        def packed() -> Iterator[tuple[int, int, int, bytes]]:
             while held:  # what is compressed is let go at once
-                bucket, (docs, prints, starts, pieces) = held.popitem()
-                head = np.int64(len(docs)).tobytes() + np.diff(np.array(docs), prepend=0).tobytes() + prints.tobytes() + starts.tobytes()
-                keys.append(bucket)
-                blobs.append(squeeze.compress(head + b"\n".join(pieces)))
-            return pa.record_batch([pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["kind", "bucket", "blob"])
+                (bucket, hot), (docs, prints, starts, pieces) = held.popitem()
+                yield 0, bucket, own_salt if hot else 0, _blob(*(np.array(x) for x in (docs, prints, starts)), pieces)
 
         def take(ids: np.ndarray, prints: np.ndarray, joined: bytes, sizes: np.ndarray) -> tuple[list[tuple[int, int, int]], int]:
             """Holds a block's super-k-mers; what it returns is the windows known as repeated and the bytes now held more.
@@ -165,7 +181,8 @@ def _pack(window: int, buckets: int, common: np.ndarray):
             known: list[tuple[int, int, int]] = []
             rows = zip(
                 owner.tolist(), ids[owner].tolist(), (prints[owner] & 0xFFFFFFFF).tolist(), (at - begins[owner]).tolist(), count.tolist(),
-                text.start[at].tolist(), text.end[at + count + window - 2].tolist(), (low[first] % np.uint64(buckets)).tolist(), strict=True,
+                text.start[at].tolist(), text.end[at + count + window - 2].tolist(),
+                zip((low[first] % np.uint64(buckets)).tolist(), (low[first] >> np.uint64(63)).tolist(), strict=True), strict=True,
             )
             for k, doc_id, print_, start, n, b, e, key in rows:
                 piece = joined[b:e]
@@ -189,18 +206,19 @@ def _pack(window: int, buckets: int, common: np.ndarray):
             if known:
                 k, start, n = np.array(known, np.int64).T
                 out = np.column_stack([ids[k], prints[k] & 0xFFFFFFFF, start, n])
-                yield pa.record_batch([pa.array([1], pa.int32()), pa.array([int(out[0, 0]) % buckets], pa.int64()), pa.array([squeeze.compress(out.tobytes())], pa.binary())], ["kind", "bucket", "blob"])
+                yield _sent(iter([(1, int(out[0, 0]) % buckets, 0, out.tobytes())]))
             if held_bytes > SEND_BYTES:
-                yield sent()
+                yield _sent(packed())
                 held_bytes = 0
         if held:
-            yield sent()
+            yield _sent(packed())
 
     return run
 
 
-def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
-    """Rows (doc, print, first window, windows) of all windows in a bucket that a smaller document holds too."""
+def _repeats(blobs: list[bytes], window: int, rest: bool) -> tuple[np.ndarray, bytes]:
+    """Rows (doc, print, first window, windows) of all windows in a bucket that a smaller document holds too; and, if
+    asked for, the other windows packed as super-k-mers again."""
     docs, prints, starts, texts = [], [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.int64, 1)[0])
@@ -238,37 +256,59 @@ def _repeats(blobs: list[bytes], window: int) -> np.ndarray:
     least = np.minimum.reduceat(own_doc[order], np.flatnonzero(new))
     hit = np.zeros(len(at), bool)
     hit[order] = least[np.cumsum(new) - 1] < own_doc[order]
-    hits = np.flatnonzero(hit)
-    if not len(hits):
-        return np.zeros((0, 4), np.int64)
-    opens = np.concatenate(([True], (np.diff(hits) > 1) | (np.diff(owner[hits]) > 0)))
-    begin = hits[opens]
-    count = np.diff(np.append(np.flatnonzero(opens), len(hits)))
-    own = owner[begin]
-    return np.column_stack([ids[own], print_[own], start[own] + at[begin] - begins[own], count])
+
+    def stretches(chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Chosen windows next to each other in one super-k-mer: the first, how many, document, print and place there."""
+        some = np.flatnonzero(chosen)
+        opens = np.concatenate(([True], (np.diff(some) > 1) | (np.diff(owner[some]) > 0)))[: len(some)]
+        begin = some[opens]
+        own = owner[begin]
+        return at[begin], np.diff(np.append(np.flatnonzero(opens), len(some))), ids[own], print_[own], start[own] + at[begin] - begins[own]
+
+    _, n, doc, own_print, place = stretches(hit)
+    found = np.column_stack([doc, own_print, place, n])
+    if not rest or hit.all():
+        return found, b""
+    begin, n, doc, own_print, place = stretches(~hit)
+    pieces = [joined[x:y] for x, y in zip(text.start[begin].tolist(), text.end[begin + n + window - 2].tolist(), strict=True)]
+    return found, _blob(doc, own_print, place, pieces)
+
+
+FOUND = "doc long, print long, at long, n long"
 
 
 def _unpack(window: int):
+    """Repeated windows of each bucket; and of each salted part of a bucket the windows to compare with its other parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
 
-        def rows(found: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], ["doc", "print", "at", "n"])
+        def rows(found: np.ndarray, bucket: int = 0, blob: bytes = b"") -> pa.RecordBatch:
+            n = len(found) + bool(blob)
+            pad = [None] * bool(blob)
+            columns = [pa.concat_arrays([pa.array(np.ascontiguousarray(found[:, k])), pa.array(pad, pa.int64())]) for k in range(4)]
+            blobs = pa.array([*[None] * len(found), *[zstandard.ZstdCompressor(level=5).compress(blob)] * bool(blob)], pa.binary())
+            return pa.record_batch([*columns, pa.array([bucket] * n, pa.int64()), blobs], ["doc", "print", "at", "n", "bucket", "blob"])
 
-        bucket, blobs = None, []
+        own, blobs = None, []
         for batch in batches:
-            for kind, key, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for k in range(batch.num_rows):
+                kind, bucket, salt, blob = (batch.column(c)[k].as_py() for c in range(4))
                 raw = loosen.decompress(blob)
                 if kind:
                     yield rows(np.frombuffer(raw, np.int64).reshape(-1, 4))
                     continue
-                if key != bucket and blobs:
-                    yield rows(_repeats(blobs, window))
+                if (bucket, salt) != own and blobs:
+                    yield rows(*_one(blobs, own))
                     blobs = []
-                bucket = key
+                own = bucket, salt
                 blobs.append(raw)
         if blobs:
-            yield rows(_repeats(blobs, window))
+            yield rows(*_one(blobs, own))
+
+    def _one(blobs: list[bytes], own: tuple[int, int]) -> tuple[np.ndarray, int, bytes]:
+        found, rest = _repeats(blobs, window, own[1] > 0)
+        return found, own[0], rest
 
     return run
 
@@ -279,15 +319,20 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     `rows`: doc long, print long, t binary, without nulls.
     """
     spark = rows.sparkSession
-    spread = stage(rows.mapInArrow(tidy(_common(window)), "triple long, n long"), "common")
-    n_words = spread.where("triple is null").agg(F.sum("n")).first()[0] or 0
-    n_docs = rows.count()
+    spread = stage(rows.mapInArrow(tidy(_common(window)), "triple long, n long, docs long"), "common")
+    n_words, n_docs = spread.where("triple is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("docs"), F.lit(0))).first()
     heavy = spread.where("triple is not null").groupBy("triple").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * n_docs)
     # A document of w words has w triples, so at most (words / documents) / COMMON triples can be this common.
     common = np.sort(np.array([r[0] for r in heavy.select("triple").collect()], np.int64).view(np.uint64))
-    parts = partitions_for(spark, n_words // PART_WORDS)
-    packed = rows.mapInArrow(tidy(_pack(window, parts * FINE, common)), "kind int, bucket long, blob binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(tidy(_unpack(window)), "doc long, print long, at long, n long")
+    wanted = n_words // BUCKET_WORDS
+    parts = partitions_for(spark, min(wanted // FINE, MOST_PARTS))
+    buckets = max(wanted, FINE * parts)
+    sent = rows.mapInArrow(tidy(_pack(window, buckets, common, 2 + isqrt(wanted))), SENT)
+    dealt = sent.repartition(parts, "bucket", "salt").sortWithinPartitions("kind", "bucket", "salt")
+    found = stage(dealt.mapInArrow(tidy(_unpack(window)), f"{FOUND}, bucket long, blob binary"), "windows")
+    rest = found.where("blob is not null").select(F.lit(0).alias("kind"), "bucket", F.lit(0).alias("salt"), "blob")
+    again = rest.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_unpack(window)), f"{FOUND}, bucket long, blob binary")
+    return found.where("blob is null").unionByName(again).drop("bucket", "blob")
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
