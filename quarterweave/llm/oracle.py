@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, word_set
-from .quality import ERROR, FENCE, FLOORS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS
+from .quality import ERROR, FENCE, LIFT, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR, SCALES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -33,17 +33,25 @@ _MEASURES = {
 }
 _RATIOS = ", ".join(f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END::DOUBLE AS {m}" for m, (a, b) in _MEASURES.items())
 _BUCKETS = " UNION ALL ".join(
-    f"SELECT lang, source, '{m}' AS measure, CASE WHEN {m} > 0 THEN greatest(ceil(ln({m}) / {_GAMMA!r}::DOUBLE) + 100000, 1) ELSE 0 END::INT AS bucket FROM m" for m in FLOORS
+    f"SELECT lang, source, '{m}' AS measure, CASE WHEN {m} > 0 THEN greatest(ceil(ln({m}) / {_GAMMA!r}::DOUBLE) + 100000, 1) ELSE 0 END::INT AS bucket FROM m" for m in SCALES
 )
-_FLOORS = "CASE measure " + " ".join(f"WHEN '{m}' THEN {f!r}" for m, f in FLOORS.items()) + " END::DOUBLE"
+_SCALE = ["CASE measure " + " ".join(f"WHEN '{m}' THEN {scale[k]!r}::DOUBLE" for m, scale in SCALES.items()) + " END" for k in (0, 1)]
 
 
-def _limit(name: str, keys: str) -> str:
+def _limit(name: str, keys: str, above: str = "") -> str:
+    """Common table expressions for the limits of a level: `name` (keys, measure, centre, spread, lim)."""
     over = f"PARTITION BY {keys}measure"
-    at = lambda q: f"min(CASE WHEN upto >= size * {q}::DOUBLE THEN CASE WHEN bucket > 0 THEN exp((bucket - 100000 - 0.5::DOUBLE) * {_GAMMA!r}::DOUBLE) ELSE 0.0::DOUBLE END END)"
+    value = f"CASE WHEN bucket > 0 THEN exp((bucket - 100000 - 0.5::DOUBLE) * {_GAMMA!r}::DOUBLE) ELSE 0.0::DOUBLE END"
+    at = lambda q: f"ln(greatest(min(CASE WHEN upto >= size * {q}::DOUBLE THEN {value} END) + {_SCALE[0]}, 1e-9::DOUBLE))"
+    fence = f"exp(centre + {FENCE}::DOUBLE * greatest(spread, {_SCALE[1]})) - ({_SCALE[0]})"
+    blend = lambda c: f"(o.size * o.{c} + {PRIOR} * u.{c}) / (o.size + {PRIOR}) AS {c}"
+    shared = " AND ".join(f"o.{k} IS NOT DISTINCT FROM u.{k}" for k in ["measure", *(["lang"] if above == "lng" else [])])
+    qualified = "".join(f"o.{k.strip()}, " for k in keys.split(",") if k.strip())
+    drawn = f"SELECT {qualified}o.measure AS measure, {blend('centre')}, {blend('spread')}, u.lim AS up FROM {name}_s o JOIN {above} u ON {shared}"
     return f"""{name}_u AS (SELECT {keys}measure, bucket, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS size
     FROM (SELECT {keys}measure, bucket, count(*) AS n FROM b GROUP BY ALL)),
-{name} AS (SELECT {keys}measure, any_value(size) AS size, greatest({at(0.5)} + {FENCE}::DOUBLE * ({at(0.75)} - {at(0.5)}), {_FLOORS}) AS lim FROM {name}_u GROUP BY {keys}measure)"""
+{name}_s AS (SELECT *, hi - centre AS spread FROM (SELECT {keys}measure, any_value(size) AS size, {at(0.5)} AS centre, {at(0.75)} AS hi FROM {name}_u GROUP BY {keys}measure)),
+{name} AS (SELECT {keys}measure, centre, spread, least({fence}, {LIFT}::DOUBLE * up) AS lim FROM ({drawn if above else f"SELECT *, NULL::DOUBLE AS up FROM {name}_s"}))"""
 
 
 QUALITY_SQL = rf"""
@@ -59,15 +67,13 @@ f AS (SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_
     FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN l ON l.doc_id = t.doc_id),
 m AS (SELECT *, {_RATIOS} FROM f),
 b AS ({_BUCKETS}),
-{_limit("own", "lang, source, ")},
-{_limit("lng", "lang, ")},
 {_limit("every", "")},
-lim AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.size >= {MIN_GROUP} THEN own.lim WHEN lng.size >= {MIN_GROUP} THEN lng.lim ELSE every.lim END AS lim
-    FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.measure = lng.measure JOIN every ON own.measure = every.measure),
+{_limit("lng", "lang, ", "every")},
+{_limit("own", "lang, source, ", "lng")},
 v AS (SELECT m.*, coalesce(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words, false) AS base_failed,
-    list_filter([{", ".join(f"CASE WHEN {x} > (SELECT lim FROM lim WHERE lim.measure = '{x}' AND lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source) THEN '{x}' END" for x in FLOORS)}], lambda x: x IS NOT NULL) AS too_high
+    list_filter([{", ".join(f"CASE WHEN {x} > (SELECT lim FROM own WHERE own.measure = '{x}' AND own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source) THEN '{x}' END" for x in SCALES)}], lambda x: x IS NOT NULL) AS too_high
     FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(FLOORS)}, base_failed, too_high, (NOT base_failed AND len(too_high) = 0) AS kept FROM v
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(SCALES)}, base_failed, too_high, (NOT base_failed AND len(too_high) = 0) AS kept FROM v
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

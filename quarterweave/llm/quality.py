@@ -3,9 +3,11 @@
 Fixed cutoffs fit one language and one kind of source. Here every (language, source) group gets its own: for each
 measure a quantile sketch counts values in buckets whose bounds grow by a constant factor (relative error 1 %). Such
 sketches merge by adding counts, so tasks combine them before the shuffle, a hot group is no hot task, and the result
-does not depend on the order of rows. From the sketch come the median and the upper quartile; a group's limit lies
-`FENCE` quartile distances above the median, or at the measure's floor where that is higher. Groups of few documents
-take the limit of their language, or of all. Thresholds are joined to the documents and filter them.
+does not depend on the order of rows. From the sketch come the median and the upper quartile, both of log(value +
+resolution), in which one fence suits measures of any size: a group's limit lies `FENCE` quartile distances above its
+median. A small group's median and distance are drawn to those of its language, and a language's to those of all, by
+weight of documents: there is no size at which a rule changes. No limit exceeds `LIFT` times that of the level above, so
+a source that is mostly bad cannot switch its rule off. Limits are joined to the documents and filter them.
 
 Contract of `quality`: a null text has no words; null language or source are groups of their own; measures of a
 text without words are 0; every row gives a row; other columns are carried as asked, else ignored. Repeated windows
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAK, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-FENCE, MIN_GROUP, ERROR = 8.0, 200, 0.01
-#: Measures and their floors: values up to the floor are never too high.
-FLOORS = {"m_word_length": 9.0, "m_symbols": 0.06, "m_dup_lines": 0.5, "m_repeats": 0.45, "m_upper": 0.5, "m_loud": 0.15}
+FENCE, LIFT, ERROR = 12.0, 3.0, 0.01
+#: Documents of the level above that a group is taken to hold besides its own.
+PRIOR = 50
+#: Measures, each with its resolution, which is added before the logarithm, and the least quartile distance: where
+#: three quarters of a group have none of what is measured, a distance of nothing would make any trace of it too much.
+SCALES = {"m_word_length": (0.0, 0.015), "m_symbols": (0.01, 0.1), "m_dup_lines": (0.2, 0.1), "m_repeats": (0.15, 0.1), "m_upper": (0.01, 0.05), "m_loud": (0.02, 0.1)}
 _GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 
 
@@ -69,7 +74,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, measure, bucket, n): how many values lie in each bucket; bucket 0 holds zeros, others log-spaced values."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in FLOORS])
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in SCALES])
     return measured.select(*keys, F.explode(pairs).alias("e")).groupBy(*keys, "e.measure", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -81,37 +86,59 @@ def _value(bucket: Column) -> Column:
     return F.when(bucket > 0, F.exp((bucket - 100_000 - 0.5) * F.lit(_GAMMA))).otherwise(0.0)
 
 
-def limits(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, size, a limit for each measure) from a sketch."""
+def spreads(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, size, centre, spread) from a sketch: median and quartile distance of log(value + resolution)."""
     per = counts.groupBy(*keys, "measure").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
     # At most a few thousand buckets a group, whatever the number of documents.
 
     def quantile(q: float) -> Column:
         state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("at"))
         end = F.aggregate("b", state, lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + x["n"] >= F.col("size") * q), x["bucket"]).otherwise(s["at"]).alias("at")))
-        return _value(end["at"])
+        return F.log(F.greatest(_value(end["at"]) + _scale(0), F.lit(1e-9)))
 
-    spread = per.select(*keys, "measure", "size", quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
-    fence = F.col("q2") + FENCE * (F.col("q3") - F.col("q2"))
-    return spread.groupBy(*keys).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, F.greatest(fence, F.lit(floor)))).alias(f"limit_{m}") for m, floor in FLOORS.items()])
+    two = per.select(*keys, "measure", "size", quantile(0.5).alias("centre"), quantile(0.75).alias("upper"))
+    return two.select(*keys, "measure", "size", "centre", (F.col("upper") - F.col("centre")).alias("spread"))
 
 
-def quality(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A stored table of `measures` with base_failed, too_high (array of measures above their limit) and kept."""
-    by_both = sketch(measured.select(F.col(lang_col).alias("lang_"), F.col(source_col).alias("source_"), *FLOORS), ["lang_", "source_"])
-    by_both = stage(by_both, "sketch")
+def _scale(k: int) -> Column:
+    out = F.lit(None).cast("double")
+    for m, scale in SCALES.items():
+        out = F.when(F.col("measure") == m, F.lit(scale[k])).otherwise(out)
+    return out
+
+
+def drawn(own: DataFrame, above: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(keys, measure, centre, spread, lim) of a level, drawn to the one above by weight of documents."""
+    if above is None:
+        both, lift = own, F.lit(None).cast("double")
+    else:
+        shared = [k for k in above.columns if k in keys]
+        up = above.select(*[F.col(k).alias(f"_{k}") for k in [*shared, "measure"]], F.col("centre").alias("centre_"), F.col("spread").alias("spread_"), F.col("lim").alias("lim_"))
+        match = [own[k].eqNullSafe(F.col(f"_{k}")) for k in [*shared, "measure"]]
+        blend = lambda c: ((F.col("size") * F.col(c) + PRIOR * F.col(f"{c}_")) / (F.col("size") + PRIOR)).alias(c)
+        both, lift = own.join(up, match).select(*keys, "measure", blend("centre"), blend("spread"), "lim_"), LIFT * F.col("lim_")
+    fence = F.exp(F.col("centre") + FENCE * F.greatest("spread", _scale(1))) - _scale(0)
+    return both.select(*keys, "measure", "centre", "spread", F.least(fence, lift).alias("lim"))
+
+
+def limits(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang_, source_, limit_<measure>...): the limits of every group of a stored table of `measures`."""
+    by_both = stage(sketch(measured.select(F.col(lang_col).alias("lang_"), F.col(source_col).alias("source_"), *SCALES), ["lang_", "source_"]), "sketch")
     by_lang = by_both.groupBy("lang_", "measure", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
     of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    every = limits(of_all, []).withColumnsRenamed({f"limit_{m}": f"all_{m}" for m in FLOORS}).drop("size")
-    some = limits(by_lang, ["lang_"]).withColumnsRenamed({f"limit_{m}": f"lang_{m}" for m in FLOORS} | {"size": "lang_size", "lang_": "lang__"})
-    own = limits(by_both, ["lang_", "source_"])
-    table = own.join(some, F.col("lang_").eqNullSafe(F.col("lang__"))).join(F.broadcast(every))  # `every` is one row
-    chosen = [F.when(F.col("size") >= MIN_GROUP, F.col(f"limit_{m}")).when(F.col("lang_size") >= MIN_GROUP, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}")).alias(f"limit_{m}") for m in FLOORS]
-    table = stage(table.select("lang_", "source_", *chosen), "limits")
+    every = drawn(spreads(of_all, []), None, [])
+    some = drawn(spreads(by_lang, ["lang_"]), every, ["lang_"])
+    own = drawn(spreads(by_both, ["lang_", "source_"]), some, ["lang_", "source_"])
+    return stage(own.groupBy("lang_", "source_").agg(*[F.max(F.when(F.col("measure") == m, F.col("lim"))).alias(f"limit_{m}") for m in SCALES]), "limits")
+
+
+def quality(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """A stored table of `measures` with base_failed, too_high (array of measures above their limit) and kept."""
+    table = limits(measured, lang_col, source_col)
     joined = measured.join(table, measured[lang_col].eqNullSafe(table["lang_"]) & measured[source_col].eqNullSafe(table["source_"]), "left")
-    high = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"limit_{m}"), F.lit(m)) for m in FLOORS]))
+    high = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"limit_{m}"), F.lit(m)) for m in SCALES]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return joined.withColumns({"base_failed": failed, "too_high": high}).withColumn("kept", ~failed & (F.size("too_high") == 0)).drop("lang_", "source_", *[f"limit_{m}" for m in FLOORS])
+    return joined.withColumns({"base_failed": failed, "too_high": high}).withColumn("kept", ~failed & (F.size("too_high") == 0)).drop("lang_", "source_", *[f"limit_{m}" for m in SCALES])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,37 @@ def test_license_join_finds_wrapped_notices(spark):
     texts = [mit, bsd, gpl, apart, "Released under the\n\nMIT License", "Released under the\nMIT License"]
     got = by_id(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [(got[k].labels, got[k].score) for k in range(6)] == [("mit-notice", 1.0), ("bsd", 1.0), ("gpl,gpl-notice", 1.0), ("", 0.0), ("mit", 0.0), ("mit,mit-notice", 1.0)]
+
+
+def test_quality_limits_move_with_the_group(spark):
+    """Two sources of one language whose words differ in length: what is common in one is too much in the other."""
+    rng = np.random.default_rng(5)
+    text = lambda size: " ".join("abcdefghijklmnopqrstuvwxyz"[int(k) % 26] * max(1, int(size + n)) + f"x{k}" for k, n in zip(rng.permutation(1000)[:80], rng.normal(0, 0.3, 80), strict=True))
+    rows = [(k, text(3), "en", "short") for k in range(1000)] + [(1000 + k, text(8), "en", "long") for k in range(1000)]
+    rows += [(5000, text(9), "en", "short"), (5001, text(30), "en", "long"), (5002, text(9), "en", "new"), (5003, text(3) + " $$$ ### $$$ ###" * 3, "en", "long")]
+    rows += [(6000 + k, text(3) + " $$$$$ #####" * 20, "en", "bad") for k in range(300)]  # mostly bad: no rule of its own is switched off
+    got = by_id(quality.quality(quality.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))))
+    assert got[5000].too_high == ["m_word_length"] and got[5001].too_high == ["m_word_length"] and got[5002].kept
+    assert sum(not got[k].kept for k in range(1000)) == sum(not got[1000 + k].kept for k in range(1000)) == 0
+    assert "m_symbols" in got[5003].too_high and all("m_symbols" in got[6000 + k].too_high for k in range(300))
+
+
+def test_substring_hot_passages_meet_in_two_steps(spark):
+    """One passage in every document, over many tasks, so that its super-k-mers are salted, and passages shared by few."""
+    rng = np.random.default_rng(6)
+    passage = [f"p{k}" for k in range(60)]
+    words = {}
+    for k in range(600):
+        own = [f"w{x}" for x in rng.integers(0, 100_000, 40)]
+        at = int(rng.integers(0, 30))
+        words[k] = own[:at] + passage + own[at:] + (words[k - 7][3:25] if k % 5 == 4 and k > 7 else [])
+    rows = [(k, " ".join(w)) for k, w in words.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
+    got = by_id(substring.remove_repeats(df))
+    first = {}
+    for k, w in words.items():
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    for k, w in words.items():
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
+        assert got[k].n_removed == len(gone) and got[k].kept_text == " ".join(x for j, x in enumerate(w) if j not in gone)
