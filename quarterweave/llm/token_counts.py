@@ -6,13 +6,15 @@ a boundary is allocated by a rule: `start`, the section with its first character
 characters, the first of several. A token of part of a character spans that character.
 
 Contract of `token_counts`: a null text counts as empty and gives one row of 0 tokens; sections are the lines (a line
-feed belongs to the line it ends), or those of an array column of (name, start, stop), in ascending order and not
-overlapping; characters outside every section count in a row whose section is null; every row of the input is
-counted by itself, repeats and null ids too; other columns are ignored.
+feed belongs to the line it ends), or those of an array column of (name, start, stop) in any order; where sections
+overlap, a character belongs to the one that starts last, of several to the last listed; a section without start or
+stop, or that stops where it starts or before, has no characters; characters outside every section count in a row whose
+section is null; every row of the input is counted by itself, repeats and null ids too; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -49,16 +51,50 @@ def token_spans(text: str, path: str = BYTE_RANKS) -> tuple[np.ndarray, np.ndarr
     return start, stop
 
 
-def allocate(start: np.ndarray, stop: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str) -> np.ndarray:
-    """The section begin[k]..end[k] of each token, -1 for none."""
-    at = np.searchsorted(begin, start, side="right") - 1  # the last section that begins at the token or before
-    inside = (at >= 0) & (start < end[np.maximum(at, 0)]) if len(begin) else np.zeros(len(start), bool)
-    own = np.where(inside, at, -1)
-    if rule == "most" and len(begin):
+def owners(start: list[int | None], stop: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sections as stretches (begin, end, section), ascending and apart: each character has one section at most."""
+    real = [(b, e, k) for k, (b, e) in enumerate(zip(start, stop, strict=True)) if b is not None and e is not None and b < e]
+    real.sort(key=lambda s: (s[0], s[2]))
+    if all(a[1] <= b[0] for a, b in zip(real, real[1:])):
+        table = np.array(real, np.int64).reshape(-1, 3)
+        return table[:, 0], table[:, 1], table[:, 2]
+    edges = sorted({x for b, e, _ in real for x in (b, e)})
+    out: list[list[int]] = []
+    open_: list[tuple[int, int, int]] = []  # sections in reach, by start and place in the list; the largest owns
+    at = 0
+    for lo, hi in zip(edges, edges[1:]):
+        while at < len(real) and real[at][0] <= lo:
+            heapq.heappush(open_, (-real[at][0], -real[at][2], real[at][1]))
+            at += 1
+        while open_ and open_[0][2] <= lo:
+            heapq.heappop(open_)
+        if open_:
+            own = -open_[0][1]
+            if out and out[-1][1] == lo and out[-1][2] == own:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi, own])
+    table = np.array(out, np.int64).reshape(-1, 3)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+def allocate(start: np.ndarray, stop: np.ndarray, begin: np.ndarray, end: np.ndarray, rule: str, section: np.ndarray | None = None) -> np.ndarray:
+    """The section of each token, -1 for none; stretches begin[k]..end[k] are of `section[k]`, or of k."""
+    section = np.arange(len(begin)) if section is None else section
+    if not len(begin):
+        return np.full(len(start), -1)
+    at = np.searchsorted(begin, start, side="right") - 1  # the last stretch that begins at the token or before
+    inside = (at >= 0) & (start < end[np.maximum(at, 0)])
+    own = np.where(inside, section[np.maximum(at, 0)], -1)
+    if rule == "most":
         for k in np.flatnonzero((stop > end[np.maximum(at, 0)]) | ~inside):
             first, last = max(at[k], 0), np.searchsorted(begin, stop[k], side="left")
             parts = np.minimum(end[first:last], stop[k]) - np.maximum(begin[first:last], start[k])
-            own[k] = first + parts.argmax() if len(parts) and parts.max() > 0 else -1
+            most: dict[int, int] = {}
+            for s, n in zip(section[first:last].tolist(), parts.tolist(), strict=True):
+                if n > 0:
+                    most[s] = most.get(s, 0) + n
+            own[k] = max(most, key=most.__getitem__) if most else -1  # of several the first
     return own
 
 
@@ -82,16 +118,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         names = [None] * len(size)
                     else:
                         own = few.column(2)[k].as_py() or []
-                        begin, end = (np.array([s[f] for s in own], np.int64) for f in ("start", "stop"))
-                        names = [s["name"] for s in own]
+                        own = [s or {"name": None, "start": None, "stop": None} for s in own]
+                        begin, end, names = ([s[f] for s in own] for f in ("start", "stop", "name"))
                     start, stop = token_spans(text, ranks)
-                    section = allocate(start, stop, begin, end, rule)
+                    lo, hi, own_section = (begin, end, None) if sections_col is None else owners(begin, end)
+                    section = allocate(start, stop, lo, hi, rule, own_section)
                     counts = np.bincount(section + 1, minlength=len(begin) + 1)
                     doc = few.column(0)[k].as_py()
                     if counts[0] or not len(begin):
                         for column, value in zip(out, (doc, None, None, None, None, int(counts[0])), strict=True):
                             column.append(value)
-                    for column, values in zip(out, ([doc] * len(begin), range(len(begin)), names, begin.tolist(), end.tolist(), counts[1:].tolist()), strict=True):
+                    for column, values in zip(out, ([doc] * len(begin), range(len(begin)), names, list(begin), list(end), counts[1:].tolist()), strict=True):
                         column.extend(values)
                 types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types, strict=True)], [id_col, "section", "name", "start", "stop", "n_tokens"])
