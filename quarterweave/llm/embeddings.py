@@ -1,14 +1,15 @@
 """Embedding near-duplicates: all pairs of vectors at a cosine threshold, by dual traversal of cover trees.
 
 On unit vectors a cosine of at least c is a distance of at most sqrt(2 - 2c). Distinct vectors are dealt to the nearest
-of a few pivots (a bounded, hash-chosen sample; it steers placement only) and within a pivot to blocks of bounded
-size. Each block gets a cover tree: nested levels whose radii halve, each node with its true covering radius. Block
+of some pivots (a hash-chosen sample, one for so many vectors within bounds; it steers placement only) and within a pivot
+to blocks of bounded size. Each block gets a cover tree: nested levels whose radii halve, each node with its true covering radius. Block
 pairs, and below them node pairs, are dropped when the distance of their centres exceeds both covering radii and the
 threshold; pairs whose every member must link are counted whole; what is left is compared exactly.
 
 Contract: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows
 with a null id (their component is null); vectors of different length never link; equal vectors always link;
-repeated ids count as vectors of their own but share a component; an empty table gives an empty result.
+rows of one id are vectors of their own, each with its own links, and all go by that id in components; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, stage, tile_pairs
+from .common import components, forest, join_weighted, stage, tile_pairs
 
-COSINE, PIVOTS, BLOCK = 0.9, 16, 4096
+COSINE, BLOCK = 0.9, 4096
+#: Pivots at least and at most; their pairs are told to all tasks.
+PIVOTS = 16, 512
 #: What rounding may add to a distance.
 SLACK = 1e-7
 
@@ -155,7 +158,7 @@ def _assign(pivots: np.ndarray):
                 cell = dots.argmax(axis=1)
                 yield pa.record_batch(
                     [pa.array(cell, pa.int32()), pa.array(_apart(dots.max(axis=1))), *(batch.column(k) for k in range(3))],
-                    ["cell", "apart", "rep", "weight", "vector"],
+                    ["cell", "apart", "class", "weight", "vector"],
                 )
 
     return run
@@ -193,17 +196,19 @@ def valid(vector: str):
     return F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, pivots: tuple[int, int] = PIVOTS, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull() & valid(vector_col), F.col(vector_col)).alias("vector"))
-    classes = stage(rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
-    links = []
-    for (dim,) in classes.select(F.size("vector")).distinct().collect():  # lengths in use: one, as a rule
-        own = classes.where(F.size("vector") == dim).select("rep", "weight", F.col("vector").cast("array<double>").alias("vector"))
-        chosen = own.select("vector").orderBy(F.xxhash64("rep")).limit(pivots).collect()
+    classes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")  # stored, so numbers stay
+    links, total = [], 0
+    for dim, n, weight in classes.groupBy(F.size("vector")).agg(F.count(F.lit(1)), F.sum("weight")).collect():  # lengths in use: one, as a rule
+        total += weight
+        own = classes.where(F.size("vector") == dim).select("class", "weight", "vector")
+        chosen = own.select("vector").orderBy(F.xxhash64("class")).limit(min(max(pivots[0], n // block), pivots[1])).collect()
         centres = _unit(np.array([r[0] for r in chosen], float))
-        dealt = own.mapInArrow(_assign(centres), "cell int, apart double, rep long, weight long, vector array<double>")
+        dealt = own.mapInArrow(_assign(centres), f"cell int, apart double, class long, weight long, vector {own.schema['vector'].dataType.simpleString()}")
         cells = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.max("apart").alias("radius"))
         cells = stage(cells, "cells")
         reach = {r.cell: r.radius for r in cells.collect()}  # a row per pivot
@@ -212,27 +217,28 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         partners = [(a, b) for a in reach for b in reach if a <= b and (a == b or between[a, b] <= reach[a] + reach[b] + near)]
         tiles = (
             dealt.join(F.broadcast(cells.select("cell", "k")), "cell")
-            .withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            .withColumn("salt", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
             .groupBy("cell", "salt")
-            .agg(F.collect_list(F.struct("rep", "weight", F.col("vector"))).alias("body"))
+            .agg(F.collect_list(F.struct("class", "weight", F.col("vector"))).alias("body"))
         )
         pairs = tile_pairs(stage(tiles, "tiles"), spark.createDataFrame(partners, "cell_a int, cell_b int"), cells.select("cell", "k"), ["body"])
         links.append(stage(pairs.mapInArrow(_traverse(cosine), "kind int, u long, v long"), "links"))
     found = spark.createDataFrame([], "kind int, u long, v long")
     for part in links:
         found = found.unionByName(part)
-    linked = found.where("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("linked"))
-    joined = components(found.where("kind = 1").select("u", "v")).withColumnRenamed("node", "rep")
+    linked = found.where("kind = 0").groupBy(F.col("u").alias("class")).agg(F.sum("v").alias("linked"))
+    joined = components(found.where("kind = 1").select("u", "v")).withColumnRenamed("node", "class")
+    named = classes.select("class", "rep", "weight").join(joined, "class", "left")
+    named = stage(named.withColumn("component", F.coalesce("component", "class")), "members")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))  # components go by their smallest id
+    named = join_weighted(named, least.withColumnRenamed("component", "c_"), {"component": "c_"}, "n", total)
     labels = (
-        classes.join(linked, "rep", "left")
-        .join(joined, "rep", "left")
-        .select(
-            F.col("vector").alias("vector_"),
-            (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
+        classes.select("class", "vector")
+        .join(named.select("class", "weight", "component_id"), "class")
+        .join(linked, "class", "left")
+        .select(F.col("vector").alias("vector_"), (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", "weight")
     )
-    out = rows.join(labels, rows["vector"] == labels["vector_"], "left").select(
+    out = join_weighted(rows, stage(labels, "labels"), {"vector": "vector_"}, "weight", total).select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
