@@ -4,8 +4,9 @@ An id is split into chunks of some bits, the lowest first. Level k holds the k-t
 a bitmap that says which of them go on to level k + 1, and a rank directory that counts the set bits before each
 stretch, so that position i of level k leads to position rank(i) of level k + 1 in a few steps.
 
-A file is a Parquet table of segments, written by Spark, hence on any file system Spark can write. Segments hold runs
-of documents in ascending order of id. Layout of a segment, little-endian:
+A file is a Parquet table of segments, written by Spark, hence on any file system Spark can write, and without
+compression: a segment's bytes lie in the file as they are. Segments hold runs of documents in ascending order of id;
+their first and last ids are columns, so that a lookup (`read_tokens`) reads only the segments it needs. Layout of a segment, little-endian:
   8 bytes "DACIDS1\\0"; int64 bits a chunk, levels, documents, ids
   int64[documents] ids of documents; uint8[documents] 1 where null; int64[documents] where each document ends
   per level: int64 length; uint8[length] chunks; uint8[ceil(length / 8)] bitmap, lowest bit first;
@@ -32,7 +33,7 @@ from .tokens import WORD_BPE, WORDS_REMEMBERED, word_bpe
 MAGIC, BITS, STRETCH = b"DACIDS1\0", 8, 512
 #: Ids in a segment, and documents in a task, about.
 SEGMENT_IDS, TASK_DOCS = 1 << 20, 8000
-SEGMENTS = "part int, start long, n_docs long, n_tokens long, segment binary"
+SEGMENTS = "part int, start long, n_docs long, n_tokens long, first_id long, last_id long, segment binary"
 
 
 def write_segment(doc_ids: list, ends: list[int], ids: np.ndarray, bits: int = BITS) -> bytes:
@@ -106,7 +107,9 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
         def segment() -> pa.RecordBatch:
             raw = write_segment(owners, ends, np.frombuffer(b"".join(parts), "<u4"))
-            return pa.record_batch([pa.array([part], pa.int32()), *(pa.array([v], pa.int64()) for v in (start, len(owners), held)), pa.array([raw], pa.binary())], ["part", "start", "n_docs", "n_tokens", "segment"])
+            some = [d for d in owners if d is not None] or [None]
+            numbers = start, len(owners), held, some[0], some[-1]
+            return pa.record_batch([pa.array([part], pa.int32()), *(pa.array([v], pa.int64()) for v in numbers), pa.array([raw], pa.binary())], ["part", "start", "n_docs", "n_tokens", "first_id", "last_id", "segment"])
 
         for batch in batches:
             for k in range(batch.num_rows):
@@ -126,7 +129,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     parts = partitions_for(spark, rows.count() // TASK_DOCS)
     order = ["i", "h"]
     dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt.select(F.spark_partition_id().alias("part"), "i", "t").mapInArrow(run, SEGMENTS).write.parquet(path)
+    dealt.select(F.spark_partition_id().alias("part"), "i", "t").mapInArrow(run, SEGMENTS).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +154,40 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, position, token) for rows (doc_id, position) of `wanted`: the token at that place of the document, null
+    where there is none; of several documents of one id the first is read. Each token costs a few steps in its segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                segment = Segment(batch.column(0)[k].as_py())
+                place: dict[int, int] = {}
+                for d, doc in enumerate(segment.doc_ids):
+                    place.setdefault(doc, d)
+                ids, at, out = (batch.column(1)[k].values.field(f).to_pylist() for f in (0, 1)), [], []
+                for doc, position in zip(*ids, strict=True):
+                    if (d := place.get(doc)) is not None:
+                        begin, end = (int(segment.ends[d - 1]) if d else 0), int(segment.ends[d])
+                        inside = position is not None and 0 <= position < end - begin
+                        at.append((doc, position))
+                        out.append(int(segment.ids(begin + position, begin + position + 1)[0]) if inside else None)
+                where = [[batch.column(c)[k].as_py()] * len(at) for c in (2, 3)]
+                columns = [a[0] for a in at], [a[1] for a in at], out, *where
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["d_", "p_", "token", "part", "start"])
+
+    segments = spark.read.schema(SEGMENTS).parquet(path)
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position")).distinct()
+    # The directory has a row for a million ids, so it is joined by range without the segments themselves.
+    directory = segments.select("part", "start", "first_id", "last_id")
+    hit = asked.join(directory, F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
+    grouped = hit.groupBy(F.col("part").alias("part_"), F.col("start").alias("start_")).agg(F.collect_list(F.struct("doc_id", "position")).alias("asked"))
+    chosen = segments.join(grouped, (F.col("part") == F.col("part_")) & (F.col("start") == F.col("start_"))).select("segment", "asked", F.col("part").cast("long"), "start")
+    found = chosen.mapInArrow(run, "d_ long, p_ long, token long, part long, start long")
+    best = found.groupBy("d_", "p_").agg(F.min_by("token", F.struct("part", "start")).alias("token"))
+    return asked.join(best, F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("position").eqNullSafe(F.col("p_")), "left").select("doc_id", "position", "token")
+
+
 def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
