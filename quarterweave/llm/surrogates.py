@@ -2,38 +2,47 @@
 
 Found entities are replaced by keyed stand-ins of their own type and shape: digits stay digits, letters stay letters of
 their case, separators stay; addresses of hosts come from a range that is never routed, mail domains end in .example,
-card numbers pass their check digit, given names keep gender and script. An entity is one whatever the format of its
-mentions (digits of a phone number, lower-cased mail address), so all its mentions get one stand-in. The distinct
-entities of the corpus are checked: where two would share a stand-in, or one is an entity that really occurs, all but the
-smallest draw again until none is left. Where a shape has too few stand-ins, further draws are longer with each round.
+card and bank account numbers pass their check, given names keep gender and script. An entity is one whatever the format
+of its mentions (digits of a phone number, lower-cased mail address), so all its mentions get one stand-in. A given name
+has the gender that the titles before it show, all over the corpus; where they differ or show none, a name of no gender.
+The distinct entities of the corpus are checked: where two would share a stand-in, or one is an entity that really occurs,
+all but the smallest draw again until none is left. Where a shape has too few stand-ins, further draws are longer with
+each round, so this ends. Titles stay as they are.
 
 A secret of separators alone gets letters; one separator over and over (`Password: ______`) is the blank of a form and none.
 
 Contract of `replace_entities`: a null text stays null; every row gives a row, repeats and null ids too; equal texts
-get equal replacements for one key; all columns of the input are kept, whatever their names.
+get equal replacements for one key within a corpus; all columns of the input are kept, whatever their names, but for one
+named `n_entities`, which gives way to the count.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import join_weighted, stage
 
-KEY = "replace-me"
+#: The session setting that holds the key of the registered query; without it a key is drawn for each run.
+KEY_SETTING = "spark.quarterweave.surrogates.key"
 #: From this attempt on a stand-in is `WIDER` characters longer with each attempt, so that no shape runs out of them.
 WIDE_FROM, WIDER = 4, 8
 #: Types in the order in which they are tried at a position, each with its pattern.
 _TITLE_M, _TITLE_F, _TITLE_N = "Mr|Herr|Monsieur|Señor|господин", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|госпожа", "Dr|Prof"
+#: A word of a name; what follows an apostrophe belongs to it if it starts with a capital (O'Neill), not in Smith's.
+_NAME = r"\p{Lu}(?:\p{L}+|['’]\p{Lu}\p{L}+)(?:-\p{L}+|['’]\p{Lu}\p{L}+)*"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "cloud_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])|(?<![0-9])(?:[0-9]{4}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}|3[47][0-9]{13})(?![0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9+])(?<![0-9][.-])(?:[0-9]{1,3}[.-]|1 )?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![0-9]|[.-][0-9])",
     "secret": r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|secret|token|api_key)[ ]{0,2}[=:][ ]{0,2}["']?)(?!(?<same>[_/+.-])\k<same>*+(?![A-Za-z0-9_/+.-]))[A-Za-z0-9_/+.-]{6,}""",
-    "name": rf"(?=[DFHMPSг])(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?=[DFHMPSг])(?<!\p{{L}})(?:{_TITLE_M}|{_TITLE_F}|{_TITLE_N})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _GIVEN = {
@@ -49,7 +58,7 @@ _SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra
 
 def _holds_any(text: Column) -> Column:
     """Whether a text holds an entity; what every type needs is looked for first, as most texts have none of it."""
-    maybe = text.contains("@") | text.rlike(r"[0-9]{2}|[0-9]\.[0-9]") | text.contains("AKIA") | text.rlike("[=:]") | text.rlike(PATTERNS["name"])
+    maybe = text.contains("@") | text.rlike(r"[0-9]{2}|[0-9]\.[0-9]") | text.contains("AKIA") | text.rlike("[=:]") | text.rlike(PATTERNS["name"])  # what iban needs, two digits in a row, is there
     return F.coalesce(maybe & text.rlike(ANY), F.lit(False))
 
 
@@ -59,6 +68,7 @@ def _kind(mention: Column) -> Column:
         .when(mention.rlike(rf"^(?:{PATTERNS['cloud_key']})$"), "cloud_key")
         .when(mention.rlike(rf"^(?:{PATTERNS['ip']})$"), "ip")
         .when(mention.rlike(rf"^(?:{PATTERNS['card']})$"), "card")
+        .when(mention.rlike(rf"^(?:{PATTERNS['iban']})$"), "iban")
         .when(mention.rlike(rf"^(?:{PATTERNS['ssn']})$"), "ssn")
         .when(mention.rlike(rf"^(?:{PATTERNS['phone']})$"), "phone")
         .when(mention.rlike(rf"^(?:{PATTERNS['name']})$"), "name")
@@ -67,20 +77,26 @@ def _kind(mention: Column) -> Column:
 
 
 def _parts(mention: Column, kind: Column) -> Column:
-    """A mention as parts (kind, raw): a name as title, given name and surname, anything else as one."""
+    """A mention as parts (kind, raw, gender): a name as title, given name and surname, anything else as one."""
     title = F.split(mention, " ")[0]
-    gender = F.when(title.rlike(rf"^(?:{_TITLE_M})\.?$"), "m").when(title.rlike(rf"^(?:{_TITLE_F})\.?$"), "f").otherwise("n")
+    gender = F.when(title.rlike(rf"^(?:{_TITLE_M})\.?$"), "m").when(title.rlike(rf"^(?:{_TITLE_F})\.?$"), "f")
 
     def part(raw: Column, k: Column) -> Column:
         script = F.when(raw.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-        role = F.when(k == 0, F.lit("title")).when(k == F.size(F.split(mention, " ")) - 1, F.concat(F.lit("surname_"), script)).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), script))
-        return F.struct(role.alias("kind"), raw.alias("raw"))
+        role = F.when(k == 0, F.lit("title")).when(k == F.size(F.split(mention, " ")) - 1, F.concat(F.lit("surname_"), script)).otherwise(F.concat(F.lit("given_"), script))
+        return F.struct(role.alias("kind"), raw.alias("raw"), gender.alias("gender"))
 
-    return F.when(kind == "name", F.transform(F.split(mention, " "), part)).otherwise(F.array(F.struct(kind.alias("kind"), mention.alias("raw"))))
+    whole = F.struct(kind.alias("kind"), mention.alias("raw"), F.lit(None).cast("string").alias("gender"))
+    return F.when(kind == "name", F.transform(F.split(mention, " "), part)).otherwise(F.array(whole))
 
 
 def _canon(kind: Column, raw: Column) -> Column:
-    return F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(raw, "[^0-9]", "")).when(kind == "email", F.lower(raw)).otherwise(raw)
+    return (
+        F.when(kind.isin("card", "ssn", "phone"), F.regexp_replace(raw, "[^0-9]", ""))
+        .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
+        .when(kind == "email", F.lower(raw))
+        .otherwise(raw)
+    )
 
 
 def _stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
@@ -111,15 +127,25 @@ def _pick(words: list[str], stream: Column, at: int) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), F.conv(F.substring(stream, at, 4), 16, 10).cast("int") % len(words) + 1)
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+def _iban(shaped: Column, canon: Column) -> Column:
+    """Country of `canon`, check digits, account of `shaped`: letters count 10 to 35, and all modulo 97 is 1."""
+    account = F.substring(shaped, F.lit(5), F.length(canon))
+    moved = F.concat(account, F.substring(canon, 1, 2), F.lit("00"))
+    number = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda s, c: (s * F.when(c.between("0", "9"), 10).otherwise(100) + number(c)) % 97)
+    return F.concat(F.substring(canon, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str, gender: Column | None = None) -> Column:
     """The stand-in of an entity; another one for each attempt."""
+    gender = F.lit(None) if gender is None else gender
     stream = _stream(kind, canon, attempt, key)
     bare = (kind == "secret") & ~canon.rlike("[A-Za-z0-9]")  # nothing in it would change
     shaped = _shaped(F.when(bare, F.regexp_replace(canon, "(?s).", "x")).otherwise(canon), stream)
     # Digits where the format asks for them, else letters; a stream of its own, as that of the shape may be used up.
     longer = F.greatest(attempt - (WIDE_FROM - 1), F.lit(0)) * WIDER
     spare = _stream(F.lit("longer"), F.concat_ws("\x1f", kind, canon), attempt, key)
-    form = F.when(kind.isin("card", "ssn", "phone"), F.lit("0")).when(kind == "cloud_key", F.lit("Z")).otherwise(F.lit("z"))
+    form = F.when(kind.isin("card", "ssn", "phone"), F.lit("0")).when(kind.isin("cloud_key", "iban"), F.lit("Z")).otherwise(F.lit("z"))
     suffix = F.when(longer > 0, _shaped(F.repeat(form, longer), spare)).otherwise("")
     suffix = F.when(kind.endswith("_cyrillic"), F.translate(suffix, "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")).otherwise(suffix)
 
@@ -137,74 +163,96 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
         .when(kind == "cloud_key", F.concat(F.lit("AKIA"), F.substring(shaped, 5, 100)))
         .when(kind == "ip", F.concat_ws(".", octet(1, 240), octet(3, 0), octet(5, 0), octet(7, 0)))
         .when(kind == "card", F.concat(body, check.cast("string")))
-        .when(kind == "title", canon)
+        .when(kind == "iban", _iban(shaped, canon))
     )
     for script, syllables in _SYLLABLES.items():
         # Gives 64 million surnames; further attempts add a syllable.
         more = F.when(attempt > 0, _pick(syllables, stream, 41)).otherwise("")
         out = out.when(kind == f"surname_{script}", F.initcap(F.concat(*[_pick(syllables, stream, 5 * k + 1) for k in range(6)], more)))
-        for gender in "mfn":
-            # A list of names runs out soon; then a syllable tells bearers apart.
-            extra = F.when(attempt > 1, F.concat(F.lit("-"), F.initcap(F.concat(*[_pick(syllables, stream, 5 * k + 1) for k in range(5)])))).otherwise("")
-            out = out.when(kind == f"given_{gender}_{script}", F.concat(_pick(_GIVEN[f"{gender}_{script}"].split(), stream, 33), extra))
-    return F.concat(out.otherwise(shaped), F.when(kind.isin("email", "ip", "title"), "").otherwise(suffix))
+        # A list of names runs out soon; then a syllable tells bearers apart.
+        extra = F.when(attempt > 1, F.concat(F.lit("-"), F.initcap(F.concat(*[_pick(syllables, stream, 5 * k + 1) for k in range(5)])))).otherwise("")
+        given = {g: _pick(_GIVEN[f"{g}_{script}"].split(), stream, 33) for g in "mfn"}
+        out = out.when(kind == f"given_{script}", F.concat(F.when(gender == "m", given["m"]).when(gender == "f", given["f"]).otherwise(given["n"]), extra))
+    return F.concat(out.otherwise(shaped), F.when(kind.isin("email", "ip"), "").otherwise(suffix))
 
 
 def _formatted(kind: Column, raw: Column, stand_in: Column) -> Column:
-    """The stand-in in the format of one mention: digits go where the mention's digits are, those left over to its end."""
+    """The stand-in in the format of one mention: its characters go where the mention has digits (of an account number,
+    anything but blanks), those left over to its end."""
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("used"))
+    open_ = lambda c: F.when(kind == "iban", c != " ").otherwise(c.between("0", "9"))
     filled = F.aggregate(
         F.split(raw, ""),
         start,
         lambda s, c: F.struct(
-            F.concat(s["text"], F.when(c.between("0", "9"), F.substring(stand_in, s["used"] + 1, F.lit(1))).otherwise(c)).alias("text"),
-            (s["used"] + F.when(c.between("0", "9"), 1).otherwise(0)).alias("used"),
+            F.concat(s["text"], F.when(open_(c), F.substring(stand_in, s["used"] + 1, F.lit(1))).otherwise(c)).alias("text"),
+            (s["used"] + F.when(open_(c), 1).otherwise(0)).alias("used"),
         ),
     )
     filled = F.concat(filled["text"], F.substring(stand_in, filled["used"] + 1, F.length(stand_in)))
-    return F.when(kind.isin("card", "ssn", "phone"), filled).otherwise(stand_in)
-
-
-def distinct_surrogates(entities: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
-    """(kind, canon, stand_in) for distinct `entities` (kind, canon), no two of a kind with one stand-in and none whose
-    stand-in is an entity itself."""
-    drawn = stage(entities.select("kind", "canon", F.lit(0).alias("attempt"), surrogate(F.col("kind"), F.col("canon"), F.lit(0), key).alias("stand_in")), "drawn")
-    for _ in range(rounds):
-        first = drawn.groupBy("kind", "stand_in").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and kind <> 'title'").drop("n")
-        real = drawn.where("kind <> 'title'").select("kind", F.col("canon").alias("stand_in"), F.lit(True).alias("real"))
+    return F.when(kind.isin("card", "ssn", "phone", "iban"), filled).otherwise(stand_in)
+
+
+def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, stand_in, the other columns) for distinct `entities` (kind, canon, gender, ...), no two of a kind with
+    one stand-in and none whose stand-in is an entity itself."""
+    more = [c for c in entities.columns if c not in ("kind", "canon", "attempt", "stand_in")]
+    of = lambda attempt: surrogate(F.col("kind"), F.col("canon"), attempt, key, F.col("gender"))
+    drawn = stage(entities.select("kind", "canon", *more, F.lit(0).alias("attempt"), of(F.lit(0)).alias("stand_in")), "drawn")
+    while True:  # draws get longer, so that sooner or later all differ
+        first = drawn.groupBy("kind", "stand_in").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        real = drawn.select("kind", F.col("canon").alias("stand_in"), F.lit(True).alias("real"))
         checked = drawn.join(first, ["kind", "stand_in"], "left").join(real, ["kind", "stand_in"], "left")
         clash = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("canon") > F.col("first"), F.lit(False))
-        checked = stage(checked.select("kind", "canon", "attempt", "stand_in", clash.alias("clash")), "checked")
+        checked = stage(checked.select("kind", "canon", *more, "attempt", "stand_in", clash.alias("clash")), "checked")
         if not checked.where("clash").limit(1).count():
-            return drawn.select("kind", "canon", "stand_in")
+            return drawn.drop("attempt")
         again = F.col("attempt") + F.col("clash").cast("int")
-        anew = F.when(F.col("clash"), surrogate(F.col("kind"), F.col("canon"), again, key)).otherwise(F.col("stand_in"))
-        drawn = stage(checked.select("kind", "canon", again.alias("attempt"), anew.alias("stand_in")), "drawn")
-    raise ValueError(f"entities still share stand-ins after {rounds} draws")
-
-
-def replace_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
-    """The rows of `docs` with `text_col` replaced, and n_entities long; only texts that hold entities are shuffled."""
-    print_ = F.xxhash64(text_col)
-    holds = _holds_any(F.col(text_col))
+        anew = F.when(F.col("clash"), of(again)).otherwise(F.col("stand_in"))
+        drawn = stage(checked.select("kind", "canon", *more, again.alias("attempt"), anew.alias("stand_in")), "drawn")
+
+
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` with `text_col` replaced, and n_entities long; only texts that hold entities are shuffled.
+
+    `key` is a secret: who has it can test whether a stand-in belongs to an entity.
+    """
+    if not key:
+        raise ValueError("surrogates need a key")
+    own = "s_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    name = lambda c: f"{own}{c}"  # noqa: E731  (columns added to those of `docs`)
+    columns = [c for c in docs.columns if c != "n_entities"]
+    docs = docs.select(*[F.col(f"`{c}`") for c in columns])
+    text, id_ = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    print_, holds = F.xxhash64(text), _holds_any(text)
     some, none = docs.where(holds), docs.where(~holds)
-    mentions = some.select(F.col(id_col).alias("i_"), print_.alias("p_"), F.posexplode(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).alias("at", "mention"))
-    parts = mentions.withColumn("kind", _kind(F.col("mention"))).select("i_", "p_", "at", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("part", "x"))
-    parts = stage(parts.select("i_", "p_", "at", "part", "x.kind", "x.raw", _canon(F.col("x.kind"), F.col("x.raw")).alias("canon")), "mentions")
-    table = distinct_surrogates(parts.select("kind", "canon").distinct(), key).withColumnsRenamed({"kind": "kind_", "canon": "canon_"})
-    told = parts.join(table, (F.col("kind") == F.col("kind_")) & (F.col("canon") == F.col("canon_"))).select(
-        "i_", "p_", "at", F.struct("part", _formatted(F.col("kind"), F.col("raw"), F.col("stand_in")).alias("new")).alias("x")
-    )
+    mentions = some.select(id_.alias("i"), print_.alias("p"), F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "mention"))
+    parts = mentions.withColumn("kind", _kind(F.col("mention"))).select("i", "p", "at", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("part", "x"))
+    parts = stage(parts.select("i", "p", "at", "part", "x.kind", "x.raw", "x.gender", _canon(F.col("x.kind"), F.col("x.raw")).alias("canon")), "mentions")
+    named = parts.where("kind <> 'title'")
+    entities = named.groupBy("kind", "canon").agg(F.min("gender").alias("g1"), F.max("gender").alias("g2"), F.count(F.lit(1)).alias("n"))
+    entities = entities.select("kind", "canon", F.when(F.col("g1") == F.col("g2"), F.col("g1")).alias("gender"), "n")
+    table = distinct_surrogates(entities, key).drop("gender").withColumnsRenamed({"kind": "kind_", "canon": "canon_"})
+    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = join_weighted(named, table, {"kind": "kind_", "canon": "canon_"}, "n", total)
+    new = lambda c: F.struct("part", c.alias("new")).alias("x")
+    told = told.select("i", "p", "at", new(_formatted(F.col("kind"), F.col("raw"), F.col("stand_in")))).unionByName(parts.where("kind = 'title'").select("i", "p", "at", new(F.col("raw"))))
     # A mention has three parts at most; a document's mentions are bounded by its text. Sets, as rows may repeat.
-    whole = told.groupBy("i_", "p_", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_set("x")), lambda x: x["new"]), " ").alias("new"))
-    by_doc = whole.groupBy("i_", "p_").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new_"))
-    joined = some.join(by_doc, F.col(id_col).eqNullSafe(F.col("i_")) & (print_ == F.col("p_")))
-    gaps = F.split(text_col, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, "new_", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    changed = joined.select(*[rebuilt.alias(c) if c == text_col else docs[c] for c in docs.columns], F.size("new_").cast("long").alias("n_entities"))
-    return changed.unionByName(none.select(*[docs[c] for c in docs.columns], F.lit(0).cast("long").alias("n_entities")))
+    whole = told.groupBy("i", "p", "at").agg(F.array_join(F.transform(F.sort_array(F.collect_set("x")), lambda x: x["new"]), " ").alias("new"))
+    by_doc = whole.groupBy("i", "p").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("new"))
+    by_doc = by_doc.select(*[F.col(c).alias(name(c)) for c in ("i", "p", "new")])
+    joined = some.join(by_doc, id_.eqNullSafe(F.col(name("i"))) & (print_ == F.col(name("p"))))
+    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), name("new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    changed = joined.select(*[rebuilt.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.size(name("new")).cast("long").alias("n_entities"))
+    return changed.unionByName(none.select("*", F.lit(0).cast("long").alias("n_entities")))
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return replace_entities(docs.select("doc_id", "text")).select("doc_id", "text", "n_entities")
+    return replace_entities(docs.select("doc_id", "text"), session_key(spark)).select("doc_id", "text", "n_entities")
