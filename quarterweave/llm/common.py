@@ -45,6 +45,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Meanwhile so many rows at most go to a Python worker at once: ten thousand whole texts, Spark's own number, are tens
+    of megabytes several times over. What is computed later than that has the setting of before."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 @contextmanager
 def staged() -> Iterator[list[str]]:
     """The folders of the tables staged meanwhile, for `drop_staged`."""

@@ -3,9 +3,10 @@
 Only lengths decide, and there are as many as a sequence is long, so the plan is made from a histogram of that bounded
 size: pieces above a third of a sequence, of which at most two share one, are matched greedily, the largest each with
 the largest that fits; smaller ones, in descending order, go to the sequence whose gap they fill best. The plan says
-for each length which ranks go to which run of sequences; pieces are ranked within their length task by task.
+for each length which ranks go to which run of sequences; a piece's rank within its length is that within its task after
+those of the tasks before. The plan, of a size that only the capacity bounds, is joined to the pieces by length and rank.
 
-Contract of `pack`: lengths are 1 to `capacity`; every row is placed; ties are in the order of the key columns;
+Contract of `pack`: lengths are 1 to `capacity`; every row is placed; ties are in the order in which a task met them;
 full pieces are sequences by themselves. `pieces` of a document: a null text counts as empty and still gets the end id;
 repeated rows and null ids are packed like others; other columns are ignored.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,50 +93,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     return np.array(rows, np.int64).reshape(-1, 6)
 
 
-def _place(rows: np.ndarray):
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    keys = (rows[:, 0] << 48) + rows[:, 1]
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The rows of a stored table `pieces` (task int, within long, length long, ...) with sequence_id long and offset long.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(k).to_numpy() for k in range(2))
-            at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
-            if len(rows):
-                _, first, _, sequence, each, offset = rows[at].T
-                sequence = sequence + (rank - first) // each
-                offset = offset + (rank - first) % each * length
-            else:
-                sequence = offset = np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(sequence), pa.array(offset), *batch.columns[2:]], ["sequence_id", "offset", *batch.schema.names[2:]])
-
-    return run
-
-
-def pack(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY) -> DataFrame:
-    """The rows of a stored table `pieces` (task int, length int, ...) with sequence_id long and offset long.
-
-    `task` is any number under which a bounded share of the rows lies, `keys` order the rows of a task and length.
+    `within` numbers the rows of a task and length from 0; `task` is any number.
     """
+    spark = pieces.sparkSession
     counts = stage(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
     total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     before = counts.select(F.col("length").alias("length_"), F.col("task").alias("task_"), (F.sum("n").over(W.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    within = F.row_number().over(W.partitionBy("length", "task").orderBy(*keys)) - 1
-    ranked = pieces.withColumn("within", within).join(before, (F.col("length") == F.col("length_")) & (F.col("task") == F.col("task_")))
-    names = pieces.columns
-    flat = ranked.select(F.col("length").cast("long").alias("l_"), (F.col("before") + F.col("within")).alias("r_"), *names)
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return flat.mapInArrow(_place(plan(total, capacity)), f"sequence_id long, offset long, {types}").drop("task")
-
-
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:
-    """Encoded pieces (task, id, piece, start, length, ids_crc32 and, if asked for, ids binary); only documents longer
-    than a sequence make several. A worker remembers up to twice `remember` words, and with fewer than usual only within
+    ranked = pieces.join(before, (F.col("length") == F.col("length_")) & (F.col("task") == F.col("task_"))).withColumn("rank_", F.col("before") + F.col("within"))
+    table = pa.table(dict(zip(["l_", "first_", "end_", "sequence_", "each_", "offset_"], plan(total, capacity).T, strict=True)))
+    runs = spark.createDataFrame(table.to_pandas(), ", ".join(f"{c} long" for c in table.column_names))
+    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("l_")) & (F.col("rank_") >= F.col("first_")) & (F.col("rank_") < F.col("end_")))
+    at = F.col("rank_") - F.col("first_")
+    return placed.select(
+        *[c for c in pieces.columns if c not in ("task", "within")],
+        (F.col("sequence_") + F.floor(at / F.col("each_"))).cast("long").alias("sequence_id"),
+        (F.col("offset_") + at % F.col("each_") * F.col("length")).alias("offset"),
+    )
+
+
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED, forget: bool = False) -> DataFrame:
+    """Encoded pieces (task, within, id, piece, start, length, ids_crc32 and, if asked for, ids binary); only documents
+    longer than a sequence make several. A worker remembers up to twice `remember` words; if it is to `forget`, only within
     a task, at whose end it lets the vocabulary go as well, so that idle workers hold little."""
-    names = ["task", id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    names = ["task", "within", id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last, task = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         bpe.limit = remember
+        met: Counter[int] = Counter()  # pieces so far, by length
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 few = batch.slice(at, 1000)
@@ -143,22 +132,23 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id:
                     ids, doc = bpe.ids(few.column(1)[k].as_py() or "") + last, few.column(0)[k].as_py()
                     for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[lo : lo + 4 * capacity]
-                        rows.append((task, doc, piece, lo // 4, len(own) // 4, zlib.crc32(own), *[own] * with_ids))
-                types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
+                        rows.append((task, met[len(own)], doc, piece, lo // 4, len(own) // 4, zlib.crc32(own), *[own] * with_ids))
+                        met[len(own)] += 1
+                types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-        if remember < WORDS_REMEMBERED:
+        if forget:
             bpe.forget()
             del bpe
             word_bpe.cache_clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(tidy(run), f"task int, `{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(run), f"task int, within long, `{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, vocabulary: str = WORD_BPE, remember: int = WORDS_REMEMBERED, forget: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for every piece of every document."""
-    pieces = stage(cut(docs, id_col, text_col, end_id, capacity, with_ids, vocabulary, remember), "pieces")
-    placed = pack(pieces, [id_col, "piece", "ids_crc32"], capacity)
+    pieces = stage(cut(docs, id_col, text_col, end_id, capacity, with_ids, vocabulary, remember, forget), "pieces")
+    placed = pack(pieces, capacity)
     return placed.select(id_col, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset")
 
 

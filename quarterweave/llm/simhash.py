@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, stage, tidy, tile_pairs
+from .common import components, forest, join_weighted, stage, tidy, tile_pairs
 
 SHINGLE, SEED, RADIUS, TILE = 4, 42, 4, 8192
 
@@ -106,7 +106,8 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
     exactly, in blocks. The work left still grows with the square of the distinct fingerprints.
     """
     spark = prints.sparkSession
-    classes = stage(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+    classes = stage(prints.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     cell = F.bit_count(F.shiftrightunsigned("fp", 32)) * 33 + F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     classes = classes.withColumn("cell", cell.cast("int"))
     cells = classes.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("k"))  # 1,089 rows at most
@@ -119,8 +120,8 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", radius: int = RAD
     pairs = tile_pairs(stage(tiles, "tiles"), _partners(spark, radius), cells, ["body"])
     links = pairs.mapInArrow(tidy(_compare(radius)), "u long, v long")
     found = components(links)
-    labels = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(labels, prints["fp"] == labels["fp_"], "left").drop("fp_")
+    labels = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"), "n")
+    out = join_weighted(prints, stage(labels, "labels"), {"fp": "fp_"}, "n", total).drop("n")
     return out.withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id")))
 
 

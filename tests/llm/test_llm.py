@@ -1,6 +1,5 @@
 """Each operator over nulls, empty, very long and repeated texts, clashing columns and empty tables, against brute force."""
 
-import hashlib
 import re
 import zlib
 from collections import Counter
@@ -76,7 +75,7 @@ def test_cover_tree_links_exactly_the_pairs_in_reach(spark):
     table = [(k, v.astype(np.float32).tolist()) for k, v in enumerate(rows)]
     odd = [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] + [1.0] * 15), (None, table[0][1]), (1004, [])]
     df = spark.createDataFrame(table + odd, "vec_id long, embedding array<float>")
-    got = {r.vec_id: r for r in embeddings.near_pairs(df, pivots=4, block=50).collect()}
+    got = {r.vec_id: r for r in embeddings.near_pairs(df, pivots=(4, 4), block=50).collect()}
     x = np.array([v for _, v in table])
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.9
@@ -113,13 +112,13 @@ def test_id_files_round_trip(spark, docs, none, tmp_path):
 
 
 def test_surrogates_hide_and_corefer(docs, none):
-    got = by_id(surrogates.replace_entities(docs))
+    got = by_id(surrogates.replace_entities(docs, "k"))
     for secret in ("Ann.B@ex.org", "123-4567", "4111", "10.0.0.1", "John", "Smith", "abc123def"):
         assert secret not in got[11].text
     a, b = got[11].text, got[12].text
     digits = lambda t: re.sub(r"\D", "", re.search(r"\+[\d() -]+\d", t)[0])
     assert digits(a) == digits(b) and re.search(r"Mr\. \w+ (\w+)", a)[1] == re.search(r"Dr (\w+)", b)[1]
-    assert got[1].text is None and got[9].text == TEXTS[9] and surrogates.replace_entities(none).count() == 0
+    assert got[1].text is None and got[9].text == TEXTS[9] and surrogates.replace_entities(none, "k").count() == 0
 
 
 def test_substring_removes_what_an_earlier_document_holds(docs, none):
@@ -172,37 +171,25 @@ def test_license_join_finds_every_template_in_reach(docs, none):
     assert got[1].n_words == 0 and got[1].score == 0 and licenses.license_scan(none).count() == 0
 
 
-def test_pipeline_stages_take_effect(spark, tmp_path):
-    import corpus_pipeline
-
-    rows = [(k, f"{SHARED} {k} mail a{k}@ex.org " + " ".join(f"u{k}v{j}" for j in range(80)), "en", "s", 0) for k in range(5)] + [(9, "short", "en", "s", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
-    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
-    assert {r.doc_id for r in out} == {0, 1, 2, 3, 4}
-    lengths = {r.doc_id: r.length for r in out}
-    assert lengths[0] > lengths[1]  # later documents lose the shared passage
-    assert hashlib.sha256(b"").hexdigest()  # digests are made by Spark
-
-
 def test_surrogates_end_where_a_shape_has_too_few_stand_ins(spark):
     ab = "abcdefghijklmnopqrstuvwxyz"
     mails = [f"a@b.{x}{y}" for x in ab for y in ab] + [f"a@b.{x}{y}z" for x in ab[:5] for y in ab]  # more than 26 * 26
     phones = [f"+1{k:04}" for k in range(0, 10_000, 4)]
     rows = [("email", m) for m in mails] + [("phone", p[1:]) for p in phones] + [("secret", "-._-._"), ("secret", "_._._.")]
-    got = surrogates.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    got = surrogates.distinct_surrogates(spark.createDataFrame([(*r, None) for r in rows], "kind string, canon string, gender string"), "k").collect()
     assert len({(r.kind, r.stand_in) for r in got}) == len(rows) and not {(r.kind, r.stand_in) for r in got} & set(rows)
     assert all(r.stand_in.endswith(".example") for r in got if r.kind == "email") and all(r.stand_in.isdigit() for r in got if r.kind == "phone")
     few = spark.range(1).select(surrogates._formatted(*map(surrogates.F.lit, ("phone", "+1 (23) 45", "6789012"))).alias("x"))
     assert few.first().x == "+6 (78) 9012"
     wide = [(k, f"10.0.0.{k}", a) for k in range(40) for a in (4, 9)] + [(k, f"Иванов{k}", 5) for k in range(40)]
     kinds = surrogates.F.when(surrogates.F.col("canon").startswith("10"), "ip").otherwise("surname_cyrillic")
-    out = spark.createDataFrame(wide, "k int, canon string, attempt int").select("k", surrogates.surrogate(kinds, surrogates.F.col("canon"), surrogates.F.col("attempt")).alias("x")).collect()
+    out = spark.createDataFrame(wide, "k int, canon string, attempt int").select("k", surrogates.surrogate(kinds, surrogates.F.col("canon"), surrogates.F.col("attempt"), "k").alias("x")).collect()
     assert len({r.x for r in out}) == len(wide) and all(re.fullmatch(r"\d{3}(\.\d{1,3}){3}|[А-Яа-яё]+", r.x) for r in out)
 
 
 def test_surrogates_of_forms_and_secrets_of_separators(spark):
     texts = ["Password: __________", "password: ........ and token = ------", "password=-._-._-._", "secret: ____x9____"]
-    got = by_id(surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = by_id(surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"))
     assert (got[0].text, got[1].text) == (texts[0], texts[1]) and got[0].n_entities == got[1].n_entities == 0
     assert re.fullmatch("password=[a-z]{9}", got[2].text) and re.fullmatch(r"secret: ____[a-z]\d____", got[3].text)
 
@@ -216,7 +203,7 @@ def test_surrogates_skip_no_text_that_holds_an_entity(spark):
     F = surrogates.F
     agree = df.select((surrogates._holds_any(F.col("text")) == F.col("text").rlike(surrogates.ANY)).alias("x")).collect()
     assert all(r.x for r in agree)
-    got = by_id(surrogates.replace_entities(df))
+    got = by_id(surrogates.replace_entities(df, "k"))
     for k, x in enumerate(entities):
         assert got[k].n_entities == 1 and x not in got[k].text and len(got[k].text) > 10
     assert all(got[len(entities) + k].text == rows[len(entities) + k][1] for k in range(len(none)))
@@ -289,3 +276,119 @@ def test_substring_hot_passages_meet_in_two_steps(spark):
     for k, w in words.items():
         gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < k for j in range(i, i + 13)}
         assert got[k].n_removed == len(gone) and got[k].kept_text == " ".join(x for j, x in enumerate(w) if j not in gone)
+
+
+def luhn(text):
+    d = [int(c) for c in re.sub(r"\D", "", text)][::-1]
+    return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+
+def test_surrogates_against_a_plain_reading(spark):
+    """Distinctness, coreference, format, gender and key over a small corpus; columns that clash; what is no entity stays."""
+    people = ["Mr. John Smith", "Dr. John Smith", "Mrs. Anna O'Neill", "Prof. Anna O'Neill", "Mr. Karl Smith-Jones", "Herr Иван Петров"]
+    accounts = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"]
+    mails = [f"{c}@b.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["A@B.com"]  # one-letter addresses at one domain: no shape has more
+    phones = ["555-123-4567", "(555) 123-4567", "555.123.4567"]
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500 0000 0000 0004"]
+    groups = {"name": people, "iban": accounts, "mail": mails, "phone": phones, "card": cards}
+    texts = [x for g in groups.values() for x in g] + ["Mr. Smith's dog met Mr. Smith.", "nothing here", None, ""]
+    rows = [(k, t, k, "a", "b", 7) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, i_ long, new_ string, s_x string, n_entities long")
+    out = surrogates.replace_entities(df, "one")
+    assert sorted(out.columns) == sorted(df.columns)
+    got = {r.doc_id: r for r in out.collect()}
+    new = {t: got[k].text for k, t in enumerate(texts)}
+    assert all(got[k].i_ == k and (got[k].new_, got[k].s_x) == ("a", "b") for k in range(len(texts)))
+    assert new["nothing here"] == "nothing here" and new[None] is None and new[""] == "" and got[len(texts) - 1].n_entities == 0
+    stand = [new[m] for m in mails]
+    assert len({s.lower() for s in stand}) == 26 and stand[0] == stand[-1] and all(s.endswith(".example") for s in stand)
+    assert len({re.sub(r"\D", "", new[p]) for p in phones}) == 1 and all(re.sub(r"\d", "0", new[p]) == re.sub(r"\d", "0", p) for p in phones)
+    assert re.sub(r"\D", "", new[cards[0]]) == re.sub(r"\D", "", new[cards[1]]) != re.sub(r"\D", "", new[cards[2]]) and all(luhn(new[c]) for c in cards)
+    assert new[accounts[0]] == new[accounts[1]].replace(" ", "") and new[accounts[1]][4] == " " and new[accounts[2]][:2] == "GB"
+    for a in accounts:
+        x = new[a].replace(" ", "")
+        assert x != a.replace(" ", "") and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    split = {p: new[p].split(" ") for p in people}
+    assert split[people[0]][1:] == split[people[1]][1:] and split[people[2]][1:] == split[people[3]][1:] and [s[0] for s in split.values()] == [p.split(" ")[0] for p in people]
+    assert split[people[0]][1].split("-")[0] in surrogates._GIVEN["m_latin"] and split[people[2]][1].split("-")[0] in surrogates._GIVEN["f_latin"]
+    assert len({s[2] for s in split.values()}) == 4 and re.search("[А-я]", new[people[5]]) and "Smith" not in "".join(s[2] for s in split.values())
+    own = split[people[0]][2]
+    assert new["Mr. Smith's dog met Mr. Smith."] == f"Mr. {own}'s dog met Mr. {own}."
+    other = {r.doc_id: r.text for r in surrogates.replace_entities(df, "two").collect()}
+    again = {r.doc_id: r.text for r in surrogates.replace_entities(df.repartition(5), "one").collect()}
+    assert all(again[k] == got[k].text for k in again) and sum(other[k] != got[k].text for k in other) > len(people) + len(mails) // 2
+    with pytest.raises(ValueError):
+        surrogates.replace_entities(df, "")
+
+
+def test_vectors_of_one_id_have_links_of_their_own(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (2, [1.0, 0.01]), (9, [1.0, 0.02]), (7, [0.0, -1.0])]
+    got = embeddings.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(2, 2, 2), (5, 0, 5), (5, 2, 2), (7, 0, 7), (9, 2, 2)]
+
+
+def test_token_counts_by_section_against_characters(spark):
+    """Sections in any order, overlapping, null, empty and beyond the text, for both rules, token by token."""
+    enc = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=tokens.read_ranks(), special_tokens={})
+    rng = np.random.default_rng(8)
+    letters = list("ab cdé日 .1\n") + ["the", " and", "tion"]
+    rows = []
+    for k in range(60):
+        text = "".join(rng.choice(letters, 60))
+        cuts = rng.integers(0, len(text) + 10, (rng.integers(0, 6), 2)).tolist()
+        sections = [(f"s{j}", *c) for j, c in enumerate(cuts)] + [("open", None, 3), ("none", 4, None), None][: int(rng.integers(0, 4))]
+        rows.append((k % 50, text, sections if k != 3 else None))  # some ids twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<name:string,start:long,stop:long>>")
+    for rule in ("start", "most"):
+        want = Counter()
+        for doc, text, sections in rows:
+            at = [None] * len(text)
+            order = sorted((s for s in enumerate(sections or []) if s[1] and None not in s[1][1:] and s[1][1] < s[1][2]), key=lambda s: (s[1][1], s[0]))
+            for j, (_, b, e) in order:
+                at[b:e] = [j] * (min(e, len(text)) - b) if b < len(text) else at[b:e]
+            raw, at_byte, pos = text.encode(), [], 0
+            for c in range(len(text)):
+                at_byte += [c] * len(text[c].encode())
+            for token in enc.encode_ordinary(text):
+                n = len(enc.decode_single_token_bytes(token))
+                chars = sorted(set(at_byte[pos : pos + n]))
+                pos += n
+                held = Counter(at[c] for c in chars if at[c] is not None)
+                first = {j: min(c for c in chars if at[c] == j) for j in held}
+                own = at[chars[0]] if rule == "start" else min(held, key=lambda j: (-held[j], first[j])) if held else None
+                want[doc, own] += 1
+            assert pos == len(raw)
+        got = Counter()
+        for r in token_counts.token_counts(df, sections_col="parts", rule=rule).collect():
+            got[r.doc_id, r.section] += r.n_tokens
+        assert {k: v for k, v in got.items() if v} == dict(want)
+
+
+def test_one_token_is_read_from_the_files(spark, docs, tmp_path):
+    fresh = Tokenizer.from_file(tokens.WORD_BPE)
+    path = f"file://{tmp_path}/ids"
+    id_files.write_ids(docs, path)  # null and repeated ids too
+    got = id_files.read_ids(spark, path).collect()
+    whole = Counter((r.doc_id, r.ids) for r in got)
+    want = Counter((k, raw([*fresh.encode(t or "", add_special_tokens=False).ids, 2])) for k, t in [*TEXTS.items(), (6, SHARED), (None, SHARED)])
+    assert whole == want and sorted(r.start for r in got) == np.cumsum([0, *[r.n_tokens for r in sorted(got, key=lambda r: r.start)]])[:-1].tolist()
+    ask = [(9, 0), (9, 29_999), (9, 10**6), (9, -1), (4, 5), (2, 0), (77, 0), (None, 0), (4, None)]
+    found = {(r.doc_id, r.position): r.token for r in id_files.read_tokens(spark, path, spark.createDataFrame(ask, "doc_id long, position int")).collect()}
+    ids = {k: [*fresh.encode(TEXTS[k] or "", add_special_tokens=False).ids, 2] for k in (2, 4, 9)}
+    assert found == {(k, p): ids[k][p] if k in ids and p is not None and 0 <= p < len(ids[k]) else None for k, p in ask}
+
+
+def test_ids_of_whole_texts_are_those_of_the_libraries():
+    """20,000 texts of words, marks, accents, white space of all kinds at both ends and within."""
+    enc = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=tokens.read_ranks(), special_tokens={})
+    fresh, rng = Tokenizer.from_file(tokens.WORD_BPE), np.random.default_rng(9)
+    parts = np.array(["foo", "Bar", "it's", "THE", "1", "2024", ".", ",", "!?", "é", "ß", "日本", "İ", "\u0301", "-", "_", "$", "<|", "|>", "can't", "'ll", "\u200b", "x\x00y"], object)
+    space = np.array([" ", "  ", "\n", "\n\n", "\t", "\r\n", " \n", "\xa0", "\u2003", "", "", " ", " "], object)
+    texts = []
+    for _ in range(20_000):
+        n = int(rng.integers(0, 7))
+        texts.append("".join(x for pair in zip(rng.choice(space, n + 1), rng.choice(parts, n + 1), strict=True) for x in pair) + str(rng.choice(space)))
+    bpe, word = tokens.ByteBpe(), tokens.word_bpe()
+    bpe.learn(texts)
+    assert [bpe.ids(t) for t in texts] == [raw(x) for x in enc.encode_ordinary_batch(texts)]
+    assert [word.ids(t) for t in texts] == [raw(x.ids) for x in fresh.encode_batch(texts, add_special_tokens=False)]
