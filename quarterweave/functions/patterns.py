@@ -90,3 +90,46 @@ NON_GAAP = [
     "non-gaap", "reconciliation", "adjusted ebitda", "adjusted net income", "adjusted diluted earnings per share", "adjusted eps", "free cash flow", "affo", "ffo", "ebitda",
 ]
 CONTACTS = ["investors", "media", "investor relations", "corporate communications"]
+
+# Rows that make a table of a release financial, and words that tell tables apart there.
+ROW_SIGNALS = [
+    "total assets", "current assets", "cash and cash equivalents", "accounts receivable", "property and equipment", "inventory", "total liabilities",
+    "stockholders' equity", "shareholders' equity", "total equity", "net sales", "revenues", "revenue", "operating revenues", "gross profit",
+    "operating income", "operating loss", "net income", "net loss", "income before provision", "weighted average shares", "earnings per share",
+    "net cash provided by operating activities", "net cash used in operating activities", "cash flows from operating activities",
+    "cash flows from investing activities", "cash flows from financing activities", "capital expenditures",
+]
+RELEASE_STATEMENTS = [
+    "statement of operations", "statements of operations", "statement of income", "statements of income", "statement of earnings", "statements of earnings",
+    "statement of loss", "statements of loss", "balance sheet", "balance sheets", "statement of cash flows", "statements of cash flows",
+    "consolidated statement", "consolidated statements", "condensed consolidated",
+]
+RELEASE_NON_GAAP = [
+    "non-gaap", "reconciliation", "adjusted ebitda", "adjusted net income", "adjusted diluted earnings per share", "adjusted earnings per share", "adjusted eps",
+    "free cash flow", "funds from operations", "affo", "ffo", "ebitda",
+]
+ADJUSTED = ["adjusted", "non-gaap", "reconciliation"]
+# Lines of a page that are no part of a release.
+BOILERPLATE = ["news provided by", "explore", "more news releases in similar topics", "contact cision", "products", "about", "my services"]
+BOILERPLATE_STARTS = ["view original content", "source "]
+# What a line of a table in plain text looks like.
+TABLE_NUMBERS = r"[\$,\(\)%]|\b20\d{2}\b|\b\d+\.\d+\b|\b\d{1,3}(?:,\d{3})+\b"
+TABLE_SPACING = r"\S\s{2,}\S"
+TABLE_WORDS = r"(?i)revenue|income|loss|assets|liabilities|cash|shares|ebitda|expenses|operations"
+# Exhibits by what they say.
+EXHIBIT_99 = r"(?i)ex[-_ ]?99|exhibit\s*99"
+FIRST_EXHIBIT = r"(?i)(?:^|[_\-.])ex[-_]?99[_\-.]?1(?:\D|$)|exhibit\s*99\.1"
+LATER_EXHIBIT = r"(?i)(?:^|[_\-.])ex[-_]?99[_\-.]?[2-9](?:\D|$)|exhibit\s*99\.[2-9]"
+POSITIVE_TERMS = (
+    r"(?i)financial results|quarterly results|full year|total revenue|net income|diluted share|revenue comparison|cost of materials|"
+    r"consolidated balance sheets|consolidated statements|statements of income|statements of cash flows|cash flows|guidance"
+)
+CAPITAL_RETURN = r"(?i)share repurchase authorization|repurchase program|quarterly cash dividend|10b5-1|rule 10b-18"
+# Where publishers put the release in a page, by part of the domain; tag and class, in the order tried.
+CONTAINERS = {
+    "prnewswire.com": ["section.release-body", "div.release-body", "article", "main"],
+    "globenewswire.com": ["div.main-container", "article", "main"],
+    "businesswire.com": ["div.bw-release-story", "article", "main"],
+    "": ["article", "main", "div.release-body", "section.release-body"],
+}
+PAGE_NOISE = ["script", "style", "noscript", "iframe", "svg", "form", "nav", "footer", "header"]

@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Unicode white space, as a character class for Java and RE2; Java's own \\s is that of ASCII.
+SPACE = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
@@ -27,7 +33,74 @@ def speaker_labels(c: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+")).cast("long")
+    return F.regexp_count(c, F.lit(f"[^{SPACE}]+")).cast("long")
+
+
+def squeeze(c: Column) -> Column:
+    """All white space to single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{SPACE}]+", " "))
+
+
+def strip_all(c: Column) -> Column:
+    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def clean_text(c: Column) -> Column:
+    """Terminal colours off, odd blanks plain, addresses apart from what they are glued to, blanks and empty lines squeezed."""
+    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\x1b\[[0-9;]*m", "")
+    c = F.replace(F.replace(c, F.lit("\u00a0"), F.lit(" ")), F.lit("\u200b"), F.lit(""))
+    c = F.regexp_replace(c, rf"([A-Za-z\)])({EMAIL})", "$1 $2")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n[ \t]+", "\n")
+    return strip_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+
+
+def lines(c: Column) -> Column:
+    """Lines of a text, each squeezed, empty ones too."""
+    return F.transform(F.split(c, LINE_END), squeeze)
+
+
+def paragraphs(c: Column) -> Column:
+    """Lines up to an empty one, joined by blanks; an array without empty paragraphs."""
+    groups = F.split(F.array_join(lines(F.coalesce(c, F.lit(""))), "\n"), r"\n{2,}")
+    return F.filter(F.transform(groups, lambda g: clean_text(F.replace(strip_all(g), F.lit("\n"), F.lit(" ")))), lambda g: g != "")
+
+
+def headline(c: Column) -> Column:
+    """Of the first 80 lines the first that tells of results, else the first; null without lines."""
+    own = F.filter(lines(c), lambda x: x != "")
+    low = F.lower
+    tells = lambda x: ((low(x).contains("reports") | low(x).contains("announces")) & (low(x).contains("results") | low(x).contains("earnings"))) | (low(x).contains("financial results") & (F.length(x) < 220))
+    return F.coalesce(F.get(F.filter(F.slice(own, 1, 80), tells), F.lit(0)), F.get(own, F.lit(0)))
+
+
+def size_estimate(c: Column) -> Column:
+    text = F.coalesce(c, F.lit(""))
+    chars = F.length(text).cast("long")
+    return F.struct(chars.alias("characters"), count_words(text).alias("words"), F.greatest(F.lit(1), F.floor(chars / 4)).cast("long").alias("rough_tokens_estimate"))
+
+
+def is_html(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return low.rlike("<html|<body|<table|</table|<p")
+
+
+def quarter_code(c: Column) -> Column:
+    """Q1 to Q4 from 1, Q1, FIRST and so on, whatever the case; null for anything else."""
+    own = F.upper(F.trim(c.cast("string")))
+    out = F.lit(None).cast("string")
+    for k, word in enumerate(("FIRST", "SECOND", "THIRD", "FOURTH"), 1):
+        out = F.when(own.isin(str(k), f"Q{k}", word), f"Q{k}").otherwise(out)
+    return out
+
+
+def quarter_word(code: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, ("first", "second", "third", "fourth"))), F.substring(code, 2, 1).cast("int"))
+
+
+def date_range(first: Column, last: Column) -> Column:
+    """ok, or what is wrong with two ISO dates of which either may be missing."""
+    bad = lambda c: c.isNotNull() & ~F.coalesce(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    return F.when(bad(first), "from_date_not_a_date").when(bad(last), "to_date_not_a_date").when(first > last, "from_date_after_to_date").otherwise("ok")
 
 
 def lenient_int(c: Column) -> Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.patterns import EARNINGS_LIKE, EARNINGS_RELEASE, LEGAL_EXHIBIT, RELEVANT_FORMS
-from ..functions.text import lenient_date
+from ..functions.patterns import CAPITAL_RETURN, EARNINGS_LIKE, EARNINGS_RELEASE, EXHIBIT_99, FIRST_EXHIBIT, LATER_EXHIBIT, LEGAL_EXHIBIT, POSITIVE_TERMS, QUARTER_WORDS, RELEVANT_FORMS
+from ..functions.text import date_range, lenient_date
 
 MIN_FILING_SCORE = 250
 
 
 def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame:
     """(symbol, kind, rank, ...): the first 12 relevant and first 6 earnings-like filings of a window, in feed order, and how
-    many of all are left out."""
-    own = filings.where(F.col("filing_date").between(from_date, to_date)).withColumn("form", F.upper("form"))
+    many of all are left out. Raises if the window is none."""
+    checked = filings.sparkSession.range(1).select(date_range(F.lit(from_date).cast("string"), F.lit(to_date).cast("string"))).first()[0]
+    if checked != "ok":
+        raise ValueError(checked)
+    own = filings.where((F.col("filing_date") >= (from_date or "")) & (F.col("filing_date") <= (to_date or "9999-12-31"))).withColumn("form", F.upper("form"))
     relevant = F.col("form").isin(RELEVANT_FORMS)
     earnings = F.col("form").isin("8-K", "6-K") & F.concat_ws(" ", "form", "filing_date", "report_date", "items", "accession", "primary_document").rlike(EARNINGS_LIKE)
     counts = own.groupBy("symbol").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - F.least(F.lit(12), F.count_if(relevant))).alias("omitted"))
@@ -27,10 +30,16 @@ def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame
 
 
 def filing_rank(filings: DataFrame, requests: DataFrame) -> DataFrame:
-    """The best filing of each request (symbol, fiscal_year, quarter, anchor_date), if it scores enough."""
-    rows = filings.withColumn("form", F.upper("form")).where(F.col("form").isin(RELEVANT_FORMS))
-    pairs = rows.join(requests, "symbol")
-    everything = F.concat_ws(" ", "form", "filing_date", "report_date", "items", "accession", "primary_document")
+    """The best filing of each request (symbol, fiscal_year, quarter, anchor_date), if it scores enough.
+
+    What only the filing decides is computed before the join, and the best is an aggregate, which tasks combine before
+    the shuffle: a company with very many filings is no hot task.
+    """
+    about = ["form", "filing_date", "report_date", "items", "accession", "primary_document", *[c for c in ("primary_doc_description",) if c in filings.columns]]
+    rows = filings.withColumn("form", F.upper("form")).where(F.col("form").isin(RELEVANT_FORMS)).withColumn("everything", F.concat_ws(" ", *about))
+    low = F.lower("everything")
+    rows = rows.withColumn("quarters", F.array_distinct(F.regexp_extract_all(low, F.lit(r"\bq([0-9]+)\b"), F.lit(1)))).withColumn("any_quarter", low.contains("quarter"))
+    pairs, everything = rows.join(requests, "symbol"), F.col("everything")
     year = F.col("fiscal_year").cast("string")
     days = F.abs(F.datediff(lenient_date(F.col("filing_date")), lenient_date(F.col("anchor_date"))))
     score = (
@@ -38,38 +47,40 @@ def filing_rank(filings: DataFrame, requests: DataFrame) -> DataFrame:
         + F.when(F.col("items").rlike(r"(?i)\b2\.02\b|results of operations|financial condition"), 350).otherwise(0)
         + F.when(everything.rlike(EARNINGS_RELEASE), 175).otherwise(0)
         + F.when(F.contains(everything, year), 40).otherwise(0)
-        + F.when(F.lower(everything).contains("quarter"), 30).otherwise(0)
+        + F.when(F.col("any_quarter") | F.array_contains("quarters", F.col("quarter").cast("string")), 30).otherwise(0)
         + F.when(days <= 2, 350).when(days <= 14, 250).when(days <= 45, 150).when(days <= 90, 50).otherwise(0)
         + F.when(F.contains("report_date", year), 50).otherwise(0)
     )
-    order = W.partitionBy("symbol", "fiscal_year", "quarter").orderBy(F.desc("score"), F.desc("filing_date"), "row_ord")
-    ranked = pairs.withColumn("score", score.cast("long")).withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("rank") == 1) & (F.col("score") >= MIN_FILING_SCORE)).select("symbol", "fiscal_year", "quarter", "accession", "form", "filing_date", "score")
+    best = F.max_by(F.struct("accession", "form", "filing_date", "score"), F.struct("score", "filing_date", -F.col("row_ord"))).alias("best")
+    ranked = pairs.withColumn("score", score.cast("long")).groupBy("symbol", "fiscal_year", "quarter").agg(best)
+    return ranked.select("symbol", "fiscal_year", "quarter", "best.*").where(F.col("score") >= MIN_FILING_SCORE)
 
 
 def cik_lookup(symbols: DataFrame, ticker_map: DataFrame) -> DataFrame:
-    """Symbols with their ten-digit number, whatever their case; those without one have status unknown_symbol."""
-    table = ticker_map.select(F.upper("ticker").alias("t"), F.lpad(F.col("cik_int").cast("string"), 10, "0").alias("cik"), "title")
+    """Symbols with their ten-digit number, whatever their case; those without one have status unknown_symbol. Of several rows
+    of a ticker the first of the map (`row_ord`, else the smallest number) counts."""
+    order = "row_ord" if "row_ord" in ticker_map.columns else "cik_int"
+    table = ticker_map.groupBy(F.upper("ticker").alias("t")).agg(F.min_by(F.struct("cik_int", "title"), order).alias("m")).select("t", F.lpad(F.col("m.cik_int").cast("string"), 10, "0").alias("cik"), "m.title")
     out = symbols.join(table, F.upper("symbol") == F.col("t"), "left")
     return out.select("symbol", "cik", "title", F.when(F.col("cik").isNull(), "unknown_symbol").otherwise("ok").alias("status"))
 
 
-def submissions_rows(filings: DataFrame) -> DataFrame:
-    """Parallel arrays of a submissions block as rows; arrays shorter than the longest are padded with nulls."""
-    ordered = F.array_sort(F.collect_list(F.struct("row_ord", "form", "filing_date", "items")))
-    blocks = filings.groupBy("symbol").agg(ordered.alias("x")).select("symbol", F.col("x.form").alias("form"), F.col("x.filing_date").alias("filing_date"), F.slice("x.items", 1, F.greatest(F.size("x") - 1, F.lit(0))).alias("items"))
-    return blocks.select("symbol", F.posexplode(F.arrays_zip("form", "filing_date", "items")).alias("pos", "r")).select("symbol", "pos", "r.form", "r.filing_date", "r.items")
+def submissions_rows(blocks: DataFrame, key: str = "symbol") -> DataFrame:
+    """(key, pos, a column per array) for blocks of parallel arrays: as many rows as the longest has, shorter ones padded with
+    nulls; columns that are no arrays are ignored."""
+    arrays = [f.name for f in blocks.schema if f.dataType.typeName() == "array"]
+    return blocks.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "r")).select(key, "pos", *[F.col(f"r.{c}").alias(c) for c in arrays])
 
 
 def filing_documents(documents: DataFrame) -> DataFrame:
     """HTML and text documents with their tier (1: exhibits 99, 2: not legal, 3: others), metadata score and address; and the
     best of each filing, of the lowest tier there is."""
     about = F.concat_ws(" ", "name", "description", "type")
-    legal, exhibit = about.rlike(LEGAL_EXHIBIT), about.rlike(r"(?i)ex[-_ ]?99|exhibit\s*99")
+    legal, exhibit = about.rlike(LEGAL_EXHIBIT), about.rlike(EXHIBIT_99)
     score = (
         F.when(legal, -5000).otherwise(0)
         + F.when(exhibit, 3000).otherwise(0)
-        + F.when(about.rlike(r"(?i)(?:^|[_\-.])ex[-_]?99[_\-.]?1(?:\D|$)|exhibit\s*99\.1"), 700).when(about.rlike(r"(?i)(?:^|[_\-.])ex[-_]?99[_\-.]?[2-9](?:\D|$)|exhibit\s*99\.[2-9]"), -150).otherwise(0)
+        + F.when(about.rlike(FIRST_EXHIBIT), 700).when(about.rlike(LATER_EXHIBIT), -150).otherwise(0)
         + F.when(F.col("name") == F.col("primary_document"), 100).otherwise(0)
         + F.when(about.rlike(EARNINGS_RELEASE), 300).otherwise(0)
         + F.when(F.lower("name").rlike(r"\.html?$"), 50).otherwise(0)
@@ -83,3 +94,44 @@ def filing_documents(documents: DataFrame) -> DataFrame:
     )
     order = W.partitionBy("accession").orderBy("tier", F.desc("score"), F.desc("name"))
     return rows.withColumn("rank", F.row_number().over(order))
+
+
+def period_text_score(low: Column, year: Column, quarter: Column) -> Column:
+    """How much a lower-cased text speaks of a quarter and of no other."""
+    word = F.element_at(F.array(*map(F.lit, QUARTER_WORDS)), quarter.cast("int"))
+    y, q = year.cast("string"), F.concat(F.lit("q"), quarter.cast("string"))
+    forms = F.concat(word, F.lit(r"\s+quarter\s+(?:fiscal\s+)?"), y, F.lit(r"|fiscal\s+"), y, F.lit(r"\s+"), word, F.lit(r"\s+quarter|"), q, F.lit(r"\s+(?:fy|fiscal\s+)?"), y)
+    own = F.contains(low, F.concat(word, F.lit(" quarter")))
+    others = sum((F.when((word != w) & low.contains(f"{w} quarter") & ~own, 1).otherwise(0) for w in QUARTER_WORDS), F.lit(0))
+    return (
+        F.when(F.regexp_like(low, forms), 2500).otherwise(0) + F.when(F.contains(low, y), 200).otherwise(0) + F.when(own, 500).otherwise(0) + F.when(F.contains(low, q), 250).otherwise(0) - 600 * others
+    )
+
+
+def content_score(text: Column, n_tables: Column, year: Column, quarter: Column) -> Column:
+    positive, size, head = F.regexp_count(text, F.lit(POSITIVE_TERMS)), F.length(text), F.left(text, F.lit(20_000))
+    return (
+        F.when(head.rlike(LEGAL_EXHIBIT), -5000).otherwise(0)
+        + F.least(positive, F.lit(12)) * 180
+        + F.coalesce(period_text_score(F.lower(F.left(text, F.lit(40_000))), year, quarter), F.lit(0))
+        + F.when(n_tables >= 3, 500).otherwise(n_tables * 50)
+        + F.when(size >= 10_000, 200).when(size >= 5000, 80).otherwise(0)
+        - F.when(head.rlike(CAPITAL_RETURN) & (positive < 3) & (n_tables < 3), 1200).otherwise(0)
+    )
+
+
+def exhibit_rank(documents: DataFrame, contents: DataFrame, requests: DataFrame, n: int = 12) -> DataFrame:
+    """The exhibit of each filing that reads most like the release asked for.
+
+    `documents` are ranked `filing_documents`: of the lowest tier that a filing has, the n best by what is known about
+    them are read (`contents`: accession, name, text, n_tables; no row counts as empty) and scored for the filing's request
+    (accession, fiscal_year, quarter; either may be null).
+    """
+    lowest = documents.withColumn("lowest", F.min("tier").over(W.partitionBy("accession")))
+    some = lowest.where((F.col("tier") == F.col("lowest")) & (F.col("rank") <= n)).select("accession", "name", "tier", F.col("score").alias("metadata_score"), "url")
+    read = some.join(contents, ["accession", "name"], "left").join(requests, "accession", "left")
+    text, tables = F.coalesce("text", F.lit("")), F.coalesce("n_tables", F.lit(0))
+    scored = read.withColumn("content_score", content_score(text, tables, F.col("fiscal_year"), F.col("quarter")).cast("long")).withColumn("n_chars", F.length(text)).drop("text")
+    scored = scored.withColumn("score", F.col("metadata_score") + F.col("content_score"))
+    best = F.max_by(F.struct("name", "url", "metadata_score", "content_score", "score", "n_chars"), F.struct("score", "n_chars", "name")).alias("best")
+    return scored.groupBy("accession").agg(F.count(F.lit(1)).alias("n_read"), best).select("accession", "n_read", "best.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import lenient_int
+from ..functions.text import lenient_int, quarter_code, quarter_word
 
 
 def valid_symbols(rows: DataFrame) -> DataFrame:
@@ -39,13 +39,30 @@ def statement_tables(statements: DataFrame, quarters: int = 2, years: int = 3) -
     return ranked.where(F.col("rank") <= limit)
 
 
-def period_match(tables: DataFrame, periods: DataFrame) -> DataFrame:
-    """For each company and quarterly table its rows that match a selected period exactly ('Q1', never '1'), and a status."""
-    wanted = periods.select("symbol", F.col("year").alias("fy"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("p"), F.lit(True).alias("hit"))
+def period_match(tables: DataFrame, periods: DataFrame, allow_fallback: bool = False) -> DataFrame:
+    """For each company and quarterly table its rows that match a selected period exactly ('Q1', never '1'), and a status.
+
+    With `allow_fallback`, tables without a match give as many of their newest rows as the company has periods. Rows are
+    structs of all columns of `tables` but the keys, newest first.
+    """
+    wanted = periods.select("symbol", F.col("year").alias("fy"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("p"), F.lit(True).alias("hit")).distinct()
+    found = periods.groupBy("symbol").agg(F.countDistinct("year", "quarter").alias("n_periods"))
     rows = tables.where("freq = 'quarter'").withColumn("fy_", lenient_int(F.col("fiscal_year")))
-    joined = rows.join(wanted, (rows["symbol"] == wanted["symbol"]) & (F.col("fy_") == F.col("fy")) & (F.upper("period") == F.col("p")), "left")
-    out = joined.groupBy(rows["symbol"], "table_name").agg(F.count("hit").alias("matched_rows"), F.round(F.sum(F.when(F.col("hit"), F.col("amount"))), 2).alias("matched_amount"))
-    return out.withColumn("match_status", F.when(F.col("matched_rows") > 0, "exact_period_match").otherwise("no_exact_period_match"))
+    match = (rows["symbol"] == wanted["symbol"]) & (F.col("fy_") == F.col("fy")) & (F.upper("period") == F.col("p"))
+    row = F.struct("rank", *[c for c in tables.columns if c not in ("symbol", "table_name", "freq", "rank")])
+    joined = rows.join(wanted, match, "left").select(rows["symbol"], "table_name", row.alias("row"), "hit", "amount")
+    out = joined.groupBy("symbol", "table_name").agg(
+        F.count("hit").alias("n_matched"),
+        F.round(F.sum(F.when(F.col("hit"), F.col("amount"))), 2).alias("matched_amount"),
+        F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("row")))).alias("matched_rows"),
+        F.array_sort(F.collect_list("row")).alias("all_rows"),
+    )
+    if allow_fallback:
+        out = out.join(found, "symbol", "left").withColumn("fallback_rows", F.when((F.col("n_matched") == 0) & F.col("n_periods").isNotNull(), F.slice("all_rows", F.lit(1), F.col("n_periods").cast("int"))).otherwise(F.slice("all_rows", 1, 0))).drop("n_periods")
+    else:
+        out = out.withColumn("fallback_rows", F.slice("all_rows", 1, 0))
+    out = out.withColumn("fallback_used", F.size("fallback_rows") > 0).drop("all_rows")
+    return out.withColumn("match_status", F.when(F.col("n_matched") > 0, "exact_period_match").otherwise("no_exact_period_match"))
 
 
 def annual_match(tables: DataFrame, years: DataFrame) -> DataFrame:
@@ -54,8 +71,11 @@ def annual_match(tables: DataFrame, years: DataFrame) -> DataFrame:
     rows = tables.where("freq = 'annual' and table_name in ('income_statement', 'balance_sheet', 'cash_flow_statement')")
     joined = rows.join(wanted, "symbol")
     hit = lenient_int(F.col("fiscal_year")) == F.col("fy")
-    out = joined.groupBy("symbol", "table_name", "fy").agg(F.count(F.when(hit, 1)).alias("matched_rows"), F.round(F.sum(F.when(hit, F.col("amount"))), 2).alias("matched_amount"))
-    return out.withColumn("match_status", F.when(F.col("matched_rows") > 0, "exact_fiscal_year_match").otherwise("no_exact_fiscal_year_match")).withColumnRenamed("fy", "fiscal_year")
+    row = F.struct("rank", *[c for c in tables.columns if c not in ("symbol", "table_name", "freq", "rank")])
+    out = joined.groupBy("symbol", "table_name", "fy").agg(
+        F.count(F.when(hit, 1)).alias("n_matched"), F.round(F.sum(F.when(hit, F.col("amount"))), 2).alias("matched_amount"), F.array_sort(F.collect_list(F.when(hit, row))).alias("matched_rows")
+    )
+    return out.withColumn("match_status", F.when(F.col("n_matched") > 0, "exact_fiscal_year_match").otherwise("no_exact_fiscal_year_match")).withColumnRenamed("fy", "fiscal_year")
 
 
 def followup_actions(periods: DataFrame, requested: int = 2) -> DataFrame:
@@ -68,16 +88,35 @@ def followup_actions(periods: DataFrame, requested: int = 2) -> DataFrame:
     return each.unionByName(years).unionByName(quarters.select("symbol", F.lit("selected_quarters").alias("scope"), "period_label", "row_limit"))
 
 
+def recheck_actions(quality: DataFrame) -> DataFrame:
+    """(symbol, year, quarter, scope, min_year): dates to look at again for calls (symbol, year, quarter, status) whose text is incomplete."""
+    return quality.where("status = 'incomplete'").select("symbol", "year", "quarter", F.lit("recheck_transcript_dates").alias("scope"), F.greatest(F.lit(2000), F.col("year") - 1).cast("int").alias("min_year"))
+
+
+def widen_actions(symbols: DataFrame, periods: DataFrame, min_year: int) -> DataFrame:
+    """(symbol, scope, min_year): companies without a period at or after `min_year`, to be asked for one year more."""
+    return symbols.select("symbol").distinct().join(periods, "symbol", "left_anti").select("symbol", F.lit("widen_min_year").alias("scope"), F.lit(min_year - 1).alias("min_year"))
+
+
+def period_labels(periods: DataFrame) -> DataFrame:
+    """(symbol, year, quarter, quarter_code, quarter_word, call_label, release_label) for whatever way a quarter is written; null
+    labels where it is none."""
+    code = quarter_code(F.col("quarter"))
+    return periods.select("symbol", "year", "quarter", code.alias("quarter_code"), quarter_word(code).alias("quarter_word"), F.concat_ws(" ", F.when(code.isNotNull(), code), F.when(code.isNotNull(), F.col("year").cast("string"))).alias("call_label"), F.concat(code, F.lit(" FY"), F.col("year").cast("string")).alias("release_label"))
+
+
 def evidence_pack(symbols: DataFrame, periods: DataFrame, quarterly: DataFrame, annual: DataFrame, actions: DataFrame, requested: int = 2) -> DataFrame:
-    """One row per company: its periods, manifests and actions as arrays, and notes; missing parts are empty arrays."""
-    labels = periods.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "period_label"))), lambda x: x["period_label"]).alias("selected_periods"))
-    tables = quarterly.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("table_name", "match_status", "matched_rows"))).alias("financial_tables"))
-    years = annual.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("table_name", "match_status", "matched_rows"))).alias("annual_tables"))
+    """One row per company, of `symbols` or with a period: its periods, tables with their matched rows, transcripts to fetch
+    and actions as arrays, and notes; missing parts are null."""
+    labels = periods.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("rank", "year", "quarter", "period_label", "call_date"))).alias("selected_periods"))
+    kept = lambda df: [c for c in ("fiscal_year", "match_status", "n_matched", "matched_rows", "fallback_rows", "fallback_used") if c in df.columns]
+    tables = quarterly.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("table_name", *kept(quarterly)))).alias("financial_tables"))
+    years = annual.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("table_name", *kept(annual)))).alias("annual_tables"))
     next_ = actions.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("scope", "period_label", "row_limit"))).alias("actions"))
-    out = symbols.select("symbol").distinct()
+    out = symbols.select("symbol").unionByName(periods.select("symbol")).distinct()
     for part in (labels, latest_fiscal_year(periods), tables, years, next_):
         out = out.join(part, "symbol", "left")
-    found = F.coalesce(F.size("selected_periods"), F.lit(0))
-    found = F.when(F.col("selected_periods").isNull(), 0).otherwise(found)
+    found = F.when(F.col("selected_periods").isNull(), 0).otherwise(F.size("selected_periods"))
+    transcripts = F.transform("selected_periods", lambda p: F.struct(p["period_label"].alias("period_label"), F.lit(True).alias("transcript_available"), F.lit(False).alias("prepared_remarks_included"), F.lit(False).alias("q_and_a_included")))
     notes = F.array_compact(F.array(F.when(found < requested, F.lit("fewer_transcript_periods_found_than_requested")), F.when(found == 0, F.lit("no_selected_periods"))))
-    return out.withColumn("notes", F.array_sort(F.array_distinct(notes)))
+    return out.withColumn("transcripts", transcripts).withColumn("notes", F.array_sort(F.array_distinct(notes)))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.patterns import LIKELY_EARNINGS, LITIGATION, QUARTER_WORDS
-from ..functions.text import first_filled, lenient_date
+from ..functions.text import clean_text, first_filled, lenient_date
 
-MIN_SCORE, AUDITED = 55, 20
+MIN_SCORE, AUDITED, SPLITS = 55, 20, 16
 _WORD = "(first|second|third|fourth)"
 
 
@@ -17,6 +17,24 @@ def _any(text: Column, phrases: list[str]) -> Column:
     return text.rlike("|".join(phrases))  # none of them holds a special character
 
 
+#: Names under which feeds give a field, the first that holds something wins.
+ALIASES = {
+    "title": ["title", "headline", "subject"],
+    "date": ["published_date", "date", "accepted_date", "filing_date", "created_at", "updated_at"],
+    "url": ["url", "link", "source_url", "final_url"],
+    "text": ["text", "content", "body", "summary", "description"],
+    "publisher": ["publisher", "site", "source"],
+    "company": ["company_name", "company", "name"],
+}
+
+
+def slug(c: Column, longest: int) -> Column:
+    """ASCII letters and digits in lower case, anything between as one underscore; `unknown` if none is left."""
+    trimmed = lambda x: F.regexp_replace(x, "^_+|_+$", "")
+    own = trimmed(F.substring(trimmed(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), "[^a-zA-Z0-9]+", "_"))), 1, longest))
+    return F.coalesce(F.nullif(own, F.lit("")), F.lit("unknown"))
+
+
 def detect_period(low: Column) -> Column:
     """Forms are tried in order, whatever their position: `Qn FYyyyy` or null. `low` is lower-cased."""
     quarter = F.create_map(*[x for k, w in enumerate(QUARTER_WORDS, 1) for x in (F.lit(w), F.lit(str(k)))])
@@ -36,12 +54,17 @@ def detect_period(low: Column) -> Column:
 
 def release_fields(releases: DataFrame) -> DataFrame:
     """One value for each field, whichever alias holds it; and all that does not depend on the request."""
-    url = first_filled("url", "link")
-    title = F.trim(F.coalesce(first_filled("title", "headline"), F.lit("Untitled press release")))
-    rows = releases.select("ticker", "row_ord", title.alias("title"), F.coalesce(lenient_date(F.col("published_date")), lenient_date(F.col("date"))).alias("release_date"), url.alias("url"), F.coalesce("text", F.lit("")).alias("text"), F.col("site").alias("publisher"), F.col("symbol"))
+    has = lambda field: [c for c in ALIASES[field] if c in releases.columns]
+    filled = lambda field: first_filled(*has(field)) if has(field) else F.lit(None).cast("string")
+    title = clean_text(F.coalesce(filled("title"), F.lit("Untitled press release")))
+    dates = [lenient_date(F.col(c)) for c in has("date")]
+    symbol = F.col("symbol") if "symbol" in releases.columns else F.lit(None).cast("string")
+    rows = releases.select(
+        "ticker", "row_ord", title.alias("title"), F.coalesce(*dates, F.lit(None).cast("date")).alias("release_date"), filled("url").alias("url"), clean_text(filled("text")).alias("text"),
+        filled("publisher").alias("publisher"), filled("company").alias("company"), symbol.alias("symbol"),
+    )
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
     low, head = F.lower(F.concat_ws("\n", "title", "text", "url")), F.lower("title")
-    slug = F.regexp_replace(F.substring(F.regexp_replace(F.lower(F.regexp_replace("title", "[^a-zA-Z0-9]+", "_")), "^_+|_+$", ""), 1, 90), "_+$", "")
     fixed = (
         F.when(_any(low, LIKELY_EARNINGS), 25).otherwise(0)
         + F.when(head.contains("results") & (head.contains("quarter") | head.contains("financial")), 20).otherwise(0)
@@ -56,10 +79,10 @@ def release_fields(releases: DataFrame) -> DataFrame:
             "is_sec": host.contains("sec.gov"),
             "detected_period": detect_period(low),
             "fixed_score": fixed,
-            "release_id": F.concat_ws("_", F.lower("ticker"), F.coalesce(F.date_format("release_date", "yyyyMMdd"), F.lit("unknown")), F.coalesce(F.nullif(slug, F.lit("")), F.lit("unknown"))),
+            "release_id": F.concat_ws("_", slug(F.col("ticker"), 20), F.coalesce(F.date_format("release_date", "yyyyMMdd"), F.lit("unknown")), slug(F.col("title"), 90)),
             # What a request can ask of the text, as tokens: the pair join carries these, not the text.
-            "years": F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=(20[0-9]{2}))"), F.lit(1))),
-            "fiscal_years": F.array_distinct(F.regexp_extract_all(low, F.lit(r"fiscal (20[0-9]{2})"), F.lit(1))),
+            "years": F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?=([0-9]{4}))"), F.lit(1))),
+            "fiscal_years": F.array_distinct(F.regexp_extract_all(low, F.lit(r"fiscal ([0-9]{4})"), F.lit(1))),
             "short_quarters": F.array_distinct(F.regexp_extract_all(low, F.lit(r"q([1-4])"), F.lit(1))),
             "word_quarters": F.array_distinct(F.regexp_extract_all(low, F.lit(rf"{_WORD} quarter"), F.lit(1))),
         }
@@ -82,13 +105,19 @@ def release_scores(fields: DataFrame, requests: DataFrame) -> DataFrame:
         + F.when(F.col("detected_period") == wanted, 60).when(F.col("detected_period").isNotNull(), -100).otherwise(0)
         + F.when(F.abs(F.year("release_date") - F.col("fiscal_year")) <= 1, 5).otherwise(0)
     )
-    return pairs.select("ticker", "fiscal_year", "quarter", "row_ord", "release_id", "title", "release_date", "url", "publisher", score.cast("long").alias("score"))
+    return pairs.select("ticker", "fiscal_year", "quarter", "row_ord", "release_id", "title", "release_date", "url", "publisher", "company", score.cast("long").alias("score"))
 
 
 def release_candidates(scores: DataFrame, n: int = AUDITED) -> DataFrame:
-    """The n best of each request: by score, then date (none last), then order of the feed."""
-    order = W.partitionBy("ticker", "fiscal_year", "quarter").orderBy(F.desc("score"), F.desc_nulls_last("release_date"), "row_ord")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """The n best of each request: by score, then date (none last), then order of the feed.
+
+    In two steps, so that no task sorts all releases of a busy ticker: the n best of each of `SPLITS` parts of a request,
+    then of what these leave.
+    """
+    keys, order = ["ticker", "fiscal_year", "quarter"], [F.desc("score"), F.desc_nulls_last("release_date"), F.asc("row_ord")]
+    split = scores.withColumn("_part", F.pmod(F.xxhash64("row_ord"), F.lit(SPLITS)))
+    some = split.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))).where(F.col("rank") <= n)
+    return some.drop("_part").withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def release_best(candidates: DataFrame, least: int = MIN_SCORE) -> DataFrame:

@@ -109,18 +109,23 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), "|"), F.lit("|"))
 
 
-def table_markdown(tables: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, table_no, heading, markdown): `Item`, the headers or `Value 1` and so on, then the rows, padded."""
-    heads = F.concat(F.array(F.lit("Item")), F.coalesce("headers", _strings()))
-    width = F.greatest(F.size(heads), F.array_max(F.transform("body", F.size)))
+def markdown_lines(headers: Column, body: Column) -> Column:
+    """`Item`, the headers or `Value 1` and so on, a rule, then the rows, padded."""
+    heads = F.concat(F.array(F.lit("Item")), F.coalesce(headers, _strings()))
+    width = F.greatest(F.size(heads), F.array_max(F.transform(body, F.size)))
     # Built from a sequence of column numbers, so that a table without more columns adds none.
     names = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.when(k < F.size(heads), F.get(heads, k)).otherwise(F.concat(F.lit("Value "), k.cast("string"))))
     rule = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.when(k == 0, "-").otherwise("-:"))
-    lines = F.transform("body", lambda r: _line(F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int")))))
+    rows = F.transform(body, lambda r: _line(F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int")))))
+    return F.array_join(F.concat(F.array(_line(names), _line(rule)), rows), "\n")
+
+
+def table_markdown(tables: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, table_no, heading, markdown) for every table with rows left."""
     label = F.when(F.col("class") == "non_gaap", "Non-GAAP Table").when(F.col("class") == "financial", "Financial Table").when(F.col("class") == "contact", "Contact Table").otherwise("Table")
     named = (F.col("title") != "") & ~F.col("title").rlike(r"(?i)^table\s+\d+$")
     heading = F.concat(F.lit("## "), label, F.lit(" "), F.col("table_no").cast("string"), F.when(named, F.concat(F.lit(": "), "title")).otherwise(""))
-    return tables.where(F.size("body") > 0).select(key, "table_no", heading.alias("heading"), F.array_join(F.concat(F.array(_line(names), _line(rule)), lines), "\n").alias("markdown"))
+    return tables.where(F.size("body") > 0).select(key, "table_no", heading.alias("heading"), markdown_lines(F.col("headers"), F.col("body")).alias("markdown"))
 
 
 def table_counts(parsed: DataFrame, key: str = "page_id") -> DataFrame:
