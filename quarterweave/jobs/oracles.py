@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import patterns as P
+from ..functions.text import EMAIL, LINE_END, SPACE
 from ..sources.shapes import duckdb
 
 
@@ -12,7 +13,7 @@ def _q(text: str) -> str:
 
 _CALL = "symbol, year, quarter"
 _STRIP = lambda c: rf"regexp_replace({c}, '\A\s+|\s+\z', '', 'g')"
-_WORDS = lambda c: rf"len(regexp_extract_all({c}, '\S+'))::BIGINT"
+_WORDS = lambda c: rf"len(regexp_extract_all({c}, '[^{SPACE}]+'))::BIGINT"
 
 _TEXT = rf"""
 {duckdb("transcript_items")},
@@ -63,6 +64,17 @@ SELECT * EXCLUDE (sw), qna_found AND qna_words >= 250 AND closed AS qna_complete
         CASE WHEN qna_found AND qna_words < 250 THEN 'qna_detected_but_too_short' END, CASE WHEN has_text AND NOT closed THEN 'operator_close_not_detected' END,
         CASE WHEN truncated THEN 'explicit_truncation_marker_detected' END, CASE WHEN mid_sentence THEN 'ends_mid_sentence' END], lambda x: x IS NOT NULL), ',') AS warnings FROM f"""
 
+# Text as the jobs clean it, written as SQL.
+_TRIM = lambda c: rf"regexp_replace({c}, '\A[{SPACE}]+|[{SPACE}]+\z', '', 'g')"
+_SQUEEZE = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '[{SPACE}]+', ' ', 'g'))"
+
+
+def _CLEAN(c: str) -> str:
+    c = rf"replace(replace(regexp_replace(coalesce({c}, ''), chr(27) || '\[[0-9;]*m', '', 'g'), chr(160), ' '), chr(8203), '')"
+    c = rf"regexp_replace(regexp_replace({c}, '([A-Za-z\)])({EMAIL})', '\1 \2', 'g'), '[ \t]+', ' ', 'g')"
+    return _TRIM(rf"regexp_replace(regexp_replace({c}, '\n[ \t]+', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 _INT = lambda c: f"try_cast(trim(replace(replace(upper({c}), 'FY', ''), 'Q', '')) AS INT)"
 _PERIODS = rf"""{duckdb("transcript_dates")},
 periods AS (SELECT symbol, rank::INT AS rank, year, quarter, 'Q' || quarter || ' ' || year AS period_label, call_date FROM (
@@ -71,12 +83,16 @@ periods AS (SELECT symbol, rank::INT AS rank, year, quarter, 'Q' || quarter || '
 fy AS (SELECT symbol, (CASE WHEN max(year * 10 + quarter) % 10 = 4 THEN max(year) ELSE max(year) - 1 END)::INT AS fiscal_year FROM periods GROUP BY symbol)"""
 _TABLES = rf"""{duckdb("statements")},
 tables AS (SELECT * REPLACE (rank::INT AS rank) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, table_name, freq ORDER BY row_ord) AS rank FROM statements) WHERE rank <= CASE freq WHEN 'quarter' THEN 4 ELSE 3 END)"""
-_MATCH = rf"""quarterly AS (SELECT t.symbol, table_name, count(p.symbol) AS matched_rows, round(sum(CASE WHEN p.symbol IS NOT NULL THEN amount END), 2) AS matched_amount,
-    CASE WHEN count(p.symbol) > 0 THEN 'exact_period_match' ELSE 'no_exact_period_match' END AS match_status
-    FROM (SELECT * FROM tables WHERE freq = 'quarter') t LEFT JOIN periods p ON p.symbol = t.symbol AND p.year = {_INT("t.fiscal_year")} AND upper(t.period) = 'Q' || p.quarter GROUP BY t.symbol, table_name)"""
-_ANNUAL = rf"""annual AS (SELECT t.symbol, table_name, fy.fiscal_year, count(CASE WHEN {_INT("t.fiscal_year")} = fy.fiscal_year THEN 1 END) AS matched_rows, round(sum(CASE WHEN {_INT("t.fiscal_year")} = fy.fiscal_year THEN amount END), 2) AS matched_amount,
-    CASE WHEN count(CASE WHEN {_INT("t.fiscal_year")} = fy.fiscal_year THEN 1 END) > 0 THEN 'exact_fiscal_year_match' ELSE 'no_exact_fiscal_year_match' END AS match_status
-    FROM tables t JOIN fy ON fy.symbol = t.symbol WHERE freq = 'annual' AND table_name IN ('income_statement', 'balance_sheet', 'cash_flow_statement') GROUP BY t.symbol, table_name, fy.fiscal_year)"""
+_ROW = "concat_ws(':', t.fiscal_year, period, round(amount, 2)::DECIMAL(38, 2)::VARCHAR)"
+_MATCH = rf"""found AS (SELECT symbol, count(*) AS n_periods FROM (SELECT DISTINCT symbol, year, quarter FROM periods) GROUP BY symbol),
+hits AS (SELECT t.*, EXISTS (SELECT 1 FROM periods p WHERE p.symbol = t.symbol AND p.year = {_INT("t.fiscal_year")} AND upper(t.period) = 'Q' || p.quarter) AS hit FROM tables t WHERE freq = 'quarter'),
+quarterly AS (SELECT t.symbol, table_name, count(*) FILTER (hit) AS n_matched, round(sum(amount) FILTER (hit), 2) AS matched_amount, coalesce(string_agg({_ROW}, ';' ORDER BY rank) FILTER (hit), '') AS matched_rows,
+    CASE WHEN count(*) FILTER (hit) > 0 THEN '' ELSE coalesce(string_agg({_ROW}, ';' ORDER BY rank) FILTER (rank <= n_periods), '') END AS fallback_rows, count(*) FILTER (hit) = 0 AND count(*) FILTER (rank <= n_periods) > 0 AS fallback_used,
+    CASE WHEN count(*) FILTER (hit) > 0 THEN 'exact_period_match' ELSE 'no_exact_period_match' END AS match_status
+    FROM hits t LEFT JOIN found USING (symbol) GROUP BY t.symbol, table_name)"""
+_ANNUAL = rf"""yearly AS (SELECT t.*, fy.fiscal_year AS fy, coalesce({_INT("t.fiscal_year")} = fy.fiscal_year, false) AS hit FROM tables t JOIN fy ON fy.symbol = t.symbol WHERE freq = 'annual' AND table_name IN ('income_statement', 'balance_sheet', 'cash_flow_statement')),
+annual AS (SELECT t.symbol, table_name, fy AS fiscal_year, count(*) FILTER (hit) AS n_matched, round(sum(amount) FILTER (hit), 2) AS matched_amount, coalesce(string_agg({_ROW}, ';' ORDER BY rank) FILTER (hit), '') AS matched_rows,
+    CASE WHEN count(*) FILTER (hit) > 0 THEN 'exact_fiscal_year_match' ELSE 'no_exact_fiscal_year_match' END AS match_status FROM yearly t GROUP BY t.symbol, table_name, fy)"""
 _ACTIONS = rf"""actions AS (SELECT symbol, unnest(['selected_quarter_prepared_remarks', 'selected_quarter_q_and_a', 'selected_quarter_official_earnings_release']) AS scope, period_label, NULL::INT AS row_limit FROM periods
     UNION ALL SELECT symbol, 'latest_completed_fiscal_year', 'FY' || fiscal_year, 3 FROM fy
     UNION ALL SELECT symbol, 'selected_quarters', string_agg(period_label, ', ' ORDER BY rank), least(greatest(count(*), 1), 4)::INT FROM periods GROUP BY symbol)"""
@@ -86,8 +102,9 @@ _N = lambda c: f"CASE {c} WHEN 'first' THEN '1' WHEN 'second' THEN '2' WHEN 'thi
 _FORM = lambda p, q, y, word: f"CASE WHEN regexp_matches(low, '{p}') THEN 'Q' || " + (_N(f"regexp_extract(low, '{p}', {q})") if word else f"regexp_extract(low, '{p}', {q})") + f" || ' FY' || regexp_extract(low, '{p}', {y}) END"
 _HAS = lambda c, xs: "(" + " OR ".join(f"contains({c}, {_q(x)})" for x in xs) + ")"
 _FIELDS = rf"""{duckdb("releases")},
-r0 AS (SELECT ticker, row_ord, trim(coalesce(nullif(title, ''), nullif(headline, ''), 'Untitled press release')) AS title, coalesce(try_cast(published_date AS date), try_cast(date AS date)) AS release_date,
-    coalesce(nullif(url, ''), nullif(link, '')) AS url, coalesce(text, '') AS text, site AS publisher, symbol FROM releases),
+r0 AS (SELECT ticker, row_ord, {_CLEAN("coalesce(nullif(title, ''), nullif(headline, ''), nullif(subject, ''), 'Untitled press release')")} AS title,
+    coalesce(try_cast(published_date AS date), try_cast(date AS date), try_cast(left(accepted_date, 10) AS date)) AS release_date,
+    coalesce(nullif(url, ''), nullif(link, '')) AS url, {_CLEAN("coalesce(nullif(text, ''), nullif(content, ''), '')")} AS text, coalesce(nullif(publisher, ''), nullif(site, '')) AS publisher, symbol FROM releases),
 r1 AS (SELECT *, lower(concat_ws(chr(10), title, text, url)) AS low, lower(title) AS head, lower(coalesce(regexp_extract(url, '://([^/]*)', 1), '')) AS host,
     regexp_replace(left(regexp_replace(lower(regexp_replace(title, '[^a-zA-Z0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), 90), '_+$', '') AS slug FROM r0),
 r2 AS (SELECT *, replace(host, 'www.', '') AS domain, contains(host, 'sec.gov') AS is_sec,
@@ -105,6 +122,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker, fiscal_year, quarte
 
 _FORMS = ", ".join(map(_q, P.RELEVANT_FORMS))
 _ALL = "concat_ws(' ', form, filing_date, report_date, items, accession, primary_document)"
+_ABOUT = _ALL[:-1] + ", primary_doc_description)"
 
 ORACLES: dict[str, str] = {
     "transcript_text": f"WITH {_TEXT} SELECT * FROM calls",
@@ -124,12 +142,12 @@ ORACLES: dict[str, str] = {
     "company_profile": f"WITH {_PERIODS}, {duckdb('profiles')} SELECT symbol, name, sector, country FROM (SELECT DISTINCT symbol FROM periods) LEFT JOIN profiles USING (symbol)",
     "evidence_pack": f"""WITH {_PERIODS}, {_TABLES}, {_MATCH}, {_ANNUAL}, {_ACTIONS}, {duckdb("profiles")},
         l AS (SELECT symbol, string_agg(period_label, ',' ORDER BY rank) AS selected_periods, count(*) AS n FROM periods GROUP BY symbol),
-        q AS (SELECT symbol, string_agg(table_name || ':' || match_status || ':' || matched_rows, ',' ORDER BY table_name) AS financial_tables FROM quarterly GROUP BY symbol),
-        a AS (SELECT symbol, string_agg(table_name || ':' || match_status || ':' || matched_rows, ',' ORDER BY table_name) AS annual_tables FROM annual GROUP BY symbol),
+        q AS (SELECT symbol, string_agg(table_name || ':' || match_status || ':' || n_matched, ',' ORDER BY table_name) AS financial_tables FROM quarterly GROUP BY symbol),
+        a AS (SELECT symbol, string_agg(table_name || ':' || match_status || ':' || n_matched, ',' ORDER BY table_name) AS annual_tables FROM annual GROUP BY symbol),
         x AS (SELECT symbol, count(*) AS n_actions FROM actions GROUP BY symbol)
         SELECT symbol, selected_periods, fiscal_year, financial_tables, annual_tables, coalesce(n_actions, 0)::BIGINT AS n_actions,
             CASE WHEN n IS NULL THEN 'fewer_transcript_periods_found_than_requested,no_selected_periods' WHEN n < 2 THEN 'fewer_transcript_periods_found_than_requested' ELSE '' END AS notes
-        FROM profiles LEFT JOIN l USING (symbol) LEFT JOIN fy USING (symbol) LEFT JOIN q USING (symbol) LEFT JOIN a USING (symbol) LEFT JOIN x USING (symbol)""",
+        FROM (SELECT symbol FROM profiles UNION SELECT symbol FROM periods) LEFT JOIN l USING (symbol) LEFT JOIN fy USING (symbol) LEFT JOIN q USING (symbol) LEFT JOIN a USING (symbol) LEFT JOIN x USING (symbol)""",
     "release_fields": f"WITH {_FIELDS} SELECT ticker, row_ord, title, release_date, url, publisher, domain, is_sec, detected_period, fixed_score, release_id FROM r2",
     "release_scores": f"WITH {_SCORES} SELECT ticker, fiscal_year, quarter, row_ord, score FROM scores",
     "release_candidates": f"WITH {_SCORES} SELECT ticker, fiscal_year, quarter, rank, row_ord, score, release_date FROM ranked WHERE rank <= 20",
@@ -140,13 +158,13 @@ ORACLES: dict[str, str] = {
         k AS (SELECT *, 'relevant' AS kind FROM own WHERE rel UNION ALL SELECT *, 'earnings' FROM own WHERE earn),
         t AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY row_ord)::INT AS rank FROM k)
         SELECT symbol, accession, form, kind, rank, omitted FROM t JOIN c USING (symbol) WHERE rank <= CASE kind WHEN 'relevant' THEN 12 ELSE 6 END""",
-    "filing_rank": f"""WITH {_PERIODS}, {duckdb("filings")}, p AS (SELECT f.*, periods.year AS fiscal_year, periods.quarter, abs(date_diff('day', filing_date::DATE, call_date::DATE)) AS days, {_ALL} AS everything FROM filings f JOIN periods USING (symbol) WHERE form IN ({_FORMS})),
+    "filing_rank": f"""WITH {_PERIODS}, {duckdb("filings")}, p AS (SELECT f.*, periods.year AS fiscal_year, periods.quarter, abs(date_diff('day', filing_date::DATE, call_date::DATE)) AS days, {_ABOUT} AS everything FROM filings f JOIN periods USING (symbol) WHERE form IN ({_FORMS})),
         s AS (SELECT *, (CASE WHEN form IN ('8-K', '6-K') THEN 1000 ELSE 250 END + CASE WHEN regexp_matches(items, '(?i)\\b2\\.02\\b|results of operations|financial condition') THEN 350 ELSE 0 END + CASE WHEN regexp_matches(everything, {_q(P.EARNINGS_RELEASE)}) THEN 175 ELSE 0 END
-            + CASE WHEN contains(everything, fiscal_year::VARCHAR) THEN 40 ELSE 0 END + CASE WHEN contains(lower(everything), 'quarter') THEN 30 ELSE 0 END
+            + CASE WHEN contains(everything, fiscal_year::VARCHAR) THEN 40 ELSE 0 END + CASE WHEN regexp_matches(everything, '(?i)\\bq' || quarter || '\\b|quarter') THEN 30 ELSE 0 END
             + CASE WHEN days <= 2 THEN 350 WHEN days <= 14 THEN 250 WHEN days <= 45 THEN 150 WHEN days <= 90 THEN 50 ELSE 0 END + CASE WHEN contains(report_date, fiscal_year::VARCHAR) THEN 50 ELSE 0 END)::BIGINT AS score FROM p),
         r AS (SELECT *, row_number() OVER (PARTITION BY symbol, fiscal_year, quarter ORDER BY score DESC, filing_date DESC, row_ord) AS rank FROM s)
         SELECT symbol, fiscal_year, quarter, accession, form, filing_date, score FROM r WHERE rank = 1 AND score >= 250""",
-    "cik_lookup": f"WITH {duckdb('profiles')}, {duckdb('ticker_map')} SELECT p.symbol, lpad(cik_int::VARCHAR, 10, '0') AS cik, m.title, CASE WHEN cik_int IS NULL THEN 'unknown_symbol' ELSE 'ok' END AS status FROM profiles p LEFT JOIN ticker_map m ON upper(p.symbol) = upper(m.ticker)",
+    "cik_lookup": f"WITH {duckdb('profiles')}, {duckdb('ticker_map')} , first_of AS (SELECT * FROM ticker_map QUALIFY row_number() OVER (PARTITION BY upper(ticker) ORDER BY row_ord) = 1) SELECT p.symbol, lpad(cik_int::VARCHAR, 10, '0') AS cik, m.title, CASE WHEN cik_int IS NULL THEN 'unknown_symbol' ELSE 'ok' END AS status FROM profiles p LEFT JOIN first_of m ON upper(p.symbol) = upper(m.ticker)",
     "submissions_rows": f"WITH {duckdb('filings')} SELECT symbol, (row_number() OVER w - 1)::INT AS pos, form, filing_date, CASE WHEN row_number() OVER w < count(*) OVER (PARTITION BY symbol) THEN items END AS items FROM filings WINDOW w AS (PARTITION BY symbol ORDER BY row_ord)",
     "filing_documents": f"""WITH {duckdb("filing_documents")}, d AS (SELECT *, concat_ws(' ', name, description, type) AS about FROM filing_documents WHERE regexp_matches(name, '(?i)\\.(htm|html|txt)$')),
         s AS (SELECT *, regexp_matches(about, {_q(P.LEGAL_EXHIBIT)}) AS legal, regexp_matches(about, '(?i)ex[-_ ]?99|exhibit\\s*99') AS ex FROM d),
@@ -183,3 +201,77 @@ ORACLES |= {
     "table_markdown": f"WITH {_PUT} SELECT page_id, table_no, {_by_case([f'## {_LABELS[c]} 1: {t}' for c, t in zip(_KINDS, _TITLES, strict=True)])} AS heading, {_by_case([_markdown(k) for k in range(6)])} AS markdown FROM put",
     "table_counts": f"WITH {_PUT} SELECT p.page_id, count(k) AS total, " + ", ".join(f"count(CASE WHEN {_by_case(_KINDS)} = '{c}' THEN 1 END) AS {c}" for c in _LABELS) + " FROM pages p LEFT JOIN put USING (page_id) GROUP BY p.page_id",
 }
+
+_QC = "CASE WHEN upper(trim(quarter)) IN ('1', 'Q1', 'FIRST') THEN 'Q1' WHEN upper(trim(quarter)) IN ('2', 'Q2', 'SECOND') THEN 'Q2' WHEN upper(trim(quarter)) IN ('3', 'Q3', 'THIRD') THEN 'Q3' WHEN upper(trim(quarter)) IN ('4', 'Q4', 'FOURTH') THEN 'Q4' END"
+_LINES = lambda c: f"list_transform(string_split_regex(coalesce({c}, ''), '{LINE_END}'), lambda x: {_SQUEEZE('x')})"
+_LIKE_TABLE = f"(regexp_matches(line, {_q(P.TABLE_NUMBERS)}) AND (regexp_matches(line, {_q(P.TABLE_SPACING)}) OR regexp_matches(line, {_q(P.TABLE_WORDS)})) AND regexp_matches(line, '[^{SPACE}]'))"
+_GONE = f"(x = '' OR lower(x) IN ({', '.join(map(_q, P.BOILERPLATE))}) OR starts_with(lower(x), '{P.BOILERPLATE_STARTS[0]}') OR starts_with(lower(x), '{P.BOILERPLATE_STARTS[1]}'))"
+_KEPT = lambda c: _CLEAN(f"array_to_string(list_filter({_LINES(_CLEAN(c))}, lambda x: NOT {_GONE}), chr(10))")
+
+
+def _islands(name: str, source: str, key: str) -> str:
+    """Runs of lines that look like a table or not, of (key, txt) in `source`, as `name` (key, block_no, kind, text)."""
+    return f"""{name}_l AS (SELECT {key}, i, line, CASE WHEN {_LIKE_TABLE} THEN 'table_text' ELSE 'text' END AS kind
+    FROM (SELECT {key}, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT {key}, string_split_regex(coalesce(txt, ''), '{LINE_END}') AS l FROM {source}))),
+{name}_r AS (SELECT *, i - row_number() OVER (PARTITION BY {key}, kind ORDER BY i) AS run FROM {name}_l),
+{name}_g AS (SELECT {key}, kind, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS t FROM {name}_r GROUP BY {key}, kind, run),
+{name}_t AS (SELECT {key}, i, kind, CASE kind WHEN 'text' THEN {_CLEAN("t")} ELSE {_TRIM("t")} END AS text FROM {name}_g),
+{name} AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INT AS block_no, kind, text FROM {name}_t WHERE text <> '')"""
+
+
+_HAS_ANY = lambda c, words: f"regexp_matches({c}, {_q('|'.join(words))})"
+_CONTENT = rf"""{duckdb("release_parts")}, {duckdb("release_pages")},
+content AS (SELECT p.*, CASE WHEN k = 3 THEN NULL WHEN length(html) >= 300 THEN 'scraped_public_url_html' WHEN {_CLEAN("p.text")} <> '' THEN 'press_release_text' END AS content_source,
+    CASE WHEN k = 3 THEN NULL WHEN length(html) >= 300 THEN html WHEN {_CLEAN("p.text")} <> '' THEN {_CLEAN("p.text")} END AS raw_content FROM release_parts p LEFT JOIN release_pages USING (url))"""
+_SECTIONS = rf"""{_CONTENT},
+page AS (SELECT *, {_KEPT("head || chr(10) || " + _SQUEEZE("body"))} AS top, {_KEPT("head || chr(10) || " + _SQUEEZE("body") + " || chr(10) || 'Closing words'")} AS whole FROM content WHERE content_source = 'scraped_public_url_html'),
+src AS (SELECT release_id, {_CLEAN("whole")} AS txt FROM page WHERE k = 1 UNION ALL SELECT release_id, raw_content FROM content WHERE content_source = 'press_release_text'),
+{_islands("plain", "src", "release_id")},
+near AS (SELECT *, list_filter({_LINES("right(top, 900)")}, lambda x: x <> '')[-12:] AS near FROM page WHERE k = 0),
+named AS (SELECT *, list_filter(near, lambda x: {_HAS_ANY("lower(x)", P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS)}) AS named FROM near),
+titled AS (SELECT *, left(coalesce(named[-1], near[-1], 'Table 1'), 180) AS title, lower(' 2025 2024 ' || label || ' ' || n || ' ' || n1) AS cells FROM named),
+classed AS (SELECT *, CASE WHEN {_HAS_ANY("lower(title) || ' ' || cells", P.RELEASE_NON_GAAP)} THEN 'non_gaap' WHEN {_HAS_ANY("lower(title)", P.RELEASE_STATEMENTS)} OR s >= 3 THEN 'financial' WHEN {_HAS_ANY("lower(title) || ' ' || cells", P.CONTACTS)} OR regexp_matches(cells, '{EMAIL}') THEN 'contact'
+    WHEN s >= 1 AND NOT {_HAS_ANY("lower(title) || ' ' || cells", P.ADJUSTED)} THEN 'financial' ELSE 'other' END AS class FROM (SELECT *, len(list_filter([{", ".join(map(_q, P.ROW_SIGNALS))}], lambda x: contains(cells, x))) AS s FROM titled)),
+made AS (SELECT release_id, 0 AS o, 'text' AS kind, top AS text, NULL AS title, NULL AS class, NULL AS markdown FROM page WHERE k = 0 AND top <> ''
+    UNION ALL SELECT release_id, 1, 'table', NULL, title, class, '|Item|2025|2024|' || chr(10) || '|-|-:|-:|' || chr(10) || '|' || label || '|' || n || '|' || n1 || '|' FROM classed
+    UNION ALL SELECT release_id, 2, 'text', 'Closing words', NULL, NULL, NULL FROM page WHERE k = 0
+    UNION ALL SELECT release_id, block_no, kind, text, CASE kind WHEN 'table_text' THEN 'Text-formatted table' END, CASE kind WHEN 'table_text' THEN 'other' END, NULL FROM plain),
+sections AS (SELECT release_id, (row_number() OVER (PARTITION BY release_id ORDER BY o) - 1)::INT AS section_no, kind, text, title, class, markdown
+    FROM (SELECT *, row_number() OVER (PARTITION BY release_id, kind, {_SQUEEZE("lower(text)")} ORDER BY o) AS again FROM made) WHERE kind <> 'text' OR again = 1)"""
+_MARKDOWN = rf"""{_SECTIONS},
+story AS (SELECT release_id, {_CLEAN("string_agg(text, chr(10) || chr(10) ORDER BY section_no)")} AS story FROM sections WHERE kind = 'text' GROUP BY release_id),
+heads AS (SELECT release_id, own, list_filter(own[:80], lambda x: (contains(lower(x), 'reports') OR contains(lower(x), 'announces')) AND (contains(lower(x), 'results') OR contains(lower(x), 'earnings')) OR contains(lower(x), 'financial results') AND length(x) < 220) AS hit
+    FROM (SELECT release_id, list_filter({_LINES("story")}, lambda x: x <> '') AS own FROM story)),
+counts AS (SELECT c.release_id, {", ".join(f"count(*) FILTER (s.kind = 'table' AND class = '{x}') AS {x}" for x in ("financial", "non_gaap", "contact", "other"))}, count(*) FILTER (s.kind = 'table_text') AS text_tables, count(*) FILTER (s.kind <> 'text') AS total FROM content c LEFT JOIN sections s USING (release_id) GROUP BY c.release_id),
+numbered AS (SELECT *, sum((kind <> 'text')::INT) OVER (PARTITION BY release_id ORDER BY section_no) AS no, {_CLEAN("title")} AS t FROM sections),
+body AS (SELECT release_id, string_agg(CASE kind WHEN 'text' THEN {_CLEAN("text")} WHEN 'table' THEN '## ' || CASE class WHEN 'financial' THEN 'Financial Table' WHEN 'non_gaap' THEN 'Non-GAAP Table' WHEN 'contact' THEN 'Contact Table' ELSE 'Table' END || ' ' || no
+    || CASE WHEN t <> '' AND NOT regexp_matches(t, '(?i)^table\s+\d+$') THEN ': ' || t ELSE '' END || chr(10) || chr(10) || {_CLEAN("markdown")} ELSE '## Table ' || no || ': ' || t || chr(10) || chr(10) || '```text' || chr(10) || {_TRIM("text")} || chr(10) || '```' END, chr(10) || chr(10) ORDER BY section_no) AS parts FROM numbered GROUP BY release_id),
+top AS (SELECT c.*, coalesce(hit[1], own[1], head) AS headline, counts.* EXCLUDE (release_id), coalesce(parts, '') AS parts FROM content c LEFT JOIN heads USING (release_id) LEFT JOIN body USING (release_id) LEFT JOIN counts USING (release_id)),
+md AS (SELECT *, CASE WHEN content_source IS NOT NULL THEN {_TRIM(r"""concat('---', chr(10), concat_ws(chr(10), 'id: "' || release_id || '"', 'ticker: "' || ticker || '"', 'source: "Press release feed + public page"', 'period_requested: "' || period || '"',
+    'headline: "' || replace(""" + _SQUEEZE("headline") + r""", '"', '\"') || '"', 'title: "' || head || '"', 'url: "' || url || '"', 'tables_financial: ' || financial, 'tables_non_gaap: ' || non_gaap, 'tables_contact: ' || contact, 'tables_other: ' || other, 'tables_text: ' || text_tables),
+    chr(10), '---', chr(10), chr(10), '# ', headline, chr(10), chr(10), parts)""")} || chr(10) END AS markdown FROM top)"""
+_POSITIVE = _q(P.POSITIVE_TERMS)
+
+ORACLES |= {
+    "period_labels": f"WITH {duckdb('transcript_dates')}, l AS (SELECT symbol, coalesce(year, fiscal_year) AS year, quarter, {_QC} AS quarter_code FROM transcript_dates) SELECT *, CASE quarter_code WHEN 'Q1' THEN 'first' WHEN 'Q2' THEN 'second' WHEN 'Q3' THEN 'third' WHEN 'Q4' THEN 'fourth' END AS quarter_word, CASE WHEN quarter_code IS NULL THEN '' ELSE concat_ws(' ', quarter_code, year) END AS call_label, quarter_code || ' FY' || year AS release_label FROM l",
+    "recheck_actions": f"SELECT symbol, year, quarter, 'recheck_transcript_dates' AS scope, greatest(2000, year - 1)::INT AS min_year FROM ({_QUALITY}) WHERE status = 'incomplete'",
+    "widen_actions": f"WITH {_PERIODS}, {duckdb('profiles')} SELECT DISTINCT symbol, 'widen_min_year' AS scope, 1998::INT AS min_year FROM profiles ANTI JOIN periods USING (symbol)",
+    "evidence_manifest": f"WITH {_PERIODS}, {_TABLES}, {_MATCH}, {_ANNUAL} SELECT symbol, freq, table_name, fiscal_year, period, amount FROM hits WHERE hit UNION ALL SELECT symbol, freq, table_name, fiscal_year, period, amount FROM yearly WHERE hit",
+    "release_content": f"WITH {_CONTENT} SELECT release_id, content_source, CASE WHEN k = 3 THEN 'regulator_url_refused' WHEN content_source IS NULL THEN 'no_usable_content' END AS content_error, CASE WHEN raw_content IS NOT NULL THEN CASE WHEN regexp_matches(lower(raw_content), '<html|<body|<table|</table|<p') THEN 'html' ELSE 'txt' END END AS raw_format, length(raw_content)::INT AS n_chars, sha256(raw_content) AS raw_sha256 FROM content",
+    "release_sections": f"WITH {_SECTIONS} SELECT * FROM sections",
+    "release_markdown": f"WITH {_MARKDOWN} SELECT release_id, headline, CASE WHEN content_source IS NOT NULL THEN financial END AS financial, CASE WHEN content_source IS NOT NULL THEN total END AS total, markdown FROM md",
+    "release_manifest": f"WITH {_MARKDOWN} SELECT release_id AS id, period, headline, 'markdown/' || release_id AS llm_markdown_path, 'raw/raw_format=' || CASE WHEN regexp_matches(lower(raw_content), '<html|<body|<table|</table|<p') THEN 'html' ELSE 'txt' END || '/' || release_id AS raw_path, financial, non_gaap, contact, other, text_tables, total, length(markdown)::BIGINT AS characters, {_WORDS('markdown')} AS words, greatest(1, length(markdown) // 4)::BIGINT AS rough_tokens_estimate, '2026-01-01T00:00:00+00:00' AS created_at_utc FROM md WHERE content_source IS NOT NULL",
+    "paragraphs": rf"""WITH g AS (SELECT doc_id, list_filter(list_transform(string_split_regex(array_to_string({_LINES("text")}, chr(10)), '
+{{2,}}'), lambda g: {_CLEAN("replace(" + _TRIM("g") + ", chr(10), ' ')")}), lambda g: g <> '') AS p FROM documents)
+        SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS paragraph_no, unnest(p) AS paragraph FROM g""",
+    "text_table_blocks": f"WITH src AS (SELECT doc_id, text AS txt FROM documents), {_islands('blocks', 'src', 'doc_id')} SELECT * FROM blocks",
+    "exhibit_rank": rf"""WITH {duckdb("exhibit_contents")}, {duckdb("exhibit_requests")}, docs AS ({ORACLES["filing_documents"]}),
+        low AS (SELECT *, min(tier) OVER (PARTITION BY accession) AS lowest FROM docs),
+        r AS (SELECT low.accession, low.name, url, score AS metadata_score, coalesce(text, '') AS text, coalesce(n_tables, 0) AS n_tables, fiscal_year, quarter, lower(left(coalesce(text, ''), 40000)) AS low, len(regexp_extract_all(coalesce(text, ''), {_POSITIVE})) AS positive, ['first', 'second', 'third', 'fourth'][quarter] AS w
+            FROM low LEFT JOIN exhibit_contents c ON c.accession = low.accession AND c.name = low.name LEFT JOIN exhibit_requests q ON q.accession = low.accession WHERE tier = lowest AND rank <= 12),
+        s AS (SELECT *, (CASE WHEN regexp_matches(left(text, 20000), {_q(P.LEGAL_EXHIBIT)}) THEN -5000 ELSE 0 END + least(positive, 12) * 180 + CASE WHEN n_tables >= 3 THEN 500 ELSE n_tables * 50 END + CASE WHEN length(text) >= 10000 THEN 200 WHEN length(text) >= 5000 THEN 80 ELSE 0 END
+            - CASE WHEN regexp_matches(left(text, 20000), {_q(P.CAPITAL_RETURN)}) AND positive < 3 AND n_tables < 3 THEN 1200 ELSE 0 END
+            + CASE WHEN quarter IS NULL THEN 0 ELSE CASE WHEN regexp_matches(low, w || '\s+quarter\s+(?:fiscal\s+)?' || fiscal_year || '|fiscal\s+' || fiscal_year || '\s+' || w || '\s+quarter|q' || quarter || '\s+(?:fy|fiscal\s+)?' || fiscal_year) THEN 2500 ELSE 0 END + CASE WHEN contains(low, fiscal_year::VARCHAR) THEN 200 ELSE 0 END
+                + CASE WHEN contains(low, w || ' quarter') THEN 500 ELSE 0 END + CASE WHEN contains(low, 'q' || quarter) THEN 250 ELSE 0 END - CASE WHEN contains(low, w || ' quarter') THEN 0 ELSE 600 * len(list_filter(['first', 'second', 'third', 'fourth'], lambda x: x <> w AND contains(low, x || ' quarter'))) END END)::BIGINT AS content_score FROM r)
+        SELECT accession, count(*) OVER (PARTITION BY accession) AS n_read, name, url, metadata_score, content_score, metadata_score + content_score AS score, length(text)::INT AS n_chars FROM s QUALIFY row_number() OVER (PARTITION BY accession ORDER BY metadata_score + content_score DESC, length(text) DESC, name DESC) = 1""",
+}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filings, html, periods, releases, tables, transcripts
+from ..functions import text
+from ..operators import content, filings, html, periods, releases, tables, transcripts
 from ..sources.shapes import shaped
 from .oracles import ORACLES  # noqa: F401
 
@@ -79,12 +80,31 @@ def statement_tables(spark: SparkSession, d: str) -> DataFrame:
     return _tables(spark, d)
 
 
+def _rows(column: str) -> Column:
+    """Matched rows as text."""
+    return F.array_join(F.transform(column, lambda r: F.concat_ws(":", r["fiscal_year"], r["period"], F.round(r["amount"], 2).cast("decimal(38, 2)").cast("string"))), ";")
+
+
 def period_match(spark: SparkSession, d: str) -> DataFrame:
-    return periods.period_match(_tables(spark, d), _periods(spark, d))
+    matched = periods.period_match(_tables(spark, d), _periods(spark, d), allow_fallback=True)
+    return matched.withColumn("matched_rows", _rows("matched_rows")).withColumn("fallback_rows", _rows("fallback_rows"))
 
 
 def annual_match(spark: SparkSession, d: str) -> DataFrame:
-    return periods.annual_match(_tables(spark, d), periods.latest_fiscal_year(_periods(spark, d)))
+    matched = periods.annual_match(_tables(spark, d), periods.latest_fiscal_year(_periods(spark, d)))
+    return matched.withColumn("matched_rows", _rows("matched_rows"))
+
+
+def period_labels(spark: SparkSession, d: str) -> DataFrame:
+    return periods.period_labels(shaped(spark, d, "transcript_dates").select("symbol", F.coalesce("year", "fiscal_year").alias("year"), "quarter"))
+
+
+def recheck_actions(spark: SparkSession, d: str) -> DataFrame:
+    return periods.recheck_actions(transcripts.transcript_quality(_split(spark, d)))
+
+
+def widen_actions(spark: SparkSession, d: str) -> DataFrame:
+    return periods.widen_actions(shaped(spark, d, "profiles"), _periods(spark, d), FIRST_YEAR)
 
 
 def followup_actions(spark: SparkSession, d: str) -> DataFrame:
@@ -95,23 +115,32 @@ def company_profile(spark: SparkSession, d: str) -> DataFrame:
     return _periods(spark, d).select("symbol").distinct().join(shaped(spark, d, "profiles"), "symbol", "left")
 
 
-def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+def _pack(spark: SparkSession, d: str) -> DataFrame:
     chosen, tables = _periods(spark, d), _tables(spark, d)
-    pack = periods.evidence_pack(
-        shaped(spark, d, "profiles"), chosen, periods.period_match(tables, chosen), periods.annual_match(tables, periods.latest_fiscal_year(chosen)), periods.followup_actions(chosen)
-    )
-    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["table_name"], x["match_status"], x["matched_rows"].cast("string"))), ",")
-    return pack.select(
+    years = periods.annual_match(tables, periods.latest_fiscal_year(chosen))
+    return periods.evidence_pack(shaped(spark, d, "profiles"), chosen, periods.period_match(tables, chosen), years, periods.followup_actions(chosen))
+
+
+def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["table_name"], x["match_status"], x["n_matched"].cast("string"))), ",")
+    return _pack(spark, d).select(
         "symbol",
-        F.array_join("selected_periods", ",").alias("selected_periods"),
+        F.array_join(F.transform("selected_periods", lambda p: p["period_label"]), ",").alias("selected_periods"),
         "fiscal_year",
-        joined(F.col("financial_tables")).alias("financial_tables"),
-        joined(F.col("annual_tables")).alias("annual_tables"),
+        joined("financial_tables").alias("financial_tables"),
+        joined("annual_tables").alias("annual_tables"),
         F.when(F.col("actions").isNull(), 0).otherwise(F.size("actions")).cast("long").alias("n_actions"),
         F.array_join("notes", ",").alias("notes"),
     )
 
 
+def evidence_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The matched statement rows that packs hold, one by one."""
+    pack = _pack(spark, d)
+    quarterly, annual = (pack.select("symbol", F.lit(freq).alias("freq"), F.inline(F.transform(c, lambda t: F.struct(t["table_name"].alias("table_name"), t["matched_rows"].alias("rows"))))) for freq, c in (("quarter", "financial_tables"), ("annual", "annual_tables")))
+    return quarterly.unionByName(annual).select("symbol", "freq", "table_name", F.inline("rows")).select("symbol", "freq", "table_name", "fiscal_year", "period", "amount")
+
+
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     return releases.release_fields(shaped(spark, d, "releases"))
 
@@ -154,13 +183,60 @@ def cik_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def submissions_rows(spark: SparkSession, d: str) -> DataFrame:
-    return filings.submissions_rows(shaped(spark, d, "filings"))
+    rows = F.array_sort(F.collect_list(F.struct("row_ord", "form", "filing_date", "items")))
+    blocks = shaped(spark, d, "filings").groupBy("symbol").agg(rows.alias("x"))
+    # As a payload may be: the last array is one short.
+    blocks = blocks.select("symbol", "x.form", "x.filing_date", F.slice("x.items", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0))).alias("items"), F.lit("CIK").alias("name"))
+    return filings.submissions_rows(blocks)
 
 
 def filing_documents(spark: SparkSession, d: str) -> DataFrame:
     return filings.filing_documents(shaped(spark, d, "filing_documents"))
 
 
+def exhibit_rank(spark: SparkSession, d: str) -> DataFrame:
+    return filings.exhibit_rank(filings.filing_documents(shaped(spark, d, "filing_documents")), shaped(spark, d, "exhibit_contents"), shaped(spark, d, "exhibit_requests"))
+
+
+def _content(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    parts = shaped(spark, d, "release_parts").select(
+        "release_id", "ticker", "url", "text", F.contains("url", F.lit("sec.gov")).alias("is_sec"), F.col("head").alias("title"), F.col("period").alias("requested_period"), none.alias("company"), none.alias("publisher"),
+        none.alias("site"), F.lit(None).cast("date").alias("release_date"), none.alias("detected_period"),
+    )
+    return content.release_content(parts, shaped(spark, d, "release_pages"))
+
+
+def release_content(spark: SparkSession, d: str) -> DataFrame:
+    return _content(spark, d).select("release_id", "content_source", "content_error", "raw_format", F.length("raw_content").alias("n_chars"), F.sha2("raw_content", 256).alias("raw_sha256"))
+
+
+def release_sections(spark: SparkSession, d: str) -> DataFrame:
+    # The outer form, as the plain one adds a filter on the array, which would be computed once more below.
+    rows = content.release_sections(_content(spark, d)).select("release_id", F.posexplode_outer("sections").alias("section_no", "s"))
+    return rows.where(F.col("section_no").isNotNull()).select("release_id", "section_no", "s.*")
+
+
+def release_markdown(spark: SparkSession, d: str) -> DataFrame:
+    out = content.release_markdown(content.release_sections(_content(spark, d)))
+    return out.select("release_id", "headline", F.col("counts.financial").alias("financial"), F.col("counts.total").alias("total"), "markdown")
+
+
+def release_manifest(spark: SparkSession, d: str) -> DataFrame:
+    out = content.release_manifest(content.release_markdown(content.release_sections(_content(spark, d))), "2026-01-01T00:00:00+00:00")
+    return out.select("id", "period", "headline", "llm_markdown_path", "raw_path", "table_counts.*", "size_estimates.llm_markdown.*", "created_at_utc")
+
+
+def paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("paragraph_no", "paragraph"))
+
+
+def text_table_blocks(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.posexplode(content.text_table_blocks(F.col("text"))).alias("block_no", "b")).select("doc_id", "block_no", "b.*")
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     return html.parse_pages(shaped(spark, d, "table_pages"))
 
@@ -203,7 +279,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         transcript_text, qa_candidates, qa_split, transcript_quality, transcript_sections, transcript_chunks, speaker_positions,
         valid_symbols, latest_periods, latest_fiscal_year, statement_tables, period_match, annual_match, followup_actions, company_profile, evidence_pack,
         release_fields, release_scores, release_candidates, release_best, release_failures,
-        filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents,
+        period_labels, recheck_actions, widen_actions, evidence_manifest,
+        filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents, exhibit_rank,
+        release_content, release_sections, release_markdown, release_manifest, paragraphs, text_table_blocks,
         html_sections, html_tables, table_rows, table_classes, table_titles, table_markdown, table_counts,
     )
 }

@@ -69,7 +69,7 @@ def submissions_rows(blocks: DataFrame, key: str = "symbol") -> DataFrame:
     """(key, pos, a column per array) for blocks of parallel arrays: as many rows as the longest has, shorter ones padded with
     nulls; columns that are no arrays are ignored."""
     arrays = [f.name for f in blocks.schema if f.dataType.typeName() == "array"]
-    return blocks.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "r")).select(key, "pos", *[F.col(f"r.{c}").alias(c) for c in arrays])
+    return blocks.select(key, F.posexplode(F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(blocks.schema[c].dataType)).alias(c) for c in arrays])).alias("pos", "r")).select(key, "pos", *[F.col(f"r.{c}").alias(c) for c in arrays])
 
 
 def filing_documents(documents: DataFrame) -> DataFrame:
@@ -97,15 +97,16 @@ def filing_documents(documents: DataFrame) -> DataFrame:
 
 
 def period_text_score(low: Column, year: Column, quarter: Column) -> Column:
-    """How much a lower-cased text speaks of a quarter and of no other."""
+    """How much a lower-cased text speaks of a quarter and of no other; 0 where no quarter is asked for."""
     word = F.element_at(F.array(*map(F.lit, QUARTER_WORDS)), quarter.cast("int"))
     y, q = year.cast("string"), F.concat(F.lit("q"), quarter.cast("string"))
     forms = F.concat(word, F.lit(r"\s+quarter\s+(?:fiscal\s+)?"), y, F.lit(r"|fiscal\s+"), y, F.lit(r"\s+"), word, F.lit(r"\s+quarter|"), q, F.lit(r"\s+(?:fy|fiscal\s+)?"), y)
     own = F.contains(low, F.concat(word, F.lit(" quarter")))
     others = sum((F.when((word != w) & low.contains(f"{w} quarter") & ~own, 1).otherwise(0) for w in QUARTER_WORDS), F.lit(0))
-    return (
+    score = (
         F.when(F.regexp_like(low, forms), 2500).otherwise(0) + F.when(F.contains(low, y), 200).otherwise(0) + F.when(own, 500).otherwise(0) + F.when(F.contains(low, q), 250).otherwise(0) - 600 * others
     )
+    return F.when(year.isNull() | quarter.isNull(), 0).otherwise(score)
 
 
 def content_score(text: Column, n_tables: Column, year: Column, quarter: Column) -> Column:

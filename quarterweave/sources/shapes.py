@@ -46,9 +46,11 @@ SHAPES = {
             CASE o_orderkey % 10 WHEN 0 THEN '8-K' WHEN 1 THEN '8-K' WHEN 2 THEN '8-K' WHEN 3 THEN '6-K' WHEN 4 THEN '10-Q' WHEN 5 THEN '10-K' WHEN 6 THEN '20-F' WHEN 7 THEN '40-F' WHEN 8 THEN '4' ELSE 'SC 13G' END AS form,
             cast(cast(o_orderdate AS date) AS varchar(20)) AS filing_date, cast(cast(o_orderdate AS date) - 30 AS varchar(20)) AS report_date,
             CASE cast(floor(o_orderkey / 4) AS bigint) % 4 WHEN 0 THEN '2.02' WHEN 1 THEN '8.01' WHEN 2 THEN 'Results of operations for the quarter' ELSE '' END AS items,
-            '0001-' || cast(o_orderkey AS varchar(20)) AS accession, 'doc' || cast(o_orderkey AS varchar(20)) || '.htm' AS primary_document, o_orderkey AS row_ord FROM {orders}""",
+            '0001-' || cast(o_orderkey AS varchar(20)) AS accession, 'doc' || cast(o_orderkey AS varchar(20)) || '.htm' AS primary_document,
+            CASE o_orderkey % 3 WHEN 0 THEN 'Q' || cast(o_orderkey % 5 + 1 AS varchar(20)) || ' report' ELSE '' END AS primary_doc_description, o_orderkey AS row_ord FROM {orders}""",
     "ticker_map": """
-        SELECT lower('C' || cast(c_custkey AS varchar(20))) AS ticker, c_custkey * 7 AS cik_int, c_name AS title FROM {customer} WHERE c_custkey % 17 <> 0""",
+        SELECT lower('C' || cast(c_custkey AS varchar(20))) AS ticker, c_custkey * 7 AS cik_int, c_name AS title, 0 AS row_ord FROM {customer} WHERE c_custkey % 17 <> 0
+        UNION ALL SELECT 'C' || cast(c_custkey AS varchar(20)), c_custkey * 7 - 1, 'again', 1 FROM {customer} WHERE c_custkey % 31 = 0""",
     "filing_documents": """
         SELECT '0001-' || cast(l_orderkey AS varchar(20)) AS accession, o_custkey * 7 AS cik_int, 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' AS primary_document,
             CASE l_linenumber WHEN 1 THEN 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' WHEN 2 THEN 'ex99-1.htm' WHEN 3 THEN 'ex99-2.HTML' WHEN 4 THEN 'ex10-1.htm' WHEN 5 THEN 'chart.jpg' WHEN 6 THEN 'notes.txt' ELSE 'ex99.htm' END AS name,
@@ -60,10 +62,12 @@ SHAPES = {
             CASE doc_id % 10 WHEN 0 THEN 'Acme reports ' || w || ' quarter ' || y || ' results' WHEN 1 THEN 'Acme announces ' || w || '-quarter fiscal ' || y || ' financial results' WHEN 2 THEN 'Lawsuit filed against Acme' WHEN 3 THEN 'Acme declares dividend'
                 WHEN 4 THEN 'Acme Q' || q || ' FY' || y || ' earnings' WHEN 5 THEN '' WHEN 6 THEN 'Fiscal year ' || y || ' ' || w || ' quarter update' WHEN 7 THEN NULL ELSE 'Notes of the day' END AS title,
             CASE WHEN doc_id % 10 = 5 THEN 'Results for the quarter ended' END AS headline,
-            CASE WHEN doc_id % 9 = 0 THEN 'soon' ELSE cast(date '2023-01-01' + cast(doc_id % 1000 AS int) AS varchar(20)) END AS published_date, cast(date '2024-01-01' + cast(doc_id % 300 AS int) AS varchar(20)) AS date,
+            CASE WHEN doc_id % 9 = 0 THEN 'soon' ELSE cast(date '2023-01-01' + cast(doc_id % 1000 AS int) AS varchar(20)) END AS published_date, CASE WHEN doc_id % 18 = 0 THEN 'later' ELSE cast(date '2024-01-01' + cast(doc_id % 300 AS int) AS varchar(20)) END AS date,
+            CASE WHEN doc_id % 36 = 0 THEN '2025-02-03T10:00:00' END AS accepted_date, CASE WHEN doc_id % 20 = 7 THEN 'Subject: ' || w || ' quarter ' || y || ' earnings' END AS subject,
+            CASE WHEN doc_id % 8 = 3 THEN text END AS content, CASE WHEN doc_id % 3 = 0 THEN 'Wire' END AS publisher,
             CASE doc_id % 6 WHEN 0 THEN 'https://www.prnewswire.com/r/' WHEN 1 THEN 'https://www.globenewswire.com/r/' WHEN 2 THEN 'https://www.sec.gov/r/' WHEN 3 THEN '' ELSE 'https://news.example.com/r/' END
                 || CASE WHEN doc_id % 6 = 3 THEN '' ELSE cast(doc_id AS varchar(20)) END AS url,
-            CASE WHEN doc_id % 12 = 3 THEN 'https://link.example.com/' || cast(doc_id AS varchar(20)) END AS link, text, CASE WHEN doc_id % 2 = 0 THEN source END AS symbol, lang AS site
+            CASE WHEN doc_id % 12 = 3 THEN 'https://link.example.com/' || cast(doc_id AS varchar(20)) END AS link, CASE WHEN doc_id % 8 <> 3 THEN text END AS text, CASE WHEN doc_id % 2 = 0 THEN source END AS symbol, lang AS site
         FROM (SELECT doc_id, source, text, lang, CASE cast(floor(doc_id / 20) AS bigint) % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'second' WHEN 2 THEN 'third' ELSE 'fourth' END AS w, cast(cast(floor(doc_id / 20) AS bigint) % 4 + 1 AS varchar(20)) AS q, cast(2023 + doc_id % 3 AS varchar(20)) AS y FROM {documents})""",
     "release_requests": """
         SELECT ticker, fiscal_year, quarter FROM (SELECT DISTINCT source AS ticker FROM {documents}) AS t
@@ -77,6 +81,26 @@ SHAPES = {
                 WHEN 4 THEN '<h2>Overview</h2><table><tr><td>Revenue</td><td>3</td></tr></table>'
                 WHEN 5 THEN '<h2>Facts</h2><table><tr><td>a</td><td>b</td></tr><tr><td>A</td><td>a</td><td>b</td></tr></table>' END || '</article>') AS html FROM {pages}""",
 }
+#: Releases with what their pages are made of: k = 0 a table, 1 none, 2 a page too short, 3 a regulator's, 4 no page.
+_PARTS = """SELECT doc_id, 'r' || cast(doc_id AS varchar(20)) AS release_id, source AS ticker, doc_id % 5 AS k, text,
+        CASE WHEN doc_id % 5 = 3 THEN 'https://www.sec.gov/r/' WHEN doc_id % 2 = 0 THEN 'https://www.prnewswire.com/r/' ELSE 'https://news.example.com/r/' END || cast(doc_id AS varchar(20)) AS url,
+        CASE doc_id % 7 WHEN 0 THEN 'Acme reports first quarter results' WHEN 1 THEN 'Consolidated Balance Sheets' WHEN 2 THEN 'Non-GAAP notes' ELSE 'Overview of the day' END AS head,
+        CASE doc_id % 4 WHEN 0 THEN 'Total assets' WHEN 1 THEN 'Adjusted revenue' ELSE 'Units' END AS label, translate(coalesce(text, ''), '<>&', '   ') AS body,
+        cast(doc_id AS varchar(20)) AS n, cast(doc_id + 1 AS varchar(20)) AS n1, 'Q' || cast(doc_id % 4 + 1 AS varchar(20)) || ' FY2025' AS period FROM {documents}"""
+SHAPES |= {
+    "release_parts": _PARTS,
+    "release_pages": f"""
+        SELECT url, CASE k WHEN 2 THEN '<p>short</p>' ELSE '<html><head><title>x</title></head><body><nav>menu</nav><article class="story"><h1>' || head || '</h1><p>' || body || '</p>'
+            || CASE k WHEN 0 THEN '<table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td>' || label || '</td><td>' || n || '</td><td>' || n1 || '</td></tr></table>' ELSE '' END
+            || '<script>no</script><p>Closing words<p>View original content here</article><footer>' || repeat('end ', 90) || '</footer></body></html>' END AS html FROM ({_PARTS}) AS p WHERE k < 4""",
+    "exhibit_contents": """
+        SELECT '0001-' || cast(l_orderkey AS varchar(20)) AS accession,
+            CASE l_linenumber WHEN 1 THEN 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' WHEN 2 THEN 'ex99-1.htm' WHEN 3 THEN 'ex99-2.HTML' WHEN 4 THEN 'ex10-1.htm' WHEN 5 THEN 'chart.jpg' WHEN 6 THEN 'notes.txt' ELSE 'ex99.htm' END AS name,
+            CASE l_orderkey % 3 WHEN 0 THEN 'Financial results for the first quarter fiscal 2024: total revenue and net income. ' WHEN 1 THEN 'Repurchase program. ' ELSE 'Notes of the third quarter, guidance. ' END
+                || CASE WHEN l_orderkey % 11 = 0 THEN 'The borrower agrees. ' ELSE '' END || repeat('Item ' || cast(l_partkey AS varchar(20)) || ' of cash flows ', 1 + cast(CASE WHEN l_orderkey % 16 = 0 THEN l_orderkey % 400 ELSE l_orderkey % 8 END AS int)) AS text,
+            cast(l_orderkey % 5 AS int) AS n_tables FROM {lineitem}""",
+    "exhibit_requests": """SELECT DISTINCT '0001-' || cast(l_orderkey AS varchar(20)) AS accession, cast(2024 AS int) AS fiscal_year, cast(l_orderkey % 4 + 1 AS int) AS quarter FROM {lineitem} WHERE l_orderkey % 13 <> 0""",
+}
 TABLES = ["conversations", "orders", "lineitem", "customer", "nation", "documents", "pages"]
 
 
