@@ -175,12 +175,12 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY accession ORDER BY tier, score DESC, name DESC)::INT AS rank FROM t""",
 }
 
-#: What the tables that `table_pages` puts into pages must come to, by page_id % 6; pages hold no others.
+#: What the tables that `table_pages` puts into pages must come to, by page_id % 6, {n} being page_id; pages hold no others.
 _PUT = """put AS (SELECT page_id, 1 AS table_no, page_id % 6 AS k FROM pages WHERE contains(html, '</article>'))"""
 _KINDS = ["financial", "financial", "non_gaap", "contact", "other", "other"]
-_TITLES = ["Consolidated Statements of Operations", "Condensed Consolidated Balance Sheets", "Reconciliation of adjusted EBITDA", "Contacts", "Overview", "Facts"]
+_TITLES = ["Consolidated Statements of Operations", "Condensed Consolidated Balance Sheets", "Reconciliation of adjusted EBITDA", "Contacts", "Overview {n}", "Facts"]
 _HEADS = ["Item|2025|2024", "Item|March 31, 2025|December 31, 2024", "Item|Value 1", "Item|Value 1", "Item|Value 1", "Item|Value 1"]
-_BODIES = [["Assets;;", "Revenue;$10;$9", "Net income;2;1"], ["Cash;5;", "Total;7;8 9"], ["EBITDA;1", "Taxes;2"], ["Media;press@example.com", "Tel;1|2"], ["Revenue;3"], ["a;b", "A;b"]]
+_BODIES = [["Assets;;", "Revenue;${n}.5;$9", "Net income;2;1"], ["Cash;5;", "Total;{n}.7;8 {n}.9"], ["EBITDA;{n}.1", "Taxes;2"], ["Media;press@example.com", "Tel;1|2"], ["Revenue;{n}.3"], ["a;b{n}", "A;b"]]
 _LABELS = {"financial": "Financial Table", "non_gaap": "Non-GAAP Table", "contact": "Contact Table", "other": "Table"}
 
 
@@ -195,10 +195,10 @@ def _markdown(k: int) -> str:
 
 ORACLES |= {
     "html_tables": f"WITH {_PUT} SELECT page_id, table_no, ({_by_case([4, 3, 2, 2, 1, 2])})::INT AS row_count, ({_by_case([5, 4, 3, 2, 2, 3])})::INT AS column_count FROM put",
-    "table_rows": f"WITH {_PUT}, body(k, row_no, cells) AS (VALUES " + ", ".join(f"({k}, {n}, {_q(r)})" for k, b in enumerate(_BODIES) for n, r in enumerate(b, 1)) + ") SELECT page_id, table_no, row_no, cells FROM put JOIN body USING (k)",
+    "table_rows": f"WITH {_PUT}, body(k, row_no, cells) AS (VALUES " + ", ".join(f"({k}, {n}, {_q(r)})" for k, b in enumerate(_BODIES) for n, r in enumerate(b, 1)) + ") SELECT page_id, table_no, row_no, replace(cells, '{n}', page_id::VARCHAR) AS cells FROM put JOIN body USING (k)",
     "table_classes": f"WITH {_PUT} SELECT page_id, table_no, {_by_case(_KINDS)} AS class FROM put",
-    "table_titles": f"WITH {_PUT} SELECT page_id, table_no, {_by_case(_TITLES)} AS title FROM put",
-    "table_markdown": f"WITH {_PUT} SELECT page_id, table_no, {_by_case([f'## {_LABELS[c]} 1: {t}' for c, t in zip(_KINDS, _TITLES, strict=True)])} AS heading, {_by_case([_markdown(k) for k in range(6)])} AS markdown FROM put",
+    "table_titles": f"WITH {_PUT} SELECT page_id, table_no, replace({_by_case(_TITLES)}, '{{n}}', page_id::VARCHAR) AS title FROM put",
+    "table_markdown": f"WITH {_PUT} SELECT page_id, table_no, replace({_by_case([f'## {_LABELS[c]} 1: {t}' for c, t in zip(_KINDS, _TITLES, strict=True)])}, '{{n}}', page_id::VARCHAR) AS heading, replace({_by_case([_markdown(k) for k in range(6)])}, '{{n}}', page_id::VARCHAR) AS markdown FROM put",
     "table_counts": f"WITH {_PUT} SELECT p.page_id, count(k) AS total, " + ", ".join(f"count(CASE WHEN {_by_case(_KINDS)} = '{c}' THEN 1 END) AS {c}" for c in _LABELS) + " FROM pages p LEFT JOIN put USING (page_id) GROUP BY p.page_id",
 }
 

@@ -90,7 +90,9 @@ def followup_actions(periods: DataFrame, requested: int = 2) -> DataFrame:
 
 def recheck_actions(quality: DataFrame) -> DataFrame:
     """(symbol, year, quarter, scope, min_year): dates to look at again for calls (symbol, year, quarter, status) whose text is incomplete."""
-    return quality.where("status = 'incomplete'").select("symbol", "year", "quarter", F.lit("recheck_transcript_dates").alias("scope"), F.greatest(F.lit(2000), F.col("year") - 1).cast("int").alias("min_year"))
+    # Exploded, as a filter on the status would be pushed below what computes it and compute that once more.
+    scope = F.explode_outer(F.when(F.col("status") == "incomplete", F.array(F.lit("recheck_transcript_dates")))).alias("scope")
+    return quality.select("symbol", "year", "quarter", scope, F.greatest(F.lit(2000), F.col("year") - 1).cast("int").alias("min_year")).where("scope is not null")
 
 
 def widen_actions(symbols: DataFrame, periods: DataFrame, min_year: int) -> DataFrame:

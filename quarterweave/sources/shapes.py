@@ -74,12 +74,12 @@ SHAPES = {
         CROSS JOIN (SELECT 2023 AS fiscal_year UNION ALL SELECT 2024 UNION ALL SELECT 2025) AS y CROSS JOIN (SELECT 1 AS quarter UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) AS q""",
     "table_pages": """
         SELECT page_id, url, replace(html, '</article>', '</p></li></div>' || CASE page_id % 6
-                WHEN 0 THEN '<h2>Consolidated Statements of Operations</h2><table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td></td><td></td><td></td></tr><tr><td>Assets</td><td></td><td></td></tr><tr><td>Revenue</td><td>$</td><td>10</td><td>$</td><td>9</td></tr><tr><td>Net income</td><td>2</td><td>1</td></tr></table>'
-                WHEN 1 THEN '<h2>Condensed Consolidated Balance Sheets</h2><table><tr><td></td><td>March 31, 2025</td><td>December 31, 2024</td></tr><tr><td>Cash</td><td>5</td><td>5</td></tr><tr><td>Total</td><td>7</td><td>8</td><td>9</td></tr></table>'
-                WHEN 2 THEN '<h2>Reconciliation of adjusted EBITDA</h2><table><tr><td>EBITDA</td><td>1</td></tr><tr><td>Taxes</td><td>nan</td><td>2</td></tr></table>'
+                WHEN 0 THEN '<h2>Consolidated Statements of Operations</h2><table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td></td><td></td><td></td></tr><tr><td>Assets</td><td></td><td></td></tr><tr><td>Revenue</td><td>$</td><td>' || cast(page_id AS varchar(20)) || '.5</td><td>$</td><td>9</td></tr><tr><td>Net income</td><td>2</td><td>1</td></tr></table>'
+                WHEN 1 THEN '<h2>Condensed Consolidated Balance Sheets</h2><table><tr><td></td><td>March 31, 2025</td><td>December 31, 2024</td></tr><tr><td>Cash</td><td>5</td><td>5</td></tr><tr><td>Total</td><td>' || cast(page_id AS varchar(20)) || '.7</td><td>8</td><td>' || cast(page_id AS varchar(20)) || '.9</td></tr></table>'
+                WHEN 2 THEN '<h2>Reconciliation of adjusted EBITDA</h2><table><tr><td>EBITDA</td><td>' || cast(page_id AS varchar(20)) || '.1</td></tr><tr><td>Taxes</td><td>nan</td><td>2</td></tr></table>'
                 WHEN 3 THEN '<h2>Contacts</h2><table><tr><td>Media</td><td>press@example.com</td></tr><tr><td>Tel</td><td>1|2</td></tr></table>'
-                WHEN 4 THEN '<h2>Overview</h2><table><tr><td>Revenue</td><td>3</td></tr></table>'
-                WHEN 5 THEN '<h2>Facts</h2><table><tr><td>a</td><td>b</td></tr><tr><td>A</td><td>a</td><td>b</td></tr></table>' END || '</article>') AS html FROM {pages}""",
+                WHEN 4 THEN '<h2>Overview ' || cast(page_id AS varchar(20)) || '</h2><table><tr><td>Revenue</td><td>' || cast(page_id AS varchar(20)) || '.3</td></tr></table>'
+                WHEN 5 THEN '<h2>Facts</h2><table><tr><td>a</td><td>b' || cast(page_id AS varchar(20)) || '</td></tr><tr><td>A</td><td>a</td><td>b</td></tr></table>' END || '</article>') AS html FROM {pages}""",
 }
 #: Releases with what their pages are made of: k = 0 a table, 1 none, 2 a page too short, 3 a regulator's, 4 no page.
 _PARTS = """SELECT doc_id, 'r' || cast(doc_id AS varchar(20)) AS release_id, source AS ticker, doc_id % 5 AS k, text,
