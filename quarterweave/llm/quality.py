@@ -29,7 +29,7 @@ FENCE, LIFT, ERROR = 12.0, 3.0, 0.01
 PRIOR = 50
 #: Measures, each with its resolution, which is added before the logarithm, and the least quartile distance: where
 #: three quarters of a group have none of what is measured, a distance of nothing would make any trace of it too much.
-SCALES = {"m_word_length": (0.0, 0.015), "m_symbols": (0.01, 0.1), "m_dup_lines": (0.2, 0.1), "m_repeats": (0.15, 0.1), "m_upper": (0.01, 0.05), "m_loud": (0.02, 0.1)}
+SCALES = {"m_word_length": (0.0, 0.015), "m_symbols": (0.01, 0.1), "m_dup_lines": (0.2, 0.1), "m_repeats": (0.15, 0.1), "m_upper": (0.05, 0.1), "m_loud": (0.02, 0.1)}
 _GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 
 
