@@ -5,7 +5,8 @@ is that of its words. A template matches a block that contains at least `THRESHO
 template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. Then a template of size s
 that needs o words in common can match only blocks that hold one of its first s - o + 1 words (prefix filter), have o
 words at least (length filter), and have enough words after the shared one in that order (positional filter). What
-passes is verified exactly. Templates are a parameter of bounded size; their words, orders and prefixes are broadcast.
+passes is verified exactly. Templates are a parameter of checked size (`MOST_WORDS`); their words, orders and prefixes are
+broadcast.
 
 Contract of `license_scan`: a null text counts as empty; words are runs of ASCII letters, digits and all characters beyond
 ASCII, A-Z lower-cased; every row gives a row, repeats and null ids too; score is the largest share of a template found
@@ -23,20 +24,34 @@ from pyspark.sql import functions as F
 from .common import stage
 
 THRESHOLD = 0.9
+#: Words that all templates may have together; what tasks are told about templates is in proportion to it.
+MOST_WORDS = 20_000
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices in the wild, by label.
+#: Wording of public licenses and of the notices they ask for, a paragraph or sentence each, by label.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "Licensed under CC BY-NC"),
     ("cc-by-sa", "Licensed under CC BY-SA"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("creative-commons", "This work is licensed under a Creative Commons Attribution International License"),
     ("gpl-notice", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl-notice", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("isc-notice", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("lgpl-notice", "under the terms of the GNU Lesser General Public License"),
     ("mit-notice", "Released under the MIT License"),
     ("mit-notice", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-notice", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing
 _PARAGRAPH = r"\n[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n"  # a line without words, in comments too
@@ -86,6 +101,8 @@ def template_join(docs: DataFrame, keys: list[str], text_col: str, templates: li
     sets = [word_set(text) for _, text in templates]
     needed = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
     vocabulary = sorted({w for s in sets for w in s})
+    if not vocabulary or sum(map(len, sets)) > MOST_WORDS:
+        raise ValueError(f"templates need words, {MOST_WORDS} at most")
     text = F.coalesce(F.col(text_col), F.lit(""))
     wrapped = F.filter(F.split(text, _PARAGRAPH), lambda p: p.contains("\n"))  # others are lines
     block = docs.select(*keys, F.explode(F.concat(F.split(text, "\n"), wrapped)).alias("block"))

@@ -392,3 +392,37 @@ def test_ids_of_whole_texts_are_those_of_the_libraries():
     bpe.learn(texts)
     assert [bpe.ids(t) for t in texts] == [raw(x) for x in enc.encode_ordinary_batch(texts)]
     assert [word.ids(t) for t in texts] == [raw(x.ids) for x in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_license_join_against_every_block_and_template(spark):
+    """Lines and paragraphs of cut, doubled and mixed notices, each held against every template."""
+    rng = np.random.default_rng(11)
+    sets = [(label, set(licenses.word_set(text))) for label, text in licenses.TEMPLATES]
+    bodies = [text.split() for _, text in licenses.TEMPLATES]
+
+    def text() -> str:
+        out = []
+        for k in rng.integers(0, len(bodies), rng.integers(1, 5)):
+            own = [w for w in bodies[k] if rng.random() > rng.choice([0, 0.05, 0.15])] + ["filler"] * int(rng.integers(0, 3))
+            out += [w + str(rng.choice([" ", " ", " ", "\n", "\n// ", ", "])) for w in own] + [str(rng.choice(["\n\n", "\n *\n", "\n", "\r\n\r\n", ". "]))]
+        return "".join(out)
+
+    texts = [text() for _ in range(300)] + ["", "\n\n\n", "the of and"]
+    got = by_id(licenses.license_scan(spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")))
+    labels = set()
+    for k, t in enumerate(texts):
+        lines, blocks, run = t.split("\n"), [], []
+        for line in [*lines, ""]:
+            if licenses.word_set(line):
+                run.append(line)
+            elif run:
+                blocks, run = [*blocks, "\n".join(run)], []
+        shares = [(label, len(s & set(licenses.word_set(b))) / len(s)) for b in [*lines, *blocks] for label, s in sets]
+        found = {label for label, share in shares if share >= licenses.THRESHOLD}
+        labels |= found
+        base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(re.findall('[0-9a-z]+', t.lower()))} "}
+        assert got[k].labels == ",".join(sorted(found | base)), t
+        assert got[k].score == max([share for _, share in shares if share >= licenses.THRESHOLD], default=0.0)
+    assert labels == {label for label, _ in sets} and got[None].labels == got[0].labels
+    with pytest.raises(ValueError):
+        licenses.license_scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"), templates=[("x", "--")])
