@@ -227,7 +227,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     docs = docs.select(*[F.col(f"`{c}`") for c in columns])
     text, id_ = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     print_, holds = F.xxhash64(text), _holds_any(text)
-    some, none = docs.where(holds), docs.where(~holds)
+    some, none = stage(docs.where(holds), "holders"), docs.where(~holds)  # few texts, which two steps below read
     mentions = some.select(id_.alias("i"), print_.alias("p"), F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("at", "mention"))
     parts = mentions.withColumn("kind", _kind(F.col("mention"))).select("i", "p", "at", F.posexplode(_parts(F.col("mention"), F.col("kind"))).alias("part", "x"))
     parts = stage(parts.select("i", "p", "at", "part", "x.kind", "x.raw", "x.gender", _canon(F.col("x.kind"), F.col("x.raw")).alias("canon")), "mentions")
