@@ -1,12 +1,12 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
 
 A block is a line, or a paragraph: the lines up to one without words, as notices are wrapped in most files. A block's set
-is that of its words. A template matches a block that contains at least `THRESHOLD` of the
-template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. Then a template of size s
-that needs o words in common can match only blocks that hold one of its first s - o + 1 words (prefix filter), have o
-words at least (length filter), and have enough words after the shared one in that order (positional filter). What
-passes is verified exactly. Templates are a parameter of checked size (`MOST_WORDS`); their words, orders and prefixes are
-broadcast.
+is that of its words which any template has, as no others can be shared. A template matches a block that contains at least
+`THRESHOLD` of the template's words. Words are ordered by how many blocks of the corpus hold them, rarest first. Then a
+template of size s that needs o words in common can match only blocks that hold one of its first s - o + 1 words (prefix
+filter), have o words at least (length filter), and have enough words after the shared one in that order (positional
+filter). What passes is verified exactly. Templates are a parameter of checked size (`MOST_WORDS`); their words, orders and
+prefixes are broadcast.
 
 Contract of `license_scan`: a null text counts as empty; words are runs of ASCII letters, digits and all characters beyond
 ASCII, A-Z lower-cased; every row gives a row, repeats and null ids too; score is the largest share of a template found
@@ -67,6 +67,13 @@ def word_set(text: str) -> list[str]:
     return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UPPER, _LOWER)))))
 
 
+def _known(block: Column, vocabulary: list[str]) -> Column:
+    """Line feeds, and the words of templates, in order. The Kelvin sign, which alone is lower-cased to an ASCII letter, gives
+    way to another character; other characters beyond ASCII stay such, whatever their case."""
+    low = F.lower(F.replace(block, F.lit("\u212a"), F.lit("\u212b")))
+    return F.filter(F.regexp_extract_all(low, F.lit(r"\n|[0-9a-z\x{80}-\x{10FFFF}]+"), F.lit(0)), lambda w: w.isin("\n", *vocabulary))
+
+
 def phrases(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with n_words, n_base, first_word, last_word and _base (array of labels)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -103,12 +110,12 @@ def template_join(docs: DataFrame, keys: list[str], text_col: str, templates: li
     vocabulary = sorted({w for s in sets for w in s})
     if not vocabulary or sum(map(len, sets)) > MOST_WORDS:
         raise ValueError(f"templates need words, {MOST_WORDS} at most")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    wrapped = F.filter(F.split(text, _PARAGRAPH), lambda p: p.contains("\n"))  # others are lines
-    block = docs.select(*keys, F.explode(F.concat(F.split(text, "\n"), wrapped)).alias("block"))
-    blocks = block.select(*keys, words(F.col("block")).alias("w")).select(
-        *keys, F.size(F.array_distinct("w")).alias("size"), F.array_intersect("w", F.array(*map(F.lit, vocabulary))).alias("known")
-    )
+    paragraph = docs.select(*keys, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), _PARAGRAPH)).alias("block"))
+    joined = paragraph.select(*keys, F.array_join(_known(F.col("block"), vocabulary), " ").alias("block"))
+    lines = F.split("block", "\n")
+    several = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.translate("block", "\n", " ")))).otherwise(lines)  # one line is the paragraph
+    blocks = joined.where(F.length("block") > 0).select(*keys, F.explode(several).alias("block"))
+    blocks = blocks.select(*keys, F.array_distinct(F.array_remove(F.split("block", " "), "")).alias("known"))
     blocks = stage(blocks.where(F.size("known") > 0), "blocks")
     often = {r.word: r.n for r in blocks.select(F.explode("known").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # the templates' words
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
@@ -120,13 +127,13 @@ def template_join(docs: DataFrame, keys: list[str], text_col: str, templates: li
     prefixes = spark.createDataFrame(index, "code int, template int, p int, t_size int, needed int")
     body = spark.createDataFrame(bodies, "template int, label string, codes_t array<int>, needed_t int")
     ranks = F.create_map(*[x for w, k in order.items() for x in (F.lit(w), F.lit(k))])
-    coded = blocks.where(F.size("known") >= min(needed)).select(*keys, "size", F.sort_array(F.transform("known", lambda w: F.element_at(ranks, w))).alias("codes"))
+    coded = blocks.where(F.size("known") >= min(needed)).select(*keys, F.sort_array(F.transform("known", lambda w: F.element_at(ranks, w))).alias("codes"))
     rare = F.array(*[F.lit(c) for c in sorted({i[0] for i in index})])
     candidates = (
         coded.where(F.arrays_overlap("codes", rare))
-        .select(*keys, "size", "codes", F.posexplode("codes").alias("q", "code"))
+        .select(*keys, "codes", F.posexplode("codes").alias("q", "code"))
         .join(F.broadcast(prefixes), "code")
-        .where(F.col("size") >= F.col("needed"))
+        .where(F.size("codes") >= F.col("needed"))
         .where(1 + F.least(F.col("t_size") - F.col("p"), F.size("codes") - F.col("q")) - 1 >= F.col("needed"))
     )
     matched = (
