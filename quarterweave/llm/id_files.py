@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import partitions_for, shared_dir
-from .tokens import WORD_BPE, WORDS_REMEMBERED, word_bpe
+from .common import partitions_for, shared_dir, small_batches, tidy
+from .tokens import WORD_BPE, word_bpe
 
 MAGIC, BITS, STRETCH = b"DACIDS1\0", 8, 512
 #: Ids in a segment, and documents in a task, about.
 SEGMENT_IDS, TASK_DOCS = 1 << 20, 8000
+#: Words a worker remembers, of the latest and of the time before; what is forgotten is encoded again.
+REMEMBERED = 350_000
 SEGMENTS = "part int, start long, n_docs long, n_tokens long, first_id long, last_id long, segment binary"
 
 
@@ -98,7 +100,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, last = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
-        bpe.limit = WORDS_REMEMBERED
+        bpe.limit = REMEMBERED
         owners: list = []
         ends: list[int] = []
         parts: list[bytes] = []
@@ -129,7 +131,8 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     parts = partitions_for(spark, rows.count() // TASK_DOCS)
     order = ["i", "h"]
     dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    dealt.select(F.spark_partition_id().alias("part"), "i", "t").mapInArrow(run, SEGMENTS).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    with small_batches(spark):
+        dealt.select(F.spark_partition_id().alias("part"), "i", "t").mapInArrow(tidy(run), SEGMENTS).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -151,7 +154,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per writing task
     before = totals.select(F.col("part").alias("part_"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     placed = segments.join(F.broadcast(before), F.col("part") == F.col("part_")).select((F.col("before") + F.col("start")).alias("at"), "segment")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
