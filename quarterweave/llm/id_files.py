@@ -34,7 +34,7 @@ MAGIC, BITS, STRETCH = b"DACIDS1\0", 8, 512
 #: Ids in a segment, and documents in a task, about.
 SEGMENT_IDS, TASK_DOCS = 1 << 20, 8000
 #: Words a worker remembers, of the latest and of the time before; what is forgotten is encoded again.
-REMEMBERED = 350_000
+REMEMBERED = 550_000
 SEGMENTS = "part int, start long, n_docs long, n_tokens long, first_id long, last_id long, segment binary"
 
 
