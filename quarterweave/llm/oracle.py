@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from .chat import CLOSE, CONTROLS, MIDDLE, OPEN
+from .hard_negatives import LEAST_PERCENT, NEGATIVES, POSITIVES, SCALE
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, word_set
 from .quality import ERROR, FENCE, LIFT, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR, SCALES
 
@@ -96,3 +98,37 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
     array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ',') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN hit ON hit.doc_id = d.doc_id
 """
+
+AUDIT_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+f AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b, (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT AS c,
+    regexp_matches(text, '[#$%&*|]')::INT AS d, (t.doc_id > min(t.doc_id) OVER (PARTITION BY text))::INT AS e FROM t LEFT JOIN labels USING (doc_id)),
+n AS (SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f GROUP BY ALL),
+x(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT p.l || q.l || r.l || s.l || u.l AS filter_order FROM x p, x q, x r, x s, x u WHERE len(list_distinct([p.l, q.l, r.l, s.l, u.l])) = 5),
+st AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o),
+y AS (SELECT part, filter_order, step, n.*, CASE substring(filter_order, step, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END = 1 AS fails,
+    a + b + c + d + e = 1 AS one, coalesce(list_sum([CASE z WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END FOR z IN string_split(left(filter_order, step - 1), '')]), 0) > 0 AND step > 1 AS earlier FROM n, st),
+g AS (SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND one), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(bad) FILTER (fails AND NOT earlier), 0)::BIGINT AS toxic_lost FROM y GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, substring(filter_order, step, 1)))::BIGINT AS shapley FROM g
+"""
+
+_ESCAPED = rf"regexp_replace(text, '({'|'.join(''.join(chr(92) + x if x in '[]|' else x for x in c) for c in CONTROLS)})', '\\\1', 'g')"
+
+CHAT_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(role) + length({_ESCAPED}) + {len(OPEN + MIDDLE + CLOSE)})::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples FROM c GROUP BY conv_id
+"""
+
+NEGATIVES_SQL = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor({SCALE} * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, a.label AS al, b.vec_id AS b, b.label AS bl, list_inner_product(a.q, b.q)::BIGINT AS s FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE al = bl QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= {POSITIVES})
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b)::INT AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE al <> bl AND {LEAST_PERCENT} * ps <= 100 * s AND s <= ps QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= {NEGATIVES}
+"""

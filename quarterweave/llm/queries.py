@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, encoding, id_files, licenses, packing, quality, simhash, substring, surrogates, token_counts
-from .oracle import LICENSE_SQL, QUALITY_SQL, SUBSTRING_SQL
+from . import chat, embeddings, encoding, filter_audit, hard_negatives, id_files, licenses, packing, quality, simhash, substring, surrogates, token_counts
+from .oracle import AUDIT_SQL, CHAT_SQL, LICENSE_SQL, NEGATIVES_SQL, QUALITY_SQL, SUBSTRING_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -20,6 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_best_fit": packing.op9_best_fit,
     "op10_license": licenses.op10_license,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_chat_format": chat.op12_chat_format,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {"op2_quality": QUALITY_SQL, "op7_substring": SUBSTRING_SQL, "op10_license": LICENSE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_quality": QUALITY_SQL, "op7_substring": SUBSTRING_SQL, "op10_license": LICENSE_SQL,
+    "op11_filter_audit": AUDIT_SQL, "op12_chat_format": CHAT_SQL, "op13_hard_negatives": NEGATIVES_SQL,
+}
