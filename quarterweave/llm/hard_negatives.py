@@ -197,16 +197,19 @@ def _mine_negatives(axes: np.ndarray, n: int, percent: int):
     return run
 
 
-def _tiles(rows: DataFrame, keys: list[str], size: int, body: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """Stored tiles (keys, salt, body) of about `size` rows, and how many there are for each key (keys, k)."""
-    counts = stage(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("k")), "counts")
-    salted = rows.join(counts, keys).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(name)), F.col("k")).cast("int"))
+def _tiles(rows: DataFrame, keys: list[str], size: int, body: list[str], name: str) -> tuple[DataFrame, DataFrame | int]:
+    """Stored tiles (keys, salt, body) of about `size` rows, and how many there are: for each key (keys, k), or of all."""
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias("k")
+    counts = stage(rows.groupBy(*keys).agg(many), "counts") if keys else rows.agg(many).first()[0]
+    counted = rows.join(counts, keys) if keys else rows.withColumn("k", F.lit(counts))
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(name)), F.col("k")).cast("int"))
     return stage(salted.groupBy(*keys, "salt").agg(F.collect_list(F.struct(*body)).alias("body")), name), counts
 
 
-def _meet(anchors: DataFrame, tiles: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+def _meet(anchors: DataFrame, tiles: DataFrame, counts: DataFrame | int, keys: list[str]) -> DataFrame:
     """(body_a, body_b): every tile of anchors with every tile of rows of its keys; the join's key is one tile of rows."""
-    spread = anchors.join(counts, keys).select(*keys, F.col("body").alias("body_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
+    counted = anchors.join(counts, keys) if keys else anchors.withColumn("k", F.lit(counts))
+    spread = counted.select(*keys, F.col("body").alias("body_a"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
     return spread.join(tiles.withColumnRenamed("body", "body_b").hint("merge"), [*keys, "salt"]).select("body_a", "body_b")
 
 
@@ -224,10 +227,10 @@ def hard_negatives(vectors: DataFrame, is_anchor, positives: int = POSITIVES, ne
         order = W.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
         best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= positives)
         per = best.groupBy(F.col("anchor_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("positive_id").alias("id"), F.col("positive_score").alias("score")))).alias("positives"))
-        asked = anchors.join(per, "id").withColumn("all", F.lit(0))
-        tiles_a, _ = _tiles(asked, ["all"], anchors_per_tile, ["id", "label", "q", "positives"], "asked")
-        tiles, counts = _tiles(own.withColumn("all", F.lit(0)), ["all"], rows_per_tile, ["id", "label", "q"], "rows")
-        far = _meet(tiles_a, tiles, counts, ["all"])
+        asked = anchors.join(per, "id")
+        tiles_a, _ = _tiles(asked, [], anchors_per_tile, ["id", "label", "q", "positives"], "asked")
+        tiles, counts = _tiles(own, [], rows_per_tile, ["id", "label", "q"], "rows")
+        far = _meet(tiles_a, tiles, counts, [])
         found.append(far.mapInArrow(_mine_negatives(axes, negatives, percent), "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long"))
     out = vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, negative_id long, positive_score long, negative_score long")
     for part in found:
