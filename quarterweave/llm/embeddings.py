@@ -31,7 +31,13 @@ SLACK = 1e-7
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+    """Rows in unit length. Each is first brought near 1 by a power of two, which changes no digit: squares of very small or
+    large components would be 0 or infinite."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0))[1][:, None])
+    x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    if not np.isfinite(x).all():
+        raise ValueError("a vector without a length got among those that can link")
+    return x
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarterweave.llm import chat, filter_audit, hard_negatives
+from quarterweave.llm import chat, embeddings, filter_audit, hard_negatives
 
 DOCS = "doc_id long, text string, source string, quality string, n long, mask int"
 
@@ -186,3 +186,14 @@ def test_bounds_drop_most_pairs_and_none_that_counts():
     i, j, score = hard_negatives.survivors(a, r, slice(0, 2000), np.ones((50, 2000), bool), need)
     assert (score == exact[i, j]).all() and set(zip(*np.nonzero(exact >= least[:, None]))) <= set(zip(i, j))
     assert checked[1] < 0.5 * checked[0] and checked[-1] < 0.1 * checked[0]
+
+
+def test_vectors_of_any_size_link(spark):
+    angle = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(angle)]
+    rows += [(1000, [1e-200, 0.0]), (1001, [1e200, 0.0]), (1002, [5e-324, 0.0]), (1003, [-1e308, 1e308]), (1004, [1e-200, 1e200])]
+    got = {r.vec_id: r for r in embeddings.near_pairs(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=50).collect()}
+    x = np.array([v for _, v in rows[:400]] + [[1, 0], [1, 0], [1, 0], [-(0.5**0.5), 0.5**0.5], [0, 1]])
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert [got[k].n_links for k, _ in rows] == links.tolist()
+    assert {r.component_id for r in got.values()} == {0}
