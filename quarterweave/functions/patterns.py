@@ -76,6 +76,12 @@ PERIOD_LABELS = [
     "three months ended", "six months ended", "nine months ended", "twelve months ended", "year ended", "years ended", "quarter ended", "months ended",
     "march 31", "june 30", "september 30", "december 31", "january 31", "april 30", "july 31", "october 31",
 ]
+#: On the path of releases only ends of calendar quarters count.
+RELEASE_PERIOD_LABELS = [
+    "three months ended", "six months ended", "nine months ended", "twelve months ended", "year ended", "years ended", "quarter ended", "months ended",
+    "march 31", "june 30", "september 30", "december 31",
+]
+RELEASE_LONG_DATE = r"(?i)(March|June|September|December)\s+\d{1,2},\s+\d{4}"
 LONG_DATE = r"(?i)(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}"
 SECTION_LABELS = [
     "assets", "current assets:", "current assets", "liabilities and stockholders' equity", "liabilities and shareholders' equity", "current liabilities:", "current liabilities",

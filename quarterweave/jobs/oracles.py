@@ -223,33 +223,51 @@ _HAS_ANY = lambda c, words: f"regexp_matches({c}, {_q('|'.join(words))})"  # noq
 _CONTENT = rf"""{duckdb("release_parts")}, {duckdb("release_pages")},
 content AS (SELECT p.*, CASE WHEN k = 3 THEN NULL WHEN length(html) >= 300 THEN 'scraped_public_url_html' WHEN {_CLEAN("p.text")} <> '' THEN 'press_release_text' END AS content_source,
     CASE WHEN k = 3 THEN NULL WHEN length(html) >= 300 THEN html WHEN {_CLEAN("p.text")} <> '' THEN {_CLEAN("p.text")} END AS raw_content FROM release_parts p LEFT JOIN release_pages USING (url))"""
-_SECTIONS = rf"""{_CONTENT},
-page AS (SELECT *, {_KEPT("head || chr(10) || " + _SQUEEZE("body"))} AS top, {_KEPT("head || chr(10) || " + _SQUEEZE("body") + " || chr(10) || 'Closing words'")} AS whole FROM content WHERE content_source = 'scraped_public_url_html'),
-src AS (SELECT release_id, {_CLEAN("whole")} AS txt FROM page WHERE k = 1 UNION ALL SELECT release_id, raw_content FROM content WHERE content_source = 'press_release_text'),
+_PAGES = lambda head: rf"""page AS (SELECT *, {_KEPT(head + " || chr(10) || " + _SQUEEZE("body"))} AS top, {_KEPT(head + " || chr(10) || " + _SQUEEZE("body") + " || chr(10) || 'Closing words'")} AS whole FROM content WHERE content_source = 'scraped_public_url_html'),"""
+_PARSED = rf"""src AS (SELECT release_id, {_CLEAN("whole")} AS txt FROM page WHERE k = 1 UNION ALL SELECT release_id, raw_content FROM content WHERE content_source = 'press_release_text'),
 {_islands("plain", "src", "release_id")},
-near AS (SELECT *, list_filter({_LINES("right(top, 900)")}, lambda x: x <> '')[-12:] AS near FROM page WHERE k = 0),
+near AS (SELECT *, list_filter({_LINES("top")}, lambda x: x <> '')[-12:] AS near FROM page WHERE k = 0),
 named AS (SELECT *, list_filter(near, lambda x: {_HAS_ANY("lower(x)", P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS)}) AS named FROM near),
 titled AS (SELECT *, left(coalesce(named[-1], near[-1], 'Table 1'), 180) AS title, lower(' 2025 2024 ' || label || ' ' || n || ' ' || n1) AS cells FROM named),
 classed AS (SELECT *, CASE WHEN {_HAS_ANY("lower(title) || ' ' || cells", P.RELEASE_NON_GAAP)} THEN 'non_gaap' WHEN {_HAS_ANY("lower(title)", P.RELEASE_STATEMENTS)} OR s >= 3 THEN 'financial' WHEN {_HAS_ANY("lower(title) || ' ' || cells", P.CONTACTS)} OR regexp_matches(cells, '{EMAIL}') THEN 'contact'
     WHEN s >= 1 AND NOT {_HAS_ANY("lower(title) || ' ' || cells", P.ADJUSTED)} THEN 'financial' ELSE 'other' END AS class FROM (SELECT *, len(list_filter([{", ".join(map(_q, P.ROW_SIGNALS))}], lambda x: contains(cells, x))) AS s FROM titled)),
 made AS (SELECT release_id, 0 AS o, 'text' AS kind, top AS text, NULL AS title, NULL AS class, NULL AS markdown FROM page WHERE k = 0 AND top <> ''
-    UNION ALL SELECT release_id, 1, 'table', NULL, title, class, '|Item|2025|2024|' || chr(10) || '|-|-:|-:|' || chr(10) || '|' || label || '|' || n || '|' || n1 || '|' FROM classed
+    UNION ALL SELECT release_id, 1, 'table', NULL, title, class, CASE class WHEN 'contact' THEN '|Item|Value 1|Value 2|' || chr(10) || '|-|-:|-:|' || chr(10) || '|2025|2024||' ELSE '|Item|2025|2024|' || chr(10) || '|-|-:|-:|' END || chr(10) || '|' || label || '|' || n || '|' || n1 || '|' FROM classed
     UNION ALL SELECT release_id, 2, 'text', 'Closing words', NULL, NULL, NULL FROM page WHERE k = 0
     UNION ALL SELECT release_id, block_no, kind, text, CASE kind WHEN 'table_text' THEN 'Text-formatted table' END, CASE kind WHEN 'table_text' THEN 'other' END, NULL FROM plain),
 sections AS (SELECT release_id, (row_number() OVER (PARTITION BY release_id ORDER BY o) - 1)::INT AS section_no, kind, text, title, class, markdown
     FROM (SELECT *, row_number() OVER (PARTITION BY release_id, kind, {_SQUEEZE("lower(text)")} ORDER BY o) AS again FROM made) WHERE kind <> 'text' OR again = 1)"""
-_MARKDOWN = rf"""{_SECTIONS},
-story AS (SELECT release_id, {_CLEAN("string_agg(text, chr(10) || chr(10) ORDER BY section_no)")} AS story FROM sections WHERE kind = 'text' GROUP BY release_id),
+_SECTIONS = f"{_CONTENT}, {_PAGES('head')} {_PARSED}"
+_STORY = rf"""story AS (SELECT release_id, {_CLEAN("string_agg(text, chr(10) || chr(10) ORDER BY section_no)")} AS story FROM sections WHERE kind = 'text' GROUP BY release_id),
 heads AS (SELECT release_id, own, list_filter(own[:80], lambda x: (contains(lower(x), 'reports') OR contains(lower(x), 'announces')) AND (contains(lower(x), 'results') OR contains(lower(x), 'earnings')) OR contains(lower(x), 'financial results') AND length(x) < 220) AS hit
     FROM (SELECT release_id, list_filter({_LINES("story")}, lambda x: x <> '') AS own FROM story)),
 counts AS (SELECT c.release_id, {", ".join(f"count(*) FILTER (s.kind = 'table' AND class = '{x}') AS {x}" for x in ("financial", "non_gaap", "contact", "other"))}, count(*) FILTER (s.kind = 'table_text') AS text_tables, count(*) FILTER (s.kind <> 'text') AS total FROM content c LEFT JOIN sections s USING (release_id) GROUP BY c.release_id),
 numbered AS (SELECT *, sum((kind <> 'text')::INT) OVER (PARTITION BY release_id ORDER BY section_no) AS no, {_CLEAN("title")} AS t FROM sections),
 body AS (SELECT release_id, string_agg(CASE kind WHEN 'text' THEN {_CLEAN("text")} WHEN 'table' THEN '## ' || CASE class WHEN 'financial' THEN 'Financial Table' WHEN 'non_gaap' THEN 'Non-GAAP Table' WHEN 'contact' THEN 'Contact Table' ELSE 'Table' END || ' ' || no
     || CASE WHEN t <> '' AND NOT regexp_matches(t, '(?i)^table\s+\d+$') THEN ': ' || t ELSE '' END || chr(10) || chr(10) || {_CLEAN("markdown")} ELSE '## Table ' || no || ': ' || t || chr(10) || chr(10) || '```text' || chr(10) || {_TRIM("text")} || chr(10) || '```' END, chr(10) || chr(10) ORDER BY section_no) AS parts FROM numbered GROUP BY release_id),
-top AS (SELECT c.*, coalesce(hit[1], own[1], head) AS headline, counts.* EXCLUDE (release_id), coalesce(parts, '') AS parts FROM content c LEFT JOIN heads USING (release_id) LEFT JOIN body USING (release_id) LEFT JOIN counts USING (release_id)),
-md AS (SELECT *, CASE WHEN content_source IS NOT NULL THEN {_TRIM(r"""concat('---', chr(10), concat_ws(chr(10), 'id: "' || release_id || '"', 'ticker: "' || ticker || '"', 'source: "Press release feed + public page"', 'period_requested: "' || period || '"',
-    'headline: "' || replace(""" + _SQUEEZE("headline") + r""", '"', '\"') || '"', 'title: "' || head || '"', 'url: "' || url || '"', 'tables_financial: ' || financial, 'tables_non_gaap: ' || non_gaap, 'tables_contact: ' || contact, 'tables_other: ' || other, 'tables_text: ' || text_tables),
-    chr(10), '---', chr(10), chr(10), '# ', headline, chr(10), chr(10), parts)""")} || chr(10) END AS markdown FROM top)"""
+top AS (SELECT c.*, coalesce(hit[1], own[1], head) AS headline, counts.* EXCLUDE (release_id), coalesce(parts, '') AS parts FROM content c LEFT JOIN heads USING (release_id) LEFT JOIN body USING (release_id) LEFT JOIN counts USING (release_id))"""
+
+
+def _written(header: list[str]) -> str:
+    """A release's Markdown from `top` and the lines of its header, of which null ones are left out."""
+    return _TRIM(f"concat('---', chr(10), concat_ws(chr(10), {', '.join(header)}), chr(10), '---', chr(10), chr(10), '# ', headline, chr(10), chr(10), parts)") + " || chr(10)"
+
+
+def _line(name: str, value: str) -> str:
+    return f"""CASE WHEN coalesce({value}, '') <> '' THEN '{name}: "' || replace({_SQUEEZE(value)}, '"', '\\"') || '"' END"""
+
+
+_TABLES_LINES = [f"'tables_{k}: ' || {c}" for k, c in (("financial", "financial"), ("non_gaap", "non_gaap"), ("contact", "contact"), ("other", "other"), ("text", "text_tables"))]
+_FEED_SOURCE = _line("source", "'Press release feed + public page'")
+_MARKDOWN = f"""{_SECTIONS}, {_STORY},
+md AS (SELECT *, CASE WHEN content_source IS NOT NULL THEN {_written([_line("id", "release_id"), _line("ticker", "ticker"), _FEED_SOURCE, _line("period_requested", "period"), _line("headline", "headline"), _line("title", "head"), _line("url", "url"), *_TABLES_LINES])} END AS markdown FROM top)"""
+#: Chosen releases in the place of `content`, with a key for each and what its page is made of.
+_DOCUMENTS = f"""{_SCORES}, {duckdb("release_parts")}, won AS (SELECT ticker || ':' || row_ord AS release_id, fiscal_year, quarter, score FROM ranked WHERE rank = 1 AND score >= 55),
+content AS (SELECT r2.ticker || ':' || r2.row_ord AS release_id, r2.ticker, r2.release_id AS own_id, r2.url, title AS head, p.head AS page_head, p.k, p.label, p.n, p.n1, p.body, publisher, domain, release_date::VARCHAR AS release_date, detected_period,
+    CASE WHEN k < 2 THEN 'scraped_public_url_html' WHEN {_CLEAN("r2.text")} <> '' THEN 'press_release_text' END AS content_source, CASE WHEN k >= 2 THEN {_CLEAN("r2.text")} END AS raw_content
+    FROM r2 JOIN release_parts p ON p.doc_id = row_ord AND p.ticker = r2.ticker WHERE r2.ticker || ':' || row_ord IN (SELECT release_id FROM won)), {_PAGES("page_head")} {_PARSED}, {_STORY},
+asked AS (SELECT t.*, w.fiscal_year, w.quarter, w.score, 'Q' || w.quarter || ' FY' || w.fiscal_year AS period FROM top t JOIN won w USING (release_id)),
+md AS (SELECT *, CASE WHEN content_source IS NOT NULL THEN {_written([_line("id", "own_id"), _line("ticker", "ticker"), _FEED_SOURCE, _line("publisher", "publisher"), _line("site", "domain"), _line("release_date", "release_date"), _line("period_requested", "period"), _line("period_detected", "detected_period"), _line("headline", "headline"), _line("title", "head"), _line("url", "url"), *_TABLES_LINES])} END AS markdown FROM asked)"""
 _POSITIVE = _q(P.POSITIVE_TERMS)
 
 ORACLES |= {
@@ -261,6 +279,7 @@ ORACLES |= {
     "release_sections": f"WITH {_SECTIONS} SELECT * FROM sections",
     "release_markdown": f"WITH {_MARKDOWN} SELECT release_id, headline, CASE WHEN content_source IS NOT NULL THEN financial END AS financial, CASE WHEN content_source IS NOT NULL THEN total END AS total, markdown FROM md",
     "release_manifest": f"WITH {_MARKDOWN} SELECT release_id AS id, period, headline, 'markdown/' || release_id AS llm_markdown_path, 'raw/raw_format=' || CASE WHEN regexp_matches(lower(raw_content), '<html|<body|<table|</table|<p') THEN 'html' ELSE 'txt' END || '/' || release_id AS raw_path, financial, non_gaap, contact, other, text_tables, total, length(markdown)::BIGINT AS characters, {_WORDS('markdown')} AS words, greatest(1, length(markdown) // 4)::BIGINT AS rough_tokens_estimate, '2026-01-01T00:00:00+00:00' AS created_at_utc FROM md WHERE content_source IS NOT NULL",
+    "release_documents": f"WITH {_DOCUMENTS} SELECT ticker, fiscal_year, quarter, own_id AS release_id, score, content_source, headline, CASE WHEN content_source IS NOT NULL THEN total END AS n_tables, markdown FROM md",
     "paragraphs": rf"""WITH g AS (SELECT doc_id, list_filter(list_transform(string_split_regex(array_to_string({_LINES("text")}, chr(10)), '
 {{2,}}'), lambda g: {_CLEAN("replace(" + _TRIM("g") + ", chr(10), ' ')")}), lambda g: g <> '') AS p FROM documents)
         SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS paragraph_no, unnest(p) AS paragraph FROM g""",

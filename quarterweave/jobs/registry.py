@@ -214,7 +214,7 @@ def release_content(spark: SparkSession, d: str) -> DataFrame:
 def release_sections(spark: SparkSession, d: str) -> DataFrame:
     # The outer form, as the plain one adds a filter on the array, which would be computed once more below.
     rows = content.release_sections(_content(spark, d)).select("release_id", F.posexplode_outer("sections").alias("section_no", "s"))
-    return rows.where(F.col("section_no").isNotNull()).select("release_id", "section_no", "s.*")
+    return rows.where(F.col("section_no").isNotNull()).select("release_id", "section_no", "s.kind", "s.text", "s.title", "s.class", "s.markdown")
 
 
 def release_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -227,6 +227,15 @@ def release_manifest(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "period", "headline", "llm_markdown_path", "raw_path", "table_counts.*", "size_estimates.llm_markdown.*", "created_at_utc")
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return content.release_documents(_fields(spark, d), shaped(spark, d, "release_requests"), shaped(spark, d, "feed_pages"))
+
+
+def release_documents(spark: SparkSession, d: str) -> DataFrame:
+    """From the feed to the document of each request's best release, in one job."""
+    return _documents(spark, d).select("ticker", "fiscal_year", "quarter", "release_id", "score", "content_source", "headline", F.col("counts.total").alias("n_tables"), "markdown")
+
+
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.posexplode(text.paragraphs(F.col("text"))).alias("paragraph_no", "paragraph"))
@@ -281,7 +290,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         release_fields, release_scores, release_candidates, release_best, release_failures,
         period_labels, recheck_actions, widen_actions, evidence_manifest,
         filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents, exhibit_rank,
-        release_content, release_sections, release_markdown, release_manifest, paragraphs, text_table_blocks,
+        release_content, release_sections, release_markdown, release_manifest, release_documents, paragraphs, text_table_blocks,
         html_sections, html_tables, table_rows, table_classes, table_titles, table_markdown, table_counts,
     )
 }

@@ -1,30 +1,35 @@
 """Releases as documents: content of page or feed, sections in order, Markdown and manifest.
 
-Everything after the page parser is column expressions on one row per release: no shuffle but the join with the pages.
+Pages are joined to the releases that need them. Blocks of a page are rows while titles and numbers are found, all by one sort;
+then each release is one row again, its sections an array.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import patterns as P
-from ..functions.text import EMAIL, LINE_END, SPACE, clean_text, headline, is_html, lines, size_estimate, squeeze, strip_all
+from ..functions.text import EMAIL, LINE_END, SPACE, bound, clean_text, headline, is_html, lines, size_estimate, squeeze, strip_all
+from ..sources.staging import written
 from .release_pages import with_blocks
+from .releases import release_best, release_candidates, release_scores
 from .tables import compact_row, fit_row, markdown_lines, period_headers
 
-LEAST_PAGE, CONTEXT, TITLE = 300, 900, 180
-_TEXT_BLOCK = "array<struct<kind: string, text: string>>"
+#: Characters of a page at least, lines that may name a table, characters of a title.
+LEAST_PAGE, CONTEXT, TITLE = 300, 12, 180
 
 
-def release_content(releases: DataFrame, pages: DataFrame) -> DataFrame:
+def release_content(releases: DataFrame, pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     """`releases` (release_id, url, text, is_sec, ...) with html, raw_content, content_source, raw_format and content_error.
 
     A page of fewer than `LEAST_PAGE` characters counts as not read, one of a regulator is not taken; then the feed's
-    text stands in. `pages` (url, html) holds one row for a url.
+    text stands in. `pages` (url, html) holds one row for a url. `urls` (url), if given, are all that `releases` ask for:
+    other pages go before any page is moved.
     """
+    if urls is not None:
+        pages = pages.join(urls, "url", "left_semi")
     own = pages.where(F.length("html") >= LEAST_PAGE).select(F.col("url").alias("url_"), F.col("html").alias("html_"))
     joined = releases.join(own, (F.col("url") == F.col("url_")) & ~F.col("is_sec"), "left").drop("url_")
     feed = clean_text(F.col("text"))
@@ -41,17 +46,19 @@ def looks_like_table(line: Column) -> Column:
 
 
 def text_table_blocks(text: Column) -> Column:
-    """Runs of lines that look like rows of a table, and of those that do not, as (kind, text); empty ones dropped."""
-    marked = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), lambda x: F.struct(F.when(looks_like_table(x), "table_text").otherwise("text").alias("kind"), x.alias("text")))
-    start = F.array().cast(_TEXT_BLOCK)
+    """Runs of lines that look like rows of a table, and of those that do not, as (kind, text); empty ones dropped.
+
+    The places where a run begins are found first, then each run is one slice: time grows with the lines."""
 
-    def step(s: Column, x: Column) -> Column:
-        last = F.get(s, F.size(s) - 1)
-        joined = F.struct(x["kind"].alias("kind"), F.concat(last["text"], F.lit("\n"), x["text"]).alias("text"))
-        return F.when((F.size(s) > 0) & (last["kind"] == x["kind"]), F.concat(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(s, F.array(x)))
+    def runs(own: Column, like: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda k: (k == 0) | (F.get(like, k) != F.get(like, k - 1)))
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(own))
+        each = lambda at: F.transform(at, lambda a, k: F.struct(F.when(F.get(like, a), "table_text").otherwise("text").alias("kind"), F.array_join(F.slice(own, a + 1, end(at, k) - a), "\n").alias("text")))
+        return bound(starts, each)
 
-    runs = F.aggregate(marked, start, step)
-    tidy = F.transform(runs, lambda b: F.struct(b["kind"].alias("kind"), F.when(b["kind"] == "text", clean_text(b["text"])).otherwise(strip_all(b["text"])).alias("text")))
+    split = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    found = bound(split, lambda own: bound(F.transform(own, looks_like_table), lambda like: runs(own, like)))
+    tidy = F.transform(found, lambda b: F.struct(b["kind"].alias("kind"), F.when(b["kind"] == "text", clean_text(b["text"])).otherwise(strip_all(b["text"])).alias("text")))
     return F.filter(tidy, lambda b: b["text"] != "")
 
 
@@ -77,50 +84,85 @@ def table_class(title: Column, rows: Column) -> Column:
     )
 
 
-def _with(name: str, column: str, value: Callable[[Column], Column]) -> Column:
-    """An array of structs with one more field. Fields are added one by one: a lambda has no common subexpressions."""
-    return F.transform(column, lambda x: x.withField(name, value(x)))
-
-
-def release_sections(content: DataFrame) -> DataFrame:
-    """`content` with sections: array of (kind text, table or table_text; text; title; class; markdown), in order.
+_SECTION = "struct<pos: int, kind: string, text: string, title: string, class: string, markdown: string, number: int>"
+
+
+def _block_table(content: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page_error, blocks) of releases that have a page: sections with title, class and Markdown, in order.
+
+    Blocks are rows in the order of the page. Running counts and the last lines so far share one sort by release and place."""
+    parsed = with_blocks(content.where(F.col("html").isNotNull()), keys)
+    rows = parsed.select(*keys, "page_error", F.posexplode_outer("blocks").alias("pos", "b")).select(*keys, "page_error", "pos", "b.kind", "b.text", "b.rows")
+    rows = rows.withColumn("text", F.when(F.col("kind") == "text", without_boilerplate(F.col("text"))))
+    own = rows.withColumn("own", F.filter(lines(F.col("text")), lambda x: x != ""))
+    words = "|".join(P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS)
+    own = own.withColumn("names", F.filter(F.transform("own", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.lower(x["line"]).rlike(words)))
+    own = own.select(*keys, "page_error", "pos", "kind", "text", "rows", F.size("own").alias("n"), F.get("own", F.size("own") - 1).alias("last"), F.get("names", F.size("names") - 1).alias("name"))
+    order = W.partitionBy(*keys).orderBy("pos")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = own.withColumn("so_far", F.coalesce(F.sum(F.when(F.col("kind") == "text", F.col("n"))).over(before), F.lit(0)))
+    own = own.withColumn("name", F.when(F.col("name").isNotNull(), F.struct((F.col("so_far") + F.col("name.at") + 1).alias("no"), F.col("name.line").alias("line"))))
+    own = own.withColumns(
+        {
+            "number": F.count(F.when(F.col("kind") == "table", 1)).over(upto),
+            "line_before": F.last("last", ignorenulls=True).over(before),
+            "name_before": F.last("name", ignorenulls=True).over(before),
+        }
+    )
+    near = F.when(F.col("name_before.no") > F.col("so_far") - CONTEXT, F.col("name_before.line"))
+    is_table = F.col("kind") == "table"
+    out = own.withColumn("title", F.when(is_table, F.left(F.coalesce(near, "line_before", F.concat(F.lit("Table "), F.col("number").cast("string"))), F.lit(TITLE))))
+    out = out.withColumn("class", F.when(is_table, table_class(F.col("title"), F.col("rows"))))
+    out = out.withColumn("compact", F.filter(F.transform("rows", compact_row), lambda r: F.size(r) > 0))
+    out = out.withColumn("heads", F.when(F.col("class") != "contact", period_headers(F.col("compact"), P.RELEASE_LONG_DATE)))
+    out = out.withColumn("fitted", F.filter(F.transform("compact", lambda r: fit_row(r, F.col("heads"), P.RELEASE_PERIOD_LABELS)), lambda r: r.isNotNull()))
+    out = out.withColumn("fits", F.col("heads").isNotNull() & (F.size("fitted") > 0))
+    out = out.withColumn("body", F.when(F.col("fits"), F.col("fitted")).otherwise(F.col("compact")))
+    out = out.withColumn("markdown", F.when(F.size("compact") > 0, markdown_lines(F.when(F.col("fits"), F.col("heads")), F.col("body"))))
+    section = F.struct("pos", "kind", "text", "title", "class", "markdown", F.lit(None).cast("int").alias("number"))
+    kept = F.when(F.col("markdown").isNotNull() | (F.col("text") != ""), section)
+    return out.groupBy(*keys).agg(F.first("page_error").alias("page_error"), F.array_sort(F.collect_list(kept)).alias("blocks"))
+
+
+def _first_of_equals(sections: Column) -> Column:
+    """Of texts that are equal, white space and case aside, the first; tables numbered in order."""
+    keyed = F.transform(F.filter(sections, lambda s: s["kind"] == "text"), lambda s: F.struct(F.lower(squeeze(s["text"])).alias("k"), s["pos"].alias("pos"), s.alias("s")))
+    texts = bound(F.array_sort(keyed), lambda z: F.transform(F.filter(z, lambda x, i: (i == 0) | (F.get(z, i - 1)["k"] != x["k"])), lambda x: x["s"]))
+    tables = F.transform(F.filter(sections, lambda s: s["kind"] != "text"), lambda s, i: s.withField("number", (i + 1).cast("int")))
+    return F.array_sort(F.concat(texts.cast(f"array<{_SECTION}>"), tables.cast(f"array<{_SECTION}>")))
+
+
+def release_sections(content: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """`content` with sections: array of (pos; kind text, table or table_text; text; title; class; markdown; number among the
+    tables), in order. `keys` (release_id, if none are named) tell releases apart and are never null.
 
     A table's title is, of the last 12 lines before it, the last that names one, else the last. Pages without a table that
     has Markdown, and feed texts, are searched for tables in plain text. Of equal texts, white space and case aside, the
-    first stays.
+    first stays. A page that cannot be read gives way to the feed's text, and without one to an error, as a page too short.
     """
-    out = with_blocks(content)
-    is_table = lambda x: x["kind"] == "table"
-    kept = F.filter(_with("text", "blocks", lambda x: F.when(x["kind"] == "text", without_boilerplate(x["text"]))), lambda x: is_table(x) | (x["text"] != ""))
-    out = out.withColumn("_b", kept)
-    out = out.withColumn("_b", F.transform("_b", lambda x, i: x.withField("pos", i)))
-    earlier = lambda x: F.array_join(F.transform(F.filter("_b", lambda y: (y["kind"] == "text") & (y["pos"] < x["pos"])), lambda y: y["text"]), "\n")
-    last = lambda a: F.element_at(a, -1)
-    steps = {
-        "compact": lambda x: F.filter(F.transform(x["rows"], compact_row), lambda r: F.size(r) > 0),
-        "heads": lambda x: period_headers(x["compact"]),
-        "fitted": lambda x: F.filter(F.transform(x["compact"], lambda r: fit_row(r, x["heads"])), lambda r: r.isNotNull()),
-        "number": lambda x: F.size(F.filter("_b", lambda y: is_table(y) & (y["pos"] <= x["pos"]))),
-        "near": lambda x: F.when(is_table(x), F.filter(lines(F.right(earlier(x), F.lit(CONTEXT))), lambda line: line != "")),
-        "named": lambda x: F.filter(F.reverse(F.slice(F.reverse(x["near"]), 1, 12)), lambda line: F.lower(line).rlike("|".join(P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS))),
-        "title": lambda x: F.left(F.when(F.size(x["named"]) > 0, last(x["named"])).when(F.size(x["near"]) > 0, last(x["near"])).when(is_table(x), F.concat(F.lit("Table "), x["number"].cast("string"))), F.lit(TITLE)),
-        "class": lambda x: F.when(is_table(x), table_class(x["title"], x["rows"])),
-        "fits": lambda x: x["heads"].isNotNull() & (F.size(x["fitted"]) > 0),
-        "body": lambda x: F.when(x["fits"], x["fitted"]).otherwise(x["compact"]),
-        "markdown": lambda x: F.when(F.size(x["compact"]) > 0, markdown_lines(F.when(x["fits"], x["heads"]), x["body"])),
-    }
-    for name, value in steps.items():
-        out = out.withColumn("_b", _with(name, "_b", value))
-    section = lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "text", "title", "class", "markdown")])
-    out = out.withColumn("_s", F.transform(F.filter("_b", lambda x: (x["kind"] == "text") | x["markdown"].isNotNull()), section))
-    has_table = F.coalesce(F.exists("_s", is_table), F.lit(False))
-    out = out.withColumn("_plain", F.when(F.col("content_source").isNull() | has_table, None).otherwise(text_table_blocks(F.when(F.col("html").isNotNull(), narrative_text(F.col("_s"))).otherwise(F.col("raw_content")))))
-    none, table_text = F.lit(None).cast("string"), lambda x: x["kind"] == "table_text"
-    plain = F.transform("_plain", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), F.when(table_text(x), "Text-formatted table").alias("title"), F.when(table_text(x), "other").alias("class"), none.alias("markdown")))
-    out = out.withColumn("_s", F.when(F.size("_plain") > 0, plain).otherwise(F.col("_s")))
-    out = out.withColumn("_k", F.transform("_s", lambda x: F.when(x["kind"] == "text", F.lower(squeeze(x["text"]))).otherwise("")))
-    first = F.filter("_s", lambda x, i: (x["kind"] != "text") | (F.array_position(F.col("_k"), F.get("_k", i)) == i + 1))
-    return out.withColumn("sections", first).drop("_b", "_s", "_k", "_plain", "blocks")
+    keys = keys or ["release_id"]
+    blocks = _block_table(content, keys).withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = [F.col(k) == F.col(f"{k}_") for k in keys]
+    out = content.join(blocks, same, "left").drop(*[f"{k}_" for k in keys])
+    unread = F.col("page_error").isNotNull()
+    feed = F.when(unread, F.nullif(clean_text(F.col("text")), F.lit("")))
+    out = out.withColumn("_feed", feed)
+    out = out.withColumns(
+        {
+            "content_error": F.when(unread & F.col("_feed").isNull(), F.concat(F.lit("page_not_readable: "), F.col("page_error"))).otherwise(F.col("content_error")),
+            "content_source": F.when(unread, F.when(F.col("_feed").isNotNull(), "press_release_text")).otherwise(F.col("content_source")),
+            "raw_content": F.when(unread, F.col("_feed")).otherwise(F.col("raw_content")),
+            "raw_format": F.when(unread, F.when(F.col("_feed").isNotNull(), F.when(is_html(F.col("_feed")), "html").otherwise("txt"))).otherwise(F.col("raw_format")),
+            "html": F.when(~unread, F.col("html")),
+        }
+    )
+    has_table = F.coalesce(F.exists("blocks", lambda s: s["kind"] == "table"), F.lit(False))
+    plain = F.when(F.col("html").isNotNull(), narrative_text(F.col("blocks"))).otherwise(F.col("raw_content"))
+    out = out.withColumn("_plain", F.when(F.col("content_source").isNotNull() & ~has_table, text_table_blocks(plain)))
+    table_text, none = lambda x: x["kind"] == "table_text", F.lit(None).cast("string")
+    found = F.transform("_plain", lambda x, i: F.struct(i.cast("int").alias("pos"), x["kind"].alias("kind"), x["text"].alias("text"), F.when(table_text(x), "Text-formatted table").alias("title"), F.when(table_text(x), "other").alias("class"), none.alias("markdown"), F.lit(None).cast("int").alias("number")))
+    out = out.withColumn("_s", F.when(F.size("_plain") > 0, found).otherwise(F.col("blocks")))
+    return out.withColumn("sections", F.when(F.col("content_source").isNotNull(), _first_of_equals(F.col("_s")))).drop("_s", "_plain", "_feed", "blocks")
 
 
 def narrative_text(sections: Column) -> Column:
@@ -154,7 +196,7 @@ def release_markdown(sectioned: DataFrame) -> DataFrame:
     label = lambda s: F.when(s["class"] == "financial", "Financial Table").when(s["class"] == "non_gaap", "Non-GAAP Table").when(s["class"] == "contact", "Contact Table").otherwise("Table")
 
     def part(s: Column, i: Column) -> Column:
-        number = F.size(F.filter(F.slice("sections", F.lit(1), i + 1), lambda x: x["kind"] != "text")).cast("string")
+        number = s["number"].cast("string")
         title = clean_text(s["title"])
         named = F.when((title != "") & ~title.rlike(r"(?i)^table\s+\d+$"), F.concat(F.lit(": "), title)).otherwise("")
         before = F.get("sections", i - 1)
@@ -168,6 +210,24 @@ def release_markdown(sectioned: DataFrame) -> DataFrame:
     return out.withColumn("markdown", F.when(F.col("content_source").isNotNull(), F.concat(strip_all(whole), F.lit("\n"))))
 
 
+def release_documents(fields: DataFrame, requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """The document of the best release of each request (ticker, fiscal_year, quarter), from `release_fields` to Markdown.
+
+    Candidates are scored and ranked by keys and flags alone. The winners' keys are written, and only the texts and pages that
+    they name are read on, each page parsed once, however many requests chose its release. A row per answered request;
+    `fields` (ticker, row_ord) tell releases apart; `pages` (url, html) holds one row for a url.
+    """
+    best = release_best(release_candidates(release_scores(fields, requests), 1))
+    best = written(best.select("ticker", "row_ord", "fiscal_year", "quarter", "score", "url"), "winners")
+    keys = ["ticker", "row_ord"]
+    chosen = fields.join(best.select(*keys).distinct(), keys, "left_semi")
+    urls = best.select("url").distinct()
+    content = release_content(chosen.withColumn("site", F.col("domain")), pages, urls)
+    sectioned = release_sections(content, keys).drop("html")
+    asked = best.select(*keys, "fiscal_year", "quarter", "score", F.format_string("Q%d FY%d", F.col("quarter").cast("int"), F.col("fiscal_year").cast("int")).alias("requested_period"))
+    return release_markdown(sectioned.join(asked, keys))
+
+
 def release_manifest(documents: DataFrame, created_at: str) -> DataFrame:
     """One row per release: what it is, table counts, sizes and where its copies lie, relative to the sinks' folders."""
     return documents.where(F.col("content_source").isNotNull()).select(  # not by the document: a filter is pushed below what computes it

@@ -64,7 +64,9 @@ def release_fields(releases: DataFrame) -> DataFrame:
         filled("publisher").alias("publisher"), filled("company").alias("company"), symbol.alias("symbol"),
     )
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
-    low, head = F.lower(F.concat_ws("\n", "title", "text", "url")), F.lower("title")
+    # Named, so that each is computed once for all that asks of it.
+    rows = rows.withColumns({"low": F.lower(F.concat_ws("\n", "title", "text", "url")), "host": host, "head": F.lower("title")})
+    low, head, host = F.col("low"), F.col("head"), F.col("host")
     fixed = (
         F.when(_any(low, LIKELY_EARNINGS), 25).otherwise(0)
         + F.when(head.contains("results") & (head.contains("quarter") | head.contains("financial")), 20).otherwise(0)
@@ -86,7 +88,7 @@ def release_fields(releases: DataFrame) -> DataFrame:
             "short_quarters": F.array_distinct(F.regexp_extract_all(low, F.lit(r"q([1-4])"), F.lit(1))),
             "word_quarters": F.array_distinct(F.regexp_extract_all(low, F.lit(rf"{_WORD} quarter"), F.lit(1))),
         }
-    )
+    ).drop("low", "head", "host")
 
 
 def release_scores(fields: DataFrame, requests: DataFrame) -> DataFrame:

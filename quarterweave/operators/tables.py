@@ -46,27 +46,27 @@ def _is_year(c: Column) -> Column:
     return c.rlike(r"^(19|20)[0-9]{2}$")
 
 
-def _is_period(c: Column) -> Column:
-    return F.lower(c).rlike("|".join(P.PERIOD_LABELS))
+def _is_period(c: Column, labels: list[str]) -> Column:
+    return F.lower(c).rlike("|".join(labels))
 
 
-def period_headers(rows: Column) -> Column:
+def period_headers(rows: Column, dates: str = P.LONG_DATE) -> Column:
     """Years, else dates, of the first of eight rows that holds two or more; null if none does."""
     early = F.slice(rows, 1, 8)
     first = lambda test: F.get(F.filter(F.transform(early, lambda r: F.filter(r, test)), lambda r: F.size(r) > 1), F.lit(0))
-    return F.coalesce(first(_is_year), first(lambda c: c.rlike(P.LONG_DATE)))
+    return F.coalesce(first(_is_year), first(lambda c: c.rlike(dates)))
 
 
-def fit_row(row: Column, headers: Column) -> Column:
+def fit_row(row: Column, headers: Column, labels: list[str] = P.PERIOD_LABELS) -> Column:
     """A label and one value for each header; null for rows that only repeat the headers. Without headers, the row."""
     n = F.size(headers)
-    label, values = F.get(row, F.lit(0)), F.slice(row, 2, 1_000_000)
+    label, values = F.get(row, F.lit(0)), F.slice(row, F.lit(2), F.greatest(F.size(row) - 1, F.lit(0)))
     section = ((F.size(row) == 1) & label.endswith(":")) | F.lower(label).isin(*P.SECTION_LABELS)
     blanks = lambda k: F.array_repeat(F.lit(""), k.cast("int"))
     overflow = F.concat(F.slice(values, F.lit(1), n - 1), F.array(F.array_join(F.slice(values, n, F.greatest(F.size(values), F.lit(1))), " ")))
     fitted = F.when(F.size(values) > n, overflow).otherwise(F.concat(values, blanks(F.greatest(n - F.size(values), F.lit(0)))))
-    gone = F.forall(row, _is_year) | ((F.size(row) == 1) & _is_period(label))
-    repeats = (F.size(row) <= n) & F.forall(row, lambda c: _is_year(c) | _is_period(c))
+    gone = F.forall(row, _is_year) | ((F.size(row) == 1) & _is_period(label, labels))
+    repeats = (F.size(row) <= n) & F.forall(row, lambda c: _is_year(c) | _is_period(c, labels))
     return F.when(gone, None).when(headers.isNull(), row).when(section, F.concat(F.array(label), blanks(n))).when(repeats, None).otherwise(F.concat(F.array(label), fitted))
 
 

@@ -87,12 +87,19 @@ _PARTS = """SELECT doc_id, 'r' || cast(doc_id AS varchar(20)) AS release_id, sou
         CASE doc_id % 7 WHEN 0 THEN 'Acme reports first quarter results' WHEN 1 THEN 'Consolidated Balance Sheets' WHEN 2 THEN 'Non-GAAP notes' ELSE 'Overview of the day' END AS head,
         CASE doc_id % 4 WHEN 0 THEN 'Total assets' WHEN 1 THEN 'Adjusted revenue' ELSE 'Units' END AS label, translate(coalesce(text, ''), '<>&', '   ') AS body,
         cast(doc_id AS varchar(20)) AS n, cast(doc_id + 1 AS varchar(20)) AS n1, 'Q' || cast(doc_id % 4 + 1 AS varchar(20)) || ' FY2025' AS period FROM {documents}"""
+#: Where the feed says that the release of a document lies.
+_FEED_URL = """CASE doc_id % 6 WHEN 0 THEN 'https://www.prnewswire.com/r/' WHEN 1 THEN 'https://www.globenewswire.com/r/' WHEN 2 THEN 'https://www.sec.gov/r/' WHEN 3 THEN 'https://link.example.com/' ELSE 'https://news.example.com/r/' END || cast(doc_id AS varchar(20))"""
 SHAPES |= {
     "release_parts": _PARTS,
     "release_pages": f"""
         SELECT url, CASE k WHEN 2 THEN '<p>short</p>' ELSE '<html><head><title>x</title></head><body><nav>menu</nav><article class="story"><h1>' || head || '</h1><p>' || body || '</p>'
             || CASE k WHEN 0 THEN '<table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td>' || label || '</td><td>' || n || '</td><td>' || n1 || '</td></tr></table>' ELSE '' END
             || '<script>no</script><p>Closing words<p>View original content here</article><footer>' || repeat('end ', 90) || '</footer></body></html>' END AS html FROM ({_PARTS}) AS p WHERE k < 4""",
+    "feed_pages": f"""
+        SELECT url, CASE k WHEN 2 THEN '<p>short</p>' ELSE '<html><head><title>x</title></head><body><nav>menu</nav><article class="story"><h1>' || head || '</h1><p>' || body || '</p>'
+            || CASE k WHEN 0 THEN '<table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td>' || label || '</td><td>' || n || '</td><td>' || n1 || '</td></tr></table>' ELSE '' END
+            || '<script>no</script><p>Closing words<p>View original content here</article><footer>' || repeat('end ', 90) || '</footer></body></html>' END AS html
+        FROM (SELECT p.*, {_FEED_URL} AS url FROM (SELECT doc_id, k, head, label, body, n, n1 FROM ({_PARTS}) AS q) AS p) AS r WHERE k < 3""",
     "exhibit_contents": """
         SELECT '0001-' || cast(l_orderkey AS varchar(20)) AS accession,
             CASE l_linenumber WHEN 1 THEN 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' WHEN 2 THEN 'ex99-1.htm' WHEN 3 THEN 'ex99-2.HTML' WHEN 4 THEN 'ex10-1.htm' WHEN 5 THEN 'chart.jpg' WHEN 6 THEN 'notes.txt' ELSE 'ex99.htm' END AS name,

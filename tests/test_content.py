@@ -28,7 +28,7 @@ def test_the_publishers_container_wins_and_noise_goes():
     blocks = release_blocks(page, "https://www.prnewswire.com/a")
     assert [b["kind"] for b in blocks] == ["text", "table", "text"]
     assert blocks[0]["text"] == f"Head\n{FILLER.strip()}" and blocks[2]["text"] == "after\none\ntwo"
-    assert blocks[1]["rows"] == [["", "2025", "2024"], ["Total assets", "$", "5", "$", "6"]]
+    assert blocks[1]["rows"] == [["", "2025", "2024", "", ""], ["Total assets", "$", "5", "$", "6"]]
     assert release_blocks(page, "https://other.com/a")[0]["text"] == FILLER.strip()  # there the article is tried first
     assert release_blocks("<article>short</article><p>rest", "")[0]["text"] == "short\nrest" and release_blocks("", "") == []
 
