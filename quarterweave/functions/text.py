@@ -61,6 +61,12 @@ def clean_text(c: Column) -> Column:
     return strip_all(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def filing_text(c: Column) -> Column:
+    """Text of a filing's page: blanks squeezed, none at the ends of lines, empty lines in a row as one."""
+    c = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"[ \t\r\f\x0B]+", " ")
+    return strip_all(F.regexp_replace(F.regexp_replace(c, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
+
+
 def lines(c: Column) -> Column:
     """Lines of a text, each squeezed, empty ones too."""
     return F.transform(F.split(c, LINE_END), squeeze)

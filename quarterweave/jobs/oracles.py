@@ -284,13 +284,44 @@ ORACLES |= {
 {{2,}}'), lambda g: {_CLEAN("replace(" + _TRIM("g") + ", chr(10), ' ')")}), lambda g: g <> '') AS p FROM documents)
         SELECT doc_id, (generate_subscripts(p, 1) - 1)::INT AS paragraph_no, unnest(p) AS paragraph FROM g""",
     "text_table_blocks": f"WITH src AS (SELECT doc_id, text AS txt FROM documents), {_islands('blocks', 'src', 'doc_id')} SELECT * FROM blocks",
-    "exhibit_rank": rf"""WITH {duckdb("exhibit_contents")}, {duckdb("exhibit_requests")}, docs AS ({ORACLES["filing_documents"]}),
+}
+
+
+def _exhibits(documents: str, contents: str, requests: str) -> str:
+    """The best exhibit of each filing and request as `best`, from ranked `documents` and tables by name."""
+    return rf"""docs AS ({documents}),
         low AS (SELECT *, min(tier) OVER (PARTITION BY accession) AS lowest FROM docs),
         r AS (SELECT low.accession, low.name, url, score AS metadata_score, coalesce(text, '') AS text, coalesce(n_tables, 0) AS n_tables, fiscal_year, quarter, lower(left(coalesce(text, ''), 40000)) AS low, len(regexp_extract_all(coalesce(text, ''), {_POSITIVE})) AS positive, ['first', 'second', 'third', 'fourth'][quarter] AS w
-            FROM low LEFT JOIN exhibit_contents c ON c.accession = low.accession AND c.name = low.name LEFT JOIN exhibit_requests q ON q.accession = low.accession WHERE tier = lowest AND rank <= 12),
+            FROM low LEFT JOIN {contents} c ON c.accession = low.accession AND c.name = low.name LEFT JOIN {requests} q ON q.accession = low.accession WHERE tier = lowest AND rank <= 12),
         s AS (SELECT *, (CASE WHEN regexp_matches(left(text, 20000), {_q(P.LEGAL_EXHIBIT)}) THEN -5000 ELSE 0 END + least(positive, 12) * 180 + CASE WHEN n_tables >= 3 THEN 500 ELSE n_tables * 50 END + CASE WHEN length(text) >= 10000 THEN 200 WHEN length(text) >= 5000 THEN 80 ELSE 0 END
             - CASE WHEN regexp_matches(left(text, 20000), {_q(P.CAPITAL_RETURN)}) AND positive < 3 AND n_tables < 3 THEN 1200 ELSE 0 END
             + CASE WHEN quarter IS NULL THEN 0 ELSE CASE WHEN regexp_matches(low, w || '\s+quarter\s+(?:fiscal\s+)?' || fiscal_year || '|fiscal\s+' || fiscal_year || '\s+' || w || '\s+quarter|q' || quarter || '\s+(?:fy|fiscal\s+)?' || fiscal_year) THEN 2500 ELSE 0 END + CASE WHEN contains(low, fiscal_year::VARCHAR) THEN 200 ELSE 0 END
-                + CASE WHEN contains(low, w || ' quarter') THEN 500 ELSE 0 END + CASE WHEN contains(low, 'q' || quarter) THEN 250 ELSE 0 END - CASE WHEN contains(low, w || ' quarter') THEN 0 ELSE 600 * len(list_filter(['first', 'second', 'third', 'fourth'], lambda x: x <> w AND contains(low, x || ' quarter'))) END END)::BIGINT AS content_score FROM r)
-        SELECT accession, count(*) OVER (PARTITION BY accession) AS n_read, name, url, metadata_score, content_score, metadata_score + content_score AS score, length(text)::INT AS n_chars FROM s QUALIFY row_number() OVER (PARTITION BY accession ORDER BY metadata_score + content_score DESC, length(text) DESC, name DESC) = 1""",
+                + CASE WHEN contains(low, w || ' quarter') THEN 500 ELSE 0 END + CASE WHEN contains(low, 'q' || quarter) THEN 250 ELSE 0 END - CASE WHEN contains(low, w || ' quarter') THEN 0 ELSE 600 * len(list_filter(['first', 'second', 'third', 'fourth'], lambda x: x <> w AND contains(low, x || ' quarter'))) END END)::BIGINT AS content_score FROM r),
+        best AS (SELECT accession, fiscal_year, quarter, count(*) OVER (PARTITION BY accession, fiscal_year, quarter) AS n_read, name, url, metadata_score, content_score, metadata_score + content_score AS score, length(text)::INT AS n_chars, n_tables
+            FROM s QUALIFY row_number() OVER (PARTITION BY accession, fiscal_year, quarter ORDER BY metadata_score + content_score DESC, length(text) DESC, name DESC) = 1)"""
+
+
+#: What the pages of exhibits read: heading, text, a line pair for each table, an item, closing words twice.
+_READ = rf"""{duckdb("exhibit_contents")}, pages_read AS (SELECT accession, name, n_tables, {_TRIM("text")} AS own, 'Exhibit ' || name || chr(10) || chr(10) || {_TRIM("text")} || repeat(chr(10) || chr(10) || 'Revenue20252024' || chr(10) || chr(10) || 'Sales$54', n_tables)
+    || CASE n_tables WHEN 0 THEN chr(10) ELSE chr(10) || chr(10) END || 'one item' || chr(10) || chr(10) || 'Closing words' || chr(10) || chr(10) || 'Closing words' AS text
+    FROM (SELECT accession, name, min(text) AS text, min(n_tables) AS n_tables FROM exhibit_contents GROUP BY ALL))"""
+_ONE_BEST = "SELECT * EXCLUDE (fiscal_year, quarter, n_tables) FROM best"
+_TABLE = "'## ' || label || ' ' || i || named || chr(10) || chr(10) || '|Item|2025|2024|' || chr(10) || '|-|-:|-:|' || chr(10) || '|Revenue|2025|2024|' || chr(10) || '|Sales|$5|4|'"
+_FILINGS = rf"""{_READ}, chosen AS ({ORACLES["filing_rank"]}), {_exhibits("SELECT f.* FROM (" + ORACLES["filing_documents"] + ") f WHERE accession IN (SELECT accession FROM chosen)", "pages_read", "(SELECT DISTINCT accession, fiscal_year, quarter FROM chosen)")},
+    j AS (SELECT c.symbol, c.fiscal_year, c.quarter, c.accession, c.filing_date, b.name, b.url, b.n_read, b.score, own, pr.n_tables, CASE WHEN own IS NULL THEN 'Earnings Release of a Filing' ELSE 'Exhibit ' || b.name END AS headline, CASE WHEN length(own) <= 220 THEN own ELSE 'Exhibit ' || b.name END AS title
+        FROM chosen c JOIN best b USING (accession, fiscal_year, quarter) LEFT JOIN pages_read pr ON pr.accession = c.accession AND pr.name = b.name),
+    k AS (SELECT *, CASE WHEN {_HAS_ANY("lower(title || ' revenue 2025 2024 sales $ 5 4')", P.NON_GAAP)} THEN 'Non-GAAP Table' WHEN {_HAS_ANY("lower(title)", P.STATEMENTS)} THEN 'Financial Table' WHEN {_HAS_ANY("lower(title)", P.CONTACTS)} THEN 'Contact Table' ELSE 'Table' END AS label, ': ' || left(title, 180) AS named FROM j)
+    SELECT symbol, fiscal_year, quarter, accession, filing_date, name, url, n_read, score, headline, coalesce(n_tables, 0)::BIGINT AS n_tables, concat('---', chr(10), concat_ws(chr(10), {_line("symbol", "symbol")}, {_line("fiscal_year", "fiscal_year::VARCHAR")}, {_line("fiscal_quarter", "quarter::VARCHAR")}, {_line("requested_period", "'Q' || quarter || ' FY' || fiscal_year")},
+        {_line("filing_date", "filing_date")}, {_line("accession_number", "accession")}, {_line("selected_document", "name")}, {_line("selected_document_url", "url")}, 'table_count: "' || CASE WHEN n_tables > 0 THEN n_tables::VARCHAR ELSE '' END || '"'), chr(10), '---', chr(10), chr(10), '# ', headline,
+        CASE WHEN own IS NOT NULL THEN concat(chr(10), chr(10), concat_ws(chr(10) || chr(10), own, nullif(array_to_string([{_TABLE} FOR i IN range(1, n_tables + 1)], chr(10) || chr(10)), ''))
+            , chr(10), chr(10), '- one item', chr(10), 'Closing words') ELSE '' END, chr(10)) AS markdown FROM k"""
+
+ORACLES |= {
+    "exhibit_rank": f"WITH {duckdb('exhibit_contents')}, {duckdb('exhibit_requests')}, {_exhibits(ORACLES['filing_documents'], 'exhibit_contents', 'exhibit_requests')} {_ONE_BEST}",
+    "exhibit_pages": f"WITH {_READ}, {duckdb('exhibit_requests')}, {_exhibits(ORACLES['filing_documents'], 'pages_read', 'exhibit_requests')} {_ONE_BEST}",
+    "filing_releases": f"WITH {_FILINGS}",
+    # The same results from landed payloads.
+    "payload_evidence": f"SELECT e.*, matched_total FROM ({ORACLES['evidence_pack']}) e LEFT JOIN (WITH {_PERIODS}, {_TABLES}, {_MATCH} SELECT symbol, round(sum(amount), 2) AS matched_total FROM hits WHERE hit GROUP BY symbol) t USING (symbol)",
+    "payload_filing_rank": ORACLES["filing_rank"],
+    "payload_release_documents": ORACLES["release_documents"],
 }

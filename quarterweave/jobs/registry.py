@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import content, filings, html, periods, releases, tables, transcripts
-from ..sources.shapes import shaped
+from ..sources import readers
+from ..sources.shapes import payloads, shaped
+from ..sources.staging import written
 from .oracles import ORACLES  # noqa: F401
 
 #: The driver's orders end in 2001.
@@ -85,13 +87,17 @@ def _rows(column: str) -> Column:
     return F.array_join(F.transform(column, lambda r: F.concat_ws(":", r["fiscal_year"], r["period"], F.round(r["amount"], 2).cast("decimal(38, 2)").cast("string"))), ";")
 
 
+def _amount(rows: str) -> Column:
+    return F.round(F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["amount"])), 2)
+
+
 def period_match(spark: SparkSession, d: str) -> DataFrame:
-    matched = periods.period_match(_tables(spark, d), _periods(spark, d), allow_fallback=True)
+    matched = periods.period_match(_tables(spark, d), _periods(spark, d), allow_fallback=True).withColumn("matched_amount", _amount("matched_rows"))
     return matched.withColumn("matched_rows", _rows("matched_rows")).withColumn("fallback_rows", _rows("fallback_rows"))
 
 
 def annual_match(spark: SparkSession, d: str) -> DataFrame:
-    matched = periods.annual_match(_tables(spark, d), periods.latest_fiscal_year(_periods(spark, d)))
+    matched = periods.annual_match(_tables(spark, d), periods.latest_fiscal_year(_periods(spark, d))).withColumn("matched_amount", _amount("matched_rows"))
     return matched.withColumn("matched_rows", _rows("matched_rows"))
 
 
@@ -115,15 +121,18 @@ def company_profile(spark: SparkSession, d: str) -> DataFrame:
     return _periods(spark, d).select("symbol").distinct().join(shaped(spark, d, "profiles"), "symbol", "left")
 
 
-def _pack(spark: SparkSession, d: str) -> DataFrame:
-    chosen, tables = _periods(spark, d), _tables(spark, d)
+def _pack(spark: SparkSession, d: str, dates: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
+    """Periods and statement rows are written once, as several parts of a pack read them."""
+    found = periods.latest_periods(dates, 2, FIRST_YEAR) if dates is not None else _periods(spark, d)
+    rows = periods.statement_tables(statements, 4, 3) if statements is not None else _tables(spark, d)
+    chosen, tables = written(found, "periods"), written(rows, "statements")
     years = periods.annual_match(tables, periods.latest_fiscal_year(chosen))
     return periods.evidence_pack(shaped(spark, d, "profiles"), chosen, periods.period_match(tables, chosen), years, periods.followup_actions(chosen))
 
 
-def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+def _pack_row() -> list[Column | str]:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["table_name"], x["match_status"], x["n_matched"].cast("string"))), ",")
-    return _pack(spark, d).select(
+    return [
         "symbol",
         F.array_join(F.transform("selected_periods", lambda p: p["period_label"]), ",").alias("selected_periods"),
         "fiscal_year",
@@ -131,7 +140,20 @@ def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
         joined("annual_tables").alias("annual_tables"),
         F.when(F.col("actions").isNull(), 0).otherwise(F.size("actions")).cast("long").alias("n_actions"),
         F.array_join("notes", ",").alias("notes"),
-    )
+    ]
+
+
+def evidence_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _pack(spark, d).select(*_pack_row())
+
+
+def payload_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Packs from landed JSON, measures open, with the sum of one measure over the rows that match a selected quarter."""
+    pack = _pack(spark, d, readers.transcript_dates(payloads(spark, d, "transcript_dates")), readers.statements(payloads(spark, d, "statements")))
+    entries = F.flatten(F.transform(F.flatten(F.transform("financial_tables", lambda t: t["matched_rows"])), lambda r: r["measures"]))
+    amounts = F.transform(F.filter(entries, lambda e: e["key"] == "amount"), lambda e: e["value"])
+    total = F.round(F.when(F.size(amounts) > 0, F.aggregate(amounts, F.lit(0.0), lambda a, x: a + x)), 2)
+    return pack.select(*_pack_row(), total.alias("matched_total"))
 
 
 def evidence_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -173,9 +195,17 @@ def filing_search(spark: SparkSession, d: str) -> DataFrame:
     return filings.filing_search(shaped(spark, d, "filings"), "1996-01-01", "2000-12-31")
 
 
+def _filing_requests(spark: SparkSession, d: str) -> DataFrame:
+    return _periods(spark, d).select("symbol", F.col("year").alias("fiscal_year"), "quarter", F.col("call_date").alias("anchor_date"))
+
+
 def filing_rank(spark: SparkSession, d: str) -> DataFrame:
-    requests = _periods(spark, d).select("symbol", F.col("year").alias("fiscal_year"), "quarter", F.col("call_date").alias("anchor_date"))
-    return filings.filing_rank(shaped(spark, d, "filings"), requests)
+    return filings.filing_rank(shaped(spark, d, "filings"), _filing_requests(spark, d))
+
+
+def payload_filing_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The best filing of each request, from landed blocks of parallel arrays."""
+    return filings.filing_rank(filings.submissions_rows(readers.submission_blocks(payloads(spark, d, "filings"))), _filing_requests(spark, d))
 
 
 def cik_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +217,7 @@ def submissions_rows(spark: SparkSession, d: str) -> DataFrame:
     blocks = shaped(spark, d, "filings").groupBy("symbol").agg(rows.alias("x"))
     # As a payload may be: the last array is one short.
     blocks = blocks.select("symbol", "x.form", "x.filing_date", F.slice("x.items", F.lit(1), F.greatest(F.size("x") - 1, F.lit(0))).alias("items"), F.lit("CIK").alias("name"))
-    return filings.submissions_rows(blocks)
+    return filings.submissions_rows(blocks).withColumnRenamed("row_ord", "pos")
 
 
 def filing_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -195,7 +225,18 @@ def filing_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exhibit_rank(spark: SparkSession, d: str) -> DataFrame:
-    return filings.exhibit_rank(filings.filing_documents(shaped(spark, d, "filing_documents")), shaped(spark, d, "exhibit_contents"), shaped(spark, d, "exhibit_requests"))
+    ranked = filings.exhibit_rank(filings.filing_documents(shaped(spark, d, "filing_documents")), shaped(spark, d, "exhibit_contents"), shaped(spark, d, "exhibit_requests"))
+    return ranked.drop("fiscal_year", "quarter")
+
+
+def exhibit_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Exhibits ranked by their raw pages."""
+    return filings.filing_exhibits(shaped(spark, d, "filing_documents"), shaped(spark, d, "exhibit_pages"), shaped(spark, d, "exhibit_requests"))[0].drop("fiscal_year", "quarter")
+
+
+def filing_releases(spark: SparkSession, d: str) -> DataFrame:
+    """From filings and requests to the Markdown of the exhibit that reads most like the release."""
+    return filings.filing_releases(shaped(spark, d, "filings"), _filing_requests(spark, d), shaped(spark, d, "filing_documents"), shaped(spark, d, "exhibit_pages"))
 
 
 def _content(spark: SparkSession, d: str) -> DataFrame:
@@ -227,13 +268,19 @@ def release_manifest(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "period", "headline", "llm_markdown_path", "raw_path", "table_counts.*", "size_estimates.llm_markdown.*", "created_at_utc")
 
 
-def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return content.release_documents(_fields(spark, d), shaped(spark, d, "release_requests"), shaped(spark, d, "feed_pages"))
+def _documents(spark: SparkSession, d: str, fields: DataFrame) -> DataFrame:
+    out = content.release_documents(fields, shaped(spark, d, "release_requests"), shaped(spark, d, "feed_pages"))
+    return out.select("ticker", "fiscal_year", "quarter", "release_id", "score", "content_source", "headline", F.col("counts.total").alias("n_tables"), "markdown")
 
 
 def release_documents(spark: SparkSession, d: str) -> DataFrame:
     """From the feed to the document of each request's best release, in one job."""
-    return _documents(spark, d).select("ticker", "fiscal_year", "quarter", "release_id", "score", "content_source", "headline", F.col("counts.total").alias("n_tables"), "markdown")
+    return _documents(spark, d, _fields(spark, d))
+
+
+def payload_release_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same from landed feeds, all their releases."""
+    return _documents(spark, d, releases.release_fields(readers.press_releases(payloads(spark, d, "releases"), most=None)))
 
 
 def paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -288,9 +335,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         transcript_text, qa_candidates, qa_split, transcript_quality, transcript_sections, transcript_chunks, speaker_positions,
         valid_symbols, latest_periods, latest_fiscal_year, statement_tables, period_match, annual_match, followup_actions, company_profile, evidence_pack,
         release_fields, release_scores, release_candidates, release_best, release_failures,
-        period_labels, recheck_actions, widen_actions, evidence_manifest,
-        filing_search, filing_rank, cik_lookup, submissions_rows, filing_documents, exhibit_rank,
-        release_content, release_sections, release_markdown, release_manifest, release_documents, paragraphs, text_table_blocks,
+        period_labels, recheck_actions, widen_actions, evidence_manifest, payload_evidence,
+        filing_search, filing_rank, payload_filing_rank, cik_lookup, submissions_rows, filing_documents, exhibit_rank, exhibit_pages, filing_releases,
+        release_content, release_sections, release_markdown, release_manifest, release_documents, payload_release_documents, paragraphs, text_table_blocks,
         html_sections, html_tables, table_rows, table_classes, table_titles, table_markdown, table_counts,
     )
 }

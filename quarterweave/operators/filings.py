@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.patterns import CAPITAL_RETURN, EARNINGS_LIKE, EARNINGS_RELEASE, EXHIBIT_99, FIRST_EXHIBIT, LATER_EXHIBIT, LEGAL_EXHIBIT, POSITIVE_TERMS, QUARTER_WORDS, RELEVANT_FORMS
-from ..functions.text import date_range, lenient_date
+from ..functions.text import date_range, filing_text, lenient_date, squeeze, strip_all
+from ..sources.staging import written
+from .html import parse_pages
+from .tables import compact_row, fit_row, markdown_lines, page_class, period_headers, table_label
 
-MIN_FILING_SCORE = 250
+#: Characters of a text that can be a headline or name a table.
+MIN_FILING_SCORE, SHORT = 250, 220
 
 
 def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame:
@@ -66,10 +70,10 @@ def cik_lookup(symbols: DataFrame, ticker_map: DataFrame) -> DataFrame:
 
 
 def submissions_rows(blocks: DataFrame, key: str = "symbol") -> DataFrame:
-    """(key, pos, a column per array) for blocks of parallel arrays: as many rows as the longest has, shorter ones padded with
+    """(key, row_ord, a column per array) for blocks of parallel arrays: as many rows as the longest has, shorter ones padded with
     nulls; columns that are no arrays are ignored."""
     arrays = [f.name for f in blocks.schema if f.dataType.typeName() == "array"]
-    return blocks.select(key, F.posexplode(F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(blocks.schema[c].dataType)).alias(c) for c in arrays])).alias("pos", "r")).select(key, "pos", *[F.col(f"r.{c}").alias(c) for c in arrays])
+    return blocks.select(key, F.posexplode(F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(blocks.schema[c].dataType)).alias(c) for c in arrays])).alias("row_ord", "r")).select(key, "row_ord", *[F.col(f"r.{c}").alias(c) for c in arrays])
 
 
 def filing_documents(documents: DataFrame) -> DataFrame:
@@ -121,6 +125,32 @@ def content_score(text: Column, n_tables: Column, year: Column, quarter: Column)
     )
 
 
+def read_first(documents: DataFrame, n: int = 12) -> DataFrame:
+    """Of ranked `filing_documents` those to be read: the n best of the lowest tier that a filing has."""
+    lowest = documents.withColumn("lowest", F.min("tier").over(W.partitionBy("accession")))
+    return lowest.where((F.col("tier") == F.col("lowest")) & (F.col("rank") <= n)).select("accession", "name", "tier", F.col("score").alias("metadata_score"), "url")
+
+
+def exhibit_contents(first: DataFrame, pages: DataFrame) -> DataFrame:
+    """(accession, name, text, n_tables, sections, error) for the documents in `first`, each page (accession, name, html; a row
+    each) parsed once. Other pages go before any is moved; what is left is dealt to tasks by bytes, as pages differ in size a thousandfold."""
+    asked = pages.join(first.select("accession", "name").distinct(), ["accession", "name"], "left_semi")
+    parsed = parse_pages(asked.select("accession", "name", "html").hint("rebalance"), ["accession", "name"], with_text=True)
+    n_tables = F.size(F.filter("sections", lambda s: s["kind"] == "table"))
+    return parsed.select("accession", "name", filing_text(F.col("text")).alias("text"), F.coalesce(n_tables, F.lit(0)).alias("n_tables"), "sections", "error")
+
+
+def exhibit_best(first: DataFrame, contents: DataFrame, requests: DataFrame) -> DataFrame:
+    """The best of the documents read, for each filing and each request for it (accession, fiscal_year, quarter; either may be
+    null); a filing without one is ranked without a period."""
+    read = first.join(contents.select("accession", "name", "text", "n_tables"), ["accession", "name"], "left").join(requests.select("accession", "fiscal_year", "quarter"), "accession", "left")
+    text, tables = F.coalesce("text", F.lit("")), F.coalesce("n_tables", F.lit(0))
+    scored = read.withColumn("content_score", content_score(text, tables, F.col("fiscal_year"), F.col("quarter")).cast("long")).withColumn("n_chars", F.length(text)).drop("text")
+    scored = scored.withColumn("score", F.col("metadata_score") + F.col("content_score"))
+    best = F.max_by(F.struct("name", "url", "metadata_score", "content_score", "score", "n_chars"), F.struct("score", "n_chars", "name")).alias("best")
+    return scored.groupBy("accession", "fiscal_year", "quarter").agg(F.count(F.lit(1)).alias("n_read"), best).select("accession", "fiscal_year", "quarter", "n_read", "best.*")
+
+
 def exhibit_rank(documents: DataFrame, contents: DataFrame, requests: DataFrame, n: int = 12) -> DataFrame:
     """The exhibit of each filing that reads most like the release asked for.
 
@@ -128,11 +158,82 @@ def exhibit_rank(documents: DataFrame, contents: DataFrame, requests: DataFrame,
     them are read (`contents`: accession, name, text, n_tables; no row counts as empty) and scored for the filing's request
     (accession, fiscal_year, quarter; either may be null).
     """
-    lowest = documents.withColumn("lowest", F.min("tier").over(W.partitionBy("accession")))
-    some = lowest.where((F.col("tier") == F.col("lowest")) & (F.col("rank") <= n)).select("accession", "name", "tier", F.col("score").alias("metadata_score"), "url")
-    read = some.join(contents, ["accession", "name"], "left").join(requests, "accession", "left")
-    text, tables = F.coalesce("text", F.lit("")), F.coalesce("n_tables", F.lit(0))
-    scored = read.withColumn("content_score", content_score(text, tables, F.col("fiscal_year"), F.col("quarter")).cast("long")).withColumn("n_chars", F.length(text)).drop("text")
-    scored = scored.withColumn("score", F.col("metadata_score") + F.col("content_score"))
-    best = F.max_by(F.struct("name", "url", "metadata_score", "content_score", "score", "n_chars"), F.struct("score", "n_chars", "name")).alias("best")
-    return scored.groupBy("accession").agg(F.count(F.lit(1)).alias("n_read"), best).select("accession", "n_read", "best.*")
+    return exhibit_best(read_first(documents, n), contents, requests)
+
+
+def filing_exhibits(documents: DataFrame, pages: DataFrame, requests: DataFrame, n: int = 12) -> tuple[DataFrame, DataFrame]:
+    """`exhibit_best` over raw pages in two phases, and the parsed pages: what is known about documents says which are read,
+    and no other page is. Both stand on written tables."""
+    first = written(read_first(filing_documents(documents), n), "exhibits")
+    contents = written(exhibit_contents(first, pages), "contents")
+    return exhibit_best(first, contents, requests), contents
+
+
+def filing_headline(sections: Column) -> Column:
+    """Of the first 20 sections the first short text that tells of results, else the first short text, else a constant."""
+    short = F.filter(F.slice(sections, 1, 20), lambda s: (s["kind"] != "table") & (F.length(s["text"]) <= SHORT))
+    low = lambda s: F.lower(s["text"])
+    tells = F.filter(short, lambda s: (low(s).contains("reports") | low(s).contains("announces")) & (low(s).contains("results") | low(s).contains("earnings")))
+    return F.coalesce(F.get(tells, F.lit(0))["text"], F.get(short, F.lit(0))["text"], F.lit("Earnings Release of a Filing"))
+
+
+def filing_markdown(parsed: DataFrame, header: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(keys, headline, n_tables, markdown) for parsed pages (keys, sections, and what `header` needs).
+
+    Sections are rows in order; one sort serves what each needs of those before it: the last text, which is not said again even
+    after a table, the last short text, which names the next table, and the number of tables so far. A page without sections
+    has a header and a headline.
+    """
+    top = parsed.withColumn("headline", filing_headline(F.coalesce("sections", F.array().cast(parsed.schema["sections"].dataType))))
+    rows = top.select(*keys, "headline", F.posexplode_outer("sections").alias("p", "s")).select(*keys, "headline", "p", "s.kind", "s.text", "s.rows")
+    order = W.partitionBy(*keys).orderBy("p")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("compact", F.filter(F.transform("rows", compact_row), lambda r: F.size(r) > 0))
+    rows = rows.withColumn("heads", period_headers(F.col("compact")))
+    rows = rows.withColumn("fitted", F.filter(F.transform("compact", lambda r: fit_row(r, F.col("heads"))), lambda r: r.isNotNull()))
+    rows = rows.withColumn("fits", F.col("heads").isNotNull() & (F.size("fitted") > 0))
+    rows = rows.withColumn("table", F.when(F.size("compact") > 0, markdown_lines(F.when(F.col("fits"), F.col("heads")), F.when(F.col("fits"), F.col("fitted")).otherwise(F.col("compact")))))
+    rows = rows.withColumns(
+        {
+            "number": F.count("table").over(upto),
+            "last": F.last("text", ignorenulls=True).over(before),
+            "title": F.left(F.coalesce(F.last(F.when(F.length("text") <= SHORT, F.col("text")), ignorenulls=True).over(before), F.lit("")), F.lit(180)),
+        }
+    )
+    label = table_label(page_class(F.col("title"), F.col("rows")))
+    named = F.when((F.col("title") != "") & ~F.col("title").rlike(r"(?i)^table\s+\d+$"), F.concat(F.lit(": "), "title")).otherwise("")
+    table = F.concat(F.lit("## "), label, F.lit(" "), F.col("number").cast("string"), named, F.lit("\n\n"), F.col("table"), F.lit("\n"))
+    own = (
+        F.when(F.col("kind") == "table", F.when(F.col("table").isNotNull(), table))
+        .when(F.col("text").eqNullSafe(F.col("last")), None)
+        .when(F.col("kind") == "heading", F.when(F.col("text") != F.col("headline"), F.concat(F.lit("## "), "text", F.lit("\n"))))
+        .when(F.col("kind") == "list_item", F.concat(F.lit("- "), "text"))
+        .otherwise(F.concat("text", F.lit("\n")))
+    )
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(own.isNotNull(), F.struct("p", own.alias("x"))))), lambda x: x["x"]), "\n")
+    body = rows.groupBy(*keys).agg(lines.alias("body"), F.count_if(F.col("kind") == "table").alias("n_tables")).withColumnsRenamed({k: f"{k}_" for k in keys})
+    joined = top.join(body, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]).drop(*[f"{k}_" for k in keys])
+    quote = lambda c: F.concat(F.lit('"'), F.replace(squeeze(c), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    filled = [F.when(F.coalesce(c.cast("string"), F.lit("")) != "", F.concat(F.lit(f"{k}: "), quote(c.cast("string")))) for k, c in header.items()]
+    count = F.concat(F.lit("table_count: "), quote(F.when(F.col("n_tables") > 0, F.col("n_tables").cast("string"))))  # none is written as nothing
+    whole = F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*filled, count)), "\n"), F.lit("\n---\n\n# "), F.col("headline"), F.lit("\n\n"), F.col("body"))
+    return joined.select(*keys, "headline", "n_tables", F.concat(strip_all(F.regexp_replace(whole, r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
+
+
+def filing_releases(filings: DataFrame, requests: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """From filings to documents in one job: the best filing of each request (symbol, fiscal_year, quarter, anchor_date), of its
+    documents those worth reading, of their pages the one that reads most like the release, and that page as Markdown.
+
+    (symbol, fiscal_year, quarter, accession, filing_date, name, url, n_read, score, headline, n_tables, markdown). Only documents
+    and pages of chosen filings are read on; pages are parsed once.
+    """
+    best = written(filing_rank(filings, requests), "filings")
+    own = documents.join(best.select("accession").distinct(), "accession", "left_semi")
+    exhibits, contents = filing_exhibits(own, pages, best.select("accession", "fiscal_year", "quarter").distinct())
+    chosen = best.select("symbol", "fiscal_year", "quarter", "accession", "filing_date").join(exhibits.drop("metadata_score", "content_score", "n_chars"), ["accession", "fiscal_year", "quarter"])
+    read = chosen.join(contents.select("accession", "name", "sections"), ["accession", "name"], "left")
+    period = F.format_string("Q%d FY%d", F.col("quarter").cast("int"), F.col("fiscal_year").cast("int"))
+    header = {"symbol": "symbol", "fiscal_year": "fiscal_year", "fiscal_quarter": "quarter", "requested_period": period, "filing_date": "filing_date", "accession_number": "accession", "selected_document": "name", "selected_document_url": "url"}
+    keys = ["symbol", "fiscal_year", "quarter"]
+    text = filing_markdown(read, {k: F.col(c) if isinstance(c, str) else c for k, c in header.items()}, keys)
+    return chosen.join(text, keys)

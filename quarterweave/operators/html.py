@@ -21,6 +21,8 @@ UNSEEN = {"script", "style", "noscript", "head"}
 BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "div": "paragraph", "li": "list_item"}
 
 SECTION = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))])
+#: Tags that begin and end a line of the plain text.
+LINE_STARTS, LINE_ENDS = {"p", "div", "tr", "table", "br"}, {"p", "div", "li", "tr", "table", "h1", "h2", "h3", "h4"}
 SCHEMA = "sections array<struct<pos: int, kind: string, tag: string, text: string, rows: array<array<string>>>>, error string"
 
 
@@ -35,6 +37,7 @@ class _Sections(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found: list[dict] = []
+        self.text: list[str] = []
         self.unseen = 0
         self.block: tuple[str, list[str]] | None = None
         self.tables: list[list[list[list[str]]]] = []  # open tables, of rows, of cells, of texts
@@ -45,6 +48,8 @@ class _Sections(HTMLParser):
         if tag in UNSEEN:
             self.unseen += 1
         elif not self.unseen:
+            if tag in LINE_STARTS:
+                self.text.append("\n")
             if tag in BLOCKS and self.block is None:
                 self.block = (tag, [])
             if tag == "table":
@@ -74,9 +79,12 @@ class _Sections(HTMLParser):
                 self.block = None
                 if text and not (self.found and self.found[-1]["text"] == text):
                     self._add(BLOCKS[tag], tag, text, None)
+            if tag in LINE_ENDS:
+                self.text.append("\n")
 
     def handle_data(self, data):
         if not self.unseen:
+            self.text.append(data)
             if self.block:
                 self.block[1].append(data)
             if self.tables and self.in_cell[-1]:
@@ -86,27 +94,31 @@ class _Sections(HTMLParser):
         self.found.append({"pos": len(self.found), "kind": kind, "tag": tag, "text": text, "rows": rows})
 
 
-def _read(page: str | None) -> tuple[list[dict] | None, str | None]:
+def _read(page: str | None) -> tuple[list[dict] | None, str | None, str | None]:
     reader = _Sections()
     try:
         reader.feed(page or "")
     except (AssertionError, ValueError, NotImplementedError) as e:
-        return None, str(e) or type(e).__name__
-    return reader.found, None
+        return None, str(e) or type(e).__name__, None
+    return reader.found, None, "".join(reader.text)
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(key, sections, error), a row for each page."""
+def parse_pages(pages: DataFrame, key: str | list[str] = "page_id", html_col: str = "html", with_text: bool = False) -> DataFrame:
+    """(key, sections, error), a row for each page; `with_text` adds its plain text, as it stands in the page."""
+    keys = [key] if isinstance(key, str) else key
+    names = [*keys, "sections", "error", *(["text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 few = batch.slice(at, 100)
-                sections, errors = zip(*[_read(page.as_py()) for page in few.column(1)], strict=True)
-                yield pa.record_batch([few.column(0), pa.array(sections, pa.list_(SECTION)), pa.array(errors, pa.string())], [key, "sections", "error"])
+                sections, errors, texts = zip(*[_read(page.as_py()) for page in few.column(len(keys))], strict=True)
+                columns = [*few.columns[: len(keys)], pa.array(sections, pa.list_(SECTION)), pa.array(errors, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
+                yield pa.record_batch(columns, names)
 
-    rows = pages.select(key, F.col(html_col).cast("string").alias("h"))
-    return rows.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, {SCHEMA}")
+    rows = pages.select(*keys, F.col(html_col).cast("string").alias("h"))
+    kinds = "".join(f"`{k}` {pages.schema[k].dataType.simpleString()}, " for k in keys)
+    return rows.mapInArrow(run, f"{kinds}{SCHEMA}{', text string' if with_text else ''}")
 
 
 def html_sections(parsed: DataFrame, key: str = "page_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,21 +39,27 @@ def statement_tables(statements: DataFrame, quarters: int = 2, years: int = 3) -
     return ranked.where(F.col("rank") <= limit)
 
 
+def _row(tables: DataFrame) -> Column:
+    """A statement row as a struct of all columns but the keys, newest first when sorted. Measures are open: a map of them becomes
+    its entries by name, as maps have no order."""
+    maps = {f.name for f in tables.schema if f.dataType.typeName() == "map"}
+    own = [c for c in tables.columns if c not in ("symbol", "table_name", "freq", "rank")]
+    return F.struct("rank", *[F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c) for c in own])
+
+
 def period_match(tables: DataFrame, periods: DataFrame, allow_fallback: bool = False) -> DataFrame:
     """For each company and quarterly table its rows that match a selected period exactly ('Q1', never '1'), and a status.
 
     With `allow_fallback`, tables without a match give as many of their newest rows as the company has periods. Rows are
-    structs of all columns of `tables` but the keys, newest first.
+    structs of all columns of `tables` but the keys, newest first, with any measures they hold.
     """
     wanted = periods.select("symbol", F.col("year").alias("fy"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("p"), F.lit(True).alias("hit")).distinct()
     found = periods.groupBy("symbol").agg(F.countDistinct("year", "quarter").alias("n_periods"))
     rows = tables.where("freq = 'quarter'").withColumn("fy_", lenient_int(F.col("fiscal_year")))
     match = (rows["symbol"] == wanted["symbol"]) & (F.col("fy_") == F.col("fy")) & (F.upper("period") == F.col("p"))
-    row = F.struct("rank", *[c for c in tables.columns if c not in ("symbol", "table_name", "freq", "rank")])
-    joined = rows.join(wanted, match, "left").select(rows["symbol"], "table_name", row.alias("row"), "hit", "amount")
+    joined = rows.withColumn("row", _row(tables)).join(wanted, match, "left").select(rows["symbol"], "table_name", "row", "hit")
     out = joined.groupBy("symbol", "table_name").agg(
         F.count("hit").alias("n_matched"),
-        F.round(F.sum(F.when(F.col("hit"), F.col("amount"))), 2).alias("matched_amount"),
         F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("row")))).alias("matched_rows"),
         F.array_sort(F.collect_list("row")).alias("all_rows"),
     )
@@ -69,12 +75,9 @@ def annual_match(tables: DataFrame, years: DataFrame) -> DataFrame:
     """For each company and yearly table its rows of the last completed fiscal year, and a status."""
     wanted = years.select("symbol", F.col("fiscal_year").alias("fy"))
     rows = tables.where("freq = 'annual' and table_name in ('income_statement', 'balance_sheet', 'cash_flow_statement')")
-    joined = rows.join(wanted, "symbol")
+    joined = rows.withColumn("row", _row(tables)).join(wanted, "symbol")
     hit = lenient_int(F.col("fiscal_year")) == F.col("fy")
-    row = F.struct("rank", *[c for c in tables.columns if c not in ("symbol", "table_name", "freq", "rank")])
-    out = joined.groupBy("symbol", "table_name", "fy").agg(
-        F.count(F.when(hit, 1)).alias("n_matched"), F.round(F.sum(F.when(hit, F.col("amount"))), 2).alias("matched_amount"), F.array_sort(F.collect_list(F.when(hit, row))).alias("matched_rows")
-    )
+    out = joined.groupBy("symbol", "table_name", "fy").agg(F.count(F.when(hit, 1)).alias("n_matched"), F.array_sort(F.collect_list(F.when(hit, F.col("row")))).alias("matched_rows"))
     return out.withColumn("match_status", F.when(F.col("n_matched") > 0, "exact_fiscal_year_match").otherwise("no_exact_fiscal_year_match")).withColumnRenamed("fy", "fiscal_year")
 
 

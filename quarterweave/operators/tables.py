@@ -70,6 +70,17 @@ def fit_row(row: Column, headers: Column, labels: list[str] = P.PERIOD_LABELS) -
     return F.when(gone, None).when(headers.isNull(), row).when(section, F.concat(F.array(label), blanks(n))).when(repeats, None).otherwise(F.concat(F.array(label), fitted))
 
 
+def page_class(title: Column, rows: Column) -> Column:
+    """Class of a page's table, by its title and first eight rows."""
+    text = F.lower(F.concat_ws(" ", title, F.flatten(F.slice(rows, 1, 8))))
+    has = lambda words: text.rlike("|".join(words))
+    return F.when(has(P.NON_GAAP), "non_gaap").when(has(P.STATEMENTS), "financial").when(has(P.CONTACTS), "contact").otherwise("other")
+
+
+def table_label(kind: Column) -> Column:
+    return F.when(kind == "non_gaap", "Non-GAAP Table").when(kind == "financial", "Financial Table").when(kind == "contact", "Contact Table").otherwise("Table")
+
+
 def page_tables(parsed: DataFrame, key: str = "page_id", outer: bool = False) -> DataFrame:
     """(key, table_no, row_count, column_count, title, class, rows, headers, body) for every table of `parse_pages`.
 
@@ -85,15 +96,13 @@ def page_tables(parsed: DataFrame, key: str = "page_id", outer: bool = False) ->
     out = out.withColumn("_h", period_headers(F.col("_c")))
     out = out.withColumn("_b", F.filter(F.transform("_c", lambda r: fit_row(r, F.col("_h"))), lambda r: r.isNotNull()))
     fits = F.col("_h").isNotNull() & (F.size("_b") > 0)
-    text = F.lower(F.concat_ws(" ", "title", F.flatten(F.slice("rows", 1, 8))))
-    has = lambda words: text.rlike("|".join(words))
     return out.select(
         key,
         "table_no",
         F.size("rows").alias("row_count"),
         F.array_max(F.transform("rows", F.size)).alias("column_count"),
         "title",
-        F.when(has(P.NON_GAAP), "non_gaap").when(has(P.STATEMENTS), "financial").when(has(P.CONTACTS), "contact").otherwise("other").alias("class"),
+        page_class(F.col("title"), F.col("rows")).alias("class"),
         "rows",
         F.when(fits, F.col("_h")).alias("headers"),
         F.when(fits, F.col("_b")).otherwise(F.col("_c")).alias("body"),
@@ -122,7 +131,7 @@ def markdown_lines(headers: Column, body: Column) -> Column:
 
 def table_markdown(tables: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, table_no, heading, markdown) for every table with rows left."""
-    label = F.when(F.col("class") == "non_gaap", "Non-GAAP Table").when(F.col("class") == "financial", "Financial Table").when(F.col("class") == "contact", "Contact Table").otherwise("Table")
+    label = table_label(F.col("class"))
     named = (F.col("title") != "") & ~F.col("title").rlike(r"(?i)^table\s+\d+$")
     heading = F.concat(F.lit("## "), label, F.lit(" "), F.col("table_no").cast("string"), F.when(named, F.concat(F.lit(": "), "title")).otherwise(""))
     return tables.where(F.size("body") > 0).select(key, "table_no", heading.alias("heading"), markdown_lines(F.col("headers"), F.col("body")).alias("markdown"))

@@ -37,7 +37,8 @@ def payload_rows(payloads: DataFrame, fields: dict[str, list[str]], keys: list[s
     """(keys, row_ord, fields as text, raw) for every object of every payload, in order; empty values count as missing."""
     own = objects(F.col(payload_col), envelopes)
     rows = payloads.select(*keys, F.posexplode(F.slice(own, 1, most) if most else own).alias("row_ord", "raw"))
-    value = lambda names: F.coalesce(*[F.nullif(F.get_json_object("raw", f"$.{n}"), F.lit("")) for n in names])
+    rows = rows.withColumn("_m", F.from_json("raw", "map<string, string>"))  # parsed once for all fields
+    value = lambda names: F.coalesce(*[F.nullif(F.try_element_at("_m", F.lit(n)), F.lit("")) for n in names])
     return rows.select(*keys, "row_ord", *[value(names).alias(name) for name, names in fields.items()], "raw")
 
 
@@ -50,9 +51,9 @@ def transcript_dates(payloads: DataFrame) -> DataFrame:
     return payload_rows(payloads, DATE_FIELDS, ["symbol"])
 
 
-def press_releases(payloads: DataFrame) -> DataFrame:
-    """Feeds (ticker, payload): a list, or one under a known key; so many of a ticker at most, as the feed has them."""
-    return payload_rows(payloads, RELEASE_FIELDS, ["ticker"], envelopes=ENVELOPES, most=RELEASES_PER_TICKER)
+def press_releases(payloads: DataFrame, most: int | None = RELEASES_PER_TICKER) -> DataFrame:
+    """Feeds (ticker, payload): a list, or one under a known key; the first `most` of a payload, as the feed has them, or all."""
+    return payload_rows(payloads, RELEASE_FIELDS, ["ticker"], envelopes=ENVELOPES, most=most)
 
 
 def statements(payloads: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ Test scaffolding: the jobs take any table with these schemas. Placeholders in br
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SHAPES = {
     "transcript_items": """
@@ -87,6 +88,12 @@ _PARTS = """SELECT doc_id, 'r' || cast(doc_id AS varchar(20)) AS release_id, sou
         CASE doc_id % 7 WHEN 0 THEN 'Acme reports first quarter results' WHEN 1 THEN 'Consolidated Balance Sheets' WHEN 2 THEN 'Non-GAAP notes' ELSE 'Overview of the day' END AS head,
         CASE doc_id % 4 WHEN 0 THEN 'Total assets' WHEN 1 THEN 'Adjusted revenue' ELSE 'Units' END AS label, translate(coalesce(text, ''), '<>&', '   ') AS body,
         cast(doc_id AS varchar(20)) AS n, cast(doc_id + 1 AS varchar(20)) AS n1, 'Q' || cast(doc_id % 4 + 1 AS varchar(20)) || ' FY2025' AS period FROM {documents}"""
+_EXHIBITS = """
+        SELECT '0001-' || cast(l_orderkey AS varchar(20)) AS accession,
+            CASE l_linenumber WHEN 1 THEN 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' WHEN 2 THEN 'ex99-1.htm' WHEN 3 THEN 'ex99-2.HTML' WHEN 4 THEN 'ex10-1.htm' WHEN 5 THEN 'chart.jpg' WHEN 6 THEN 'notes.txt' ELSE 'ex99.htm' END AS name,
+            CASE l_orderkey % 3 WHEN 0 THEN 'Financial results for the first quarter fiscal 2024: total revenue and net income. ' WHEN 1 THEN 'Repurchase program. ' ELSE 'Notes of the third quarter, guidance. ' END
+                || CASE WHEN l_orderkey % 11 = 0 THEN 'The borrower agrees. ' ELSE '' END || repeat('Item ' || cast(l_partkey AS varchar(20)) || ' of cash flows ', 1 + cast(CASE WHEN l_orderkey % 16 = 0 THEN l_orderkey % 400 ELSE l_orderkey % 8 END AS int)) AS text,
+            cast(l_orderkey % 5 AS int) AS n_tables FROM {lineitem}"""
 #: Where the feed says that the release of a document lies.
 _FEED_URL = """CASE doc_id % 6 WHEN 0 THEN 'https://www.prnewswire.com/r/' WHEN 1 THEN 'https://www.globenewswire.com/r/' WHEN 2 THEN 'https://www.sec.gov/r/' WHEN 3 THEN 'https://link.example.com/' ELSE 'https://news.example.com/r/' END || cast(doc_id AS varchar(20))"""
 SHAPES |= {
@@ -100,12 +107,10 @@ SHAPES |= {
             || CASE k WHEN 0 THEN '<table><tr><td></td><td>2025</td><td>2024</td></tr><tr><td>' || label || '</td><td>' || n || '</td><td>' || n1 || '</td></tr></table>' ELSE '' END
             || '<script>no</script><p>Closing words<p>View original content here</article><footer>' || repeat('end ', 90) || '</footer></body></html>' END AS html
         FROM (SELECT p.*, {_FEED_URL} AS url FROM (SELECT doc_id, k, head, label, body, n, n1 FROM ({_PARTS}) AS q) AS p) AS r WHERE k < 3""",
-    "exhibit_contents": """
-        SELECT '0001-' || cast(l_orderkey AS varchar(20)) AS accession,
-            CASE l_linenumber WHEN 1 THEN 'doc' || cast(l_orderkey AS varchar(20)) || '.htm' WHEN 2 THEN 'ex99-1.htm' WHEN 3 THEN 'ex99-2.HTML' WHEN 4 THEN 'ex10-1.htm' WHEN 5 THEN 'chart.jpg' WHEN 6 THEN 'notes.txt' ELSE 'ex99.htm' END AS name,
-            CASE l_orderkey % 3 WHEN 0 THEN 'Financial results for the first quarter fiscal 2024: total revenue and net income. ' WHEN 1 THEN 'Repurchase program. ' ELSE 'Notes of the third quarter, guidance. ' END
-                || CASE WHEN l_orderkey % 11 = 0 THEN 'The borrower agrees. ' ELSE '' END || repeat('Item ' || cast(l_partkey AS varchar(20)) || ' of cash flows ', 1 + cast(CASE WHEN l_orderkey % 16 = 0 THEN l_orderkey % 400 ELSE l_orderkey % 8 END AS int)) AS text,
-            cast(l_orderkey % 5 AS int) AS n_tables FROM {lineitem}""",
+    "exhibit_contents": _EXHIBITS,
+    "exhibit_pages": f"""
+        SELECT accession, name, '<html><head><title>x</title></head><body><h1>Exhibit ' || name || '</h1><p>' || text || '</p>' || repeat('<table><tr><td>Revenue</td><td>2025</td><td>2024</td></tr><tr><td>Sales</td><td>$</td><td>5</td><td>4</td></tr></table>', n_tables)
+            || '<ul><li>one item</li></ul><script>no</script><p>Closing words</p><p>Closing words</p></body></html>' AS html FROM (SELECT accession, name, min(text) AS text, min(n_tables) AS n_tables FROM ({_EXHIBITS}) AS e GROUP BY accession, name) AS one""",
     "exhibit_requests": """SELECT DISTINCT '0001-' || cast(l_orderkey AS varchar(20)) AS accession, cast(2024 AS int) AS fiscal_year, cast(l_orderkey % 4 + 1 AS int) AS quarter FROM {lineitem} WHERE l_orderkey % 13 <> 0""",
 }
 TABLES = ["conversations", "orders", "lineitem", "customer", "nation", "documents", "pages"]
@@ -120,3 +125,21 @@ def shaped(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duckdb(name: str) -> str:
     """The same as a common table expression over the driver's views."""
     return f"{name} AS ({SHAPES[name].format(**{t: t for t in TABLES})})"
+
+
+def payloads(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same tables as feeds would land them: JSON text, a list of objects or an object of arrays, in the order of rows."""
+    listed = lambda keys, **fields: rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_ord", F.struct(*[F.col(c).alias(k) for k, c in fields.items()]).alias("o")))).alias("l"))
+    rows = shaped(spark, sf_dir, name)
+    if name == "transcript_dates":
+        return listed(["symbol"], year="year", fiscalYear="fiscal_year", quarter="quarter", callDate="call_date").select("symbol", F.to_json("l.o").alias("payload"))
+    if name == "statements":
+        return listed(["symbol", "table_name", "freq"], calendarYear="fiscal_year", period="period", amount="amount", reportedCurrency="freq").select("symbol", "table_name", "freq", F.to_json("l.o").alias("payload"))
+    if name == "filings":
+        names = {"form": "form", "filingDate": "filing_date", "reportDate": "report_date", "items": "items", "accessionNumber": "accession", "primaryDocument": "primary_document", "primaryDocDescription": "primary_doc_description"}
+        recent = F.struct(*[F.col(f"l.o.{k}").alias(k) for k in names])
+        return listed(["symbol"], **names).select("symbol", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"), F.lit("10").alias("cik"))).alias("payload"))
+    if name == "releases":
+        names = {"title": "title", "headline": "headline", "subject": "subject", "publishedDate": "published_date", "date": "date", "acceptedDate": "accepted_date", "url": "url", "link": "link", "text": "text", "content": "content", "publisher": "publisher", "site": "site", "symbol": "symbol"}
+        return listed(["ticker"], **names).select("ticker", F.to_json(F.struct(F.col("l.o").alias("data"))).alias("payload"))
+    raise ValueError(name)
