@@ -171,6 +171,11 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return releases.release_scores(_fields(spark, d), shaped(spark, d, "release_requests"))
 
 
+def _ranked(spark: SparkSession, d: str, n: int) -> DataFrame:
+    requests = shaped(spark, d, "release_requests")
+    return releases.release_candidates(releases.release_scores(releases.release_contenders(_fields(spark, d), requests, n), requests), n)
+
+
 def release_fields(spark: SparkSession, d: str) -> DataFrame:
     return _fields(spark, d).select("ticker", "row_ord", "title", "release_date", "url", "publisher", "domain", "is_sec", "detected_period", F.col("fixed_score").cast("long").alias("fixed_score"), "release_id")
 
@@ -180,15 +185,15 @@ def release_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def release_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return releases.release_candidates(_scores(spark, d)).select("ticker", "fiscal_year", "quarter", "rank", "row_ord", "score", "release_date")
+    return _ranked(spark, d, releases.AUDITED).select("ticker", "fiscal_year", "quarter", "rank", "row_ord", "score", "release_date")
 
 
 def release_best(spark: SparkSession, d: str) -> DataFrame:
-    return releases.release_best(releases.release_candidates(_scores(spark, d), 1)).select("ticker", "fiscal_year", "quarter", "row_ord", "score", "release_id")
+    return releases.release_best(_ranked(spark, d, 1)).select("ticker", "fiscal_year", "quarter", "row_ord", "score", "release_id")
 
 
 def release_failures(spark: SparkSession, d: str) -> DataFrame:
-    return releases.release_failures(shaped(spark, d, "release_requests"), releases.release_candidates(_scores(spark, d), 1))
+    return releases.release_failures(shaped(spark, d, "release_requests"), _ranked(spark, d, 1))
 
 
 def filing_search(spark: SparkSession, d: str) -> DataFrame:

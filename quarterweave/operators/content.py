@@ -14,7 +14,7 @@ from ..functions import patterns as P
 from ..functions.text import EMAIL, LINE_END, SPACE, bound, clean_text, headline, is_html, lines, size_estimate, squeeze, strip_all
 from ..sources.staging import written
 from .release_pages import with_blocks
-from .releases import release_best, release_candidates, release_scores
+from .releases import release_best, release_candidates, release_contenders, release_scores
 from .tables import compact_row, fit_row, markdown_lines, period_headers
 
 #: Characters of a page at least, lines that may name a table, characters of a title.
@@ -217,7 +217,7 @@ def release_documents(fields: DataFrame, requests: DataFrame, pages: DataFrame)
     they name are read on, each page parsed once, however many requests chose its release. A row per answered request;
     `fields` (ticker, row_ord) tell releases apart; `pages` (url, html) holds one row for a url.
     """
-    best = release_best(release_candidates(release_scores(fields, requests), 1))
+    best = release_best(release_candidates(release_scores(release_contenders(fields, requests, 1), requests), 1))
     best = written(best.select("ticker", "row_ord", "fiscal_year", "quarter", "score", "url"), "winners")
     keys = ["ticker", "row_ord"]
     chosen = fields.join(best.select(*keys).distinct(), keys, "left_semi")

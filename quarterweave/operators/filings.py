@@ -12,8 +12,8 @@ from ..sources.staging import written
 from .html import parse_pages
 from .tables import compact_row, fit_row, markdown_lines, page_class, period_headers, table_label
 
-#: Characters of a text that can be a headline or name a table.
-MIN_FILING_SCORE, SHORT = 250, 220
+#: Least score; characters of a text that can be a headline or name a table; days beyond which nearness counts for nothing.
+MIN_FILING_SCORE, SHORT, BAND = 250, 220, 90
 
 
 def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame:
@@ -33,30 +33,56 @@ def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame
     return top.join(counts, "symbol").drop("row_ord")
 
 
-def filing_rank(filings: DataFrame, requests: DataFrame) -> DataFrame:
-    """The best filing of each request (symbol, fiscal_year, quarter, anchor_date), if it scores enough.
+def filing_pairs(filings: DataFrame, requests: DataFrame) -> DataFrame:
+    """(symbol, fiscal_year, quarter, accession, form, filing_date, row_ord, score): for each request (symbol, fiscal_year, quarter,
+    anchor_date) the filings that can be its best, and no other.
 
-    What only the filing decides is computed before the join, and the best is an aggregate, which tasks combine before
-    the shuffle: a company with very many filings is no hot task.
+    Two kinds can. Those within `BAND` days of the anchor meet it on their company and a bucket of so many days, the anchor's or a
+    neighbour. All others differ for a request only in which of the company's requested years and quarters they name, so of
+    those that name the same the best by the rest stands for all: pairs grow with filings near an anchor and with what
+    filings can name, not with a company's filings times its requests. Such a stand-in may lie near an anchor itself; then it
+    scores higher there than any other that it stands for.
     """
     about = ["form", "filing_date", "report_date", "items", "accession", "primary_document", *[c for c in ("primary_doc_description",) if c in filings.columns]]
+    asked = requests.groupBy("symbol").agg(F.array_sort(F.collect_set(F.col("fiscal_year").cast("string"))).alias("years"), F.array_sort(F.collect_set(F.col("quarter").cast("string"))).alias("quarters"))
     rows = filings.withColumn("form", F.upper("form")).where(F.col("form").isin(RELEVANT_FORMS)).withColumn("everything", F.concat_ws(" ", *about))
-    low = F.lower("everything")
-    rows = rows.withColumn("quarters", F.array_distinct(F.regexp_extract_all(low, F.lit(r"\bq([0-9]+)\b"), F.lit(1)))).withColumn("any_quarter", low.contains("quarter"))
-    pairs, everything = rows.join(requests, "symbol"), F.col("everything")
-    year = F.col("fiscal_year").cast("string")
-    days = F.abs(F.datediff(lenient_date(F.col("filing_date")), lenient_date(F.col("anchor_date"))))
-    score = (
+    everything, low = F.col("everything"), F.lower("everything")
+    fixed = (
         F.when(F.col("form").isin("8-K", "6-K"), 1000).otherwise(250)
         + F.when(F.col("items").rlike(r"(?i)\b2\.02\b|results of operations|financial condition"), 350).otherwise(0)
         + F.when(everything.rlike(EARNINGS_RELEASE), 175).otherwise(0)
-        + F.when(F.contains(everything, year), 40).otherwise(0)
-        + F.when(F.col("any_quarter") | F.array_contains("quarters", F.col("quarter").cast("string")), 30).otherwise(0)
-        + F.when(days <= 2, 350).when(days <= 14, 250).when(days <= 45, 150).when(days <= 90, 50).otherwise(0)
-        + F.when(F.contains("report_date", year), 50).otherwise(0)
     )
+    named = F.array_distinct(F.regexp_extract_all(low, F.lit(r"\bq([0-9]+)\b"), F.lit(1)))
+    own = rows.withColumns({"fixed": fixed, "named": named}).join(asked, "symbol").select(
+        "symbol", "accession", "form", "filing_date", "row_ord", "fixed", lenient_date(F.col("filing_date")).alias("filed"),
+        F.filter("years", lambda y: F.contains(everything, y)).alias("years"),
+        F.filter("years", lambda y: F.contains(F.col("report_date"), y)).alias("reported"),
+        F.when(low.contains("quarter"), F.col("quarters")).otherwise(F.array_intersect("quarters", "named")).alias("quarters"),
+    )
+    names = ["years", "reported", "quarters"]
+    body = ["accession", "form", "filing_date", "row_ord", "fixed", "filed"]
+    stands = own.groupBy("symbol", *names).agg(F.max_by(F.struct(*body), F.struct("fixed", "filing_date", -F.col("row_ord"))).alias("b")).select("symbol", *names, "b.*")
+    anchored = requests.select("symbol", "fiscal_year", "quarter", lenient_date(F.col("anchor_date")).alias("anchor"))
+    bucket = lambda d: F.floor(F.unix_date(d) / BAND)
+    near = own.withColumn("bucket", bucket(F.col("filed"))).join(anchored.withColumn("bucket", F.explode(F.array(*[bucket(F.col("anchor")) + k for k in (-1, 0, 1)]))), ["symbol", "bucket"])
+    near = near.where(F.abs(F.datediff("filed", "anchor")) <= BAND).drop("bucket")
+    pairs = near.unionByName(stands.join(anchored, "symbol"))
+    year, days = F.col("fiscal_year").cast("string"), F.abs(F.datediff("filed", "anchor"))
+    score = (
+        F.col("fixed")
+        + F.when(F.array_contains("years", year), 40).otherwise(0)
+        + F.when(F.array_contains("quarters", F.col("quarter").cast("string")), 30).otherwise(0)
+        + F.when(days <= 2, 350).when(days <= 14, 250).when(days <= 45, 150).when(days <= BAND, 50).otherwise(0)
+        + F.when(F.array_contains("reported", year), 50).otherwise(0)
+    )
+    return pairs.select("symbol", "fiscal_year", "quarter", "accession", "form", "filing_date", "row_ord", score.cast("long").alias("score"))
+
+
+def filing_rank(filings: DataFrame, requests: DataFrame) -> DataFrame:
+    """The best filing of each request (symbol, fiscal_year, quarter, anchor_date), if it scores enough: by score, date, then order
+    of the feed. An aggregate, which tasks combine before the shuffle."""
     best = F.max_by(F.struct("accession", "form", "filing_date", "score"), F.struct("score", "filing_date", -F.col("row_ord"))).alias("best")
-    ranked = pairs.withColumn("score", score.cast("long")).groupBy("symbol", "fiscal_year", "quarter").agg(best)
+    ranked = filing_pairs(filings, requests).groupBy("symbol", "fiscal_year", "quarter").agg(best)
     return ranked.select("symbol", "fiscal_year", "quarter", "best.*").where(F.col("score") >= MIN_FILING_SCORE)
 
 

@@ -91,6 +91,30 @@ def release_fields(releases: DataFrame) -> DataFrame:
     ).drop("low", "head", "host")
 
 
+def release_contenders(fields: DataFrame, requests: DataFrame, n: int = AUDITED) -> DataFrame:
+    """Of `release_fields`, without texts, those that can be among the n best of any request for their ticker, and no other that
+    a rule can tell.
+
+    A request's points depend only on which of the requested years, quarters and periods a release names, and on its year.
+    Releases of a ticker that agree in these keep one order in every request, by the points of their own, date and feed; so
+    of each such kind the first n are enough. In two steps, as no task is to sort all of a busy ticker.
+    """
+    text = lambda c: F.col(c).cast("string")
+    wanted = F.concat(F.lit("Q"), text("quarter"), F.lit(" FY"), text("fiscal_year"))
+    asked = requests.groupBy("ticker").agg(F.collect_set(text("fiscal_year")).alias("ys"), F.collect_set(text("quarter")).alias("qs"), F.collect_set(wanted).alias("ps"))
+    public = fields.where(F.col("url").isNotNull() & ~F.col("is_sec")).drop("text").join(asked, "ticker")
+    both = lambda a, b: F.array_sort(F.array_intersect(a, b))
+    kind = F.struct(
+        both("years", "ys").alias("years"), both("fiscal_years", "ys").alias("fiscal"), both("short_quarters", "qs").alias("short"), F.array_sort("word_quarters").alias("words"),
+        F.when(F.array_contains("ps", F.col("detected_period")), F.col("detected_period")).when(F.col("detected_period").isNotNull(), "other").alias("period"),
+        F.array_sort(F.filter("ys", lambda y: F.abs(F.year("release_date") - y.cast("int")) <= 1)).alias("near"),
+    )
+    order = [F.desc("fixed_score"), F.desc_nulls_last("release_date"), F.asc("row_ord")]
+    split = public.withColumns({"_kind": kind, "_part": F.pmod(F.xxhash64("row_ord"), F.lit(SPLITS))}).drop("ys", "qs", "ps")
+    some = split.withColumn("_rank", F.row_number().over(W.partitionBy("ticker", "_kind", "_part").orderBy(*order))).where(F.col("_rank") <= n)
+    return some.withColumn("_rank", F.row_number().over(W.partitionBy("ticker", "_kind").orderBy(*order))).where(F.col("_rank") <= n).drop("_kind", "_part", "_rank")
+
+
 def release_scores(fields: DataFrame, requests: DataFrame) -> DataFrame:
     """Every public release of a ticker against every request for it."""
     public = fields.where(F.col("url").isNotNull() & ~F.col("is_sec")).drop("text")

@@ -50,10 +50,11 @@ def test_sections_titles_classes_and_markdown(spark):
 def test_sinks_write_what_readers_find(spark, tmp_path):
     docs = documents(spark, [release("a", "https://x.com/a", "Some text"), release("b", None, "")], [("https://x.com/z", "")])
     path = f"file://{tmp_path}"
-    sinks.write_markdown(docs, path), sinks.write_raw(docs, path), sinks.write_split(docs.select("release_id", "content_error"), f"{path}/split")
+    sinks.write_markdown(docs, path), sinks.write_raw(docs, path)
+    counts = sinks.write_routed(docs.select("release_id", "content_error"), f"{path}/split")
     sinks.write_manifest(content.release_manifest(docs, "now"), path)
     assert [(r.release_id, r.fiscal_year) for r in spark.read.parquet(f"{path}/markdown").collect()] == [("a", 2025)]
-    assert spark.read.parquet(f"{path}/raw").first().raw_format == "txt" and spark.read.parquet(f"{path}/split/quarantine").first().release_id == "b"
+    assert spark.read.parquet(f"{path}/raw").first().raw_format == "txt" and spark.read.parquet(f"{path}/split/status=quarantine").first().release_id == "b" and counts == {"ok": 1, "quarantine": 1}
     manifest = spark.read.json(f"{path}/manifest").first()
     assert (manifest.id, manifest.table_counts.total, manifest.size_estimates.llm_markdown.words > 5) == ("a", 0, True)
 
