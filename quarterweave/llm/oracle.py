@@ -7,7 +7,7 @@ import math
 from .chat import CLOSE, CONTROLS, MIDDLE, OPEN
 from .hard_negatives import LEAST_PERCENT, NEGATIVES, POSITIVES, SCALE
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, word_set
-from .quality import ERROR, FENCE, LIFT, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR, SCALES
+from .quality import ERROR, FENCES, JUDGED, LIFT, MAX_REPEAT_PERCENT, MIN_WORDS, PRIOR
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -28,6 +28,7 @@ _GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 _MEASURES = {
     "m_word_length": ("word_chars", "n_words"),
     "m_symbols": ("n_symbols", "word_chars"),
+    "m_marks": ("(word_chars - n_letters)", "word_chars"),
     "m_dup_lines": ("n_dup_lines", "n_lines"),
     "m_repeats": ("n_repeat_words", "n_words"),
     "m_upper": ("n_upper", "word_chars"),
@@ -35,17 +36,16 @@ _MEASURES = {
 }
 _RATIOS = ", ".join(f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END::DOUBLE AS {m}" for m, (a, b) in _MEASURES.items())
 _BUCKETS = " UNION ALL ".join(
-    f"SELECT lang, source, '{m}' AS measure, CASE WHEN {m} > 0 THEN greatest(ceil(ln({m}) / {_GAMMA!r}::DOUBLE) + 100000, 1) ELSE 0 END::INT AS bucket FROM m" for m in SCALES
+    f"SELECT lang, source, '{m}' AS measure, greatest(ceil(ln({m}) / {_GAMMA!r}::DOUBLE) + 100000, 1)::INT AS bucket FROM m WHERE {m} > 0" for m in FENCES
 )
-_SCALE = ["CASE measure " + " ".join(f"WHEN '{m}' THEN {scale[k]!r}::DOUBLE" for m, scale in SCALES.items()) + " END" for k in (0, 1)]
+_FENCE = "CASE measure " + " ".join(f"WHEN '{m}' THEN {fence!r}::DOUBLE" for m, fence in FENCES.items()) + " END"
 
 
 def _limit(name: str, keys: str, above: str = "") -> str:
     """Common table expressions for the limits of a level: `name` (keys, measure, centre, spread, lim)."""
     over = f"PARTITION BY {keys}measure"
-    value = f"CASE WHEN bucket > 0 THEN exp((bucket - 100000 - 0.5::DOUBLE) * {_GAMMA!r}::DOUBLE) ELSE 0.0::DOUBLE END"
-    at = lambda q: f"ln(greatest(min(CASE WHEN upto >= size * {q}::DOUBLE THEN {value} END) + {_SCALE[0]}, 1e-9::DOUBLE))"
-    fence = f"exp(centre + {FENCE}::DOUBLE * greatest(spread, {_SCALE[1]})) - ({_SCALE[0]})"
+    at = lambda q: f"(min(CASE WHEN upto >= size * {q}::DOUBLE THEN bucket END) - 100000 - 0.5::DOUBLE) * {_GAMMA!r}::DOUBLE"
+    fence = f"exp(centre + {_FENCE} * greatest(spread, {_GAMMA!r}::DOUBLE))"
     blend = lambda c: f"(o.size * o.{c} + {PRIOR} * u.{c}) / (o.size + {PRIOR}) AS {c}"
     shared = " AND ".join(f"o.{k} IS NOT DISTINCT FROM u.{k}" for k in ["measure", *(["lang"] if above == "lng" else [])])
     qualified = "".join(f"o.{k.strip()}, " for k in keys.split(",") if k.strip())
@@ -64,7 +64,7 @@ rep AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, p, unnest
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 f AS (SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{{L}}\p{{M}}]', '', 'g')) AS n_letters,
     len(list_filter(w, lambda x: ends_with(x, '!'))) AS n_loud
     FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN l ON l.doc_id = t.doc_id),
 m AS (SELECT *, {_RATIOS} FROM f),
@@ -73,9 +73,9 @@ b AS ({_BUCKETS}),
 {_limit("lng", "lang, ", "every")},
 {_limit("own", "lang, source, ", "lng")},
 v AS (SELECT m.*, coalesce(n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words, false) AS base_failed,
-    list_filter([{", ".join(f"CASE WHEN {x} > (SELECT lim FROM own WHERE own.measure = '{x}' AND own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source) THEN '{x}' END" for x in SCALES)}], lambda x: x IS NOT NULL) AS too_high
+    list_filter([{", ".join(f"CASE WHEN {x} > (SELECT lim FROM own WHERE own.measure = '{by}' AND own.lang IS NOT DISTINCT FROM m.lang AND own.source IS NOT DISTINCT FROM m.source) THEN '{x}' END" for x, by in JUDGED.items())}], lambda x: x IS NOT NULL) AS too_high
     FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(SCALES)}, base_failed, too_high, (NOT base_failed AND len(too_high) = 0) AS kept FROM v
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {", ".join(_MEASURES)}, base_failed, too_high, (NOT base_failed AND len(too_high) = 0) AS kept FROM v
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,13 +1,18 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Fixed cutoffs fit one language and one kind of source. Here every (language, source) group gets its own: for each
-measure a quantile sketch counts values in buckets whose bounds grow by a constant factor (relative error 1 %). Such
-sketches merge by adding counts, so tasks combine them before the shuffle, a hot group is no hot task, and the result
-does not depend on the order of rows. From the sketch come the median and the upper quartile, both of log(value +
-resolution), in which one fence suits measures of any size: a group's limit lies `FENCE` quartile distances above its
-median. A small group's median and distance are drawn to those of its language, and a language's to those of all, by
-weight of documents: there is no size at which a rule changes. No limit exceeds `LIFT` times that of the level above, so
-a source that is mostly bad cannot switch its rule off. Limits are joined to the documents and filter them.
+measure a quantile sketch counts values in buckets whose bounds grow by a constant factor (relative error 1 %), zeros
+apart. Such sketches merge by adding counts, so tasks combine them before the shuffle, a hot group is no hot task, and the
+result does not depend on the order of rows. From the sketch of the values that are not zero come the median and the upper
+quartile, both as logarithms, in which one fence suits measures of any size: a group's limit lies so many quartile
+distances (`FENCES`) above its median; no distance is less than the sketch can tell. A small group's median and distance
+are drawn to those of its language, and a language's to those of all, by weight of documents: there is no size at which a
+rule changes. No limit exceeds `LIFT` times that of the level above, so a source that is mostly bad cannot switch its rule
+off. Limits are joined to the documents and filter them.
+
+Most texts have no symbols at all, and of those that do most may be bad, so their own sketch would say that bad is usual.
+Symbols are judged by the sketch of all marks (characters of words that are no letters), which nearly every text has:
+symbols that alone outweigh what the group's texts hold in marks altogether are too many.
 
 Contract of `quality`: a null text has no words; null language or source are groups of their own; measures of a
 text without words are 0; every row gives a row; other columns are carried as asked, else ignored. Repeated windows
@@ -24,12 +29,13 @@ from pyspark.sql import functions as F
 from .common import WORD_BREAK, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-FENCE, LIFT, ERROR = 12.0, 3.0, 0.01
+LIFT, ERROR = 3.0, 0.01
 #: Documents of the level above that a group is taken to hold besides its own.
 PRIOR = 50
-#: Measures, each with its resolution, which is added before the logarithm, and the least quartile distance: where
-#: three quarters of a group have none of what is measured, a distance of nothing would make any trace of it too much.
-SCALES = {"m_word_length": (0.0, 0.015), "m_symbols": (0.01, 0.1), "m_dup_lines": (0.2, 0.1), "m_repeats": (0.15, 0.1), "m_upper": (0.05, 0.1), "m_loud": (0.02, 0.1)}
+#: Measures that are sketched, and how many quartile distances above the median their limit lies.
+FENCES = {"m_word_length": 12.0, "m_marks": 4.0, "m_dup_lines": 12.0, "m_repeats": 12.0, "m_upper": 12.0, "m_loud": 12.0}
+#: Measures that are judged, each by the limit of a sketch.
+JUDGED = {"m_word_length": "m_word_length", "m_symbols": "m_marks", "m_dup_lines": "m_dup_lines", "m_repeats": "m_repeats", "m_upper": "m_upper", "m_loud": "m_loud"}
 _GAMMA = math.log((1 + ERROR) / (1 - ERROR))
 
 
@@ -55,6 +61,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": covered.cast("long"),
             "_n_lines": F.size("_l"),
+            "_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")),
             "_upper": F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")),
             "_loud": F.size(F.filter("_w", lambda w: w.endswith("!"))),
         }
@@ -64,17 +71,18 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         {
             "m_word_length": per("word_chars", "n_words"),
             "m_symbols": per("n_symbols", "word_chars"),
+            "m_marks": F.when(F.col("word_chars") > 0, (F.col("word_chars") - F.col("_letters")) / F.col("word_chars")).otherwise(F.lit(0.0)),
             "m_dup_lines": per("n_dup_lines", "_n_lines"),
             "m_repeats": per("n_repeat_words", "n_words"),
             "m_upper": per("_upper", "word_chars"),
             "m_loud": per("_loud", "n_words"),
         }
-    ).drop("_w", "_h", "_p", "_at", "_l", "_n_lines", "_upper", "_loud")
+    ).drop("_w", "_h", "_p", "_at", "_l", "_n_lines", "_letters", "_upper", "_loud")
 
 
 def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, measure, bucket, n): how many values lie in each bucket; bucket 0 holds zeros, others log-spaced values."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in SCALES])
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(m)).alias("bucket")) for m in FENCES])
     return measured.select(*keys, F.explode(pairs).alias("e")).groupBy(*keys, "e.measure", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,28 +90,25 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, F.greatest(F.ceil(F.log(value) / F.lit(_GAMMA)) + 100_000, F.lit(1))).otherwise(0).cast("int")
 
 
-def _value(bucket: Column) -> Column:
-    return F.when(bucket > 0, F.exp((bucket - 100_000 - 0.5) * F.lit(_GAMMA))).otherwise(0.0)
-
-
 def spreads(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, size, centre, spread) from a sketch: median and quartile distance of log(value + resolution)."""
-    per = counts.groupBy(*keys, "measure").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+    """(keys, measure, size, centre, spread) from a sketch: of the values that are not zero their number, and median and quartile
+    distance of their logarithms."""
+    per = counts.where("bucket > 0").groupBy(*keys, "measure").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("b"))
     # At most a few thousand buckets a group, whatever the number of documents.
 
     def quantile(q: float) -> Column:
         state = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("at"))
         end = F.aggregate("b", state, lambda s, x: F.struct((s["sum"] + x["n"]).alias("sum"), F.when((s["at"] < 0) & (s["sum"] + x["n"] >= F.col("size") * q), x["bucket"]).otherwise(s["at"]).alias("at")))
-        return F.log(F.greatest(_value(end["at"]) + _scale(0), F.lit(1e-9)))
+        return (end["at"] - 100_000 - 0.5) * F.lit(_GAMMA)
 
     two = per.select(*keys, "measure", "size", quantile(0.5).alias("centre"), quantile(0.75).alias("upper"))
     return two.select(*keys, "measure", "size", "centre", (F.col("upper") - F.col("centre")).alias("spread"))
 
 
-def _scale(k: int) -> Column:
+def _fence() -> Column:
     out = F.lit(None).cast("double")
-    for m, scale in SCALES.items():
-        out = F.when(F.col("measure") == m, F.lit(scale[k])).otherwise(out)
+    for m, fence in FENCES.items():
+        out = F.when(F.col("measure") == m, F.lit(fence)).otherwise(out)
     return out
 
 
@@ -117,28 +122,29 @@ def drawn(own: DataFrame, above: DataFrame | None, keys: list[str]) -> DataFrame
         match = [own[k].eqNullSafe(F.col(f"_{k}")) for k in [*shared, "measure"]]
         blend = lambda c: ((F.col("size") * F.col(c) + PRIOR * F.col(f"{c}_")) / (F.col("size") + PRIOR)).alias(c)
         both, lift = own.join(up, match).select(*keys, "measure", blend("centre"), blend("spread"), "lim_"), LIFT * F.col("lim_")
-    fence = F.exp(F.col("centre") + FENCE * F.greatest("spread", _scale(1))) - _scale(0)
+    fence = F.exp(F.col("centre") + _fence() * F.greatest(F.col("spread"), F.lit(_GAMMA)))
     return both.select(*keys, "measure", "centre", "spread", F.least(fence, lift).alias("lim"))
 
 
 def limits(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang_, source_, limit_<measure>...): the limits of every group of a stored table of `measures`."""
-    by_both = stage(sketch(measured.select(F.col(lang_col).alias("lang_"), F.col(source_col).alias("source_"), *SCALES), ["lang_", "source_"]), "sketch")
+    """(lang_, source_, limit_<measure>...): the limits of every group of a stored table of `measures`; null for what no text of
+    the group has."""
+    by_both = stage(sketch(measured.select(F.col(lang_col).alias("lang_"), F.col(source_col).alias("source_"), *FENCES), ["lang_", "source_"]), "sketch")
     by_lang = by_both.groupBy("lang_", "measure", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
     of_all = by_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
     every = drawn(spreads(of_all, []), None, [])
     some = drawn(spreads(by_lang, ["lang_"]), every, ["lang_"])
     own = drawn(spreads(by_both, ["lang_", "source_"]), some, ["lang_", "source_"])
-    return stage(own.groupBy("lang_", "source_").agg(*[F.max(F.when(F.col("measure") == m, F.col("lim"))).alias(f"limit_{m}") for m in SCALES]), "limits")
+    return stage(own.groupBy("lang_", "source_").agg(*[F.max(F.when(F.col("measure") == m, F.col("lim"))).alias(f"limit_{m}") for m in FENCES]), "limits")
 
 
 def quality(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """A stored table of `measures` with base_failed, too_high (array of measures above their limit) and kept."""
     table = limits(measured, lang_col, source_col)
     joined = measured.join(table, measured[lang_col].eqNullSafe(table["lang_"]) & measured[source_col].eqNullSafe(table["source_"]), "left")
-    high = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"limit_{m}"), F.lit(m)) for m in SCALES]))
+    high = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"limit_{by}"), F.lit(m)) for m, by in JUDGED.items()]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return joined.withColumns({"base_failed": failed, "too_high": high}).withColumn("kept", ~failed & (F.size("too_high") == 0)).drop("lang_", "source_", *[f"limit_{m}" for m in SCALES])
+    return joined.withColumns({"base_failed": failed, "too_high": high}).withColumn("kept", ~failed & (F.size("too_high") == 0)).drop("lang_", "source_", *[f"limit_{m}" for m in FENCES])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

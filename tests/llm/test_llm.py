@@ -247,7 +247,9 @@ def test_license_join_finds_wrapped_notices(spark):
 def test_quality_limits_move_with_the_group(spark):
     """Two sources of one language whose words differ in length: what is common in one is too much in the other."""
     rng = np.random.default_rng(5)
-    text = lambda size: " ".join("abcdefghijklmnopqrstuvwxyz"[int(k) % 26] * max(1, int(size + n)) + f"x{k}" for k, n in zip(rng.permutation(1000)[:80], rng.normal(0, 0.3, 80), strict=True))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: letters[k % 26] + letters[k // 26 % 26] + ("." if k % 8 == 0 else "")
+    text = lambda size: " ".join(letters[int(k) % 26] * max(1, int(size + n)) + name(int(k)) for k, n in zip(rng.permutation(676)[:80], rng.normal(0, 0.3, 80), strict=True))
     rows = [(k, text(3), "en", "short") for k in range(1000)] + [(1000 + k, text(8), "en", "long") for k in range(1000)]
     rows += [(5000, text(9), "en", "short"), (5001, text(30), "en", "long"), (5002, text(9), "en", "new"), (5003, text(3) + " $$$ ### $$$ ###" * 3, "en", "long")]
     rows += [(6000 + k, text(3) + " $$$$$ #####" * 20, "en", "bad") for k in range(300)]  # mostly bad: no rule of its own is switched off

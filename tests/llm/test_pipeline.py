@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,7 +59,7 @@ def plain_quality(rows):
         chars, per = sum(map(len, w)), lambda a, b: a / b if b else 0.0
         measured.append((row, len(w), covered, {
             "m_word_length": per(chars, len(w)), "m_symbols": per(len(re.findall(r"[#*$%&|<>]", text)), chars), "m_dup_lines": per(len(lines) - len(set(lines)), len(lines)),
-            "m_repeats": per(covered, len(w)), "m_upper": per(sum(c.isupper() for c in text), chars), "m_loud": per(sum(x.endswith("!") for x in w), len(w)),
+            "m_repeats": per(covered, len(w)), "m_upper": per(sum(c.isupper() for c in text), chars), "m_loud": per(sum(x.endswith("!") for x in w), len(w)), "m_marks": per(chars - sum(unicodedata.category(c)[0] in "LM" for c in text), chars),
         }))
     limits = {}
     for level in range(3):  # all, language, language and source
@@ -66,16 +67,19 @@ def plain_quality(rows):
         for row, *_, m in measured:
             groups[() if level == 0 else row[2:3] if level == 1 else row[2:4]].append(m)
         for key, own in groups.items():
-            for name, (resolution, least) in quality.SCALES.items():
-                buckets = sorted(0 if m[name] <= 0 else max(math.ceil(math.log(m[name]) / gamma) + 100_000, 1) for m in own)
-                at = lambda q: (lambda b: math.log(max((math.exp((b - 100_000 - 0.5) * gamma) if b else 0.0) + resolution, 1e-9)))(buckets[math.ceil(q * len(buckets)) - 1])  # noqa: E731, B023
-                centre, spread, n = at(0.5), at(0.75) - at(0.5), len(own)
+            for name, fence in quality.FENCES.items():
+                buckets = sorted(max(math.ceil(math.log(m[name]) / gamma) + 100_000, 1) for m in own if m[name] > 0)
+                if not buckets:
+                    continue
+                at = lambda q: (buckets[math.ceil(q * len(buckets)) - 1] - 100_000 - 0.5) * gamma  # noqa: E731, B023
+                centre, spread, n = at(0.5), at(0.75) - at(0.5), len(buckets)
                 if level:
                     up = limits[key[:-1], name]
                     centre, spread = ((n * x + quality.PRIOR * y) / (n + quality.PRIOR) for x, y in zip((centre, spread), up, strict=False))
-                limit = math.exp(centre + quality.FENCE * max(spread, least)) - resolution
+                limit = math.exp(centre + fence * max(spread, gamma))
                 limits[key, name] = centre, spread, min(limit, quality.LIFT * up[2]) if level else limit
-    return [row[:5] for row, n, covered, m in measured if n >= 50 and 2 * covered <= n and all(m[x] <= limits[row[2:4], x][2] for x in m)]
+    most = lambda row, x: limits.get((row[2:4], quality.JUDGED[x]), (0, 0, math.inf))[2]
+    return [row[:5] for row, n, covered, m in measured if n >= 50 and 2 * covered <= n and all(m[x] <= most(row, x) for x in quality.JUDGED)]
 
 
 def plain_near(rows):
