@@ -153,7 +153,7 @@ ORACLES: dict[str, str] = {
     "release_candidates": f"WITH {_SCORES} SELECT ticker, fiscal_year, quarter, rank, row_ord, score, release_date FROM ranked WHERE rank <= 20",
     "release_best": f"WITH {_SCORES} SELECT ticker, fiscal_year, quarter, row_ord, score, release_id FROM ranked WHERE rank = 1 AND score >= 55",
     "release_failures": f"WITH {_SCORES} SELECT ticker, fiscal_year, quarter, score AS best_score, CASE WHEN score IS NULL THEN 'no_public_release' ELSE 'below_minimum_score' END AS error FROM release_requests LEFT JOIN (SELECT ticker, fiscal_year, quarter, score FROM ranked WHERE rank = 1) USING (ticker, fiscal_year, quarter) WHERE score IS NULL OR score < 55",
-    "filing_search": f"""WITH {duckdb("filings")}, own AS (SELECT *, form IN ({_FORMS}) AS rel, form IN ('8-K', '6-K') AND regexp_matches({_ALL}, {_q(P.EARNINGS_LIKE)}) AS earn FROM filings WHERE filing_date BETWEEN '1996-01-01' AND '2000-12-31'),
+    "filing_search": f"""WITH {duckdb("filings")}, own AS (SELECT *, form IN ({_FORMS}) AS rel, form IN ('8-K', '6-K') AND regexp_matches({_ABOUT}, {_q(P.EARNINGS_LIKE)}) AS earn FROM filings WHERE filing_date BETWEEN '1996-01-01' AND '2000-12-31'),
         c AS (SELECT symbol, greatest(0, count(*) - least(12, count(*) FILTER (rel)))::BIGINT AS omitted FROM own GROUP BY symbol),
         k AS (SELECT *, 'relevant' AS kind FROM own WHERE rel UNION ALL SELECT *, 'earnings' FROM own WHERE earn),
         t AS (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY row_ord)::INT AS rank FROM k)

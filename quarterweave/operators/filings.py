@@ -18,13 +18,13 @@ MIN_FILING_SCORE, SHORT, BAND = 250, 220, 90
 
 def filing_search(filings: DataFrame, from_date: str, to_date: str) -> DataFrame:
     """(symbol, kind, rank, ...): the first 12 relevant and first 6 earnings-like filings of a window, in feed order, and how
-    many of all are left out. Raises if the window is none."""
+    many of all are left out. A filing is earnings-like by anything in its row. Raises if the window is none."""
     checked = filings.sparkSession.range(1).select(date_range(F.lit(from_date).cast("string"), F.lit(to_date).cast("string"))).first()[0]
     if checked != "ok":
         raise ValueError(checked)
     own = filings.where((F.col("filing_date") >= (from_date or "")) & (F.col("filing_date") <= (to_date or "9999-12-31"))).withColumn("form", F.upper("form"))
     relevant = F.col("form").isin(RELEVANT_FORMS)
-    earnings = F.col("form").isin("8-K", "6-K") & F.concat_ws(" ", "form", "filing_date", "report_date", "items", "accession", "primary_document").rlike(EARNINGS_LIKE)
+    earnings = F.col("form").isin("8-K", "6-K") & F.concat_ws(" ", *[F.col(c).cast("string") for c in filings.columns if filings.schema[c].dataType.typeName() not in ("array", "map", "struct")]).rlike(EARNINGS_LIKE)
     counts = own.groupBy("symbol").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - F.least(F.lit(12), F.count_if(relevant))).alias("omitted"))
     kinds = F.array_compact(F.array(F.lit("relevant"), F.when(earnings, F.lit("earnings"))))
     rows = own.where(relevant).select("symbol", "row_ord", "accession", "form", F.explode(kinds).alias("kind"))
