@@ -285,6 +285,61 @@ def luhn(text):
     return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0
 
 
+def test_surrogates_of_names_that_come_again(spark):
+    """Words of a titled name go wherever their document holds them, but not those that are common words there."""
+    texts = [
+        "Mr. Nils Amon met John Smith. Mr. John Smith's hat was Smith’s; SMITH, Smithson, (John) and JohnSmith paid.",
+        "Mrs. Anna Green saw a green car; Anna saw Green Park.",
+        "John Smith stands here without a title, 1.1.1.1 too.",
+        "Dr. Иван Петров и Петров, Mr. Γιώργος Παπαδόπουλος και Παπαδόπουλος",
+        "Mr. John Smith, a@b.org, John.Smith@c.org",
+    ]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])]
+    got = surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "k").collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and len({r.text for r in got if r.doc_id in (0, None)}) == 1
+    m = re.fullmatch(r"Mr\. (\S+) (\S+) met (\S+) (\S+)\. Mr\. (\S+) (\S+)'s hat was (\S+)’s; SMITH, Smithson, \((\S+)\) and JohnSmith paid\.", by[0].text)
+    assert m[3] == m[5] == m[8] and m[4] == m[6] == m[7] and len({m[1], m[2], m[3], m[4], "John", "Smith", "Nils", "Amon"}) == 8
+    assert by[0].n_entities == 6 and m[3].split("-")[0] in surrogates._GIVEN["m_latin"]
+    m = re.fullmatch(r"Mrs\. (\S+) (\S+) saw a green car; (\S+) saw Green Park\.", by[1].text)
+    assert m[1] == m[3] != "Anna" and m[2] != "Green" and by[1].n_entities == 2
+    assert by[2].text.startswith("John Smith stands here") and by[2].n_entities == 1
+    m = re.fullmatch(r"Dr\. ([А-я-]+) ([А-я]+) и ([А-я]+), Mr\. ([Ͱ-Ͽ-]+) ([Ͱ-Ͽ]+) και ([Ͱ-Ͽ]+)", by[3].text)
+    assert m[2] == m[3] != "Петров" and m[5] == m[6] != "Παπαδόπουλος" and m[4].split("-")[0] in surrogates._GIVEN["m_greek"]
+    assert by[4].n_entities == 3 and "John" not in by[4].text and "Smith" not in by[4].text
+
+
+def test_surrogates_keep_country_codes_and_one_number_in_all_formats(spark):
+    phones = ["+44 20 7946 0958", "+442079460958", "+1 (555) 123-4567", "1-555-123-4567", "+358 40 123 4567", "555-123-4567", "+7 495 123-45-67"]
+    got = by_id(surrogates.replace_entities(spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string"), "k"))
+    digits = [re.sub(r"\D", "", got[k].text) for k in range(len(phones))]
+    assert [re.sub(r"\d", "0", got[k].text) for k in range(len(phones))] == [re.sub(r"\d", "0", p) for p in phones]
+    assert digits[0] == digits[1] and digits[2] == digits[3] and digits[2] != "1" + digits[5]
+    assert [d[:n] for d, n in zip(digits, (2, 2, 1, 1, 3, 0, 1), strict=True)] == ["44", "44", "1", "1", "358", "", "7"]
+    assert all(d != re.sub(r"\D", "", p) for d, p in zip(digits, phones, strict=True))
+
+
+def test_the_query_shows_no_key_and_returns_its_rows(spark, tmp_path):
+    path, key = f"file://{tmp_path}", "kept-to-itself-7431"
+    spark.createDataFrame([(1, "write to a@b.org or Mr. Lee"), (2, None), (3, "nothing")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.conf.set(surrogates.KEY_SETTING, key)
+    try:
+        out = surrogates.op6_surrogates(spark, path)
+        plans = [out._jdf.queryExecution().toString()]
+        rows = surrogates.distinct_surrogates(spark.createDataFrame([("email", "a@b.org", None)], "kind string, canon string, gender string"), key)
+        keys = surrogates._keys(spark, key)
+        drawn = rows.join(keys, "kind").select(surrogates.surrogate(*map(surrogates.F.col, ("kind", "canon")), surrogates.F.lit(0), surrogates.F.col("key")).alias("x"))
+        plans += [drawn._jdf.queryExecution().toString()]
+        values = [key, *(r.key for r in keys.collect())]
+        assert not any(v in p for v in values for p in plans)
+        got = by_id(out)
+        assert out.columns == ["doc_id", "text", "n_entities"] and [got[k].n_entities for k in (1, 2, 3)] == [2, 0, 0]
+        assert got[2].text is None and got[3].text == "nothing" and re.fullmatch(r"write to [a-z]@[a-z]\.example or Mr\. [A-Z][a-z]+", got[1].text)
+        assert drawn.collect()[0].x == rows.collect()[0].stand_in
+    finally:
+        spark.conf.unset(surrogates.KEY_SETTING)
+
+
 def test_surrogates_against_a_plain_reading(spark):
     """Distinctness, coreference, format, gender and key over a small corpus; columns that clash; what is no entity stays."""
     people = ["Mr. John Smith", "Dr. John Smith", "Mrs. Anna O'Neill", "Prof. Anna O'Neill", "Mr. Karl Smith-Jones", "Herr Иван Петров"]
@@ -380,6 +435,22 @@ def test_one_token_is_read_from_the_files(spark, docs, tmp_path):
     assert found == {(k, p): ids[k][p] if k in ids and p is not None and 0 <= p < len(ids[k]) else None for k, p in ask}
 
 
+def test_tokens_of_many_places_and_segments(spark, tmp_path, monkeypatch):
+    """Ids far apart, negative and repeated, in small segments, each read for a few places at once."""
+    monkeypatch.setattr(id_files, "SEGMENT_IDS", 40)
+    monkeypatch.setattr(id_files, "LOOKUPS", 3)
+    fresh = Tokenizer.from_file(tokens.WORD_BPE)
+    texts = {k * k * (-1) ** k * 10**13: f"word {k} " * (k % 7 + 1) for k in range(60)} | {2**63 - 1: "last one", -(2**63): "first one"}
+    path = f"file://{tmp_path}/ids"
+    id_files.write_ids(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), path)
+    assert spark.read.schema(id_files.SEGMENTS).parquet(path).count() > 10
+    ids = {k: [*fresh.encode(t, add_special_tokens=False).ids, 2] for k, t in texts.items()}
+    ask = [(k, p) for k in ids for p in range(0, len(ids[k]) + 1, 2)]
+    found = id_files.read_tokens(spark, path, spark.createDataFrame(ask, "doc_id long, position int"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.position): r.token for r in found.collect()} == {(k, p): ids[k][p] if p < len(ids[k]) else None for k, p in ask}
+
+
 def test_ids_of_whole_texts_are_those_of_the_libraries():
     """20,000 texts of words, marks, accents, white space of all kinds at both ends and within."""
     enc = tiktoken.Encoding("x", pat_str=PATTERN, mergeable_ranks=tokens.read_ranks(), special_tokens={})
