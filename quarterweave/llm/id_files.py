@@ -33,6 +33,8 @@ from .tokens import WORD_BPE, word_bpe
 MAGIC, BITS, STRETCH = b"DACIDS1\0", 8, 512
 #: Ids in a segment, and documents in a task, about.
 SEGMENT_IDS, TASK_DOCS = 1 << 20, 8000
+#: Places that one reading of a segment looks up.
+LOOKUPS = 200_000
 #: Words a worker remembers, of the latest and of the time before; what is forgotten is encoded again.
 REMEMBERED = 550_000
 SEGMENTS = "part int, start long, n_docs long, n_tokens long, first_id long, last_id long, segment binary"
@@ -181,10 +183,20 @@ def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
     segments = spark.read.schema(SEGMENTS).parquet(path)
     asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position")).distinct()
-    # The directory has a row for a million ids, so it is joined by range without the segments themselves.
+    # Places are found by numbered stretches of ids, about as many as there are segments. Ids ascend through the files, so
+    # segments overlap in their ends only and lie in two stretches each on average; one is read for `LOOKUPS` places at once.
     directory = segments.select("part", "start", "first_id", "last_id")
-    hit = asked.join(directory, F.col("doc_id").between(F.col("first_id"), F.col("last_id")))
-    grouped = hit.groupBy(F.col("part").alias("part_"), F.col("start").alias("start_")).agg(F.collect_list(F.struct("doc_id", "position")).alias("asked"))
+    low, high, n = directory.agg(F.min("first_id"), F.max("last_id"), F.count(F.lit(1))).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(n, 1))
+    stretch = lambda c: F.floor((F.col(c).cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("long")
+    covered = directory.withColumn("stretch_", F.explode(F.sequence(stretch("first_id"), stretch("last_id"))))
+    inside = (F.col("stretch") == F.col("stretch_")) & F.col("doc_id").between(F.col("first_id"), F.col("last_id"))
+    hit = asked.where(F.col("doc_id").between(F.lit(low), F.lit(high))).withColumn("stretch", stretch("doc_id")).join(covered, inside)
+    where = [F.col("part").alias("part_"), F.col("start").alias("start_")]
+    times = hit.groupBy(*where).agg(F.ceil(F.count(F.lit(1)) / LOOKUPS).alias("times"))
+    dealt = hit.select(*where, "doc_id", "position").join(times, ["part_", "start_"])
+    load = F.pmod(F.xxhash64("doc_id", "position"), F.col("times")).alias("load")
+    grouped = dealt.groupBy("part_", "start_", load).agg(F.collect_list(F.struct("doc_id", "position")).alias("asked"))
     chosen = segments.join(grouped, (F.col("part") == F.col("part_")) & (F.col("start") == F.col("start_"))).select("segment", "asked", F.col("part").cast("long"), "start")
     found = chosen.mapInArrow(run, "d_ long, p_ long, token long, part long, start long")
     best = found.groupBy("d_", "p_").agg(F.min_by("token", F.struct("part", "start")).alias("token"))
