@@ -44,7 +44,7 @@ def qa_candidates(calls: DataFrame) -> DataFrame:
         score = score + F.lit({"explicit_q_and_a_heading": 0.02, "management_qa_transition": 0.01}.get(method, 0.0))
         return F.when(
             at.isNotNull(),
-            F.struct(F.lit(method).alias("method"), at.alias("position"), matched.alias("matched"), F.round(ratio(at), 6).alias("ratio"), F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6).alias("score")),
+            F.struct(F.lit(method).alias("method"), at.alias("position"), matched.alias("matched"), (F.round(ratio(at) * 1e6) / 1e6).alias("ratio"), F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6).alias("score")),
         )
 
     return step.withColumn("candidates", F.array_compact(F.array(*[candidate(*f) for f in found])))
@@ -63,7 +63,8 @@ def qa_split(candidates: DataFrame) -> DataFrame:
     text, at = F.col("text"), F.col("_b.position")
     step = step.withColumn("prepared", strip(F.when(at.isNull(), text).otherwise(F.substring(text, F.lit(1), at))))
     step = step.withColumn("qna", F.when(at.isNull(), F.lit("")).otherwise(strip(F.substring(text, at + 1, F.length(text)))))
-    told = lambda name, x: F.concat(F.lit(f"{name}:"), x["method"], F.lit(":"), F.format_string("%.1f%%", x["ratio"] * 100))
+    # format_number rounds the number itself; format_string its shortest decimal form, in which 2.55 is a tie that it is not.
+    told = lambda name, x: F.concat(F.lit(f"{name}:"), x["method"], F.lit(":"), F.format_number(x["ratio"] * 100, 1), F.lit("%"))
     early = F.flatten(
         F.transform(
             c,

@@ -15,6 +15,19 @@ def test_split_offsets_count_characters(spark):
     assert got[2].method == "management_qa_transition" and got[2].score == 0.97
 
 
+def second_operator_at(spark, *places):
+    """Calls of 2,000 characters whose second intervention lies at a place."""
+    hit = "Operator: x\n"
+    return calls(spark, *[(hit + "y" * (at - len(hit)) + "\n" + hit).ljust(2000, "z") for at in places])
+
+
+def test_warnings_round_the_share_itself(spark):
+    places = (51, 71, 91, 103, 110)
+    got = {r.position: r.warnings[0] for r in second_operator_at(spark, *places).collect()}
+    assert got == {at: f"qna_candidate_very_early:second_operator_intervention_fallback:{at / 2000:.1%}" for at in places}
+    assert got[51].endswith(":2.5%")
+
+
 def test_latest_periods_keep_feed_order_on_ties(spark):
     rows = [("A", "FY2025", None, "Q1", "2025-01-01", 2), ("A", "2025", None, "1", "2025-01-01", 1), ("A", "0", "2026", "2", "x", 3), ("B", "2025.0", None, "1", None, 1)]
     dates = spark.createDataFrame(rows, "symbol string, year string, fiscal_year string, quarter string, call_date string, row_ord int")
