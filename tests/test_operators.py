@@ -52,3 +52,8 @@ def test_exhibit_99_beats_the_body(spark):
     rows = [("a-1", 7, "company-8k.htm", "company-8k.htm", "8-K", "FORM 8-K"), ("a-1", 7, "company-8k.htm", "ex99-1.htm", "EX-99.1", "Earnings press release")]
     docs = spark.createDataFrame(rows, "accession string, cik_int int, primary_document string, name string, type string, description string")
     assert [r.name for r in filings.filing_documents(docs).where("rank = 1").collect()] == ["ex99-1.htm"]
+
+
+def test_quality_repeats_the_warning_of_the_split(spark):
+    got = transcripts.transcript_quality(second_operator_at(spark, 51)).first()
+    assert f"qna_candidate_very_early:second_operator_intervention_fallback:{51 / 2000:.1%}" in got.warnings.split(",")
