@@ -82,3 +82,18 @@ def test_payloads_become_packs_ranks_and_documents(spark):
     none = spark.createDataFrame([], "url string, html string")
     doc = content.release_documents(releases.release_fields(found), asked.withColumnRenamed("symbol", "ticker"), none).collect()
     assert [(r.quarter, r.row_ord, r.content_source) for r in doc] == [(1, 0, "press_release_text")] and doc[0].markdown.endswith("\nBody\n")
+
+
+def test_texts_alone_rank_as_parsed_pages_do(spark):
+    """The most that terms count is twelve; words of contracts and dividends count as their patterns say, whatever the case."""
+    texts = ["Guidance. " * 20, "guidance " * 12, "The BORROWER agrees", "article I. Definitions", "Definitions", "REPURCHASE PROGRAM", "rule 10B-18", "first  quarter fiscal 2025", "Q1 FY2025, second quarter", None]
+    docs = [(f"f{k}", 7, "p.htm", "p.htm", "8-K", "") for k in range(len(texts))]
+    pages = spark.createDataFrame([(f"f{k}", "p.htm", t and f"<p>{t}</p><table><tr><td>1</td></tr></table>") for k, t in enumerate(texts)], "accession string, name string, html string")
+    requests = spark.createDataFrame([(f"f{k}", 2025, q) for k in range(len(texts) - 1) for q in (1, 2)], "accession string, fiscal_year int, quarter int")
+    one = filings.exhibits_by_pages(spark.createDataFrame(docs, DOCS), pages, requests)
+    two = filings.filing_exhibits(spark.createDataFrame(docs, DOCS), pages, requests)[0]
+    rows = {(r.accession, r.quarter): r for r in one.collect()}
+    assert rows == {(r.accession, r.quarter): r for r in two.collect()}
+    got = [rows[f"f{k}", 1].content_score for k in range(len(texts) - 1)]
+    assert got == [2160 + 50, 2160 + 50, -5000 + 50, -5000 + 50, 50, -1200 + 50, -1200 + 50, 2500 + 200 + 500 + 50, 2500 + 200 + 250 - 600 + 50]
+    assert rows["f9", None].content_score == 0

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quarterweave.operators import html, tables
@@ -30,6 +32,19 @@ def test_odd_pages(spark):
     assert parsed(spark, "<p>fine</p>", "<![bad[").count() == 2
 
 
+def test_plain_pages_read_as_by_the_tokeniser():
+    draw, own = random.Random(7), 0
+    tags = ["p", "div", "h1", "li", "b", "table", "tr", "td", "P", "br"]
+    odd = ["&amp;", "&nbsp", "a < b", "a > b", "<br/>", "<!-- x -->", "<p", "</p >", '<p class="x y">', "<p id=x>", "<script>if (a<b) x</script>", "<script>no</script>", "<style>", "<title>T &lt; U</title>", "<title><b>t</title>", "&"]
+    for _ in range(3000):
+        page = "".join(draw.choice(odd) if draw.random() < 0.04 else draw.choice([f"<{draw.choice(tags)}>", f"</{draw.choice(tags)}>", "word ", " ", "\n", "x"]) for _ in range(draw.randrange(30)))
+        quick, plain = html._read(page), html._Sections()
+        plain.feed(page)
+        assert quick == (plain.found, None, "".join(plain.text)), page
+        own += html._plain(page) is not None
+    assert 1000 < own < 2900  # both ways are taken
+
+
 def test_rows_are_compacted_and_fitted(spark):
     got = body(spark, [["", "2025", "2024"], ["Assets"], ["Cash", "$", "5", "$", "6"], ["Debt", "7"], ["Sum", "1", "2", "3"], ["years ended"]])
     assert got.headers == ["2025", "2024"]
