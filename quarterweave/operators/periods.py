@@ -35,7 +35,8 @@ def statement_tables(statements: DataFrame, quarters: int = 2, years: int = 3) -
     """The newest rows of each table: 1 to 4 quarters as asked, and some years."""
     limit = F.when(F.col("freq") == "quarter", F.greatest(F.lit(1), F.least(F.lit(quarters), F.lit(4)))).otherwise(F.lit(years))
     order = W.partitionBy("symbol", "table_name", "freq").orderBy("row_ord")
-    ranked = statements.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(4, years))
+    # Dealt by company, so that what follows by company moves these rows no more.
+    ranked = statements.repartition("symbol").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(4, years))
     return ranked.where(F.col("rank") <= limit)
 
 
@@ -53,21 +54,23 @@ def period_match(tables: DataFrame, periods: DataFrame, allow_fallback: bool = F
     With `allow_fallback`, tables without a match give as many of their newest rows as the company has periods. Rows are
     structs of all columns of `tables` but the keys, newest first, with any measures they hold.
     """
-    wanted = periods.select("symbol", F.col("year").alias("fy"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("p"), F.lit(True).alias("hit")).distinct()
-    found = periods.groupBy("symbol").agg(F.countDistinct("year", "quarter").alias("n_periods"))
-    rows = tables.where("freq = 'quarter'").withColumn("fy_", lenient_int(F.col("fiscal_year")))
-    match = (rows["symbol"] == wanted["symbol"]) & (F.col("fy_") == F.col("fy")) & (F.upper("period") == F.col("p"))
-    joined = rows.withColumn("row", _row(tables)).join(wanted, match, "left").select(rows["symbol"], "table_name", "row", "hit")
+    # A company's few periods meet its rows as one array, by company alone: the rows of a company stay where they are.
+    wanted = F.collect_set(F.struct(F.col("year").alias("fy"), F.concat(F.lit("Q"), F.col("quarter").cast("string")).alias("p"))).alias("asked")
+    asked = periods.groupBy("symbol").agg(wanted)
+    rows = tables.where("freq = 'quarter'").withColumn("row", _row(tables)).withColumns({"fy_": lenient_int(F.col("fiscal_year")), "p_": F.upper("period")})
+    hit = F.exists("asked", lambda x: (x["fy"] == F.col("fy_")) & (x["p"] == F.col("p_")))
+    joined = rows.select("symbol", "table_name", "row", "fy_", "p_").join(asked, "symbol", "left").withColumn("hit", F.when(hit, True))
     out = joined.groupBy("symbol", "table_name").agg(
         F.count("hit").alias("n_matched"),
         F.array_sort(F.collect_list(F.when(F.col("hit"), F.col("row")))).alias("matched_rows"),
         F.array_sort(F.collect_list("row")).alias("all_rows"),
+        F.max(F.when(F.col("asked").isNotNull(), F.size(F.filter("asked", lambda x: x["fy"].isNotNull() & x["p"].isNotNull())))).alias("n_periods"),
     )
     if allow_fallback:
-        out = out.join(found, "symbol", "left").withColumn("fallback_rows", F.when((F.col("n_matched") == 0) & F.col("n_periods").isNotNull(), F.slice("all_rows", F.lit(1), F.col("n_periods").cast("int"))).otherwise(F.slice("all_rows", 1, 0))).drop("n_periods")
+        out = out.withColumn("fallback_rows", F.when((F.col("n_matched") == 0) & F.col("n_periods").isNotNull(), F.slice("all_rows", F.lit(1), F.col("n_periods"))).otherwise(F.slice("all_rows", 1, 0)))
     else:
         out = out.withColumn("fallback_rows", F.slice("all_rows", 1, 0))
-    out = out.withColumn("fallback_used", F.size("fallback_rows") > 0).drop("all_rows")
+    out = out.withColumn("fallback_used", F.size("fallback_rows") > 0).drop("all_rows", "n_periods")
     return out.withColumn("match_status", F.when(F.col("n_matched") > 0, "exact_period_match").otherwise("no_exact_period_match"))
 
 

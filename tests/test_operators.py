@@ -57,3 +57,18 @@ def test_exhibit_99_beats_the_body(spark):
 def test_quality_repeats_the_warning_of_the_split(spark):
     got = transcripts.transcript_quality(second_operator_at(spark, 51)).first()
     assert f"qna_candidate_very_early:second_operator_intervention_fallback:{51 / 2000:.1%}" in got.warnings.split(",")
+
+
+def test_statement_rows_are_moved_once(spark):
+    """By company, for ranks, matches and tables alike; a company's periods meet them as one row."""
+    rows = [("A", "t", "quarter", "2025", "q1", 1, 1.0), ("A", "t", "quarter", "2025", "1", 2, 2.0), ("A", "u", "quarter", "2024", "Q4", 1, 3.0), ("A", "u", "quarter", "2024", "Q3", 2, 4.0), ("B", "t", "quarter", "2025", "Q1", 1, 5.0)]
+    statements = spark.createDataFrame(rows, "symbol string, table_name string, freq string, fiscal_year string, period string, row_ord int, amount double")
+    chosen = spark.createDataFrame([("A", 2025, 1), ("A", 2025, 1), ("A", 2025, None)], "symbol string, year int, quarter int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = periods.period_match(periods.statement_tables(statements), chosen, allow_fallback=True)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+        got = {(r.symbol, r.table_name): ([x.amount for x in r.matched_rows], [x.amount for x in r.fallback_rows], r.fallback_used, r.match_status[:2]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {("A", "t"): ([1.0], [], False, "ex"), ("A", "u"): ([], [3.0], True, "no"), ("B", "t"): ([], [], False, "no")}
