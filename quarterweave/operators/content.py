@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns as P
-from ..functions.text import EMAIL, LINE_END, SPACE, bound, clean_text, headline, is_html, lines, size_estimate, squeeze, strip_all
+from ..functions.text import EMAIL, LINE_END, SPACE, bound, clean_text, headline, holds, holds_any, is_html, lines, size_estimate, squeeze, strip_all
 from ..sources.staging import written
 from .release_pages import with_blocks
 from .releases import release_best, release_candidates, release_contenders, release_scores
@@ -30,19 +30,29 @@ def release_content(releases: DataFrame, pages: DataFrame, urls: DataFrame | Non
     """
     if urls is not None:
         pages = pages.join(urls, "url", "left_semi")
-    own = pages.where(F.length("html") >= LEAST_PAGE).select(F.col("url").alias("url_"), F.col("html").alias("html_"))
+    # What is known of a page goes beside it, so that where its text is not asked for it is not moved.
+    own = pages.where(F.length("html") >= LEAST_PAGE).select(F.col("url").alias("url_"), F.col("html").alias("html_"), F.when(is_html(F.col("html")), "html").otherwise("txt").alias("format_"))
     joined = releases.join(own, (F.col("url") == F.col("url_")) & ~F.col("is_sec"), "left").drop("url_")
-    feed = clean_text(F.col("text"))
-    source = F.when(F.col("url").isNull() | F.col("is_sec"), None).when(F.col("html_").isNotNull(), "scraped_public_url_html").when(feed != "", "press_release_text")
+    # A column of its own, so that a text is cleaned once for all that asks for it, and not at all where a page stands for it.
+    joined = joined.withColumn("_feed", F.when(F.col("url").isNotNull() & ~F.coalesce("is_sec", F.lit(False)) & F.col("format_").isNull(), clean_text(F.col("text"))))
+    source = F.when(F.col("url").isNull() | F.col("is_sec"), None).when(F.col("format_").isNotNull(), "scraped_public_url_html").when(F.col("_feed") != "", "press_release_text")
     error = F.when(F.col("url").isNull(), "no_url").when(F.col("is_sec"), "regulator_url_refused").when(source.isNull(), "no_usable_content")
     joined = joined.withColumn("content_source", source).withColumn("content_error", error)
-    page = F.when(F.col("content_source") == "scraped_public_url_html", F.col("html_"))
-    joined = joined.withColumn("html", page).withColumn("raw_content", F.coalesce(page, F.when(F.col("content_source").isNotNull(), feed)))
-    return joined.withColumn("raw_format", F.when(F.col("raw_content").isNotNull(), F.when(is_html(F.col("raw_content")), "html").otherwise("txt"))).drop("html_")
+    read, told = F.col("content_source") == "scraped_public_url_html", F.col("content_source").isNotNull()
+    page = F.when(read, F.col("html_"))
+    feed_format = F.when(is_html(F.col("_feed")), "html").otherwise("txt")
+    return joined.withColumns(
+        {
+            "html": page,
+            "raw_content": F.when(read, F.col("html_")).when(told, F.col("_feed")),
+            "raw_format": F.when(read, F.col("format_")).when(told, feed_format),
+        }
+    ).drop("html_", "format_", "_feed")
 
 
 def looks_like_table(line: Column) -> Column:
-    return line.rlike(P.TABLE_NUMBERS) & (line.rlike(P.TABLE_SPACING) | line.rlike(P.TABLE_WORDS)) & line.rlike(f"[^{SPACE}]")
+    words = bound(F.lower(line), lambda low: holds(line, low, P.TABLE_WORDS, P.TABLE_WORD_LIST))
+    return line.rlike(P.TABLE_SIGNS) & line.rlike(P.TABLE_NUMBERS) & (line.rlike(P.TABLE_SPACING) | words) & line.rlike(f"[^{SPACE}]")
 
 
 def text_table_blocks(text: Column) -> Column:
@@ -63,8 +73,7 @@ def text_table_blocks(text: Column) -> Column:
 
 
 def without_boilerplate(text: Column) -> Column:
-    low = F.lower
-    gone = lambda x: (x == "") | low(x).isin(P.BOILERPLATE) | low(x).startswith(P.BOILERPLATE_STARTS[0]) | low(x).startswith(P.BOILERPLATE_STARTS[1])
+    gone = lambda x: (x == "") | bound(F.lower(x), lambda low: low.isin(P.BOILERPLATE) | low.startswith(P.BOILERPLATE_STARTS[0]) | low.startswith(P.BOILERPLATE_STARTS[1]))
     return clean_text(F.array_join(F.filter(lines(clean_text(text)), lambda x: ~gone(x)), "\n"))
 
 
@@ -92,11 +101,15 @@ def _block_table(content: DataFrame, keys: list[str]) -> DataFrame:
 
     Blocks are rows in the order of the page. Running counts and the last lines so far share one sort by release and place."""
     parsed = with_blocks(content.where(F.col("html").isNotNull()), keys)
-    rows = parsed.select(*keys, "page_error", F.posexplode_outer("blocks").alias("pos", "b")).select(*keys, "page_error", "pos", "b.kind", "b.text", "b.rows")
+    parsed = parsed.withColumn("tabled", F.exists("blocks", lambda b: b["kind"] == "table"))
+    rows = parsed.select(*keys, "page_error", "tabled", F.posexplode_outer("blocks").alias("pos", "b")).select(*keys, "page_error", "tabled", "pos", "b.kind", "b.text", "b.rows")
     rows = rows.withColumn("text", F.when(F.col("kind") == "text", without_boilerplate(F.col("text"))))
     own = rows.withColumn("own", F.filter(lines(F.col("text")), lambda x: x != ""))
-    words = "|".join(P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS)
-    own = own.withColumn("names", F.filter(F.transform("own", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.lower(x["line"]).rlike(words)))
+    words = P.RELEASE_STATEMENTS + P.RELEASE_NON_GAAP + P.CONTACTS
+    # Lines are sought for tables alone, and none but the last `CONTEXT` of a text can be near one.
+    skipped = F.greatest(F.size("own") - CONTEXT, F.lit(0))
+    tail = F.transform(F.slice("own", skipped + 1, F.lit(CONTEXT)), lambda x, i: F.struct((i + skipped).alias("at"), x.alias("line")))
+    own = own.withColumn("names", F.when(F.col("tabled"), F.filter(tail, lambda x: bound(F.lower(x["line"]), lambda low: holds_any(low, words)))))
     own = own.select(*keys, "page_error", "pos", "kind", "text", "rows", F.size("own").alias("n"), F.get("own", F.size("own") - 1).alias("last"), F.get("names", F.size("names") - 1).alias("name"))
     order = W.partitionBy(*keys).orderBy("pos")
     before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -143,7 +156,9 @@ def release_sections(content: DataFrame, keys: list[str] | None = None) -> DataF
     keys = keys or ["release_id"]
     blocks = _block_table(content, keys).withColumnsRenamed({k: f"{k}_" for k in keys})
     same = [F.col(k) == F.col(f"{k}_") for k in keys]
-    out = content.join(blocks, same, "left").drop(*[f"{k}_" for k in keys])
+    # Named before the join, which moves pages only where they are asked for.
+    own = content.withColumns({"_page": F.col("html").isNotNull(), "_own": F.when(F.col("html").isNull(), F.col("raw_content"))})
+    out = own.join(blocks, same, "left").drop(*[f"{k}_" for k in keys])
     unread = F.col("page_error").isNotNull()
     feed = F.when(unread, F.nullif(clean_text(F.col("text")), F.lit("")))
     out = out.withColumn("_feed", feed)
@@ -154,15 +169,16 @@ def release_sections(content: DataFrame, keys: list[str] | None = None) -> DataF
             "raw_content": F.when(unread, F.col("_feed")).otherwise(F.col("raw_content")),
             "raw_format": F.when(unread, F.when(F.col("_feed").isNotNull(), F.when(is_html(F.col("_feed")), "html").otherwise("txt"))).otherwise(F.col("raw_format")),
             "html": F.when(~unread, F.col("html")),
+            "_own": F.when(unread, F.col("_feed")).otherwise(F.col("_own")),
         }
     )
     has_table = F.coalesce(F.exists("blocks", lambda s: s["kind"] == "table"), F.lit(False))
-    plain = F.when(F.col("html").isNotNull(), narrative_text(F.col("blocks"))).otherwise(F.col("raw_content"))
+    plain = F.when(F.col("_page") & ~unread, narrative_text(F.col("blocks"))).otherwise(F.col("_own"))
     out = out.withColumn("_plain", F.when(F.col("content_source").isNotNull() & ~has_table, text_table_blocks(plain)))
     table_text, none = lambda x: x["kind"] == "table_text", F.lit(None).cast("string")
     found = F.transform("_plain", lambda x, i: F.struct(i.cast("int").alias("pos"), x["kind"].alias("kind"), x["text"].alias("text"), F.when(table_text(x), "Text-formatted table").alias("title"), F.when(table_text(x), "other").alias("class"), none.alias("markdown"), F.lit(None).cast("int").alias("number")))
     out = out.withColumn("_s", F.when(F.size("_plain") > 0, found).otherwise(F.col("blocks")))
-    return out.withColumn("sections", F.when(F.col("content_source").isNotNull(), _first_of_equals(F.col("_s")))).drop("_s", "_plain", "_feed", "blocks")
+    return out.withColumn("sections", F.when(F.col("content_source").isNotNull(), _first_of_equals(F.col("_s")))).drop("_s", "_plain", "_feed", "_own", "_page", "blocks")
 
 
 def narrative_text(sections: Column) -> Column:

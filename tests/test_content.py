@@ -113,3 +113,20 @@ def test_windows_that_are_none_are_refused(spark):
         with pytest.raises(ValueError, match=error):
             filings.filing_search(table, first, last)
     assert filings.filing_search(table, None, None).count() == 0
+
+
+def test_texts_are_cleaned_once_and_pages_move_only_where_asked_for(spark):
+    table = spark.createDataFrame([release("a", "https://x.com/a", "Some text")], RELEASE)
+    made = content.release_content(table, spark.createDataFrame([("https://x.com/a", "x")], "url string, html string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(made.select("content_source", "content_error", "raw_content", "raw_format")).count(r"\x1b\[[0-9;]*m") == 1
+    # A page lies on the side that parses it and nowhere else.
+    joins = [line for line in plan(content.release_sections(made).select("release_id", "sections")).splitlines() if "Project" in line and "_page" in line]
+    assert joins and not any("html_" in line for line in joins)
+
+
+def test_titles_come_from_the_last_lines_before_a_table(spark):
+    page = lambda n: f"<article><p>{FILLER}<p>Balance Sheet of the year<p>" + "<p>".join(f"line {k}" for k in range(n)) + f"{TABLE}</article>"
+    rows = [release("a", "https://x.com/a", ""), release("b", "https://x.com/b", "")]
+    got = {r.release_id: [s.title for s in r.sections if s.kind == "table"] for r in documents(spark, rows, [("https://x.com/a", page(11)), ("https://x.com/b", page(12))]).collect()}
+    assert got == {"a": ["Balance Sheet of the year"], "b": ["line 11"]}
