@@ -76,3 +76,13 @@ def test_sinks_can_be_run_again(spark, tmp_path):
     assert per[2025] == 20 and 0 < per[2024] < 20
     found = sinks.errors(("content", docs, F.col("release_id"), F.col("content_error")), ("payload", docs.limit(1), F.lit("k"), F.lit("bad")))
     assert found.groupBy("stage").count().orderBy("stage").collect() == [("content", 10), ("payload", 1)]
+
+
+def test_filings_move_once_by_company(spark):
+    rows = spark.createDataFrame([("S", "8-K", "2026-01-02", "", "2.02", "1", "", 1)], "symbol string, form string, filing_date string, report_date string, items string, accession string, primary_document string, row_ord int")
+    requests = spark.createDataFrame([("S", 2026, 1, "2026-01-01"), ("S", 2020, 1, "2020-01-01"), ("S", 2019, 1, None)], "symbol string, fiscal_year int, quarter int, anchor_date string")
+    pairs = filings.filing_pairs(rows, requests)
+    # Near, and as a stand-in of its kind for every request.
+    assert sorted((r.fiscal_year, r.score) for r in pairs.collect()) == [(2019, 1350), (2020, 1350), (2026, 1740), (2026, 1740)]
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line and "bucket" in line]
