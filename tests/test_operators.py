@@ -1,4 +1,7 @@
+import datetime
+
 from quarterweave.operators import filings, periods, releases, transcripts
+from quarterweave.sources import shapes
 
 
 def calls(spark, *texts):
@@ -72,3 +75,23 @@ def test_statement_rows_are_moved_once(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {("A", "t"): ([1.0], [], False, "ex"), ("A", "u"): ([], [3.0], True, "no"), ("B", "t"): ([], [], False, "no")}
+
+
+def test_statements_are_dealt_by_company_before_they_multiply(spark, tmp_path):
+    """The rows of the SQL, odd ones included; lines move to their order and then to their company, tables made of them stay there."""
+    day = lambda k: None if k % 17 == 0 else datetime.datetime(1994 + k % 5, 1 + k % 12, 1 + k % 28)
+    lines = [(k % 70 if k % 19 else None, None if k % 23 == 0 else float(k % 50), None if k < 70 and k % 7 == 0 else k * 1000.01 + 0.005, day(k)) for k in range(600)]
+    owners = [(k, None if k % 11 == 0 else k % 27 - 1) for k in range(60)]
+    made = {"lineitem": (lines, "l_orderkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"), "orders": (owners, "o_orderkey long, o_custkey long")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    read = {name: spark.read.parquet(f"file://{tmp_path}/{name}.parquet") for name in made}
+    got, want = shapes.shaped(spark, f"file://{tmp_path}", "statements"), spark.sql(shapes.SHAPES["statements"], **read)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {None, "C13", "C-1"} <= {r.symbol for r in got.select("symbol").distinct().collect()} and got.where("fiscal_year is null").count() > 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = periods.statement_tables(shapes.shaped(spark, f"file://{tmp_path}", "statements"), 4, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 3 and plan.count("Join ") == 1
