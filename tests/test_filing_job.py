@@ -97,3 +97,22 @@ def test_texts_alone_rank_as_parsed_pages_do(spark):
     got = [rows[f"f{k}", 1].content_score for k in range(len(texts) - 1)]
     assert got == [2160 + 50, 2160 + 50, -5000 + 50, -5000 + 50, 50, -1200 + 50, -1200 + 50, 2500 + 200 + 500 + 50, 2500 + 200 + 250 - 600 + 50]
     assert rows["f9", None].content_score == 0
+
+
+def test_pages_are_read_and_scored_where_they_lie(spark):
+    """Documents meet requests and pages first: nothing but scores moves once a page is read. Documents of one name that are known
+    alike are counted, others of that name are not lost."""
+    docs = [("f", 7, "p.htm", "ex99-1.htm", "EX-99.1", "Press release")] * 3 + [("f", 7, "p.htm", "ex99-1.htm", "EX-99.1", "Credit"), ("f", 7, "p.htm", "ex99-2.htm", "", ""), ("g", 7, "p.htm", "p.htm", "", ""), (None, 7, "p.htm", "p.htm", "", "")]
+    pages = spark.createDataFrame([("f", "ex99-1.htm", "<p>guidance</p>"), ("g", "other.htm", "<p>guidance")], "accession string, name string, html string")
+    requests = spark.createDataFrame([("f", 2025, 1), ("f", 2025, 1), ("f", 2025, 2), ("g", None, 1)], "accession string, fiscal_year int, quarter int")
+    args = spark.createDataFrame(docs, DOCS), pages, requests
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = filings.exhibits_by_pages(*args)
+        plan = one._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+        got, two = one.collect(), filings.filing_exhibits(*args)[0].collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, got)) == sorted(map(str, two))
+    assert {(r.accession, r.quarter): (r.name, r.n_read, r.content_score) for r in got} == {("f", 1): ("ex99-1.htm", 10, 180), ("f", 2): ("ex99-1.htm", 5, 180), ("g", 1): ("p.htm", 1, 0), (None, None): ("p.htm", 1, 0)}
+    assert len(plan) == 2 and plan[0].count("Exchange ") == 1 and "Join" not in plan[0]

@@ -95,3 +95,22 @@ def test_statements_are_dealt_by_company_before_they_multiply(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange ") == 3 and plan.count("Join ") == 1
+
+
+def test_exhibits_are_made_where_their_filing_lies(spark, tmp_path):
+    """The rows of the SQL, odd ones included: several lines of a page, no part, no order; documents move once on each side."""
+    lines = [(None if k % 53 == 0 else k % 37 * 16 if k % 2 else k % 41, None if k % 5 == 0 else [9, 10, 100, 11, 2][k % 5] * (k % 7), None if k % 29 == 0 else k % 9) for k in range(900)]
+    owners = [(k, None if k % 11 == 0 else k % 27 - 1) for k in range(0, 600, 3)] + [(3, 5), (None, 1)]
+    made = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int"), "orders": (owners, "o_orderkey long, o_custkey long")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    read = {name: spark.read.parquet(f"file://{tmp_path}/{name}.parquet") for name in made}
+    for name in ("filing_documents", "exhibit_pages", "exhibit_requests"):
+        got, want = shapes.shaped(spark, f"file://{tmp_path}", name), spark.sql(shapes.SHAPES[name], **read)
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 20, name
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = filings.read_first(filings.filing_documents(shapes.shaped(spark, f"file://{tmp_path}", "filing_documents")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 2

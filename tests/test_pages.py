@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quarterweave.functions.text import filing_text
 from quarterweave.operators import html, tables
 
 
@@ -64,3 +65,24 @@ def test_counts_cover_pages_without_tables(spark):
     got = tables.table_counts(parsed(spark, "<table><tr><td>EBITDA</td></tr></table>", "<p>x</p>", None)).orderBy("page_id").collect()
     assert [(r.total, r.non_gaap, r.other) for r in got] == [(1, 1, 0), (0, 0, 0), (0, 0, 0)]
     assert tables.table_counts(parsed(spark, "x").where(F.lit(False))).count() == 0
+
+
+def test_texts_and_tables_without_sections(spark):
+    """Text and number of tables as the sections' reader has them, tidied as `filing_text` does, terms and words counted in it."""
+    draw, own, pages = random.Random(11), 0, [None, "", "<![bad[", "a<p", "no tag &amp; end", "&", "<title>a</title>&amp;", "x" * 300 + "<p " + 'class="y" ' * 40 + ">z"]
+    tags = ["p", "div", "h1", "h4", "li", "b", "table", "tr", "td", "th", "P", "br", "head", "TABLE", "style", "script", "title", "Script"]
+    odd = ["&amp;", "&nbsp", "&#8203;", "a < b", "a > b", "<br/>", "<!-- x -->", "<p", '<p class="x y">', "<p id=x>", "<script>if (a<b) x</script>", "<script>no</script>", "<title>T &lt; U</title>", "<title><b>t</title>", "\u200b", "\xa0", "\t", "\x0b \f\r", " \n ", "\n\n\n\n", "\u2028", "<table><tr><td>x</td></tr></table>", "Net  Income", "\u212aey"]
+    for _ in range(3000):
+        pages.append("".join(draw.choice(odd) if draw.random() < 0.1 else draw.choice([f"<{draw.choice(tags)}>", f"</{draw.choice(tags)}>", "word ", " ", "\n", "x"]) for _ in range(draw.randrange(40))))
+        quick = html._plain_text(pages[-1])
+        assert (quick is None) == (html._plain(pages[-1]) is None), pages[-1]
+        own += quick is not None
+    assert 500 < own < 2900  # both ways are taken
+    rows = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    tables = F.coalesce(F.size(F.filter("sections", lambda s: s["kind"] == "table")), F.lit(0))
+    slow = html.parse_pages(rows, with_text=True).select("page_id", filing_text(F.col("text")).alias("text"), tables.alias("n_tables"))
+    want = {r.page_id: (r.text, r.n_tables) for r in slow.collect()}
+    got = html.page_texts(rows, ["page_id"], "net income|key", {"held": ["xword", "x."]}).collect()
+    assert {r.page_id: (r.text, r.n_tables) for r in got} == want and max(n for _, n in want.values()) > 1
+    low = lambda t: t.translate(str.maketrans("NICKEY", "nickey"))
+    assert all((r.n_terms, r.held) == (low(r.text).count("net income"), "xword" in r.text or "x." in r.text) for r in got) and any(r.n_terms for r in got) and any(r.held for r in got)
