@@ -19,6 +19,8 @@ RELEASE_FIELDS = {
     "content": ["content"], "body": ["body"], "summary": ["summary"], "description": ["description"], "publisher": ["publisher"], "site": ["site"], "source": ["source"], "symbol": ["symbol"],
     "company_name": ["companyName"], "company": ["company"], "name": ["name"],
 }
+#: How all texts begin that can be cast to a number: with what a cast trims, then a sign, a point, a digit, or i and n of infinity and nan.
+NUMBER_START = r"^[\x00-\x20\x7F]*[-+.0-9iInN]"
 STATEMENT_FIELDS = {"fiscal_year": ["calendarYear", "year", "fiscalYear"], "period": ["period", "quarter"]}
 
 
@@ -33,13 +35,14 @@ def objects(payload: Column, envelopes: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda x: F.trim(x).startswith("{"))
 
 
-def payload_rows(payloads: DataFrame, fields: dict[str, list[str]], keys: list[str], payload_col: str = "payload", envelopes: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
-    """(keys, row_ord, fields as text, raw) for every object of every payload, in order; empty values count as missing."""
+def payload_rows(payloads: DataFrame, fields: dict[str, list[str]], keys: list[str], payload_col: str = "payload", envelopes: tuple[str, ...] = (), most: int | None = None, entries: str | None = None) -> DataFrame:
+    """(keys, row_ord, fields as text, raw) for every object of every payload, in order; empty values count as missing. `entries`
+    names a column for all of an object, as a map of texts."""
     own = objects(F.col(payload_col), envelopes)
     rows = payloads.select(*keys, F.posexplode(F.slice(own, 1, most) if most else own).alias("row_ord", "raw"))
     rows = rows.withColumn("_m", F.from_json("raw", "map<string, string>"))  # parsed once for all fields
     value = lambda names: F.coalesce(*[F.nullif(F.try_element_at("_m", F.lit(n)), F.lit("")) for n in names])
-    return rows.select(*keys, "row_ord", *[value(names).alias(name) for name, names in fields.items()], "raw")
+    return rows.select(*keys, "row_ord", *[value(names).alias(name) for name, names in fields.items()], "raw", *([F.col("_m").alias(entries)] if entries else []))
 
 
 def transcript_items(payloads: DataFrame) -> DataFrame:
@@ -56,12 +59,16 @@ def press_releases(payloads: DataFrame, most: int | None = RELEASES_PER_TICKER)
     return payload_rows(payloads, RELEASE_FIELDS, ["ticker"], envelopes=ENVELOPES, most=most)
 
 
-def statements(payloads: DataFrame) -> DataFrame:
-    """Statement tables (symbol, table_name, freq, payload) as rows with measures: a map of all that is a number."""
-    rows = payload_rows(payloads, STATEMENT_FIELDS, ["symbol", "table_name", "freq"])
-    every = F.from_json("raw", "map<string, string>")
-    number = F.map_filter(F.transform_values(every, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
-    return rows.withColumn("measures", number)
+def statements(payloads: DataFrame, newest: int | None = None) -> DataFrame:
+    """Statement tables (symbol, table_name, freq, payload) as rows with measures: a map of all that is a number.
+
+    Where at most `newest` rows of a table are asked for later, by their order, no object of a payload behind its first `newest`
+    can be among them, whatever other payloads of the table hold: those are found, but not taken apart."""
+    rows = payload_rows(payloads, STATEMENT_FIELDS, ["symbol", "table_name", "freq"], most=newest, entries="_every")
+    # A cast that fails costs many times one that does not: it is tried on what begins as a number does.
+    double = lambda v: F.when(v.rlike(NUMBER_START), v.try_cast("double"))
+    number = F.map_filter(F.transform_values("_every", lambda k, v: double(v)), lambda k, v: v.isNotNull())
+    return rows.withColumn("measures", number).drop("_every")
 
 
 def ticker_map(payloads: DataFrame) -> DataFrame:

@@ -116,3 +116,20 @@ def test_pages_are_read_and_scored_where_they_lie(spark):
     assert sorted(map(str, got)) == sorted(map(str, two))
     assert {(r.accession, r.quarter): (r.name, r.n_read, r.content_score) for r in got} == {("f", 1): ("ex99-1.htm", 10, 180), ("f", 2): ("ex99-1.htm", 5, 180), ("g", 1): ("p.htm", 1, 0), (None, None): ("p.htm", 1, 0)}
     assert len(plan) == 2 and plan[0].count("Exchange ") == 1 and "Join" not in plan[0]
+
+
+def test_objects_are_parsed_once_and_only_those_that_can_be_kept(spark):
+    """Tables in several payloads too; measures are what a plain cast finds."""
+    texts = ["1", " -2.5 ", "\t+3e2", ".5", "7d", "inf", "-Infinity", "NaN", "nan ", "Q1", "quarter", "", "x9", "0x1p3", "1_0", "\x7f4", "\u00a05", "1e", "none", "++1", None]
+    listed = lambda n, at: json.dumps([{"calendarYear": 2030 - k, "period": "Q1", "amount": at + k, **{f"m{j}": t for j, t in enumerate(texts)}} for k in range(n)])
+    tables = [("A", "t", "quarter", listed(9, 0)), ("A", "t", "quarter", listed(2, 100)), ("A", "t", "annual", listed(6, 200)), ("A", "u", "quarter", listed(1, 300)), ("B", "t", "quarter", "[]"), ("B", "u", "quarter", "{bad"), ("C", "t", "annual", '[1, null, {"year": 7}]'), ("D", "t", "annual", None)]
+    landed = spark.createDataFrame(tables, "symbol string, table_name string, freq string, payload string")
+    every, few = readers.statements(landed), readers.statements(landed, newest=4)
+    assert few.dtypes == every.dtypes and (every.count(), few.count()) == (19, 12)
+    amounts = lambda rows: sorted((r.symbol, r.table_name, r.freq, r.row_ord) for r in periods.statement_tables(rows, 4, 3).collect())
+    assert amounts(every) == amounts(few) and len(amounts(few)) == 9
+    plain = spark.createDataFrame([(f"m{j}", t) for j, t in enumerate(texts)], "k string, t string").select("k", F.col("t").try_cast("double").alias("v")).where("v is not null")
+    first = few.where("table_name = 'u'").first()
+    assert {k: str(v) for k, v in first.measures.items() if k[0] == "m"} == {r.k: str(r.v) for r in plain.collect()} and first.measures["amount"] == 300
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(ArrayType") == 1 and plan.count("from_json(MapType") == 1

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 from quarterweave.operators import filings, periods, releases, transcripts
 from quarterweave.sources import shapes
@@ -114,3 +115,18 @@ def test_exhibits_are_made_where_their_filing_lies(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange ") == 2
+
+
+def test_payloads_hold_the_statements_of_the_sql(spark, tmp_path):
+    """In their order, for each of the six tables."""
+    lines = [(k % 70, float(k % 50), k * 1000.01, None if k % 17 == 0 else datetime.datetime(1994 + k % 5, 1 + k % 12, 1 + k % 28)) for k in range(600)]
+    owners = [(k, None if k % 11 == 0 else k % 27 - 1) for k in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(owners, "o_orderkey long, o_custkey long").write.parquet(f"file://{tmp_path}/orders.parquet")
+    rows = shapes.shaped(spark, f"file://{tmp_path}", "statements")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.row_ord is not None, r.row_ord or 0)):
+        own = {"calendarYear": r.fiscal_year, "period": r.period, "amount": r.amount, "reportedCurrency": r.freq}
+        want.setdefault((r.symbol, r.table_name, r.freq), []).append({k: v for k, v in own.items() if v is not None})
+    got = {(r.symbol, r.table_name, r.freq): json.loads(r.payload) for r in shapes.payloads(spark, f"file://{tmp_path}", "statements").collect()}
+    assert got == want and len(got) > 100
